@@ -21,7 +21,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "removed", F.col("clean").alias("text"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op5_line_dedup": op5_line_dedup}
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.near_dedup import near_groups
+
+    return near_groups(tables(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op1_mix": op1_mix, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup}
 
 ORACLES = {
     "op1_mix": r"""
