@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.shared import tables
+from granary.llm.shared import fold, tables
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,34 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "removed", F.col("clean").alias("text"))
 
 
+def word_bpe_path() -> str:
+    """Where the public word-end BPE file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.packing import pack
+
+    return pack(tables(spark, sf_dir, "documents"), word_bpe_path())
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.near_dedup import near_groups
 
     return near_groups(tables(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op1_mix": op1_mix, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.language import identify, learn_open_fold
+
+    docs = tables(spark, sf_dir, "documents")
+    out = identify(docs, learn_open_fold(docs))
+    return out.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op7_language": op7_language}
 
 ORACLES = {
     "op1_mix": r"""
