@@ -48,7 +48,21 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op7_language": op7_language}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.secrets import digest, findings, scan
+
+    docs = tables(spark, sf_dir, "documents")
+    return digest(findings(docs, scan(docs)))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.lm_scoring import score_texts
+
+    return score_texts(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op7_language": op7_language, "op8_secrets": op8_secrets,
+           "op9_lm_score": op9_lm_score}
 
 ORACLES = {
     "op1_mix": r"""
