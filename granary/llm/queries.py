@@ -40,6 +40,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(tables(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.toxicity import judge, learn, training_rows
+
+    docs = tables(spark, sf_dir, "documents")
+    out = judge(docs, learn(training_rows(docs, tables(spark, sf_dir, "labels"))))
+    return out.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.language import identify, learn_open_fold
 
@@ -61,7 +69,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op7_language": op7_language, "op8_secrets": op8_secrets,
+QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_secrets": op8_secrets,
            "op9_lm_score": op9_lm_score}
 
 ORACLES = {
