@@ -34,6 +34,13 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tables(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.nearest import search
+
+    vectors = tables(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.near_dedup import near_groups
 
@@ -69,7 +76,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_secrets": op8_secrets,
+QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op3_nearest": op3_nearest, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_secrets": op8_secrets,
            "op9_lm_score": op9_lm_score}
 
 ORACLES = {
