@@ -76,8 +76,22 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(tables(spark, sf_dir, "documents"))
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per recording (kind member: id, class_id, frames) and one per two matching classes of which
+    the first holds an id divisible by 50 (kind match: id, class_id, shift, bit_error). No table holds
+    recordings; every row of ``embeddings`` is played as one."""
+    from granary.llm.audio import align, fingerprints, sonified
+
+    prints = fingerprints(sonified(tables(spark, sf_dir, "embeddings")))
+    members, matches = align(prints, tables(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id")).filter("id % 50 = 0"))
+    none = F.lit(None)
+    return members.select(F.lit("member").alias("kind"), "id", "class_id", F.col("frames").cast("long").alias("frames"), none.cast("long").alias("shift"), none.cast("double").alias("bit_error")).unionByName(
+        matches.select(F.lit("match").alias("kind"), F.col("query_class").alias("id"), "class_id", none.cast("long").alias("frames"), F.col("shift").cast("long").alias("shift"), "bit_error")
+    )
+
+
 QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op3_nearest": op3_nearest, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_secrets": op8_secrets,
-           "op9_lm_score": op9_lm_score}
+           "op9_lm_score": op9_lm_score, "op10_audio": op10_audio}
 
 ORACLES = {
     "op1_mix": r"""
