@@ -23,7 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of repeated three-line windows and long lines; all rows stay."""
+    """Texts without later occurrences of repeated three-line windows and long lines; documents of which
+    nothing stays go."""
     return cleaned_documents(docs)
 
 

@@ -78,8 +78,10 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LIN
 
 
 def cleaned_documents(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with text (and n_chars, if there) replaced by what line dedup leaves; every row stays."""
-    out = dedup_lines(docs, **kw)
+    """``docs`` with text (and n_chars, if there) replaced by what line dedup leaves.
+
+    Documents of which every line was removed go; all others stay, those without words or lines too."""
+    out = dedup_lines(docs, **kw).filter((F.col("removed") == 0) | (F.col("removed") < F.col("n_lines")))
     new = {"text": F.col("clean")} | ({"n_chars": F.when(F.col("removed") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 

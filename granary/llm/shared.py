@@ -4,33 +4,18 @@ from __future__ import annotations
 
 import atexit
 import math
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.package import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, unless PYTHONPATH already names its folder."""
-    home = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if str(home) in os.environ.get("PYTHONPATH", "").split(":") or _LOCAL.get("shipped") == app:
-        return
-    archive = Path(tempfile.mkdtemp(prefix="granary-")) / "granary_package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((home / "granary").rglob("*.py")):
-            z.write(f, f.relative_to(home))
-    spark.sparkContext.addPyFile(str(archive))
-    _LOCAL["shipped"] = app
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -83,3 +68,6 @@ def parts_for(amount: float, each: float, least: int = 1) -> int:
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["WORD", "fold", "parts_for", "shared_dir", "ship", "tables", "word_count", "written"]
