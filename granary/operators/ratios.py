@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import registry as R
-from granary.functions.text import unit_key
+from granary.functions.text import trim, unit_key
 
 
 def wide(resolved: DataFrame) -> DataFrame:
@@ -128,11 +128,12 @@ def risk_states(wide_rows: DataFrame) -> DataFrame:
 
 
 def computed_units(wide_rows: DataFrame) -> DataFrame:
-    """Units of free_cash_flow and total_debt, where all inputs of the year that are there agree in theirs."""
+    """Units of free_cash_flow and total_debt, where all inputs of the year that are there agree in theirs but for
+    case and a plural s; the first is given as it is written."""
 
     def agreed(*metrics: str) -> Column:
-        units = F.array_compact(F.array(*[F.when(F.col(f"{m}.value").isNotNull(), unit_key(F.coalesce(F.col(f"{m}.unit"), F.lit("")))) for m in metrics]))
-        some = F.array_distinct(units)
-        return F.when((F.size(some) == 1) & (F.element_at(some, 1) != ""), F.element_at(some, 1)) if metrics else F.lit(None)
+        units = F.array_compact(F.array(*[F.when(F.col(f"{m}.value").isNotNull(), trim(F.coalesce(F.col(f"{m}.unit"), F.lit("")))) for m in metrics]))
+        kinds = F.array_distinct(F.transform(units, unit_key))
+        return F.when((F.size(kinds) == 1) & ~F.array_contains(units, ""), F.try_element_at(units, F.lit(1)))
 
     return wide_rows.select("doc_id", "year", agreed("operating_cash_flow", "capex").alias("free_cash_flow_unit"), agreed("long_term_debt", "short_term_debt").alias("total_debt_unit"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import registry as R
-from granary.functions.text import trim
 from granary.operators import ratios
 
 # Phrases of questions and answers, and the ratio or metric each names.
@@ -33,7 +32,7 @@ def document_guard(documents: DataFrame) -> DataFrame:
 def upload_gates(uploads: DataFrame) -> DataFrame:
     """doc_id (twelve hex digits of md5 over name and size) and the first gate an upload fails: suffix, size,
     MIME type, content."""
-    code = F.when(~F.lower("name").endswith(".pdf"), "INVALID_SUFFIX").when(F.col("size") > R.UPLOAD_MOST_BYTES, "TOO_LARGE").when(F.col("mime") != "application/pdf", "INVALID_MIME").when(~F.col("has_content"), "NO_FINANCIAL_CONTENT")
+    code = F.when(~F.lower("name").endswith(".pdf"), "INVALID_PDF").when(F.col("size") > R.UPLOAD_MOST_BYTES, "FILE_TOO_LARGE").when(F.col("mime") != "application/pdf", "INVALID_PDF").when(~F.col("has_content"), "INVALID_PDF")
     return uploads.select(doc_key(F.col("name"), F.col("size")).alias("doc_id"), code.alias("rejected"))
 
 
@@ -82,29 +81,12 @@ def mentions(questions: DataFrame, computed: DataFrame, resolved: DataFrame) ->
 
 
 def missing_warning(computed: DataFrame) -> DataFrame:
-    """doc_id, warning: key metrics a document lacks, "metric (year)" in year, then metric order; none, none."""
-    parts = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.struct(F.col("year"), F.lit(i).alias("i"), F.concat(F.lit(f"{m} ("), F.col("year").cast("string"), F.lit(")")).alias("t"))) for i, m in enumerate(KEY_METRICS)]))
+    """doc_id, warning: key metrics a document lacks, in year, then metric order; none, none."""
+    parts = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.struct(F.col("year"), F.lit(i).alias("i"), F.concat(F.lit(f"{m} not available for "), F.col("year").cast("string")).alias("t"))) for i, m in enumerate(KEY_METRICS)]))
     g = computed.select("doc_id", F.explode(parts).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return g.select("doc_id", F.array_join(F.transform("ps", lambda x: x["t"]), "; ").alias("warning"))
 
 
-def scope_tag(section: Column) -> Column:
-    s = F.lower(trim(F.coalesce(section, F.lit(""))))
-    return F.when(s == "consolidated", "[consolidated]").when(s == "standalone", "[standalone]").otherwise("[scope not verified]")
-
-
-def metric_lines(resolved: DataFrame) -> DataFrame:
-    """doc_id, statement_type, line: resolved metrics as prompt lines, statement by statement in registry
-    order, years ascending."""
-    place = F.array_position(F.array(*[F.lit(m) for m in R.METRIC_NAMES]), F.col("metric_name")).cast("int")
-    review = F.when(F.col("verification_state") == "NEEDS_REVIEW", F.concat(F.lit(" [NEEDS_REVIEW: "), F.coalesce("verification_reason", F.lit("")), F.lit("]"))).otherwise("")
-    text = F.concat(F.lit("- "), F.initcap(F.replace("metric_name", F.lit("_"), F.lit(" "))), F.lit(" ("), F.col("year").cast("string"), F.lit("): "), F.format_number("value", 2), F.lit(" "), F.coalesce("unit", F.lit("")),
-                    F.lit(" (page "), F.coalesce(F.col("page_no").cast("string"), F.lit("?")), F.lit(") "), scope_tag(F.col("section_type")), review)
-    g = resolved.withColumn("statement_type", F.element_at(F.create_map(*[F.lit(x) for kv in R.STATEMENT_OF.items() for x in kv]), F.col("metric_name")))
-    g = g.groupBy("doc_id", "statement_type").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "year", text.alias("t")))).alias("ls"))
-    return g.select("doc_id", "statement_type", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("lines"))
-
-
 def answered_pairs(turns: DataFrame) -> DataFrame:
     """Conversation turns that stay in the history: a user turn followed by an assistant's, and that one."""
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -129,10 +129,10 @@ SELECT c.doc_id, candidate_rows, coalesce(resolved_rows, 0) AS resolved_rows FRO
 SELECT p.doc_id, p.year, p.ratio_name, p.result, n.raw_label AS numerator_label, n.page_no AS numerator_page, d.raw_label AS denominator_label, d.page_no AS denominator_page
 FROM proven p JOIN l USING (doc_id, year) LEFT JOIN resolved n ON n.doc_id = p.doc_id AND n.year = p.year AND n.metric_name = p.numerator LEFT JOIN resolved d ON d.doc_id = p.doc_id AND d.year = p.year AND d.metric_name = p.denominator""",
     "trust_summary": f"WITH {RESOLVED} SELECT doc_id, count(*) FILTER (verification_state = 'VERIFIED') AS verified, count(*) FILTER (verification_state = 'NEEDS_REVIEW') AS needs_review, count(*) FILTER (verification_state IS NULL) AS unverified FROM resolved GROUP BY doc_id",
-    "missing_warning": f"WITH {COMPUTED}, m AS (" + " UNION ALL ".join(f"SELECT doc_id, year, {i} AS i, '{m} (' || year || ')' AS t FROM risked WHERE {m} IS NULL" for i, m in enumerate(["current_ratio", "debt_to_equity", "profit_margin", "free_cash_flow", "operating_margin"])) + ") SELECT doc_id, string_agg(t, '; ' ORDER BY year, i) AS warning FROM m GROUP BY doc_id",
-    "computed_units": f"""WITH {WIDE}, k AS (SELECT doc_id, year, list_filter([CASE WHEN operating_cash_flow IS NOT NULL THEN regexp_replace(lower(u_operating_cash_flow), 's$', '') END, CASE WHEN capex IS NOT NULL THEN regexp_replace(lower(u_capex), 's$', '') END], lambda x: x IS NOT NULL) AS f,
- list_filter([CASE WHEN long_term_debt IS NOT NULL THEN regexp_replace(lower(u_long_term_debt), 's$', '') END, CASE WHEN short_term_debt IS NOT NULL THEN regexp_replace(lower(u_short_term_debt), 's$', '') END], lambda x: x IS NOT NULL) AS t FROM wide)
-SELECT doc_id, year, CASE WHEN len(list_distinct(f)) = 1 THEN f[1] END AS free_cash_flow_unit, CASE WHEN len(list_distinct(t)) = 1 THEN t[1] END AS total_debt_unit FROM k""",
+    "missing_warning": f"WITH {COMPUTED}, m AS (" + " UNION ALL ".join(f"SELECT doc_id, year, {i} AS i, '{m} not available for ' || year AS t FROM risked WHERE {m} IS NULL" for i, m in enumerate(["current_ratio", "debt_to_equity", "profit_margin", "free_cash_flow", "operating_margin"])) + ") SELECT doc_id, string_agg(t, '; ' ORDER BY year, i) AS warning FROM m GROUP BY doc_id",
+    "computed_units": f"""WITH {WIDE}, k AS (SELECT doc_id, year, list_filter([CASE WHEN operating_cash_flow IS NOT NULL THEN u_operating_cash_flow END, CASE WHEN capex IS NOT NULL THEN u_capex END], lambda x: x IS NOT NULL) AS f,
+ list_filter([CASE WHEN long_term_debt IS NOT NULL THEN u_long_term_debt END, CASE WHEN short_term_debt IS NOT NULL THEN u_short_term_debt END], lambda x: x IS NOT NULL) AS t FROM wide)
+SELECT doc_id, year, CASE WHEN len(list_distinct(list_transform(f, lambda x: regexp_replace(lower(x), 's$', '')))) = 1 THEN f[1] END AS free_cash_flow_unit, CASE WHEN len(list_distinct(list_transform(t, lambda x: regexp_replace(lower(x), 's$', '')))) = 1 THEN t[1] END AS total_debt_unit FROM k""",
     "gold_scores": f"""WITH {RESOLVED}, gold AS (SELECT doc_id, metric_name, year, max(value) AS e FROM cand WHERE metric_name IN ({", ".join(f"'{m}'" for m in R.CORE)}) AND year BETWEEN 2000 AND 2100 GROUP BY ALL),
 j AS (SELECT r.value, r.verification_state AS s, coalesce(r.value = e OR abs(e - r.value) / nullif(abs(e), 0) < 0.01, false) AS ok FROM gold LEFT JOIN resolved r USING (doc_id, metric_name, year))
 SELECT count(*) AS gold_valid, count(*) FILTER (value IS NOT NULL AND ok AND s = 'VERIFIED') AS verified_correct, count(*) FILTER (value IS NOT NULL AND ok AND coalesce(s, '') <> 'VERIFIED') AS review_correct,
@@ -145,7 +145,7 @@ SELECT doc_id, metric_name, year, value, verification_state FROM p WHERE k = 1""
     "top_k": "WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(e.embedding, q.qe), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings e JOIN q ON q.label = e.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id FROM r WHERE rank <= 4",
     "content_gate": "SELECT page_id % 50 AS doc_id, coalesce(bool_or(page_id // 50 < 30 AND (lower(html) LIKE '%table%' OR lower(html) LIKE '%footer%')), false) AS has_content FROM pages GROUP BY 1",
     "upload_gates": """WITH u AS (SELECT CASE WHEN page_id % 3 = 0 THEN url ELSE url || '.pdf' END AS name, (length(html) * 20000)::BIGINT AS size, CASE WHEN page_id % 5 = 0 THEN 'text/html' ELSE 'application/pdf' END AS mime, lower(html) LIKE '%table%' AS ok FROM pages)
-SELECT left(md5(name || size), 12) AS doc_id, CASE WHEN lower(name) NOT LIKE '%.pdf' THEN 'INVALID_SUFFIX' WHEN size > 52428800 THEN 'TOO_LARGE' WHEN mime <> 'application/pdf' THEN 'INVALID_MIME' WHEN NOT ok THEN 'NO_FINANCIAL_CONTENT' END AS rejected FROM u""",
+SELECT left(md5(name || size), 12) AS doc_id, CASE WHEN lower(name) NOT LIKE '%.pdf' THEN 'INVALID_PDF' WHEN size > 52428800 THEN 'FILE_TOO_LARGE' WHEN mime <> 'application/pdf' THEN 'INVALID_PDF' WHEN NOT ok THEN 'INVALID_PDF' END AS rejected FROM u""",
     "page_offsets": "WITH p AS (SELECT coalesce(source, 'none') || '/' || (doc_id // 400) AS doc_id, (doc_id % 400 + 1)::INT AS page_no, text FROM documents) SELECT doc_id, page_no, coalesce(sum(length(text) + 1) OVER w, 0)::INT AS char_start, (coalesce(sum(length(text) + 1) OVER w, 0) + length(text))::INT AS char_end FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "parse_values": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN -floor(l_extendedprice) WHEN 1 THEN floor(l_extendedprice) WHEN 2 THEN floor(l_extendedprice) END AS value FROM lineitem",
     "header_years": "SELECT o_orderkey, (year(o_orderdate) + 20) || ',' || (year(o_orderdate) + 19) || ',' || (year(o_orderdate) + 18) || ',' || (year(o_orderdate) + 21) AS years FROM orders",

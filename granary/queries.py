@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from granary import bind
 from granary.functions import text as T
 from granary.operators import candidates as C
-from granary.operators import chunks, evaluate, pages, ratios, resolve, views
+from granary.operators import chunks, evaluate, pages, prompts, ratios, resolve, views
 from granary.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,7 +135,14 @@ def chunk_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def metric_lines(s: SparkSession, d: str) -> DataFrame:
-    return views.metric_lines(_resolved(s, d))
+    return prompts.resolved_section(_resolved(s, d))
+
+
+def prompt_texts(s: SparkSession, d: str) -> DataFrame:
+    r = _resolved(s, d)
+    w = ratios.wide(r)
+    q = bind.table(s, d, "conversations").filter("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), (F.col("conv_id") % 100).cast("string").alias("doc_id"), F.col("text").alias("question"))
+    return prompts.prompts(q, prompts.resolved_section(r), prompts.computed_section(w), None)
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
@@ -166,5 +173,5 @@ QUERIES: dict[str, Query] = {
     "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "content_gate": content_gate,
     "upload_gates": lambda s, d: views.upload_gates(bind.uploads(s, d)), "page_offsets": page_offsets, "parse_values": parse_values,
     "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows,
-    "classify_pages": classify_pages, "select_pages": select_pages, "chunk_pages": chunk_pages, "metric_lines": metric_lines, "mentions": mentions,
+    "classify_pages": classify_pages, "select_pages": select_pages, "chunk_pages": chunk_pages, "metric_lines": metric_lines, "mentions": mentions, "prompts": prompt_texts,
 }
