@@ -3,10 +3,11 @@
 1. One pass over whole texts makes each document's set of distinct word shingles and from it a digest of
    the set and the band keys of its SuperMinHash signature.
 2. Documents of one set are one node from here on, so thousands of copies cost one row.
-3. Nodes that share a band key are candidates. In every bucket all members are compared with a hub; what
-   that unites needs no more comparing, and only members outside the hub's group become hubs of later
-   rounds, in batches that grow fourfold, until every pair that is not united already has been compared.
-   So no pairs are listed within a group of near copies, and none that banding proposes is dropped.
+3. Nodes that share a band key are candidates. In every bucket all members are first compared with a hub,
+   which unites most of a group of near copies by as many pairs as it has members. Pairs of a bucket that no
+   group holds after that involve a member outside the bucket's largest group; such members wait for that
+   group and are compared, in blocks, with all of it and with each other. So pairs within a group are never
+   listed, and no candidate that banding proposes is dropped.
 4. A candidate counts only if the full sets pass the threshold; union-find joins what passed.
 """
 
@@ -26,6 +27,8 @@ from granary.llm.shared import written
 #: Words in a shingle, least similarity in percent, bands and rows of a band. A pair at 80 % is missed by
 #: all of 24 bands of 4 rows with probability (1 - 0.8**4)**24 < 4e-6.
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 4
+#: Shingles of a block in the comparison of what hubs left over.
+BLOCK = 500_000
 
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
@@ -54,7 +57,7 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int) -> np
     for j in range(1, m):
         if not len(e):
             break
-        drawn = tv.mix(e + _U(j) * tv.GOLDEN)
+        drawn = tv.mix(e + _U(j * int(tv.GOLDEN) & 0xFFFFFFFFFFFFFFFF))
         k = j + ((drawn & _LOW) * _U(m - j) >> _U(32)).astype(np.int64)
         taken, here = place[row, k], place[row, j]
         place[row, k], place[row, j] = here, taken
@@ -125,6 +128,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.select("u", "v")
 
 
+def _compared(percent: int):
+    """Links between waiting nodes (right) and a group with its waiting nodes (left), as many as it takes to
+    join what is connected: one link into the group stands for all."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        links: list[tuple[bytes, bytes]] = []
+        if left.num_rows and right.num_rows:
+            names, inside = left.column("node").to_pylist(), left.column("inside").to_numpy()
+            grams = left.column("grams").combine_chunks()
+            sizes = np.diff(grams.offsets.to_numpy())
+            flat = grams.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(names)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            parent: dict = {}
+
+            def find(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for node, own in zip(right.column("asks").to_pylist(), right.column("own"), strict=True):
+                own = own.values.to_numpy()
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(names))
+                for i in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
+                    if names[i] != node:
+                        a, b = find(node), find(b"" if inside[i] else names[i])
+                        if a != b:
+                            parent[a] = b
+                            links.append((node, names[i]))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([y for _, y in links], pa.binary())})
+
+    return run
+
+
 def _close(a: Column, b: Column, percent: int) -> Column:
     """A necessary condition on the sizes alone."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -159,32 +201,26 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     edges = written(_verified(pairs.select(F.col("node").alias("u"), "v", F.col("n").alias("nu"), "nv").distinct(), sets, percent), "links")
     roots = components(edges)
 
-    member = member.withColumn("tried", F.col("node") == F.col("hub"))
-    batch = 4
-    while True:
-        # Buckets with more than one group; there, members outside the hub's group that were no hub yet.
-        named = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("main")).filter("lo <> hi").select("key", "main")
-        named = written(named.join(mixed, "key").withColumn("wait", (F.col("root") != F.col("main")) & ~F.col("tried")), "open")
-        waiting = named.filter("wait").groupBy("key").agg(F.count(F.lit(1)).alias("waiting"))
-        lot = F.shiftrightunsigned(F.xxhash64("node", "key"), 12) / F.lit(float(1 << 52))
-        chosen = written(named.filter("wait").join(waiting, "key").filter(lot * F.col("waiting") < batch).select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv")), "hubs")
-        if chosen.isEmpty():
-            if named.filter("wait").isEmpty():
-                break
-            batch *= 4
-            continue
-        pairs = named.join(chosen, "key").filter((F.col("root") != F.col("rv")) & _close(F.col("n"), F.col("nv"), percent))
-        pairs = pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), F.when(F.col("node") < F.col("v"), F.col("n")).otherwise(F.col("nv")).alias("nu"), F.when(F.col("node") < F.col("v"), F.col("nv")).otherwise(F.col("n")).alias("nv"))
-        more = written(_verified(pairs.distinct(), sets, percent), "links")
-        was = chosen.select("key", F.col("v").alias("node"), F.lit(True).alias("now"))
-        member = written(
-            named.join(was, ["key", "node"], "left").select("key", "node", "n", "members", "hub", (F.col("tried") | F.coalesce("now", F.lit(False))).alias("tried")), "buckets"
-        )
-        if not more.isEmpty():
-            edges = written(edges.union(more), "links")
-            roots = components(edges)
-        batch *= 4
+    # What is left to compare: pairs of a bucket without its hub that no group holds yet.
+    rest = member.filter("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    share = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = share.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    waits = written(rest.join(main, "key").filter("root <> main").select("main", "node", "n").distinct(), "waits")
+    inside = member.select("node", "n").distinct().join(roots, "node", "left").withColumn("main", F.coalesce("root", "node"))
+    inside = inside.join(waits.select("main").distinct(), "main", "left_semi").select("main", "node", "n", F.lit(True).alias("inside"))
+    cluster = inside.unionByName(waits.withColumn("inside", F.lit(False)))
+    cuts = cluster.groupBy("main").agg(F.sum("n").alias("a")).join(waits.groupBy("main").agg(F.sum("n").alias("b")), "main")
+    cuts = cuts.select("main", F.ceil(F.col("a") / BLOCK).cast("int").alias("segments"), F.ceil(F.col("b") / BLOCK).cast("int").alias("blocks"))
+    lot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cluster.join(cuts, "main").select("main", "node", "inside", lot("segments").alias("segment"), each("blocks").alias("block")).join(sets, "node")
+    right = waits.join(cuts, "main").select("main", "node", lot("blocks").alias("block"), each("segments").alias("segment"))
+    right = right.join(sets.select(F.col("node").alias("k"), F.col("grams").alias("own")), F.col("node") == F.col("k"))
+    right = right.select(F.col("main").alias("to"), F.col("segment").alias("part"), F.col("block").alias("lot"), F.col("k").alias("asks"), "own")
+    more = left.groupBy("main", "segment", "block").cogroup(right.groupBy("to", "part", "lot")).applyInArrow(_compared(percent), "u binary, v binary")
+    more = written(more, "links")
+    if not more.isEmpty():
+        roots = components(edges.union(more))
 
     named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
