@@ -24,7 +24,7 @@ from granary.llm.shared import ship, written
 
 #: Samples of a frame and of a step, at a reference rate; frames that the widest filter spans; lowest and
 #: highest pitch heard in Hz; most share of differing bits; least frames of overlap, least shared integers.
-FRAME, STEP, RATE, SPAN, LOW, HIGH, MOST_ERROR, LEAST_OVERLAP, LEAST_VOTES = 512, 128, 4000, 16, 180.0, 1500.0, 0.2, 24, 3
+FRAME, STEP, RATE, SPAN, LOW, HIGH, MOST_ERROR, LEAST_OVERLAP, LEAST_VOTES = 512, 128, 4000, 16, 180.0, 1500.0, 0.12, 48, 3
 
 #: Of each filter: kind, first pitch class, height in pitch classes, width in frames. Kinds compare halves of
 #: the box: 0 none (energy against its surroundings), 1 upper and lower, 2 left and right, 3 the diagonals.

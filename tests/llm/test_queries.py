@@ -1,0 +1,49 @@
+"""Registered queries against SQL, and the pipeline's stages."""
+
+import pytest
+
+from comparing import agree
+from granary.llm.queries import ORACLES, QUERIES
+from granary.llm.shared import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    assert agree(QUERIES[name](spark, SF), SF, ORACLES[name])
+
+
+def test_native_plans(spark):
+    for name in ("op1_mix", "op5_line_dedup"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
+
+
+def test_stages(spark):
+    import corpus_pipeline as p
+
+    docs = tables(spark, SF, "documents")
+    assert [n for n, _ in p.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+    given = {r["doc_id"] for r in docs.collect()}
+    from granary.llm.shared import written
+
+    for i, (name, stage) in enumerate(p.STAGES):
+        out = written(stage(spark, docs, SF), name)
+        if i < 4:
+            assert out.columns == docs.columns and {r["doc_id"] for r in out.select("doc_id").collect()} <= given
+            docs = out
+        if name == "language_id":
+            assert out.count() == tables(spark, SF, "documents").count()
+        if name == "near_dedup":
+            assert out.count() == out.select("doc_id").distinct().count()
+    assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    from test_operators import odd
+
+    odd(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() > 0
