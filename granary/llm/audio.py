@@ -91,7 +91,7 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
         else:
             a = box(0, w // 2, y, mid) + box(w // 2, w, mid, top)
             b = box(0, w // 2, mid, top) + box(w // 2, w, y, mid)
-        level = np.digitize(np.log((np.abs(a) + 0.05) / (np.abs(b) + 0.05)), CUTS).astype(np.uint32)
+        level = np.digitize(np.round(np.log((np.abs(a) + 0.05) / (np.abs(b) + 0.05)), 6), CUTS).astype(np.uint32)
         packed = (packed << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
     return packed.view(np.int32)
 

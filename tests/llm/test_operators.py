@@ -508,7 +508,7 @@ def test_audio_alignment(spark):
     m = {r["id"]: r["class_id"] for r in members.collect()}
     assert m[0] == m[1] == 0 and m[2] == 2 and m[50] is m[51] is m[52] is m[54] is None and members.count() == len(rows)
     got = {(r["query_class"], r["class_id"]): r for r in matches.collect()}
-    assert set(got) == {(0, 2), (0, 3)} and got[0, 2]["shift"] == -40 and got[0, 2]["bit_error"] == 0 and got[0, 3]["shift"] == 0 and got[0, 3]["bit_error"] < 0.1
+    assert set(got) == {(0, 2), (0, 3)} and got[0, 2]["shift"] == -40 and got[0, 2]["bit_error"] < 0.01 and got[0, 3]["shift"] == 0 and got[0, 3]["bit_error"] < 0.1
     body = {r["id"]: np.array(r["print"]) for r in prints.collect()}
     for (q, c), r in got.items():  # brute force over all offsets finds nothing better
         best = min(np.mean(np.unpackbits((x ^ y).astype("<i4").view(np.uint8))) for s in range(-60, 61) for x, y in [(body[q][max(0, -s) :], body[c][max(0, s) :])] for x, y in [(x[: min(len(x), len(y))], y[: min(len(x), len(y))])] if len(x) >= 48)
