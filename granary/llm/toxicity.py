@@ -215,7 +215,7 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = written(rows.withColumn("h", F.xxhash64("text")), "labelled")
     counted = rows.filter(F.pmod("h", F.lit(APART)) != 0).select("text", "toxic")
     words = counted.mapInArrow(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     grams = words.mapInArrow(_gram_counts, "gram long, context long, tail long, tail_context long, char long, n0 long, n1 long")
@@ -273,6 +273,8 @@ def judge(docs: DataFrame, model: ToxicModel, least: float = LEAST) -> DataFrame
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of documents whose crc32(doc_id) mod 3 is not 1; of several labels, the largest."""
+    """text and toxic of documents whose crc32(doc_id) mod 3 is not 1; of several labels, the largest.
+
+    The join is a merge at every size: labels grow with the documents and are never broadcast."""
     own = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold(F.col("doc_id"), 3) != 1)
-    return docs.select("doc_id", "text").filter(fold(F.col("doc_id"), 3) != 1).join(own, "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").filter(fold(F.col("doc_id"), 3) != 1).join(own.hint("merge"), "doc_id").select("text", "toxic")
