@@ -7,6 +7,8 @@ are cut further into runs, so that "word," and "word." share the work for "word"
 from __future__ import annotations
 
 import functools
+import itertools
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import pyarrow as pa
 from granary.llm import textvec as tv
 
 #: Distinct words and runs that a worker remembers before it starts afresh; only speed depends on them.
-MOST_WORDS, MOST_RUNS = 400_000, 400_000
+MOST_WORDS, MOST_RUNS = 1_500_000, 600_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,7 +39,7 @@ class WordTokenizer:
         self.plain = str.maketrans(self.letters)
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.heads = {s[0] for s in self.specials}
+        self.special = False
         self.runs: dict[str, list[int]] = {}
         self.forget()
 
@@ -57,20 +59,25 @@ class WordTokenizer:
         return got
 
     def word(self, word: str) -> list[int]:
-        if not self.heads.isdisjoint(word) and any(s in word for s in self.specials):
+        if self.special and any(s in word for s in self.specials):
             return self.whole.encode(word, add_special_tokens=False).ids
-        word = word.lower() if word.isascii() else self.whole.normalizer.normalize_str(word)
+        if word.isascii():
+            word = word.lower()
+        elif "\u03a3" not in word and unicodedata.is_normalized("NFC", word):
+            word = word.lower()  # the file's own lower case knows no final sigma; else both agree
+        else:
+            word = self.whole.normalizer.normalize_str(word)
+        if word.isalpha():
+            return self._run(word)
         return [i for run in self.cut(word) for i in self._run(run)]
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         ids = [self.word(w) for w in words]
         base = len(self.start) - 1
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint16)])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint16)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        known = np.concatenate([self.known, hashes])
-        slot = np.concatenate([self.slot, base + np.arange(len(hashes))])
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], slot[order]
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, base + np.arange(len(hashes)))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and n+1 offsets of each text's ids; null counts as empty."""
@@ -86,6 +93,7 @@ class WordTokenizer:
         new[near] = self.known[at[near]] != unique[near]
         if new.any():
             body = data.tobytes()
+            self.special = any(s.encode() in body for s in self.specials)
             self._learn(unique[new], [body[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.known, unique)
         slot = self.slot[at][inverse] if len(unique) else np.empty(0, np.int64)
