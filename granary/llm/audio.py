@@ -26,6 +26,9 @@ from granary.llm.shared import ship, written
 #: highest pitch heard in Hz; most share of differing bits; least frames of overlap, least shared integers.
 FRAME, STEP, RATE, SPAN, LOW, HIGH, MOST_ERROR, LEAST_OVERLAP, LEAST_VOTES = 512, 128, 4000, 16, 180.0, 1500.0, 0.12, 48, 3
 
+#: Recordings in a batch.
+BATCH = 32
+
 #: Of each filter: kind, first pitch class, height in pitch classes, width in frames. Kinds compare halves of
 #: the box: 0 none (energy against its surroundings), 1 upper and lower, 2 left and right, 3 the diagonals.
 FILTERS = [(kind, (5 * i + 2 * kind) % (13 - height), height, width) for i, (kind, height, width) in enumerate(
@@ -111,10 +114,20 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(recordings: DataFrame, key: str = "id", audio: str = "audio") -> DataFrame:
     """id, print (packed integers), heard (places that aren't silence). Null, empty or unreadable audio, and
-    recordings shorter than the widest filter, have an empty print."""
-    ship(recordings.sparkSession)
+    recordings shorter than the widest filter, have an empty print.
+
+    Recordings are large, so batches of BATCH rows meet Python; for that the pass runs here and now, and its
+    result is a table in the shared folder."""
+    spark = recordings.sparkSession
+    ship(spark)
     d = recordings.select(F.col(key).cast("long").alias("id"), F.col(audio).alias("audio"))
-    return d.mapInArrow(_printed, "id long, print array<int>, heard array<int>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        return written(d.mapInArrow(_printed, "id long, print array<int>, heard array<int>"), "prints")
+    finally:
+        spark.conf.set(name, own)
 
 
 def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERROR, least_overlap: int = LEAST_OVERLAP, least_votes: int = LEAST_VOTES) -> tuple[DataFrame, DataFrame]:
