@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from granary.package import ship
 
 #: Characters of a chunk, of the overlap, and separators from the coarsest down.
 SIZE, OVERLAP, SEPARATORS = 800, 150, ("\n\n", "\n", ". ", " ")
+#: Retrieval: about so many vectors and queries of one key meet in a task, queries by so many at a time.
+VECTORS, QUERIES, TILE = 65_536, 8_192, 64
 
 
 def narrative(pages: DataFrame, classes: DataFrame) -> DataFrame:
@@ -118,19 +123,78 @@ def locate(parts: DataFrame, placed: DataFrame, titles: DataFrame) -> DataFrame:
     return e.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("page").cast("string"), F.col("chunk.i").cast("string")).alias("chunk_id"), "doc_id", F.col("chunk.text").alias("text"), F.col("page").alias("page_no"), title.alias("section_title"), section.alias("section_type"), F.col("chunk.char_start").alias("char_start"), F.col("chunk.char_end").alias("char_end"))
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length of each vector (-1 if it or a component is null), its start, and all components."""
+    a = column.combine_chunks()
+    offsets, values = a.offsets.to_numpy().astype(np.int64), a.values
+    holes = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    whole = a.is_valid().to_numpy(zero_copy_only=False) & (holes[offsets[1:]] == holes[offsets[:-1]])
+    return np.where(whole, np.diff(offsets), -1), offsets[:-1], values.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def inner_products(vectors: tuple, queries: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Queries x vectors: inner products, summed from the first component on, and where there is none (a null,
+    or lengths that differ)."""
+    (vn, v_at, v), (qn, q_at, q) = vectors, queries
+    out, none = np.zeros((len(qn), len(vn))), np.ones((len(qn), len(vn)), bool)
+    for n in set(vn.tolist()) & set(qn.tolist()) - {-1}:
+        i, j = np.flatnonzero(qn == n), np.flatnonzero(vn == n)
+        s = np.zeros((len(i), len(j)))
+        with np.errstate(all="ignore"):
+            for c in range(n):
+                s += q[q_at[i] + c][:, None] * v[v_at[j] + c]
+        out[np.ix_(i, j)], none[np.ix_(i, j)] = s, False
+    return out, none
+
+
+def _best(k: int):
+    """The k best of a group's vectors for each of its queries: NaN first, no score last, ties by id."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left, sort_keys=[("vid", "ascending")], null_placement="at_start"))
+        vectors, (qn, q_at, q) = _rows(left.column("v")), _rows(right.column("q"))
+        asked, found, scores, empty = [], [], [], []
+        for start in range(0, right.num_rows if left.num_rows else 0, TILE):
+            part = slice(start, start + TILE)
+            score, none = inner_products(vectors, (qn[part], q_at[part], q))
+            cost = np.where(none, np.inf, np.where(np.isnan(score), -np.inf, -score))
+            least = np.partition(cost, min(k, left.num_rows) - 1, axis=1)[:, min(k, left.num_rows) - 1]
+            for i in range(len(cost)):
+                c = np.flatnonzero(cost[i] <= least[i])
+                kind = np.where(none[i, c], 2, np.where(np.isnan(score[i, c]), 0, 1))
+                c = c[np.lexsort((cost[i, c], kind))[:k]]
+                asked.append(np.full(len(c), start + i))
+                found.append(c)
+                scores.append(score[i, c])
+                empty.append(none[i, c])
+        join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
+        return pa.table({
+            "query_id": right.column("query_id").take(pa.array(join(asked, np.int64))), "vid": left.column("vid").take(pa.array(join(found, np.int64))),
+            "score": pa.array(join(scores, np.float64), mask=join(empty, bool)),
+        })
+
+    return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "doc_id", vector_id: str = "vec_id") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "doc_id", vector_id: str = "vec_id", rows: int = VECTORS, asked: int = QUERIES) -> DataFrame:
     """query_id, rank, vector id, score: the k best inner products among the vectors of the query's ``key``.
 
-    Retrieval stays within a document, so queries meet vectors by an equi-join on it; the rank filter runs
-    before the shuffle as well."""
-    q = queries.select(F.col(key), "query_id", F.col("embedding").alias("_q"))
-    s = vectors.join(q, key).select("query_id", vector_id, inner_product(F.col("embedding"), F.col("_q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), vector_id))
-    return s.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", vector_id, "score")
+    Retrieval stays within a document and is exact: every query meets every vector of its key. A key's vectors
+    are dealt over parts of about ``rows`` and its queries over blocks of about ``asked``, so neither a hot key
+    nor many queries make a large task; a part sends k rows a query to the final ranking."""
+    ship(vectors.sparkSession)
+    v = vectors.select(F.col(key).alias("_key"), F.col(vector_id).alias("vid"), F.col("embedding").alias("v"))
+    q = queries.select(F.col(key).alias("_key"), "query_id", F.col("embedding").alias("q"))
+    count = lambda df, n, name: df.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+    parts = count(v, rows, "parts").join(count(q, asked, "blocks"), "_key")
+    deal = lambda n: F.pmod(F.monotonically_increasing_id(), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = v.join(parts, "_key").withColumn("part", deal("parts")).withColumn("block", every("blocks")).drop("parts", "blocks")
+    q = q.join(parts, "_key").withColumn("block", deal("blocks")).withColumn("part", every("parts")).drop("parts", "blocks")
+    kinds = dict(v.dtypes) | dict(q.dtypes)
+    s = v.groupBy("_key", "part", "block").cogroup(q.groupBy("_key", "part", "block")).applyInArrow(_best(k), f"query_id {kinds['query_id']}, vid {kinds['vid']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vid"))
+    return s.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vid").alias(vector_id), "score")
 
 
 def sources(retrieved: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,36 @@ def test_top_k_ties(spark):
     assert [r["vec_id"] for r in chunks.top_k(v, q, 3).orderBy("rank").collect()] == [1, 3, 5]
 
 
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((300, 6)).astype("f4")
+    x[40:120] = x[40]
+    rows = [("hot" if i % 10 else "cold", i, v.tolist()) for i, v in enumerate(x)] + [("hot", 900, None), ("hot", 901, [1.0]), ("hot", 902, [float("nan")] * 6), ("hot", 903, [1.0, None] + [0.0] * 4), (None, 904, x[0].tolist())]
+    v = spark.createDataFrame(rows, "doc_id string, vec_id int, embedding array<float>").repartition(5)
+    q = v.filter("vec_id % 7 = 0 or vec_id >= 900").withColumnRenamed("vec_id", "query_id")
+
+    def order(a, b):  # NaN first, no score last, as Spark sorts
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 2, 0.0
+        s = sum((float(y) * float(z) for y, z in zip(a, b)), 0.0)
+        return (0, 0.0) if s != s else (1, -s)
+
+    want = {(i, r + 1, j) for d, i, a in rows if d and (i % 7 == 0 or i >= 900) for r, (_, j) in enumerate(sorted((order(a, b), j) for e, j, b in rows if e == d)[:4])}
+    for sizes in ({}, {"rows": 32, "asked": 9}):
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in chunks.top_k(v, q, 4, **sizes).collect()} == want
+
+
+def test_top_k_search_asks_every_fiftieth_row(spark, tmp_path):
+    from granary.queries import QUERIES
+
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((400, 5)).astype("f4").astype(float)
+    rows = [(100 + i, i % 3, v.tolist()) for i, v in enumerate(x)]  # ids start above 19
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(100 + i, r + 1, 100 + j) for i in range(0, 400, 50) for r, j in enumerate(sorted(range(i % 3, 400, 3), key=lambda j: (-(x[i] @ x[j]), j))[:4])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in QUERIES["top_k_search"](spark, str(tmp_path)).collect()} == want
+
+
 def test_views_and_prompts(spark):
     r = resolve.resolve(spark.createDataFrame([cand(m, v, state="NEEDS_REVIEW" if m == "revenue" else None, section="standalone") for m, v in FULL], CAND))
     w = ratios.wide(r)
