@@ -6,14 +6,16 @@ counts in how many training documents an expression stands; both discount by the
 to one shared model of continuation counts, so what either class has hardly seen costs them alike. A text's
 evidence is the toxic minus the ordinary log-likelihood, normalised by its length in expressions, with and
 without the part of each expression's evidence below FLOOR nats, which is chance. A logistic
-calibration over these, fitted on training rows that the models didn't count, gives the score.
+calibration over these gives the score; it is fitted under models that didn't count its rows, those of the
+fifth kept apart.
 
-All labelled training rows are counted. Counts end in tables of a fixed number of buckets, which bounds what
+All labelled training rows are counted in the final models, the fifth too. Counts end in tables of a fixed number of buckets, which bounds what
 is sent to the driver and broadcast; the calibration takes at most CALIBRATION rows."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from granary.llm import textvec as tv
 from granary.llm.shared import fold, ship, written
 
 #: Characters of an n-gram, discount, buckets of each table, chance evidence of an expression in nats, score
-#: from which a text is predicted toxic, most rows of the calibration sample, share of rows kept for it.
+#: from which a text is predicted toxic, most rows of the calibration sample, share of rows it is taken from.
 ORDER, DISCOUNT, BUCKETS, FLOOR, LEAST, CALIBRATION, APART = 5, 0.75, 1 << 20, 2.0, 0.7, 20_000, 5
 #: Words and expressions that a worker remembers; only speed depends on it.
 MOST_WORDS = 300_000
@@ -59,20 +61,24 @@ def character_grams(words: list[str], order: int = ORDER) -> dict[str, np.ndarra
     return {"gram": table[long, at], "context": table[long - 1, at - 1], "tail": table[long - 1, at], "tail_context": table[np.maximum(long - 2, 0), at - 1], "char": points[at], "word": word[at]}
 
 
+#: Counts by class: of rows outside the fifth kept apart, and within.
+_COUNTS = ("n0", "n1", "a0", "a1")
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    counts = tuple(Counter() for _ in _COUNTS)
 
     def taken() -> pa.RecordBatch:
-        words = list(set(counts[0]) | set(counts[1]))
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "n0", "n1"])
+        words = list(set().union(*counts))
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", *_COUNTS])
         for c in counts:
             c.clear()
         return out
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update(set(expressions(text or "")))
-            if len(counts[0]) + len(counts[1]) > MOST_WORDS:
+        for text, toxic, apart in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counts[toxic + 2 * apart].update(set(expressions(text or "")))
+            if sum(map(len, counts)) > MOST_WORDS:
                 yield taken()
     yield taken()
 
@@ -84,12 +90,12 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = character_grams(part.column(0).to_pylist())
             if not len(g["gram"]):
                 continue
-            n0, n1 = (part.column(i).to_numpy()[g["word"]] for i in (1, 2))
+            counts = [part.column(i + 1).to_numpy()[g["word"]] for i in range(len(_COUNTS))]
             unique, first, index = np.unique(g["gram"], return_index=True, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(unique.view(np.int64)), *(pa.array(g[k][first].view(np.int64)) for k in ("context", "tail", "tail_context", "char")),
-                 pa.array(np.bincount(index, n0).astype(np.int64)), pa.array(np.bincount(index, n1).astype(np.int64))],
-                names=["gram", "context", "tail", "tail_context", "char", "n0", "n1"],
+                 *(pa.array(np.bincount(index, n).astype(np.int64)) for n in counts)],
+                names=["gram", "context", "tail", "tail_context", "char", *_COUNTS],
             )
 
 
@@ -179,7 +185,7 @@ class _Reader:
         return np.column_stack([np.log(np.maximum(above, 0) / n + 0.003), np.log1p(np.maximum(above, 0)), plain / n])
 
 
-_readers: dict[int, _Reader] = {}
+_readers: dict[str, _Reader] = {}
 
 
 def _reader(shared) -> _Reader:
@@ -190,10 +196,10 @@ def _reader(shared) -> _Reader:
 
 
 class _Shared:
-    """A broadcast with a stable name, so that a worker keeps what it learned across tasks."""
+    """A broadcast with a name of its own, so that a worker keeps what it learned across tasks."""
 
-    def __init__(self, spark, model: ToxicModel, name: int):
-        self.broadcast, self.id = spark.sparkContext.broadcast(model), name
+    def __init__(self, spark, model: ToxicModel):
+        self.broadcast, self.id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @property
     def value(self) -> ToxicModel:
@@ -210,18 +216,8 @@ def _featured(shared):
     return run
 
 
-def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CALIBRATION) -> ToxicModel:
-    """Fits on columns text and toxic (0 or 1; other labels are passed over). One text counts once."""
-    spark = labelled.sparkSession
-    ship(spark)
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    rows = written(rows.withColumn("h", F.xxhash64("text")), "labelled")
-    counted = rows.filter(F.pmod("h", F.lit(APART)) != 0).select("text", "toxic")
-    words = counted.mapInArrow(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    grams = words.mapInArrow(_gram_counts, "gram long, context long, tail long, tail_context long, char long, n0 long, n1 long")
-    first = [F.first(k).alias(k) for k in ("context", "tail", "tail_context", "char")]
-    grams = written(grams.groupBy("gram").agg(*first, F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
-
+def _counted(grams: DataFrame, buckets: int) -> ToxicModel:
+    """The tables of grams and their counts n0 and n1."""
     model = ToxicModel(buckets)
     at = lambda k: F.col(k).bitwiseAND(F.lit(buckets - 1)).alias("at")
 
@@ -241,14 +237,36 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     model.tail_context[t["at"]], model.tail_types[t["at"]] = t["n"], t["types"]
     t = grams.groupBy(F.col("char").bitwiseAND(F.lit(4095)).alias("at")).agg(F.count(one).alias("n")).toPandas()
     model.char[t["at"]] = t["n"]
+    return model
 
-    shared = _Shared(spark, model, hash(spark.sparkContext.applicationId) ^ id(model))
+
+def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CALIBRATION) -> ToxicModel:
+    """Fits on columns text and toxic (0 or 1; other labels are passed over). One text counts once.
+
+    Expressions of the fifth kept apart are counted beside the others, in the same pass: the calibration sees
+    tables without them, the model returned has tables of all rows."""
+    spark = labelled.sparkSession
+    ship(spark)
+    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    rows = written(rows.withColumn("h", F.xxhash64("text")), "labelled")
+    marked = rows.select("text", "toxic", (F.pmod("h", F.lit(APART)) == 0).cast("int").alias("apart"))
+    sums = [F.sum(n).alias(n) for n in _COUNTS]
+    longs = ", ".join(f"{n} long" for n in _COUNTS)
+    words = marked.mapInArrow(_word_counts, f"word string, {longs}").groupBy("word").agg(*sums)
+    grams = words.mapInArrow(_gram_counts, f"gram long, context long, tail long, tail_context long, char long, {longs}")
+    first = [F.first(k).alias(k) for k in ("context", "tail", "tail_context", "char")]
+    grams = written(grams.groupBy("gram").agg(*first, *sums), "grams")
+
+    model = _counted(grams.filter("n0 + n1 > 0"), buckets)
+    shared = _Shared(spark, model)
     apart = rows.filter(F.pmod("h", F.lit(APART)) == 0)
     near = apart.select("h").orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
     if near is not None:
         f = apart.filter(F.col("h") <= near).select("text", "toxic").mapInArrow(_featured(shared), "a double, b double, c double, toxic int").limit(2 * calibration).toPandas()
         model.calibrate(f[["a", "b", "c"]].to_numpy(), f["toxic"].to_numpy())
-    return model
+    whole = _counted(grams.withColumns({"n0": F.col("n0") + F.col("a0"), "n1": F.col("n1") + F.col("a1")}), buckets)
+    whole.mean, whole.scale, whole.weights = model.mean, model.scale, model.weights
+    return whole
 
 
 def _judged(shared, least: float):
@@ -268,7 +286,7 @@ def judge(docs: DataFrame, model: ToxicModel, least: float = LEAST) -> DataFrame
     not both classes, every score is 0. Equal texts score alike; repeated rows and null doc_ids pass
     through; an empty table gives no rows. Only the text is an input."""
     ship(docs.sparkSession)
-    shared = _Shared(docs.sparkSession, model, hash(docs.sparkSession.sparkContext.applicationId) ^ (id(model) << 1))
+    shared = _Shared(docs.sparkSession, model)
     return docs.select("doc_id", "text").mapInArrow(_judged(shared, least), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 

@@ -381,6 +381,18 @@ def test_toxicity_edges(spark):
     assert len(got) == 9 and all(r["predicted"] == 0 for r in got if r["doc_id"] in (1, 5, 6))
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    from granary.llm.toxicity import expressions, learn, training_rows
+
+    d, labels, _ = toxic_table(spark, 300)
+    rows = training_rows(d, labels)
+    model = learn(rows)
+    assert model.weights is not None
+    for c in (0, 1):
+        grams = sum(len(x) + 1 for r in rows.filter(F.col("toxic") == c).collect() for x in set(expressions(r["text"])))
+        assert model.gram[c].sum() == model.context[c].sum() == grams > 0
+
+
 def test_kneser_ney_sums_to_one_over_seen_characters():
     from granary.llm.toxicity import character_grams
 
