@@ -9,8 +9,8 @@ without the part of each expression's evidence below FLOOR nats, which is chance
 calibration over these gives the score; it is fitted under models that didn't count its rows, those of the
 fifth kept apart.
 
-All labelled training rows are counted in the final models, the fifth too. Counts end in tables of a fixed number of buckets, which bounds what
-is sent to the driver and broadcast; the calibration takes at most CALIBRATION rows."""
+All labelled training rows are counted in the final models, the fifth too. Counts end in tables of a fixed
+number of buckets, which bounds what is sent to the driver and broadcast; the calibration takes at most CALIBRATION texts."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from granary.llm import textvec as tv
 from granary.llm.shared import fold, ship, written
 
 #: Characters of an n-gram, discount, buckets of each table, chance evidence of an expression in nats, score
-#: from which a text is predicted toxic, most rows of the calibration sample, share of rows it is taken from.
+#: from which a text is predicted toxic, most texts of the calibration sample, share of rows it is taken from.
 ORDER, DISCOUNT, BUCKETS, FLOOR, LEAST, CALIBRATION, APART = 5, 0.75, 1 << 20, 2.0, 0.7, 20_000, 5
 #: Words and expressions that a worker remembers; only speed depends on it.
 MOST_WORDS = 300_000
@@ -131,8 +131,9 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
 
     def calibrate(self, features: np.ndarray, toxic: np.ndarray) -> None:
-        """Ridge logistic regression by Newton steps; without rows of both classes there is no score but 0."""
-        if len(set(toxic.tolist())) < 2:
+        """Ridge logistic regression by Newton steps on the toxic share of each text; without rows of both
+        classes there is no score but 0."""
+        if not 0 < toxic.mean() < 1:
             return
         self.mean, self.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
         x = np.column_stack([(features - self.mean) / self.scale, np.ones(len(features))])
@@ -241,7 +242,10 @@ def _counted(grams: DataFrame, buckets: int) -> ToxicModel:
 
 
 def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CALIBRATION) -> ToxicModel:
-    """Fits on columns text and toxic (0 or 1; other labels are passed over). One text counts once.
+    """Fits on columns text and toxic (0 or 1; other labels are passed over).
+
+    In the counts every row is a document, copies too. In the calibration one text counts once, with the
+    toxic share of its copies; the sample is the ``calibration`` texts of the lowest hashes.
 
     Expressions of the fifth kept apart are counted beside the others, in the same pass: the calibration sees
     tables without them, the model returned has tables of all rows."""
@@ -260,9 +264,10 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     model = _counted(grams.filter("n0 + n1 > 0"), buckets)
     shared = _Shared(spark, model)
     apart = rows.filter(F.pmod("h", F.lit(APART)) == 0)
-    near = apart.select("h").orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
+    near = apart.select("h").distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
     if near is not None:
-        f = apart.filter(F.col("h") <= near).select("text", "toxic").mapInArrow(_featured(shared), "a double, b double, c double, toxic int").limit(2 * calibration).toPandas()
+        once = apart.filter(F.col("h") <= near).groupBy("text").agg(F.avg("toxic").alias("toxic"))
+        f = once.mapInArrow(_featured(shared), "a double, b double, c double, toxic double").toPandas().sort_values(["a", "b", "c", "toxic"])
         model.calibrate(f[["a", "b", "c"]].to_numpy(), f["toxic"].to_numpy())
     whole = _counted(grams.withColumns({"n0": F.col("n0") + F.col("a0"), "n1": F.col("n1") + F.col("a1")}), buckets)
     whole.mean, whole.scale, whole.weights = model.mean, model.scale, model.weights

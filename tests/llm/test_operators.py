@@ -393,6 +393,21 @@ def test_toxicity_counts_every_labelled_row(spark):
         assert model.gram[c].sum() == model.context[c].sum() == grams > 0
 
 
+def test_toxicity_calibration_takes_a_text_once(spark):
+    from granary.llm.toxicity import learn, training_rows
+
+    d, labels, _ = toxic_table(spark, 600)
+    rows = training_rows(d, labels)
+    names = spark.createDataFrame([(f"marta tenne {'kvot ' * (i % 3)}" + "sola " * (i // 3),) for i in range(3000)], "text string").withColumn("h", F.xxhash64("text"))
+    text = names.filter("pmod(h, 5) = 0").orderBy("h").first()["text"]  # among the lowest hashes of the fifth kept apart
+    copies = lambda n, toxic: spark.createDataFrame([(text, toxic)] * n, "text string, toxic int")
+    one = learn(rows.unionByName(copies(1, 1)), calibration=60)
+    many = learn(rows.unionByName(copies(400, 1)), calibration=60)
+    assert one.weights is not None and many.weights is not None and np.allclose(one.weights, many.weights)
+    both = [learn(rows.unionByName(copies(a, 1)).unionByName(copies(b, 0)), calibration=60).weights for a, b in ((1, 3), (100, 300))]
+    assert np.allclose(*both) and not np.allclose(both[0], one.weights)
+
+
 def test_kneser_ney_sums_to_one_over_seen_characters():
     from granary.llm.toxicity import character_grams
 
