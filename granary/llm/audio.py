@@ -3,8 +3,8 @@
 A recording is a binary column of WAV bytes. Its frames become energies of the twelve pitch classes; sixteen
 box filters over an integral image of frames by pitch classes, each quantised to two bits in Gray code, give
 one packed 32-bit integer per frame. Recordings that share integers are candidates: a histogram of the
-offsets between the shared places names the alignment, and the share of differing bits over the overlap
-accepts it.
+offsets between the shared places names the alignments to try, and the share of differing bits over the
+overlap accepts one.
 
 Recordings of one fingerprint are one class; only class representatives are searched, so copies cost one row
 of membership each."""
@@ -135,8 +135,9 @@ def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERR
     frames; matches has query_class, class_id, shift (place in the match minus place in the query) and
     bit_error for every two classes of which the first holds a query.
 
-    A match is the offset with the most shared integers (of equals the smallest), at least ``least_votes``,
-    that overlaps in ``least_overlap`` frames and differs in at most ``most_error`` of the bits. Repeated
+    Every offset with at least ``least_votes`` shared integers that overlaps in ``least_overlap`` frames is a
+    candidate, and one that differs in at most ``most_error`` of the bits is accepted; a match is the accepted
+    offset with the most shared integers (of equals the smallest). Repeated
     rows, ties and null ids fall into their class; empty prints match nothing; a class has no match with
     itself."""
     prints = written(prints.withColumn("h", F.xxhash64("print")), "prints")
@@ -147,17 +148,27 @@ def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERR
     asking = members.join(queries.select(F.col("id").alias("q")).distinct(), F.col("id") == F.col("q"), "left_semi").select("class_id").filter("class_id is not null").distinct()
     asking = written(asking, "asking")
 
-    placed = classes.select("class_id", "body", F.explode("heard").alias("at")).select("class_id", "at", F.get("body", F.col("at")).alias("word"))
-    asked = placed.join(asking, "class_id", "left_semi").select(F.col("class_id").alias("query_class"), F.col("at").alias("q_at"), "word")
-    votes = placed.join(asked, "word").filter("class_id <> query_class").groupBy("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query_class", "class_id").agg(F.max_by("shift", F.struct("votes", -F.col("shift"))).alias("shift"), F.max("votes").alias("votes")).filter(F.col("votes") >= least_votes)
-    pair = best.join(classes.select(F.col("class_id").alias("query_class"), F.col("body").alias("a")), "query_class").join(classes.select("class_id", F.col("body").alias("b")), "class_id")
-    start = F.greatest(F.lit(0), -F.col("shift"))
-    overlap = F.least(F.size("a"), F.size("b") - F.col("shift")) - start
-    pair = pair.withColumn("overlap", overlap).filter(F.col("overlap") >= least_overlap)
-    bits = F.zip_with(F.slice("a", start + 1, F.col("overlap")), F.slice("b", start + F.col("shift") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    error = F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (32.0 * F.col("overlap"))
-    matches = pair.select("query_class", "class_id", "shift", error.alias("bit_error")).filter(F.col("bit_error") <= most_error)
+    placed = classes.select("class_id", F.size("body").alias("frames"), "body", F.explode("heard").alias("at")).select("class_id", "frames", "at", F.get("body", F.col("at")).alias("word"))
+    asked = placed.join(asking, "class_id", "left_semi").select(F.col("class_id").alias("query_class"), F.col("frames").alias("q_frames"), F.col("at").alias("q_at"), "word")
+    votes = placed.join(asked, "word").filter("class_id <> query_class").groupBy("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"), F.max("q_frames").alias("q_frames"), F.max("frames").alias("frames"))
+
+    def span(shift, a, b):
+        start = F.greatest(F.lit(0), -shift)
+        return start, F.least(a, b - shift) - start
+
+    tried = votes.filter((F.col("votes") >= least_votes) & (span(F.col("shift"), F.col("q_frames"), F.col("frames"))[1] >= least_overlap))
+    tried = tried.groupBy("query_class", "class_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("last"), "shift"))).alias("offsets"))
+    pair = tried.join(classes.select(F.col("class_id").alias("query_class"), F.col("body").alias("a")), "query_class").join(classes.select("class_id", F.col("body").alias("b")), "class_id")
+
+    def error(shift):
+        start, overlap = span(shift, F.size("a"), F.size("b"))
+        bits = F.zip_with(F.slice("a", start + 1, overlap), F.slice("b", start + shift + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+        return F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (32.0 * overlap)
+
+    # offsets from the most votes down; the first accepted one stays
+    none = F.struct(F.lit(0).alias("shift"), F.lit(2.0).alias("bit_error"))
+    found = F.aggregate("offsets", none, lambda f, o: F.when(f["bit_error"] <= most_error, f).otherwise(F.struct(o["shift"].alias("shift"), error(o["shift"]).alias("bit_error"))))
+    matches = pair.select("query_class", "class_id", found.alias("found")).select("query_class", "class_id", "found.shift", "found.bit_error").filter(F.col("bit_error") <= most_error)
     return members, matches
 
 

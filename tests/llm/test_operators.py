@@ -545,6 +545,32 @@ def test_audio_alignment(spark):
     assert [x.count() for x in align(fingerprints(none), none.select("id"))] == [0, 0]
 
 
+def test_audio_tries_every_offset(spark):
+    from granary.llm.audio import align
+
+    rng = np.random.default_rng(15)
+    a = rng.integers(0, 1 << 32, 110, dtype=np.uint64).astype(np.uint32)
+
+    def noisy(intact, moved, shift):
+        b = a ^ np.array([sum(1 << int(k) for k in rng.choice(32, 3, replace=False)) for _ in a], np.uint32)
+        b[intact] = a[intact]
+        b[moved] = a[np.array(moved) - shift]
+        return b
+
+    bodies = {
+        0: a,
+        1: noisy(range(50, 55), range(10, 15), -70),  # as many votes at -70, where 40 frames overlap
+        2: noisy(range(50, 54), range(10, 16), -50),  # more votes at -50, where half of the bits differ
+        3: noisy(range(50, 54), range(4, 12), 0) ^ np.uint32(0xFFFF),  # votes are gone, nothing to accept
+    }
+    rows = [(i, b.view(np.int32).tolist(), list(range(110))) for i, b in bodies.items()]
+    prints = spark.createDataFrame(rows, "id long, print array<int>, heard array<int>")
+    got = {r["class_id"]: r for r in align(prints, prints.filter("id = 0").select("id"))[1].collect()}
+    assert {c: r["shift"] for c, r in got.items()} == {1: 0, 2: 0}
+    for c, r in got.items():
+        assert r["bit_error"] == pytest.approx(np.mean(np.unpackbits((bodies[c] ^ a).view(np.uint8)))) and r["bit_error"] < 0.12
+
+
 # shared
 
 
