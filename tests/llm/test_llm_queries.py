@@ -43,7 +43,7 @@ def test_stages(spark):
 def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline as p
 
-    from test_operators import odd
+    from test_llm_operators import odd
 
     odd(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() > 0
