@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import written
 
 #: Lines in a window, and from how many words on a single line is a window by itself.
 WINDOW, LONG_LINE = 3, 50
@@ -21,30 +22,35 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """doc_id, text_hash, pos, span, h1, h2: the windows of every document, those of blank lines left out."""
-    d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _lines(F.col("text")).alias("lines"))
+    """doc_id, text_hash, pos, span, h1, h2: the windows of every document, those of blank lines left out.
+
+    Windows are built inside the document's array of lines and leave it by one explode that carries the
+    document's key alone, so a document costs in proportion to its lines."""
     line_h = F.transform("lines", lambda x: F.struct(
         F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.length(F.trim(x)) > 0).alias("ink"),
         (F.when(F.length(x) >= 2 * long_line - 1, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(F.lit(0)) >= long_line).alias("long"),
     ))
+    d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _lines(F.col("text")).alias("lines"))
     d = d.select("doc_id", "text_hash", line_h.alias("l"))
-    lines = d.select("doc_id", "text_hash", F.posexplode("l").alias("pos", "one"), "l")
-    at = lambda k: F.try_element_at("l", F.col("pos") + F.lit(k + 1))
-    group = [at(k) for k in range(window)]
-    ink = group[0]["ink"]
-    for g in group[1:]:
-        ink = ink | g["ink"]
-    three = F.when(
-        (F.col("pos") + window <= F.size("l")) & ink,
-        F.struct(F.lit(window).alias("span"), F.xxhash64(*[g["a"] for g in group]).alias("h1"), F.xxhash64(F.lit(11), *[g["b"] for g in group]).alias("h2")),
-    )
-    single = F.when(F.col("one.long"), F.struct(F.lit(1).alias("span"), F.col("one.a").alias("h1"), F.col("one.b").alias("h2")))
-    return lines.select("doc_id", "text_hash", "pos", F.explode(F.array_compact(F.array(three, single))).alias("w")).select("doc_id", "text_hash", "pos", "w.span", "w.h1", "w.h2")
+
+    def three(i: Column) -> Column:
+        group = [F.get("l", i + k) for k in range(window)]
+        ink = group[0]["ink"]
+        for g in group[1:]:
+            ink = ink | g["ink"]
+        hashed = F.struct(i.alias("pos"), F.lit(window).alias("span"), F.xxhash64(*[g["a"] for g in group]).alias("h1"), F.xxhash64(F.lit(11), *[g["b"] for g in group]).alias("h2"))
+        return F.when(ink, hashed)
+
+    starts = F.when(F.size("l") >= window, F.sequence(F.lit(0), F.size("l") - window)).otherwise(F.array().cast("array<int>"))
+    single = F.transform("l", lambda x, i: F.when(x["long"], F.struct(i.alias("pos"), F.lit(1).alias("span"), x["a"].alias("h1"), x["b"].alias("h2"))))
+    # exploded as an expression: behind a named column a filter would compute the windows a second time
+    return d.select("doc_id", "text_hash", F.explode(F.array_compact(F.concat(F.transform(starts, three), single))).alias("w")).select("doc_id", "text_hash", "w.pos", "w.span", "w.h1", "w.h2")
 
 
 def covered(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
-    """doc_id, text_hash, gone (sorted distinct line positions to remove)."""
-    w = windows(docs, window, long_line)
+    """doc_id, text_hash, gone (sorted distinct line positions to remove). Windows are written once, as keys and
+    positions; both the search for repeats and the way back to their places read them."""
+    w = written(windows(docs, window, long_line), "windows")
     first = F.min(F.struct(F.col("doc_id"), F.col("text_hash"), F.col("pos")))
     again = w.groupBy("h1", "h2", "span").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hits = w.join(again, ["h1", "h2", "span"])
@@ -70,9 +76,10 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LIN
     runs = F.transform("gone", lambda p, i: F.concat(
         F.array_repeat(F.lit(True), p - F.when(i > 0, F.element_at("gone", F.greatest(i, F.lit(1)))).otherwise(F.lit(-1)) - 1), F.array(F.lit(False))
     ))
-    j = j.withColumn("stays", F.flatten(runs))
+    # lines and marks side by side; a mark looked up inside the filter would be built again for every line
+    marked = F.arrays_zip(lines.alias("line"), F.flatten(runs).alias("stays"))
     clean = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("stays", i), F.lit(True))), "\n")
+        F.array_join(F.transform(F.filter(marked, lambda x: F.coalesce(x["stays"], F.lit(True))), lambda x: x["line"]), "\n")
     )
     return j.select("row", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"), clean.alias("clean"))
 
