@@ -4,8 +4,10 @@ Packing needs no shuffle: each task tokenises its rows, cuts off whole windows o
 gathers the remaining pieces until they fill about GROUP windows. One group is then partitioned into
 k = ceil(total / capacity) windows: each piece starts as a partial partition, and the two partitions with
 the widest spread are merged, fullest window onto emptiest, until one is left. Where a window exceeds the
-capacity, k rises by one and the group is partitioned again. Memory is bounded by one group and one slice of
-texts; a lost task repeats with the same rows and so the same sequence ids."""
+capacity, k rises by one and the group is partitioned again. Where k would rise past the padding bound (pieces
+just over half a window can't share one), the pieces are cut in halves first. Memory is bounded by one group
+and one slice of texts. A lost task repeats with the rows it reads: sequence ids are the same where these come
+in the same order, as they do from files."""
 
 from __future__ import annotations
 
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from granary.llm import textvec as tv
 
-#: Tokens of a sequence, id that ends a document, windows of a group.
-CAPACITY, END_ID, GROUP = 4096, 2, 128
+#: Tokens of a sequence, id that ends a document, windows of a group, and most padding of a group (share of its
+#: tokens, beyond the last window's) before pieces are cut.
+CAPACITY, END_ID, GROUP, PADDING = 4096, 2, 128, 0.04
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -68,41 +71,63 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+def windows(sizes: list[int], capacity: int = CAPACITY, most: int | None = None) -> list[list[int]] | None:
     """Indices of ``sizes`` (each at most ``capacity``) in windows within capacity, as few as differencing
-    finds by raising the count from the least possible one."""
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
+    finds by raising the count from the least possible one; None beyond ``most`` windows. No two pieces over
+    half the capacity share a window, so there are as many windows as such pieces at least."""
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+    while most is None or k <= most:
         found = difference(sizes, k)
         if all(sum(sizes[i] for i in w) <= capacity for w in found):
             return [w for w in found if w]
         k += 1
+    return None
+
+
+def filled(sizes: list[int], capacity: int = CAPACITY, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
+    """Windows of (index, start, length) that hold all of ``sizes``, cut where whole pieces would pad more than
+    ``padding`` of all tokens: into parts of half the capacity at most, of a quarter, and so on."""
+    total = sum(sizes)
+    most = max(1, -(-total // capacity), int(total * (1 + padding) / capacity))
+    longest = capacity
+    while True:
+        parts = []
+        for i, s in enumerate(sizes):
+            edges = [j * s // -(-s // longest) for j in range(-(-s // longest) + 1)]
+            parts += [(i, a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found = windows([n for _, _, n in parts], capacity, most)
+        if found is not None:
+            return [[parts[j] for j in w] for w in found]
+        longest = max(1, longest // 2)
 
 
 class _Packer:
-    def __init__(self, task: int, capacity: int, group: int):
-        self.next, self.capacity, self.most = task << 33, capacity, group * capacity
+    def __init__(self, task: int, capacity: int, group: int, padding: float, with_ids: bool):
+        self.next, self.capacity, self.most, self.padding, self.with_ids = task << 33, capacity, group * capacity, padding, with_ids
         self.waiting: list[tuple] = []
         self.total = 0
         self.rows: list[tuple] = []
 
-    def add(self, doc_id, start: int, crc: int, length: int, doc_tokens: int, ids) -> None:
-        if length == self.capacity:
-            self.rows.append((doc_id, start, length, crc, doc_tokens, self.next, 0, ids))
+    def _row(self, doc_id, start: int, ids: np.ndarray, doc_tokens: int, offset: int) -> None:
+        self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), doc_tokens, self.next, offset, ids if self.with_ids else None))
+
+    def add(self, doc_id, start: int, ids: np.ndarray, doc_tokens: int) -> None:
+        if len(ids) == self.capacity:
+            self._row(doc_id, start, ids, doc_tokens, 0)
             self.next += 1
             return
-        self.waiting.append((doc_id, start, length, crc, doc_tokens, ids))
-        self.total += length
+        self.waiting.append((doc_id, start, ids, doc_tokens))
+        self.total += len(ids)
         if self.total >= self.most:
             self.flush()
 
     def flush(self) -> None:
-        for window in windows([p[2] for p in self.waiting], self.capacity) if self.waiting else ():
+        for window in filled([len(p[2]) for p in self.waiting], self.capacity, self.padding) if self.waiting else ():
             offset = 0
-            for i in window:
-                *head, ids = self.waiting[i]
-                self.rows.append((*head, self.next, offset, ids))
-                offset += head[2]
+            for i, at, n in window:
+                doc_id, start, ids, doc_tokens = self.waiting[i]
+                self._row(doc_id, start + at, ids[at : at + n], doc_tokens, offset)
+                offset += n
             self.next += 1
         self.waiting, self.total = [], 0
 
@@ -112,7 +137,7 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)], schema=schema)
 
 
-def _packed(path: str, end_id: int, capacity: int, group: int, with_ids: bool):
+def _packed(path: str, end_id: int, capacity: int, group: int, padding: float, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from granary.llm.wordpiece import word_tokenizer
 
@@ -120,7 +145,7 @@ def _packed(path: str, end_id: int, capacity: int, group: int, with_ids: bool):
         for batch in batches:
             if packer is None:
                 context = TaskContext.get()
-                packer = _Packer(context.partitionId() if context else 0, capacity, group)
+                packer = _Packer(context.partitionId() if context else 0, capacity, group, padding, with_ids)
                 names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 schema = pa.schema([("doc_id", batch.column(0).type), *((n, pa.int64()) for n in names), *[("ids", pa.list_(pa.int32()))] * with_ids])
             for part in tv.slices(batch, "text"):
@@ -130,8 +155,7 @@ def _packed(path: str, end_id: int, capacity: int, group: int, with_ids: bool):
                 for i, doc_id in enumerate(part.column(0).to_pylist()):
                     own = np.concatenate([wide[bounds[i] : bounds[i + 1]], tail])
                     for start in range(0, len(own), capacity):
-                        piece = own[start : start + capacity]
-                        packer.add(doc_id, start, zlib.crc32(piece.tobytes()), len(piece), len(own), piece.tolist() if with_ids else None)
+                        packer.add(doc_id, start, own[start : start + capacity], len(own))
                 if len(packer.rows) >= 2000:
                     yield packer.taken(schema)
         if packer is not None:
@@ -141,12 +165,12 @@ def _packed(path: str, end_id: int, capacity: int, group: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, capacity: int = CAPACITY, group: int = GROUP, padding: float = PADDING, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document is its token ids, then ``end_id``; null and empty texts are the end id alone. Documents are
-    cut at multiples of ``capacity``; every id lies in one piece, pieces fill a sequence without gaps from
-    offset 0. Repeated rows are packed once each, and a null doc_id stays null. Sequence ids hold the task's
+    cut at multiples of ``capacity``, and further where a group would pad more than ``padding``; every id lies
+    in one piece, pieces fill a sequence without gaps from offset 0. Repeated rows are packed once each, and a null doc_id stays null. Sequence ids hold the task's
     number in the upper bits. An empty table gives no rows; other columns are ignored."""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(_packed(tokenizer, end_id, capacity, group, with_ids), schema + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(_packed(tokenizer, end_id, capacity, group, padding, with_ids), schema + ", ids array<int>" * with_ids)

@@ -13,8 +13,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 GOLDEN = U(0x9E3779B97F4A7C15)
 
 SPACE = np.zeros(256, bool)
@@ -22,19 +20,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand and kept for the worker's life."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser; the argument is left as it is."""
@@ -91,15 +76,46 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span stands."""
-    if len(starts) == 0:
+def span_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each span as 64-bit blocks, the last one filled up with zeros, and n+1 offsets of each
+    span's blocks. Spans of equal length are equal if their blocks are."""
+    edge = np.concatenate([[0], np.cumsum((ends - starts + 7) >> 3)])
+    sizes = np.diff(edge)
+    at = np.repeat(starts - 8 * edge[:-1], sizes) + 8 * np.arange(edge[-1])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))[at]
+    rest = np.repeat(ends, sizes) - at
+    short = np.flatnonzero(rest < 8)
+    blocks[short] &= (U(1) << (U(8) * rest[short].astype(U))) - U(1)
+    return blocks, edge
+
+
+def block_hashes(blocks: np.ndarray, edge: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: every block is mixed with its place before the blocks are added up, so that
+    no arithmetic relation between texts carries over."""
+    if len(lengths) == 0:
         return np.empty(0, U)
-    up, down = _powers_to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(U) * GOLDEN)
+    place = np.arange(edge[-1]) - np.repeat(edge[:-1], np.diff(edge))
+    mixed = mix(mix(blocks) + (place + 1).astype(U) * GOLDEN)
+    return mix(np.add.reduceat(mixed, edge[:-1]) + lengths.astype(U) * GOLDEN)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (none of them empty), the same wherever the span stands."""
+    blocks, edge = span_blocks(data, starts, ends)
+    return block_hashes(blocks, edge, ends - starts)
+
+
+def equal_blocks(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the runs of ``sizes`` blocks that start at ``a_start`` in a are those at ``b_start`` in b."""
+    same = a[a_start] == b[b_start]
+    more = np.flatnonzero(sizes > 1)
+    if len(more):
+        n = sizes[more]
+        edge = np.concatenate([[0], np.cumsum(n)[:-1]])
+        step = np.arange(n.sum()) - np.repeat(edge, n)
+        same[more] = np.logical_and.reduceat(a[np.repeat(a_start[more], n) + step] == b[np.repeat(b_start[more], n) + step], edge)
+    return same
 
 
 def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -46,8 +46,9 @@ class WordTokenizer:
     def forget(self) -> None:
         self.known = np.empty(0, np.uint64)
         self.slot = np.empty(0, np.int64)
-        self.flat = np.empty(0, np.uint16)
+        self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
+        self.blocks, self.block_start, self.length = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def _run(self, run: str) -> list[int]:
         got = self.runs.get(run)
@@ -74,29 +75,56 @@ class WordTokenizer:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         ids = [self.word(w) for w in words]
         base = len(self.start) - 1
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint16)])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
         at = np.searchsorted(self.known, hashes)
         self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, base + np.arange(len(hashes)))
 
+    def _keep_bytes(self, blocks: np.ndarray, edge: np.ndarray, lengths: np.ndarray, new: np.ndarray) -> None:
+        n = edge[new + 1] - edge[new]
+        ends = np.cumsum(n)
+        self.blocks = np.concatenate([self.blocks, blocks[np.repeat(edge[new] - ends + n, n) + np.arange(ends[-1])]])
+        self.block_start = np.concatenate([self.block_start, self.block_start[-1] + ends])
+        self.length = np.concatenate([self.length, lengths[new]])
+
+    def _one_by_one(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without hashes, for a slice in which two words share one."""
+        body = data.tobytes()
+        self.special = any(s.encode() in body for s in self.specials)
+        ids = [self.word(body[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])[bounds]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in order and n+1 offsets of each text's ids; null counts as empty."""
+        """Ids of all texts in order and n+1 offsets of each text's ids; null counts as empty.
+
+        A hash only proposes: the bytes of every word are compared with those of the word it stands for."""
         data, offsets = tv.raw(column)
         starts, ends, bounds = tv.word_bounds(data, offsets)
-        hashes = tv.span_hashes(data, starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        lengths = ends - starts
+        blocks, edge = tv.span_blocks(data, starts, ends)
+        unique, first, inverse = np.unique(tv.block_hashes(blocks, edge, lengths), return_index=True, return_inverse=True)
+        if not len(unique):
+            return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
+        stands = first[inverse]
+        if not ((lengths == lengths[stands]).all() and tv.equal_blocks(blocks, edge[:-1], blocks, edge[stands], np.diff(edge)).all()):
+            return self._one_by_one(data, starts, ends, bounds)
         if len(self.known) + len(unique) > MOST_WORDS:
             self.forget()
         at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
+        old = np.zeros(len(unique), bool)
         near = at < len(self.known)
-        new[near] = self.known[at[near]] != unique[near]
-        if new.any():
+        old[near] = self.known[at[near]] == unique[near]
+        slot, own = self.slot[at[old]], first[old]
+        if not ((self.length[slot] == lengths[own]).all() and (not len(own) or tv.equal_blocks(blocks, edge[own], self.blocks, self.block_start[slot], edge[own + 1] - edge[own]).all())):
+            return self._one_by_one(data, starts, ends, bounds)
+        if not old.all():
+            new = first[~old]
             body = data.tobytes()
             self.special = any(s.encode() in body for s in self.specials)
-            self._learn(unique[new], [body[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._learn(unique[~old], [body[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._keep_bytes(blocks, edge, lengths, new)
             at = np.searchsorted(self.known, unique)
-        slot = self.slot[at][inverse] if len(unique) else np.empty(0, np.int64)
+        slot = self.slot[at][inverse]
         begin, sizes = self.start[slot], self.start[slot + 1] - self.start[slot]
         ends_out = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(begin - ends_out[:-1], sizes) + np.arange(ends_out[-1])]
