@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from granary.llm import textvec as tv
 
-#: Tokens of a sequence, id that ends a document, windows of a group, and most padding of a group (share of its
-#: tokens, beyond the last window's) before pieces are cut.
-CAPACITY, END_ID, GROUP, PADDING = 4096, 2, 128, 0.04
+#: Tokens of a sequence, id that ends a document, windows of a group, most padding of a group (share of its
+#: tokens, beyond the last window's) before pieces are cut, and the length they aren't cut below.
+CAPACITY, END_ID, GROUP, PADDING, SHORTEST = 4096, 2, 128, 0.04, 64
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -86,7 +86,8 @@ def windows(sizes: list[int], capacity: int = CAPACITY, most: int | None = None)
 
 def filled(sizes: list[int], capacity: int = CAPACITY, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
     """Windows of (index, start, length) that hold all of ``sizes``, cut where whole pieces would pad more than
-    ``padding`` of all tokens: into parts of half the capacity at most, of a quarter, and so on."""
+    ``padding`` of all tokens: into parts of half the capacity at most, of a quarter, and so on down to SHORTEST
+    tokens; a group that even these don't fill that well stays whole."""
     total = sum(sizes)
     most = max(1, -(-total // capacity), int(total * (1 + padding) / capacity))
     longest = capacity
@@ -98,7 +99,9 @@ def filled(sizes: list[int], capacity: int = CAPACITY, padding: float = PADDING)
         found = windows([n for _, _, n in parts], capacity, most)
         if found is not None:
             return [[parts[j] for j in w] for w in found]
-        longest = max(1, longest // 2)
+        longest //= 2
+        if longest < SHORTEST:
+            return [[(i, 0, sizes[i]) for i in w] for w in windows(sizes, capacity)]
 
 
 class _Packer:
