@@ -26,8 +26,8 @@ from granary.llm.shared import ship, written
 #: highest pitch heard in Hz; most share of differing bits; least frames of overlap, least shared integers.
 FRAME, STEP, RATE, SPAN, LOW, HIGH, MOST_ERROR, LEAST_OVERLAP, LEAST_VOTES = 512, 128, 4000, 16, 180.0, 1500.0, 0.12, 48, 3
 
-#: Recordings in a batch.
-BATCH = 32
+#: Pairs of places that one task pairs up for a word that many recordings share.
+PAIRS = 4_000_000
 
 #: Of each filter: kind, first pitch class, height in pitch classes, width in frames. Kinds compare halves of
 #: the box: 0 none (energy against its surroundings), 1 upper and lower, 2 left and right, 3 the diagonals.
@@ -116,21 +116,13 @@ def fingerprints(recordings: DataFrame, key: str = "id", audio: str = "audio") -
     """id, print (packed integers), heard (places that aren't silence). Null, empty or unreadable audio, and
     recordings shorter than the widest filter, have an empty print.
 
-    Recordings are large, so batches of BATCH rows meet Python; for that the pass runs here and now, and its
-    result is a table in the shared folder."""
-    spark = recordings.sparkSession
-    ship(spark)
+    Recordings are large; Spark cuts the batches that meet Python by bytes."""
+    ship(recordings.sparkSession)
     d = recordings.select(F.col(key).cast("long").alias("id"), F.col(audio).alias("audio"))
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(name)
-    spark.conf.set(name, BATCH)
-    try:
-        return written(d.mapInArrow(_printed, "id long, print array<int>, heard array<int>"), "prints")
-    finally:
-        spark.conf.set(name, own)
+    return d.mapInArrow(_printed, "id long, print array<int>, heard array<int>")
 
 
-def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERROR, least_overlap: int = LEAST_OVERLAP, least_votes: int = LEAST_VOTES) -> tuple[DataFrame, DataFrame]:
+def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERROR, least_overlap: int = LEAST_OVERLAP, least_votes: int = LEAST_VOTES, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
     """(members, matches): members has id, class_id (smallest id of the same print, null if empty) and
     frames; matches has query_class, class_id, shift (place in the match minus place in the query) and
     bit_error for every two classes of which the first holds a query.
@@ -148,9 +140,16 @@ def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERR
     asking = members.join(queries.select(F.col("id").alias("q")).distinct(), F.col("id") == F.col("q"), "left_semi").select("class_id").filter("class_id is not null").distinct()
     asking = written(asking, "asking")
 
-    placed = classes.select("class_id", F.size("body").alias("frames"), "body", F.explode("heard").alias("at")).select("class_id", "frames", "at", F.get("body", F.col("at")).alias("word"))
+    word = F.explode(F.transform("heard", lambda at: F.struct(at.alias("at"), F.get("body", at).alias("word")))).alias("w")
+    placed = classes.select("class_id", F.size("body").alias("frames"), word).select("class_id", "frames", "w.at", "w.word")
     asked = placed.join(asking, "class_id", "left_semi").select(F.col("class_id").alias("query_class"), F.col("frames").alias("q_frames"), F.col("at").alias("q_at"), "word")
-    votes = placed.join(asked, "word").filter("class_id <> query_class").groupBy("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"), F.max("q_frames").alias("q_frames"), F.max("frames").alias("frames"))
+    # a word that many hold is dealt: its places over lots, its asking places to every lot
+    held = placed.groupBy("word").agg(F.count(F.lit(1)).alias("holders")).join(asked.groupBy("word").agg(F.count(F.lit(1)).alias("askers")), "word")
+    hot = held.select("word", F.least("holders", F.ceil(F.col("holders") * F.col("askers") / pairs)).cast("int").alias("lots")).filter("lots > 1")
+    dealt = lambda df: df.join(hot, "word", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
+    placed = dealt(placed).withColumn("lot", F.pmod(F.xxhash64("class_id", "at"), F.col("lots")).cast("int")).drop("lots")
+    asked = dealt(asked).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    votes = placed.join(asked, ["word", "lot"]).filter("class_id <> query_class").groupBy("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"), F.max("q_frames").alias("q_frames"), F.max("frames").alias("frames"))
 
     def span(shift, a, b):
         start = F.greatest(F.lit(0), -shift)
