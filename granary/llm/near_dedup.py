@@ -6,8 +6,8 @@
 3. Nodes that share a band key are candidates. In every bucket all members are first compared with a hub,
    which unites most of a group of near copies by as many pairs as it has members. Pairs of a bucket that no
    group holds after that involve a member outside the bucket's largest group; such members wait for that
-   group and are compared, in blocks, with all of it and with each other. So pairs within a group are never
-   listed, and no candidate that banding proposes is dropped.
+   group and are compared, in blocks, with its members in such buckets and with each other. So pairs within a
+   group are never listed, and no candidate that banding proposes is dropped.
 4. A candidate counts only if the full sets pass the threshold; union-find joins what passed.
 """
 
@@ -172,15 +172,8 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, node (16-byte digest of the set, null if empty), component_id, kept.
-
-    component_id is the smallest doc_id reachable over links; kept is doc_id = component_id. Words are
-    runs without ASCII white space, A-Z lower-cased; a text of fewer than ``words`` words has its whole
-    sequence as its one shingle. Null and empty texts have the empty set, are linked with nothing and form
-    their own component. Repeated rows stay and share their component. A null doc_id stays a row; its
-    component is the smallest doc_id of its group, or null, and it is kept only in the latter case. An
-    empty table gives no rows. Other columns are ignored."""
+def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node, root (of the node's group, null with it), first (smallest doc_id of the group)."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, node binary, bands array<long>"
     signed = written(docs.mapInArrow(_signed(words, bands, rows), schema), "signed")
@@ -193,7 +186,7 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     source = source.select(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash")).distinct()
     texts = docs.join(source, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").select("doc_id", "text")
     sets = written(texts.mapInArrow(_sets(words), "node binary, grams array<long>").filter("node is not null"), "sets")
-    if _repeats(docs):
+    if not docs.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
 
     hubs = member.select("key", F.col("node").alias("v"), F.col("n").alias("nv")).join(member.select("key", F.col("hub").alias("v")).distinct(), ["key", "v"])
@@ -205,10 +198,8 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     rest = member.filter("node <> hub").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     share = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = share.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    waits = written(rest.join(main, "key").filter("root <> main").select("main", "node", "n").distinct(), "waits")
-    inside = member.select("node", "n").distinct().join(roots, "node", "left").withColumn("main", F.coalesce("root", "node"))
-    inside = inside.join(waits.select("main").distinct(), "main", "left_semi").select("main", "node", "n", F.lit(True).alias("inside"))
-    cluster = inside.unionByName(waits.withColumn("inside", F.lit(False)))
+    open_ = written(rest.join(main, "key").select("main", "node", "n", (F.col("root") == F.col("main")).alias("inside")).distinct(), "waits")
+    cluster, waits = open_, open_.filter("not inside").drop("inside")
     cuts = cluster.groupBy("main").agg(F.sum("n").alias("a")).join(waits.groupBy("main").agg(F.sum("n").alias("b")), "main")
     cuts = cuts.select("main", F.ceil(F.col("a") / BLOCK).cast("int").alias("segments"), F.ceil(F.col("b") / BLOCK).cast("int").alias("blocks"))
     lot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -223,22 +214,35 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
         roots = components(edges.union(more))
 
     named = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least, "root").select("node", "component")
-    out = signed.drop("bands", "text_hash").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    named = named.drop("first").join(least, "root")
+    return signed.drop("bands").join(named, "node", "left")
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id occurs twice, which could bring a set twice."""
-    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+def near_groups(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, node (16-byte digest of the set, null if empty), component_id, kept.
+
+    component_id is the smallest doc_id reachable over links; kept is doc_id = component_id. Words are
+    runs without ASCII white space, A-Z lower-cased; a text of fewer than ``words`` words has its whole
+    sequence as its one shingle. Null and empty texts have the empty set, are linked with nothing and form
+    their own component. Repeated rows stay and share their component. A null doc_id stays a row; its
+    component is the smallest doc_id of its group, or null, and it is kept only in the latter case. An
+    empty table gives no rows. Other columns are ignored."""
+    out = _grouped(docs, words, percent, bands, rows)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+    return out.select("doc_id", "n_shingles", "node", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that with the smallest doc_id; repeated rows of
-    it count once, rows without words all stay once per doc_id."""
-    keep = near_groups(docs, **kw).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select("doc_id", F.struct("*").alias("row"))
-    out = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return (out.groupBy("doc_id").agg(F.min("row").alias("row")) if _repeats(docs) else out).select("row.*")
+def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that with the smallest doc_id (a null one last), of
+    several under that doc_id the one with the smallest text hash. Rows equal in doc_id and text count as one
+    row, which of them stays is open; rows without words are in no group and stay."""
+    out = written(_grouped(docs, words, percent, bands, rows).select("doc_id", "text_hash", "root"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")
+    keep = out.filter("root is not null").groupBy("root").agg(first).select("at.doc_id", "at.text_hash").unionByName(out.filter("root is null").select("doc_id", "text_hash").distinct())
+    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows_ = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.struct("*").alias("row"))
+    kept = rows_.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_hash")), "left_semi")
+    if not out.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "h"])
+    return kept.select("row.*")
