@@ -1,10 +1,14 @@
 """LM scoring: word bigrams, unigrams and a uniform floor mixed by deleted interpolation.
 
-Counts cover all training documents and are never held in one place. Documents are dealt into chunks. A
-chunk asks for the counts of its distinct n-grams: sorted 64-bit keys, cut by key range into parts, together
-with its own training counts of them. The owner of a part adds these up over all chunks and answers each
-chunk in the order in which it asked, so an answer is a bare row of counts. A chunk then scores its own
-texts. Memory is one chunk or one part; a frequent word costs one key per chunk.
+Counts cover all training documents and are never held in one place. Each task cuts its texts into chunks,
+rows of word numbers with the chunk's distinct words, written once; texts aren't shuffled. A chunk asks for
+the counts of its distinct n-grams: sorted 64-bit keys, cut by key range into parts, together with its own
+training counts of them. The owner of a part adds these up over all chunks and answers each chunk in the
+order in which it asked, so an answer is a bare row of counts. Where there are more than GROUP chunks, an
+owner serves GROUP of them and asks the next level in its turn, its range cut again: every chunk or owner
+sends and gets GROUP parts at most, so rows and bytes grow in proportion to the text (times the levels, the
+logarithm of the number of chunks to base GROUP). Memory is one chunk or one part; a frequent word costs one
+key per chunk.
 
 The weights depend on how often the context was seen (a bucket per power of two) and are learned by
 expectation-maximisation on a tenth of the training documents, each scored with its own counts deleted. The
@@ -12,101 +16,181 @@ counts behind that come to the driver as a histogram whose number of cells is fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from granary.llm import textvec as tv
 from granary.llm.shared import fold, parts_for, ship, written
 
-#: Bytes of text in a chunk, keys in a part, folds, EM rounds, context buckets, half-octaves of a probability.
-CHUNK, PART, FOLDS, ROUNDS, BUCKETS, LEVELS = 5_000_000, 1_500_000, 10, 60, 40, 80
+#: Bytes of text in a chunk, keys in a part, chunks that one owner serves, folds, EM rounds, context buckets,
+#: half-octaves of a probability.
+CHUNK, PART, GROUP, FOLDS, ROUNDS, BUCKETS, LEVELS = 5_000_000, 1_500_000, 1024, 10, 60, 40, 80
 
 _U = np.uint64
 _EVEN = ~_U(1)
 _END = tv.mix(np.array([0xE0D], _U))[0] & _EVEN
 _START = tv.mix(np.array([0x57A7], _U))[0] & _EVEN
 
+ASKED = "part long, child long, keys binary, own binary"
+ANSWERED = "part long, child long, counts binary, types long"
 
-class _Chunk:
-    """Tokens of a chunk's documents and its distinct keys; unigram keys are even, bigram keys odd."""
-
-    def __init__(self, table: pa.Table):
-        table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
-        self.ids, self.fold = table.column("doc_id"), table.column("fold").to_numpy()
-        words, bounds = [], [np.zeros(1, np.int64)]
-        for batch in table.select(["text"]).to_batches():
-            for part in tv.slices(batch, "text"):
-                w, b = tv.folded_words(part.column(0))
-                words.append(w)
-                bounds.append(b[1:] + bounds[-1][-1])
-        bounds = np.concatenate(bounds)
-        tokens = np.insert(np.concatenate(words) & _EVEN if words else np.empty(0, _U), bounds[1:], _END)
-        self.at = bounds + np.arange(len(bounds))
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[self.at[:-1]] = _START
-        keys = np.concatenate([tokens, tv.chained(before, tokens) | _U(1), np.array([_START], _U)])
-        self.keys, index = np.unique(keys, return_inverse=True)
-        n = len(tokens)
-        self.uni, self.bi, self.start = index[:n], index[n : 2 * n], index[2 * n]
-        self.context = np.empty(n, index.dtype)
-        self.context[1:] = self.uni[:-1]
-        self.context[self.at[:-1]] = self.start
-        self.sizes = np.diff(self.at)
 
-    def trained(self) -> np.ndarray:
-        learn = np.repeat(self.fold != 0, self.sizes)
-        own = np.bincount(np.concatenate([self.uni[learn], self.bi[learn]]), minlength=len(self.keys))
-        own[self.start] = int((self.fold != 0).sum())
-        return own.astype("<u4")
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, which compression shrinks."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _pressed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, which shuffle compression shrinks."""
-    return np.ascontiguousarray(np.diff(keys, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=_U(0)))
 
 
 def _unpressed(body: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
+    return np.cumsum(_unplanes(body), dtype=_U)
+
+
+def _chunked(chunk_bytes: int):
+    """A row per chunk: its number (odd if its documents teach the weights), ids, which are held out, tokens of
+    each, training tokens, distinct words and the number of each token's word among them."""
+
+    def row(number: int, part: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        words, bounds = tv.folded_words(part.column(1))
+        tokens = np.insert(words & _EVEN, bounds[1:], _END)
+        sizes = np.diff(bounds) + 1
+        held = part.column(2).to_numpy() == 0
+        keys, index = np.unique(np.concatenate([tokens, np.array([_START], _U)]), return_inverse=True)
+        ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+        values = [[number], ids, [held.tobytes()], [sizes.astype("<u4").tobytes()], [int(sizes[~held].sum())], [_pressed(keys)], [index[:-1].astype("<u4").tobytes()]]
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 22
+        for batch in batches:
+            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.binary()), ("sizes", pa.binary()), ("trained", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary())])
+            for part in tv.slices(batch, "text", chunk_bytes):
+                teaches = part.column(2).to_numpy() == 1
+                for odd, which in enumerate((~teaches, teaches)):
+                    if which.any():
+                        yield row(number + odd, part.filter(pa.array(which)), schema)
+                number += 2
+
+    return run
+
+
+class _Chunk:
+    """Tokens of a chunk's documents and its distinct keys, sorted; unigram keys are even, bigram keys odd."""
+
+    def __init__(self, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
+        self.held = np.frombuffer(held, bool)
+        self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        words, uni = _unpressed(words), np.frombuffer(tokens, "<u4").astype(np.int64)
+        self.start = int(np.searchsorted(words, _START))
+        self.context = np.empty_like(uni)
+        self.context[1:] = uni[:-1]
+        self.context[self.at[:-1]] = self.start
+        pairs, bi = np.unique(self.context * len(words) + uni, return_inverse=True)
+        keys = np.concatenate([words, tv.chained(words[pairs // len(words)], words[pairs % len(words)]) | _U(1)])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.keys, self.uni, self.bi = keys[order], place[uni], place[len(words) + bi]
+        self.context, self.start = place[self.context], place[self.start]
+
+    def trained(self) -> np.ndarray:
+        learn = np.repeat(~self.held, self.sizes)
+        own = np.bincount(np.concatenate([self.uni[learn], self.bi[learn]]), minlength=len(self.keys))
+        own[self.start] = int((~self.held).sum())
+        return own
+
+
+def _cut(keys: np.ndarray, own: np.ndarray, parts: int, child: int) -> pa.RecordBatch:
+    """Sorted keys and their counts as a row per part that holds some."""
+    part, first = np.unique(((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64), return_index=True)
+    ends = [*first[1:].tolist(), len(keys)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part), pa.array([child] * len(part), pa.int64()), pa.array([_pressed(keys[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([_planes(own[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())],
+        names=["part", "child", "keys", "own"],
+    )
 
 
 def _asked(parts: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table)
-        own = chunk.trained()
-        part = ((chunk.keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        rows = [(p, int(cut[p]), int(cut[p + 1])) for p in range(parts) if cut[p + 1] > cut[p]]
-        return pa.table({
-            "part": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-            "keys": pa.array([_pressed(chunk.keys[a:b]) for _, a, b in rows], pa.binary()), "own": pa.array([own[a:b].tobytes() for _, a, b in rows], pa.binary()),
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, *body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                chunk = _Chunk(*body)
+                yield _cut(chunk.keys, chunk.trained(), parts, number)
 
     return run
 
 
-def _answered(key: tuple, table: pa.Table) -> pa.Table:
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of the rows, their counts added up, the key's number at each place of the rows laid end
+    to end, and where each row ends."""
     asked = [_unpressed(x) for x in table.column("keys").to_pylist()]
-    own = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("own").to_pylist()])
+    own = np.concatenate([_unplanes(x) for x in table.column("own").to_pylist()])
     unique, index = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(index, weights=own, minlength=len(unique)).astype(np.int64)
-    words = total[(unique & _U(1) == 0) & (unique != _START) & (total > 0)]
-    documents = int(total[unique == _START].sum())
-    cut = np.concatenate([[0], np.cumsum([len(a) for a in asked])])
-    chunks, answers = table.column("chunk").to_pylist(), total.astype("<u4")[index]
-    n = len(chunks)
-    return pa.table({
-        "part": pa.array([key[0].as_py()] * (n + 1), pa.int32()), "chunk": pa.array([*chunks, -1], pa.int64()),
-        "counts": pa.array([*(answers[cut[i] : cut[i + 1]].tobytes() for i in range(n)), b""], pa.binary()),
-        "tokens": pa.array([0] * n + [int(words.sum())], pa.int64()), "types": pa.array([0] * n + [len(words)], pa.int64()), "documents": pa.array([0] * n + [documents], pa.int64()),
-    })
-
-
-def _counts(chunk: _Chunk, answers: pa.Table) -> np.ndarray:
+    total = np.zeros(len(unique), np.int64)
+    np.add.at(total, index, own.astype(np.int64))
+    return unique, total, index, np.concatenate([[0], np.cumsum([len(a) for a in asked])])
+
+
+def _told(table: pa.Table, total: np.ndarray, index: np.ndarray, cut: np.ndarray, types: int | None = None) -> pa.Table:
+    """A row of counts for each row that asked, and one with child -1 for the number of word types."""
+    parts, children = table.column("part").to_pylist(), table.column("child").to_pylist()
+    counts = [_planes(total[index[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    if types is not None:
+        parts, children, counts = [*parts, parts[0]], [*children, -1], [*counts, b""]
+    return pa.table({"part": pa.array(parts, pa.int64()), "child": pa.array(children, pa.int64()), "counts": pa.array(counts, pa.binary()), "types": pa.array([types if c < 0 else None for c in children], pa.int64())})
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    unique, total, index, cut = _added(table)
+    return _told(table, total, index, cut, int(((unique & _U(1) == 0) & (unique != _START) & (total > 0)).sum()))
+
+
+def _merged(parts: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        unique, total, _, _ = _added(table)
+        return pa.Table.from_batches([_cut(unique, total, parts, key[1].as_py())])
+
+    return run
+
+
+def _passed(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return _told(table, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64))
+    _, _, index, cut = _added(table)
+    return _told(table, _counts(answers), index, cut)
+
+
+def _counts(answers: pa.Table) -> np.ndarray:
     rows = sorted(zip(answers.column("part").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-    return np.concatenate([np.frombuffer(x, "<u4") for _, x in rows]).astype(np.int64)
+    return np.concatenate([_unplanes(x) for _, x in rows]).astype(np.int64)
+
+
+def totals(asked: DataFrame, children: int, parts: int, group: int) -> DataFrame:
+    """Answers (see ANSWERED) to all rows of ``asked`` (see ASKED): the counts of their keys over all children."""
+    groups = parts_for(children, group)
+    if groups == 1:
+        return asked.groupBy("part").applyInArrow(_answered, ANSWERED)
+    asked = written(asked.withColumn("owner", F.pmod(F.xxhash64("child"), F.lit(groups)).cast("long")), "asked")
+    fan = min(groups, group)
+    up = asked.groupBy("part", "owner").applyInArrow(_merged(parts * fan), ASKED)
+    up = written(totals(up, groups, parts * fan, group), "answers")
+    own = up.filter("child >= 0").withColumn("whole", F.floor(F.col("part") / fan).cast("long"))
+    return asked.groupBy("part", "owner").cogroup(own.groupBy("whole", "child")).applyInArrow(_passed, ANSWERED).unionByName(up.filter("child < 0"))
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -132,9 +216,9 @@ def _deleted(n_tokens: int):
     """Histogram of (context bucket, level of the bigram estimate, level of the unigram estimate), each
     document's own counts taken away."""
 
-    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = _Chunk(texts)
-        counts = _counts(chunk, answers)
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = _Chunk(*(rows.column(c)[0].as_py() for c in BODY))
+        counts = _counts(answers)
         doc = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
         wide = len(counts)
 
@@ -171,17 +255,17 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, floor: float, rounds: int =
 
 
 def _scored(shared, doc_type: pa.DataType):
-    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         n_tokens, n_types, weights = shared.value
-        chunk = _Chunk(texts)
-        counts = _counts(chunk, answers)
+        chunk = _Chunk(*(rows.column(c)[0].as_py() for c in BODY))
+        counts = _counts(answers)
         own, context = counts[chunk.uni], counts[chunk.context]
         base = np.log10((own + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
         w = weights[_bucket(context)]
         p = w[:, 0] * _ratio(counts[chunk.bi], context) + w[:, 1] * _ratio(own, n_tokens) + w[:, 2] / (n_types + 1)
         at = chunk.at[:-1]
         return pa.table({
-            "doc_id": chunk.ids.cast(doc_type), "held_out": pa.array(chunk.fold == 0), "n_tokens": pa.array(chunk.sizes, pa.int64()),
+            "doc_id": rows.column("ids").combine_chunks().flatten().cast(doc_type), "held_out": pa.array(chunk.held), "n_tokens": pa.array(chunk.sizes, pa.int64()),
             "n_known": pa.array(np.add.reduceat((own > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(at), n_tokens), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(np.add.reduceat(np.log10(p), at)),
         })
@@ -189,37 +273,37 @@ def _scored(shared, doc_type: pa.DataType):
     return run
 
 
-def score_texts(docs: DataFrame, *, chunk_bytes: int = CHUNK, part_keys: int = PART) -> DataFrame:
+BODY = ["held", "sizes", "words", "tokens"]
+
+
+def score_texts(docs: DataFrame, *, weights: np.ndarray | None = None, chunk_bytes: int = CHUNK, part_keys: int = PART, group: int = GROUP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of ``docs``.
 
     Words are runs without ASCII white space, A-Z lower-cased; an end token follows them. Null and empty
     texts are the end token alone. Rows whose crc32(doc_id) mod 10 is 0 are held out; the others are counted
-    (a null doc_id counts as the empty text), and those with remainder 1 also teach the weights. Repeated
-    rows count as often as they stand. Without training rows all counts are 0 and the floor is all there
-    is; an empty table gives no rows. Other columns are ignored."""
+    (a null doc_id counts as the empty text), and those with remainder 1 also teach the weights. ``weights``
+    (BUCKETS x 3: bigram, unigram, floor) are learned unless given. Repeated rows count as often as they stand.
+    Without training rows all counts are 0 and the floor is all there is; an empty table gives no rows. Other
+    columns are ignored. A text is in one chunk, however long."""
     spark = docs.sparkSession
     ship(spark)
-    doc_type = dict(docs.dtypes)["doc_id"]
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fold(F.col("doc_id"), FOLDS).alias("fold"))
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = parts_for(size, min(chunk_bytes, max(1 << 18, size / 64)))
-    parts = parts_for(size / 4, part_keys, min(chunks, 16))
-    dev = (F.col("fold") == 1).cast("long")
-    lot = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash")
-    d = d.withColumn("chunk", 2 * F.pmod(lot, F.when(dev == 1, F.lit(parts_for(chunks, FOLDS))).otherwise(F.lit(chunks))) + dev)
-
-    asked = d.groupBy("chunk").applyInArrow(_asked(parts), "part int, chunk long, keys binary, own binary")
-    answers = asked.groupBy("part").applyInArrow(_answered, "part int, chunk long, counts binary, tokens long, types long, documents long")
-    answers = written(answers, "answers")
-    totals = answers.filter("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first()
-    n_tokens, n_types = int(totals[0] or 0), int(totals[1] or 0)
-    answers = answers.filter("chunk >= 0").select("chunk", "part", "counts")
-
-    both = lambda rows, said: rows.groupBy("chunk").cogroup(said.groupBy("chunk"))
-    cells = both(d.filter("fold = 1"), answers.filter("chunk % 2 = 1")).applyInArrow(_deleted(n_tokens), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), 1 / (n_types + 1))
+    doc_type = docs.schema["doc_id"].dataType
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fold(F.col("doc_id"), FOLDS).alias("fold"))
+    chunks = written(d.mapInArrow(_chunked(chunk_bytes), f"chunk long, ids array<{doc_type.simpleString()}>, held binary, sizes binary, trained long, words binary, tokens binary"), "chunks")
+    n_chunks, n_tokens, n_bytes = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
+    parts = parts_for(n_bytes / 4 * min(1, group / max(n_chunks, 1)), part_keys)  # a key a token, about
+
+    asked = chunks.select("chunk", *BODY).mapInArrow(_asked(parts), ASKED)
+    answers = written(totals(asked, n_chunks, parts, group), "answers")
+    n_types = int(answers.filter("child = -1").agg(F.sum("types")).first()[0] or 0)
+    answers = answers.filter("child >= 0").select("child", "part", "counts")
+
+    met = lambda rows, said: rows.groupBy("chunk").cogroup(said.groupBy("child"))
+    if weights is None:
+        teach = met(chunks.select("chunk", *BODY).filter("chunk % 2 = 1"), answers.filter("child % 2 = 1")).applyInArrow(_deleted(n_tokens), "cell long, n long")
+        cells = teach.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), 1 / (n_types + 1))
     shared = spark.sparkContext.broadcast((n_tokens, n_types, weights))
-    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(doc_type, pa.string())
-    return both(d, answers).applyInArrow(
-        _scored(shared, arrow), f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return met(chunks.drop("trained"), answers).applyInArrow(
+        _scored(shared, to_arrow_type(doc_type)), f"doc_id {doc_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
