@@ -1,14 +1,18 @@
 """Approximate nearest neighbours: inverted lists and an adaptive dimension scan within each probed list.
 
 A k-means codebook, fitted on a bounded sample, deals all vectors into lists; every query probes the lists
-nearest to it. Within a list, vectors and query are rotated by one random orthogonal matrix and compared in
-blocks of columns. After each block a hypothesis test on the partial distance abandons the candidates that
-can hardly reach the k-th best distance so far; only survivors are measured, on the original vectors in
-double precision.
-
-Lists are cut into segments of bounded size and queries of a list into blocks, so a list that holds a third
-of all vectors is many tasks. Nothing but the codebook and the list sizes is broadcast or sent to the
-driver; both have MOST_LISTS rows at most."""
+nearest to it, as many as the sample says it takes to meet the wanted recall: few where vectors cluster, many
+where they don't, and fewer the more vectors there are. A list whose centroid lies further off than its radius
+and the k-th best distance so far is passed over. Within a list, vectors and query are rotated by one random
+orthogonal matrix and compared in blocks of columns. After each block a hypothesis test on the partial distance
+abandons the candidates that can hardly reach the k-th best distance so far; only survivors are measured, on
+the original vectors in double precision. With a recall of 1 all lists are probed and nothing is abandoned that
+could be a neighbour.
+
+Neighbouring lists form groups, the unit of work, so that a query is sent once per group and not per list.
+Groups are cut into segments of bounded size and their queries into blocks, so a list that holds a third of all
+vectors is many tasks. Nothing but the codebook and the list sizes is broadcast or sent to the driver; both
+have MOST_LISTS rows at most."""
 
 from __future__ import annotations
 
@@ -21,19 +25,23 @@ from pyspark.sql import functions as F
 
 from granary.llm.shared import ship, written
 
-#: Sampled vectors for the codebook, most lists, share of lists probed and least number of them, vectors of
-#: a segment, queries of a block, columns of a scan step, and the test's slack (larger abandons less).
-SAMPLE, MOST_LISTS, SHARE, LEAST_PROBES, SEGMENT, QUERIES, COLUMNS, SLACK = 20_000, 4096, 0.6, 24, 4096, 2048, 16, 2.1
+#: Sampled vectors for the codebook and the number of probes, sampled queries for the latter, most lists, recall
+#: aimed at, vectors of a segment, queries of a block, columns of a scan step, the test's slack (larger abandons
+#: less), and rows that are compared with all centroids in one go.
+SAMPLE, SAMPLE_QUERIES, MOST_LISTS, RECALL, SEGMENT, QUERIES, COLUMNS, SLACK, ROWS = 20_000, 512, 4096, 0.97, 16_384, 2048, 16, 2.1, 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the vectors that take part: an id, the commonest length (of equally common
-    ones the larger), all components present and finite, not all zero."""
-    fit = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(
+    """vec_id and embedding of the vectors that take part: an id, all components present and finite, not all
+    zero. Of several rows of one id the least vector stands, component by component."""
+    kind = dict(vectors.dtypes)["embedding"]
+    v = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>").alias("embedding")
+    fit = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v).filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
     )
-    length = fit.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return fit.filter(F.size("embedding") == (length["d"] if length else 0))
+    if fit.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return fit
+    return fit.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def codebook(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -59,30 +67,60 @@ def _closest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, queries: int = SAMPLE_QUERIES) -> int:
+    """Lists to probe so that of the k nearest of sampled queries within the sample a share of ``recall`` is
+    met. Neighbours in the whole lie nearer than those in a sample of it, so more vectors need no more."""
+    if recall >= 1 or len(sample) <= k + 1:
+        return len(centres)
+    own, ranks = _closest(sample, centres, 1)[:, 0], []
+    squares = (sample**2).sum(axis=1)
+    for i in range(0, len(sample), max(1, len(sample) // queries)):
+        far = squares - 2 * sample @ sample[i]
+        far[i] = np.inf
+        order = np.argsort(_closest(sample[i : i + 1], centres, len(centres))[0])
+        ranks.append(order[own[np.argpartition(far, k)[:k]]])
+    return int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, ROWS):
+        yield batch.slice(start, ROWS)
+
+
 def _dealt(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                own = _closest(_matrix(b.column(1)), shared.value, 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32))], names=["vec_id", "embedding", "list"])
+        centres, group, *_ = shared.value
+        for batch in batches:
+            for b in _parts(batch):
+                own = _closest(_matrix(b.column(1)), centres, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(group[own], pa.int32()), pa.array(own.astype(np.int32))], names=["vec_id", "embedding", "group", "list"])
 
     return run
 
 
-def _probing(shared, sizes: np.ndarray, probes: int, k: int):
+def _probing(shared, k: int):
+    """A row per query and group with the probed lists of the group, nearest first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            order = _closest(_matrix(b.column(1)), shared.value, len(shared.value))
-            held = np.cumsum(sizes[order], axis=1) - sizes[order]
-            wanted = (np.arange(order.shape[1]) < probes) | (held < k + 1)
-            row, place = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))], names=["query_id", "query", "list"])
+        centres, group, sizes, probes = shared.value
+        for batch in batches:
+            for b in _parts(batch):
+                order = _closest(_matrix(b.column(1)), centres, len(centres))
+                held = np.cumsum(sizes[order], axis=1) - sizes[order]
+                row, place = np.nonzero((np.arange(order.shape[1]) < probes) | (held < k + 1))
+                lists = order[row, place]
+                by = np.lexsort((place, group[lists], row))
+                row, lists = row[by], lists[by]
+                edge = np.flatnonzero(np.diff(row * (group.max() + 1) + group[lists], prepend=-1))
+                at = pa.array(row[edge])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(group[lists[edge]], pa.int32()), pa.ListArray.from_arrays(pa.array([*edge, len(lists)], pa.int32()), pa.array(lists, pa.int32()))],
+                    names=["query_id", "query", "group", "lists"],
+                )
 
     return run
 
@@ -92,8 +130,9 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, query_id: int, query: np.ndarray, turned_query: np.ndarray, k: int, columns: int = COLUMNS, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """ids and distances of the k nearest of a segment, nearest first, ties to the smaller id."""
+def scan(ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, query_id: int, query: np.ndarray, turned_query: np.ndarray, k: int, columns: int = COLUMNS, slack: float = SLACK, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """ids and distances of the k nearest of a segment, nearest first, ties to the smaller id. ``least`` gives a
+    distance that each vector can't fall below."""
     d = vectors.shape[1]
     best_ids, best = np.empty(0, np.int64), np.empty(0)
     start, step = 0, max(64, 4 * k)
@@ -102,7 +141,10 @@ def scan(ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, query_id: int
         start, step = start + step, 1024
         rows = rows[ids[rows] != query_id]
         if len(best) >= k:
-            bound, partial = best[k - 1] ** 2, np.zeros(len(rows))
+            bound = best[k - 1] ** 2
+            if least is not None:
+                rows = rows[least[rows] <= best[k - 1] * (1 + 1e-9)]
+            partial = np.zeros(len(rows))
             for c in range(0, d, columns):
                 to = min(c + columns, d)
                 partial = partial + ((turned[rows, c:to] - turned_query[c:to]) ** 2).sum(axis=1)
@@ -120,59 +162,75 @@ def scan(ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, query_id: int
     return best_ids, best
 
 
-def _searched(k: int):
+def _searched(shared, k: int, slack: float):
     def run(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if held.num_rows and asked.num_rows:
-            ids, first = np.unique(held.column("vec_id").to_numpy(), return_index=True)
-            vectors = _matrix(held.column("embedding").combine_chunks())[first]
+            held = held.sort_by("list")
+            ids, own = held.column("vec_id").to_numpy(), held.column("list").to_numpy()
+            vectors = _matrix(held.column("embedding").combine_chunks())
+            lists, first = np.unique(own, return_index=True)
+            ends = np.append(first[1:], len(own))
+            # other lengths than the codebook's form a group with one list and no centroid
+            centres = shared.value[0][lists] if key[0].as_py() >= 0 else vectors.mean(axis=0, keepdims=True)
+            radius = np.sqrt(np.maximum.reduceat(((vectors - np.repeat(centres, ends - first, axis=0)) ** 2).sum(axis=1), first))
             turn = rotation(vectors.shape[1])
             turned = vectors @ turn
-            names, place = np.unique(asked.column("query_id").to_numpy(), return_index=True)
-            queries = _matrix(asked.column("query").combine_chunks())[place]
-            for name, q, tq in zip(names.tolist(), queries, queries @ turn, strict=True):
-                found, far = scan(ids, vectors, turned, name, q, tq, k)
-                out.append((np.full(len(found), name), found, far))
+            queries = _matrix(asked.column("query").combine_chunks())
+            for name, q, tq, wanted in zip(asked.column("query_id").to_pylist(), queries, queries @ turn, asked.column("lists").to_pylist(), strict=True):
+                at = np.searchsorted(lists, wanted)
+                at = at[(at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == wanted)]
+                rows = np.concatenate([np.arange(first[a], ends[a]) for a in at]) if len(at) else np.empty(0, np.int64)
+                away = np.sqrt(((centres[at] - q) ** 2).sum(axis=1))
+                far = away - radius[at] - 1e-9 * (away + radius[at])
+                found, near = scan(ids[rows], vectors[rows], turned[rows], name, q, tq, k, slack=slack, least=np.repeat(far, ends[at] - first[at]))
+                out.append((np.full(len(found), name), found, near))
         columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, share: float = SHARE, least_probes: int = LEAST_PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by Euclidean distance.
 
-    Both tables have vec_id (an integer) and embedding. Candidates are all usable vectors (see ``usable``)
-    but those of the query's own id; all of them, if there are fewer than k. Equal distances go to the
-    smaller vec_id. Repeated rows of one id count once; if they differ, one of them stands for the id.
+    Both tables have vec_id (an integer) and embedding; see ``usable`` for the rows that take part and what
+    repeated ids mean. Candidates are all usable vectors of the query's length but that of the query's own
+    id; all of them, if there are fewer than k. Vectors of the commonest length (of equally common ones the
+    larger) have lists, those of other lengths are all compared. Equal distances go to the smaller vec_id.
     Queries that aren't usable, and empty tables, give no rows. Other columns are ignored."""
     spark = vectors.sparkSession
     ship(spark)
-    held = usable(vectors.withColumn("vec_id", F.col("vec_id").cast("long")))
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct().join(held, "vec_id", "left_semi")
-    n = held.count()
-    lists = int(min(MOST_LISTS, max(1, round(n**0.5))))
-    sample = held.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["embedding"]
-    if not len(sample):
+    held, asked = written(usable(vectors), "vectors"), written(usable(queries), "queries")
+    length = held.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(codebook(np.stack(sample.to_list()), lists))
-    lists = len(shared.value)
-    dealt = written(held.mapInArrow(_dealt(shared), "vec_id long, embedding array<double>, list int"), "lists")
-    sizes = np.zeros(lists, np.int64)
-    counted = dealt.groupBy("list").agg(F.countDistinct("vec_id").alias("n")).toPandas()
-    sizes[counted["list"]] = counted["n"]
-    probes = min(lists, max(least_probes, round(share * lists)))
-    rows = dealt.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    probing = written(rows.mapInArrow(_probing(shared, sizes, probes, k), "query_id long, query array<double>, list int"), "probes")
-
-    per_list = probing.groupBy("list").agg(F.count(F.lit(1)).alias("q")).join(spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "list int, n long"), "list")
-    cuts = F.broadcast(per_list.select("list", F.ceil(F.col("n") / SEGMENT).cast("int").alias("segments"), F.ceil(F.col("q") / QUERIES).cast("int").alias("blocks")))
+    n, usual = length["count"], F.size("embedding") == length["d"]
+    sample = np.stack(held.filter(usual).select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["embedding"].to_list()).astype(np.float64)
+    centres = codebook(sample, int(min(MOST_LISTS, max(1, round(n**0.5)))))
+    group = _closest(centres, codebook(centres, max(1, round(len(centres) ** 0.5))), 1)[:, 0].astype(np.int32)
+    probes = probes_for(sample, centres, k, recall)
+    shared = spark.sparkContext.broadcast((centres, group))
+    other = lambda df, name, lists: df.filter(~usual).select(F.col("vec_id").alias(name[0]), F.col("embedding").alias(name[1]), (-F.size("embedding")).alias("group"), lists)
+    vector = dict(held.dtypes)["embedding"]
+    dealt = held.filter(usual).mapInArrow(_dealt(shared), f"vec_id long, embedding {vector}, group int, list int")
+    dealt = written(dealt.unionByName(other(held, ("vec_id", "embedding"), F.lit(0).alias("list"))), "lists")
+    sizes = np.zeros(len(centres), np.int64)
+    counted = dealt.filter("`group` >= 0").groupBy("list").count().toPandas()
+    sizes[counted["list"]] = counted["count"]
+    probing = spark.sparkContext.broadcast((centres, group, sizes, probes))
+    vector = dict(asked.dtypes)["embedding"]
+    asked = asked.filter(usual).mapInArrow(_probing(probing, k), f"query_id long, query {vector}, group int, lists array<int>").unionByName(other(asked, ("query_id", "query"), F.array(F.lit(0)).alias("lists")))
+    asked = written(asked, "probes")
+
+    amount = lambda df, each, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias(name))
+    cuts = amount(dealt, SEGMENT, "segments").join(amount(asked, QUERIES, "blocks"), "group")
     lot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt.join(cuts, "list").withColumn("segment", lot("vec_id", "segments")).select("vec_id", "embedding", "list", "segment", each("blocks").alias("block"))
-    right = probing.join(cuts.filter("segments > 0"), "list").withColumn("block", lot("query_id", "blocks")).select("query_id", "query", "list", "block", each("segments").alias("segment"))
-    keys = ["list", "segment", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    left = dealt.join(cuts, "group").withColumn("segment", lot("vec_id", "segments")).select("vec_id", "embedding", "group", "list", "segment", each("blocks").alias("block"))
+    right = asked.join(cuts, "group").withColumn("block", lot("query_id", "blocks")).select("query_id", "query", "lists", "group", "block", each("segments").alias("segment"))
+    keys = ["group", "segment", "block"]
+    slack = SLACK if recall < 1 else float("inf")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(shared, k, slack), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
