@@ -2,15 +2,16 @@
 
 An expression is a run of letters, lower-cased; its characters are predicted from up to ORDER - 1 before
 them within the run, so inflected and compound forms share the evidence of their stems. One model per class
-counts in how many training documents an expression stands; both discount by the same constant and back off
-to one shared model of continuation counts, so what either class has hardly seen costs them alike. A text's
-evidence is the toxic minus the ordinary log-likelihood, normalised by its length in expressions, with and
-without the part of each expression's evidence below FLOOR nats, which is chance. A logistic
-calibration over these gives the score; it is fitted under models that didn't count its rows, those of the
-fifth kept apart.
+counts in how many training documents an expression stands; both discount by the same constant and back off,
+order by order, to one shared model of continuation counts, so what either class has hardly seen costs them
+alike. A text's evidence is its toxic minus its ordinary log-likelihood, per expression: once with every
+expression from the toxic model, and once with a share SHARE of them from it and the rest from the ordinary
+one, as toxic texts are mostly ordinary. A logistic calibration over these two gives the score; it is fitted
+under models that didn't count its rows, those of the fifth kept apart.
 
-All labelled training rows are counted in the final models, the fifth too. Counts end in tables of a fixed
-number of buckets, which bounds what is sent to the driver and broadcast; the calibration takes at most CALIBRATION texts."""
+All labelled training rows are counted in the final models, the fifth too. Counts end in tables of BUCKETS
+hashed cells (a parameter; 52 bytes a cell), which bounds what is sent to the driver and broadcast; the
+calibration takes at most CALIBRATION texts."""
 
 from __future__ import annotations
 
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from granary.llm import textvec as tv
 from granary.llm.shared import fold, ship, written
 
-#: Characters of an n-gram, discount, buckets of each table, chance evidence of an expression in nats, score
-#: from which a text is predicted toxic, most texts of the calibration sample, share of rows it is taken from.
-ORDER, DISCOUNT, BUCKETS, FLOOR, LEAST, CALIBRATION, APART = 5, 0.75, 1 << 20, 2.0, 0.7, 20_000, 5
+#: Characters of an n-gram, discount, buckets of each table, share of a toxic text's expressions from the toxic
+#: model, score from which a text is predicted toxic, most texts of the calibration sample, share of rows it is
+#: taken from.
+ORDER, DISCOUNT, BUCKETS, SHARE, LEAST, CALIBRATION, APART = 5, 0.75, 1 << 20, 0.02, 0.7, 20_000, 5
+FEATURES = 2
 #: Words and expressions that a worker remembers; only speed depends on it.
 MOST_WORDS = 300_000
 
@@ -42,23 +45,23 @@ def expressions(text: str) -> list[str]:
     return _RUN.findall(text.lower())
 
 
-def character_grams(words: list[str], order: int = ORDER) -> dict[str, np.ndarray]:
-    """For every character of every word and its end: hashes of the n-gram that ends there (gram), of its
-    context, of both without their first character (tail, tail_context), the character, and its word."""
+def character_grams(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams (rows 0 to order) that end at each character of the words set between a start and
+    an end mark, the places of the characters to predict in them, how far into its word each of these stands
+    (from 1), and its word. An n-gram lies in its word where n is at most that place + 1."""
     sizes = np.array([len(w) + 2 for w in words], np.int64)
     points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
     edge = np.concatenate([[0], np.cumsum(sizes)])
     word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(points)) - edge[word]
-    by_length, acc = [np.zeros(len(points), _U)], np.zeros(len(points), _U)
+    acc = np.zeros(len(points), _U)
+    by_length = [tv.mix(acc + _U(1))]
     for n in range(1, order + 1):
         shifted = np.concatenate([np.zeros(1, _U), acc[:-1]]) if n > 1 else acc
         acc = shifted * _U(0x9E3779B97F4A7C15) + points
         by_length.append(tv.mix(acc + _U(n * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)))
-    table = np.stack(by_length)
     at = np.flatnonzero(place > 0)
-    long = np.minimum(order, place[at] + 1)
-    return {"gram": table[long, at], "context": table[long - 1, at - 1], "tail": table[long - 1, at], "tail_context": table[np.maximum(long - 2, 0), at - 1], "char": points[at], "word": word[at]}
+    return np.stack(by_length), at, place[at], word[at]
 
 
 #: Counts by class: of rows outside the fifth kept apart, and within.
@@ -84,19 +87,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per n-gram of two characters or more: its context, itself and its context without their first character,
+    whether it is the longest that its last character has, and its counts."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 50_000):
-            part = batch.slice(start, 50_000)
-            g = character_grams(part.column(0).to_pylist())
-            if not len(g["gram"]):
-                continue
-            counts = [part.column(i + 1).to_numpy()[g["word"]] for i in range(len(_COUNTS))]
-            unique, first, index = np.unique(g["gram"], return_index=True, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unique.view(np.int64)), *(pa.array(g[k][first].view(np.int64)) for k in ("context", "tail", "tail_context", "char")),
-                 *(pa.array(np.bincount(index, n).astype(np.int64)) for n in counts)],
-                names=["gram", "context", "tail", "tail_context", "char", *_COUNTS],
-            )
+        for start in range(0, batch.num_rows, 25_000):
+            part = batch.slice(start, 25_000)
+            table, at, place, word = character_grams(part.column(0).to_pylist())
+            counts = [part.column(i + 1).to_numpy() for i in range(len(_COUNTS))]
+            for n in range(2, len(table)):
+                inside = place + 1 >= n
+                here, own = at[inside], word[inside]
+                unique, first, index = np.unique(table[n, here], return_index=True, return_inverse=True)
+                if not len(unique):
+                    continue
+                longest = np.minimum(len(table) - 1, place[inside][first] + 1) == n
+                hashes = (unique, table[n - 1, here[first] - 1], table[n - 1, here[first]], table[n - 2, here[first] - 1])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(longest), *(pa.array(np.bincount(index, c[own]).astype(np.int64)) for c in counts)],
+                    names=["gram", "context", "tail", "tail_context", "longest", *_COUNTS],
+                )
 
 
 class ToxicModel:
@@ -104,25 +113,41 @@ class ToxicModel:
 
     def __init__(self, buckets: int):
         self.buckets = buckets
-        z = lambda n=buckets: np.zeros(n, np.float32)
-        self.gram, self.context, self.types = [z(), z()], [z(), z()], [z(), z()]
-        self.tail, self.tail_context, self.tail_types, self.char = z(), z(), z(), z(4096)
-        self.mean, self.scale, self.weights = np.zeros(3), np.ones(3), None
+        z = lambda t: np.zeros(buckets, t)
+        self.gram, self.context, self.types = [z(np.int64), z(np.int64)], [z(np.int64), z(np.int64)], [z(np.int32), z(np.int32)]
+        self.tail, self.tail_context, self.tail_types, self.characters = z(np.int32), z(np.int32), z(np.int32), 0
+        self.mean, self.scale, self.weights = np.zeros(FEATURES), np.ones(FEATURES), None
+
+    def _at(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & _U(self.buckets - 1)).astype(np.int64)
+
+    def logs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability of every character (and end) of the words under the ordinary and the toxic model,
+        and its word. Each order discounts and gives what that frees to the next shorter one: the longest
+        n-gram by class counts, all shorter ones by the shared continuation counts, the last evenly to the
+        known characters and one unknown."""
+        table, at, place, word = character_grams(words)
+        order = len(table) - 1
+        p = np.full(len(at), 1 / (self.characters + 1))
+        for n in range(1, order):
+            here = np.flatnonzero(place >= n)
+            context = self._at(table[n - 1, at[here] - 1])
+            seen = self.tail_context[context]
+            here, context, seen = here[seen > 0], context[seen > 0], seen[seen > 0]
+            p[here] = (np.maximum(self.tail[self._at(table[n, at[here]])] - DISCOUNT, 0) + DISCOUNT * self.tail_types[context] * p[here]) / seen
+        long = np.minimum(order, place + 1)
+        gram, context = self._at(table[long, at]), self._at(table[long - 1, at - 1])
+        out = []
+        for c in (0, 1):
+            seen = self.context[c][context]
+            own = (np.maximum(self.gram[c][gram] - DISCOUNT, 0) + DISCOUNT * self.types[c][context] * p) / np.maximum(seen, 1)
+            out.append(np.log(np.maximum(np.where(seen > 0, own, p), 1e-12)))  # buckets that collide can add up to nothing
+        return out[0], out[1], word
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each expression, in nats."""
-        g = character_grams(words)
-        at = {k: (v & _U(self.buckets - 1)).astype(np.int64) for k, v in g.items() if k not in ("char", "word")}
-        lowest = (self.char[(g["char"] & _U(4095)).astype(np.int64)] + 1) / (self.char.sum() + 4096)
-        seen = self.tail_context[at["tail_context"]]
-        shared = (np.maximum(self.tail[at["tail"]] - DISCOUNT, 0) + DISCOUNT * self.tail_types[at["tail_context"]] * lowest) / np.maximum(seen, 1)
-        shared = np.where(seen > 0, np.maximum(shared, 1e-9), lowest)
-        logs = []
-        for c in (0, 1):
-            seen = self.context[c][at["context"]]
-            p = (np.maximum(self.gram[c][at["gram"]] - DISCOUNT, 0) + DISCOUNT * self.types[c][at["context"]] * shared) / np.maximum(seen, 1)
-            logs.append(np.log(np.where(seen > 0, np.maximum(p, 1e-12), shared)))
-        return np.bincount(g["word"], logs[1] - logs[0], len(words))
+        ordinary, toxic, word = self.logs(words)
+        return np.bincount(word, toxic - ordinary, len(words))
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -137,17 +162,17 @@ class ToxicModel:
             return
         self.mean, self.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
         x = np.column_stack([(features - self.mean) / self.scale, np.ones(len(features))])
-        w = np.zeros(4)
+        w = np.zeros(FEATURES + 1)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             slope = x.T @ (toxic - p) - 0.1 * w
-            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4), slope)
+            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(FEATURES + 1), slope)
         self.weights = w
 
 
 class _Reader:
-    """Features of texts: log evidence above chance per expression, log of its sum, plain evidence per
-    expression. Evidence of words met before is remembered."""
+    """Features of texts: the log of the mixed evidence per expression, and the plain evidence per expression.
+    Evidence of words met before is remembered."""
 
     def __init__(self, model: ToxicModel):
         self.model = model
@@ -164,7 +189,8 @@ class _Reader:
         if flat:
             e = self.model.evidence(flat)
             owner = np.repeat(np.arange(len(words)), sizes)
-            values = np.column_stack([np.bincount(owner, np.maximum(e - FLOOR, 0), len(words)), np.bincount(owner, e, len(words)), sizes])
+            mixed = np.log1p(SHARE * np.expm1(np.minimum(e, 500)))
+            values = np.column_stack([np.bincount(owner, mixed, len(words)), np.bincount(owner, e, len(words)), sizes])
         known, values = np.concatenate([self.known, hashes]), np.concatenate([self.values, values])
         order = np.argsort(known, kind="stable")
         self.known, self.values = known[order], values[order]
@@ -179,11 +205,13 @@ class _Reader:
         if new.any():
             body = data.tobytes()
             self._learn(unique[new], [body[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        own = self.values[np.searchsorted(self.known, unique)][index] if len(unique) else np.empty((0, 3))
-        sums = np.concatenate([np.zeros((1, 3)), np.cumsum(own, axis=0)])
-        above, plain, n = (sums[bounds[1:]] - sums[bounds[:-1]]).T
+        sums = np.zeros((len(column), 3))
+        some = np.flatnonzero(bounds[1:] > bounds[:-1])
+        if len(some):  # each text's own sum, whatever stands beside it
+            sums[some] = np.add.reduceat(self.values[np.searchsorted(self.known, unique)][index], bounds[:-1][some], axis=0)
+        mixed, plain, n = sums.T
         n = np.maximum(n, 1)
-        return np.column_stack([np.log(np.maximum(above, 0) / n + 0.003), np.log1p(np.maximum(above, 0)), plain / n])
+        return np.column_stack([np.log(np.maximum(mixed, 0) / n + 0.001), plain / n])
 
 
 _readers: dict[str, _Reader] = {}
@@ -212,7 +240,7 @@ def _featured(shared):
         for batch in batches:
             for part in tv.slices(batch, "text"):
                 f = _reader(shared).features(part.column(0))
-                yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), part.column(1)], names=["a", "b", "c", "toxic"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(FEATURES)), part.column(1)], names=["a", "b", "toxic"])
 
     return run
 
@@ -225,10 +253,10 @@ def _counted(grams: DataFrame, buckets: int) -> ToxicModel:
     def table(df: DataFrame, key: str, **sums) -> pd.DataFrame:
         return df.groupBy(at(key)).agg(*[F.sum(v).alias(k) for k, v in sums.items()]).toPandas()
 
-    one = F.lit(1)
-    t = table(grams, "gram", n0=F.col("n0"), n1=F.col("n1"))
+    one, longest = F.lit(1), grams.filter("longest")
+    t = table(longest, "gram", n0=F.col("n0"), n1=F.col("n1"))
     model.gram[0][t["at"]], model.gram[1][t["at"]] = t["n0"], t["n1"]
-    t = table(grams, "context", n0=F.col("n0"), n1=F.col("n1"), t0=(F.col("n0") > 0).cast("int"), t1=(F.col("n1") > 0).cast("int"))
+    t = table(longest, "context", n0=F.col("n0"), n1=F.col("n1"), t0=(F.col("n0") > 0).cast("int"), t1=(F.col("n1") > 0).cast("int"))
     for c in (0, 1):
         model.context[c][t["at"]], model.types[c][t["at"]] = t[f"n{c}"], t[f"t{c}"]
     tails = grams.groupBy("tail").agg(F.first("tail_context").alias("tail_context"), F.count(one).alias("n"))
@@ -236,8 +264,8 @@ def _counted(grams: DataFrame, buckets: int) -> ToxicModel:
     model.tail[t["at"]] = t["n"]
     t = table(tails, "tail_context", n=F.col("n"), types=one)
     model.tail_context[t["at"]], model.tail_types[t["at"]] = t["n"], t["types"]
-    t = grams.groupBy(F.col("char").bitwiseAND(F.lit(4095)).alias("at")).agg(F.count(one).alias("n")).toPandas()
-    model.char[t["at"]] = t["n"]
+    empty = int(character_grams(["x"])[0][0, 0].view(np.int64))
+    model.characters = tails.filter(F.col("tail_context") == empty).count()
     return model
 
 
@@ -257,8 +285,8 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     sums = [F.sum(n).alias(n) for n in _COUNTS]
     longs = ", ".join(f"{n} long" for n in _COUNTS)
     words = marked.mapInArrow(_word_counts, f"word string, {longs}").groupBy("word").agg(*sums)
-    grams = words.mapInArrow(_gram_counts, f"gram long, context long, tail long, tail_context long, char long, {longs}")
-    first = [F.first(k).alias(k) for k in ("context", "tail", "tail_context", "char")]
+    grams = words.mapInArrow(_gram_counts, f"gram long, context long, tail long, tail_context long, longest boolean, {longs}")
+    first = [F.first(k).alias(k) for k in ("context", "tail", "tail_context", "longest")]
     grams = written(grams.groupBy("gram").agg(*first, *sums), "grams")
 
     model = _counted(grams.filter("n0 + n1 > 0"), buckets)
@@ -267,8 +295,8 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     near = apart.select("h").distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
     if near is not None:
         once = apart.filter(F.col("h") <= near).groupBy("text").agg(F.avg("toxic").alias("toxic"))
-        f = once.mapInArrow(_featured(shared), "a double, b double, c double, toxic double").toPandas().sort_values(["a", "b", "c", "toxic"])
-        model.calibrate(f[["a", "b", "c"]].to_numpy(), f["toxic"].to_numpy())
+        f = once.mapInArrow(_featured(shared), "a double, b double, toxic double").toPandas().sort_values(["a", "b", "toxic"])
+        model.calibrate(f[["a", "b"]].to_numpy(), f["toxic"].to_numpy())
     whole = _counted(grams.withColumns({"n0": F.col("n0") + F.col("a0"), "n1": F.col("n1") + F.col("a1")}), buckets)
     whole.mean, whole.scale, whole.weights = model.mean, model.scale, model.weights
     return whole
