@@ -16,7 +16,7 @@ import pyarrow as pa
 from granary.llm import textvec as tv
 
 #: Distinct words and runs that a worker remembers before it starts afresh; only speed depends on them.
-MOST_WORDS, MOST_RUNS = 1_500_000, 600_000
+MOST_WORDS, MOST_RUNS = 700_000, 250_000
 
 
 def _byte_letters() -> dict[int, str]:
