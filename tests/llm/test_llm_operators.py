@@ -128,6 +128,46 @@ def test_differencing_balances_and_windows_hold():
     assert windows([4095, 4095, 2]) and len(windows([4095, 4095, 2])) == 3 and windows([]) == []
 
 
+def test_pack_cuts_against_padding():
+    from granary.llm.packing import filled
+
+    random.seed(16)
+    for make in (lambda: random.randint(2049, 2300), lambda: random.choice([1400, 3000]), lambda: random.randint(1, 4095)):
+        sizes = []
+        while sum(sizes) < 128 * 4096:
+            sizes.append(make())
+        found = filled(sizes)
+        assert all(sum(n for _, _, n in w) <= 4096 for w in found) and len(found) * 4096 <= 1.04 * sum(sizes) + 4096
+        own = {}
+        for i, start, n in sorted(p for w in found for p in w):
+            assert own.get(i, 0) == start
+            own[i] = start + n
+        assert [own[i] for i in range(len(sizes))] == sizes
+    assert len(filled([4095, 4095, 2])) == 3 and filled([]) == [] and filled([3]) == [[(0, 0, 3)]]
+
+
+def test_word_ids_do_not_trust_hashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from granary.llm import textvec as tv
+    from granary.llm.queries import word_bpe_path
+    from granary.llm.wordpiece import WordTokenizer
+
+    random.seed(17)
+    whole, own, plain = Tokenizer.from_file(word_bpe_path()), WordTokenizer(word_bpe_path()), tv.block_hashes
+    a = "ab"
+    for _ in range(9):  # two words of 1,024 letters whose polynomial hashes modulo a power of two are equal
+        a += a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = tv.folded_words(pa.array([a, a.translate(str.maketrans("ab", "ba"))]))
+    assert hashes[0] != hashes[1]
+    for few in (False, True):
+        monkeypatch.setattr(tv, "block_hashes", (lambda *x: plain(*x) % np.uint64(7)) if few else plain)
+        for _ in range(5):
+            texts = [" ".join("".join(random.choices("abcé,.1", k=random.randint(1, 20))) for _ in range(30)) for _ in range(4)] + ["", None]
+            ids, bounds = own.encode(pa.array(texts))
+            assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(6)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_edges(spark):
     from granary.llm.packing import pack
     from granary.llm.queries import word_bpe_path
@@ -171,6 +211,35 @@ def test_nearest_edges(spark):
     assert [(r["vec_id"], r["rank"]) for r in search(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(2, 1), (1, 2)]
 
 
+def test_nearest_repeated_ids_and_lengths(spark):
+    from granary.llm.nearest import search
+
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((400, 8))
+    y = rng.standard_normal((30, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)] + [(7, [9.0] * 8), (50, [-9.0] * 8), (0, x[0].tolist()), (1003, [0.5] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    stands = {}
+    for i, v in rows:
+        stands[i] = min(stands.get(i, v), v)
+    asked = [0, 50, 7, 1000, 1003]
+    got = search(frame, frame.filter(F.col("vec_id").isin(asked)), recall=1.0).collect()
+    for q in asked:
+        far = sorted((float(np.sqrt(((np.array(v) - stands[q]) ** 2).sum())), i) for i, v in stands.items() if i != q and len(v) == len(stands[q]))
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert own == list(enumerate((i for _, i in far[:10]), 1))
+
+
+def test_probes_follow_the_data():
+    from granary.llm.nearest import codebook, probes_for
+
+    rng = np.random.default_rng(19)
+    flat = rng.standard_normal((3000, 32))
+    clustered = rng.standard_normal((50, 32))[rng.integers(0, 50, 3000)] * 5 + rng.standard_normal((3000, 32))
+    few, many = (probes_for(x, codebook(x, 54), 10, 0.95) for x in (clustered, flat))
+    assert few <= 8 < many < 54 and probes_for(flat, codebook(flat, 54), 10, 1.0) == 54
+
+
 def test_scan_equals_brute_force():
     from granary.llm.nearest import rotation, scan
 
@@ -269,6 +338,16 @@ def test_near_groups_edges(spark):
     assert kept.columns == odd(spark).columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 5), (False, 6), (True, 0)]
 
 
+def test_one_of_each_loses_no_text(spark):
+    from granary.llm.near_dedup import one_of_each
+
+    a, b, c = ("one text of seven words and end", "another thing that shares nothing with it", "third of these, unlike both of them")
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, b), (None, a + " x"), (9, c), (9, c), (None, None), (4, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in one_of_each(frame).collect())
+    assert got == Counter([(3, a), (7, b), (9, c), (None, a + " x"), (None, None), (4, "")])
+
+
 def test_components_over_several_blocks(spark):
     from granary.llm.components import components
 
@@ -335,6 +414,16 @@ def test_lines_equal_brute_force(spark):
     assert all(r["removed"] == (t or "").count("\n") + 1 - ((w or "").count("\n") + 1 if w or r["removed"] < r["n_lines"] else 0) for r, t, w in zip(got, texts, want))
 
 
+def test_lines_of_long_texts(spark):
+    """A document costs in proportion to its lines and words."""
+    from granary.llm.line_dedup import dedup_lines
+
+    texts = ["\n".join(f"line {i % 150000} of a log" for i in range(200_000)), " ".join(f"w{i}" for i in range(2_000_000)), "\n".join(f"line {i} of a log" for i in range(8000))]
+    got = dedup_lines(docs(spark, texts)).select("row.doc_id", "n_lines", "removed", F.length("clean").alias("left")).orderBy("doc_id").collect()
+    assert [(r["n_lines"], r["removed"]) for r in got] == [(200_000, 50_000), (1, 0), (8000, 8000)]
+    assert got[1]["left"] == len(texts[1]) and got[2]["left"] == 0
+
+
 def test_lines_edges(spark):
     from granary.llm.line_dedup import cleaned_documents, dedup_lines
 
@@ -408,12 +497,54 @@ def test_toxicity_calibration_takes_a_text_once(spark):
     assert np.allclose(*both) and not np.allclose(both[0], one.weights)
 
 
-def test_kneser_ney_sums_to_one_over_seen_characters():
-    from granary.llm.toxicity import character_grams
+def test_kneser_ney_equals_brute_force(spark):
+    """Every character's probability against counts in dictionaries, and all characters sum to one."""
+    from granary.llm.toxicity import DISCOUNT, ORDER, expressions, learn
+
+    rows = [("abab abba", 0), ("abab baab", 1), ("bb a abab", 1), ("abc abba", 0), ("abab abba", 0), ("caab", 1)]
+    model = learn(spark.createDataFrame(rows, "text string, toxic int"), buckets=1 << 16)
+    count = [Counter(), Counter()]
+    for text, toxic in rows:
+        for w in set(expressions(text)):
+            w = f"\x02{w}\x03"
+            count[toxic].update(w[max(0, i + 1 - ORDER) : i + 1] for i in range(1, len(w)))
+    grams = {w[i:j] for text, _ in rows for x in expressions(text) for w in [f"\x02{x}\x03"] for i in range(len(w)) for j in range(i + 2, min(i + ORDER, len(w)) + 1)}
+    after = Counter(g[1:] for g in grams)
+    known = {g for g in after if len(g) == 1}
+
+    def shared(context, ch):
+        lower = shared(context[1:], ch) if context else 1 / (len(known) + 1)
+        seen = {g: n for g, n in after.items() if g[:-1] == context}
+        return (max(after[context + ch] - DISCOUNT, 0) + DISCOUNT * len(seen) * lower) / sum(seen.values()) if seen else lower
+
+    def own(c, context, ch):
+        lower = shared(context[1:], ch)
+        seen = {g: n for g, n in count[c].items() if g[:-1] == context}
+        return (max(count[c][context + ch] - DISCOUNT, 0) + DISCOUNT * len(seen) * lower) / sum(seen.values()) if seen else lower
+
+    for word in ("abab", "abcb", "zab", "", "abababab"):
+        marked = f"\x02{word}\x03"
+        want = [[math.log(own(c, marked[max(0, i + 1 - ORDER) : i], marked[i])) for i in range(1, len(marked))] for c in (0, 1)]
+        ordinary, toxic, place = model.logs([word])
+        assert np.allclose(ordinary, want[0]) and np.allclose(toxic, want[1]) and len(place) == len(word) + 1
+        assert model.evidence([word])[0] == pytest.approx(sum(want[1]) - sum(want[0]))
+    for context in ("", "a", "ab", "abab", "ca"):
+        for c in (0, 1):  # a text's next character, known or not, has probability one in all
+            p = [np.exp(model.logs([context + ch])[c][len(context)]) for ch in sorted(known - {"\x03"}) + ["q"]]
+            end = np.exp(model.logs([context])[c][len(context)])
+            assert sum(p) + end == pytest.approx(1)
+
+
+def test_toxicity_is_a_texts_own(spark):
+    from granary.llm.toxicity import _Reader, learn, training_rows
 
-    g = character_grams(["ab", "", "abcdefg"], 3)
-    assert list(g["word"]) == [0, 0, 0, 1, *[2] * 8] and g["gram"][0] == character_grams(["ax"], 3)["gram"][0]
-    assert character_grams(["xaby"], 3)["tail"][3] == character_grams(["zaby"], 3)["tail"][3]
+    d, labels, _ = toxic_table(spark, 300)
+    reader = _Reader(learn(training_rows(d, labels)))
+    texts = [r["text"] for r in d.limit(40).collect()]
+    together = reader.features(pa.array(texts))
+    assert all((reader.features(pa.array([t]))[0] == f).all() for t, f in zip(texts, together))
+    long = reader.features(pa.array([" ".join(texts) * 100]))
+    assert np.isfinite(long).all()
 
 
 # 7 language
@@ -437,6 +568,38 @@ def test_language(spark):
     assert {r["lang_pred"] for r in identify(d, learn(empty(spark))).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    """Naive Bayes by dictionaries, before buckets: n-grams stay inside their text, whatever stands beside it."""
+    from granary.llm.language import BUCKETS, EVIDENCE, SMOOTHING, STRETCH, _grams, _long_grams, identify, learn
+
+    def runs(text):
+        s = re.sub(r"[^a-z]+", " ", f" {text.lower()} ")
+        return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)]
+
+    random.seed(20)
+    texts = [" ".join("".join(random.choices("abcd" if i % 2 else "cdef", k=random.randint(1, 6))) for _ in range(random.randint(1, 12))) + random.choice(["", "!", " 12"]) for i in range(60)]
+    d = docs(spark, texts, lang=lambda i: "xy"[i % 2])
+    counts = {x: Counter() for x in "xy"}
+    for i, t in enumerate(texts):
+        counts["xy"[i % 2]].update(runs(t))
+    asked = [*texts[:10], "the", "a", "fade bead zzz"]
+    got = {r["doc_id"]: r for r in identify(docs(spark, asked), learn(d)).collect()}
+    for i, t in enumerate(asked):
+        sums = [math.log(0.5) + sum(math.log((counts[x][g] + SMOOTHING) / (counts[x].total() + SMOOTHING * BUCKETS)) for g in runs(t)) for x in "xy"]
+        heat = min(1, EVIDENCE / len(runs(t)))
+        assert got[i]["lang_pred"] == "xy"[sums[1] > sums[0]]
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-heat * abs(sums[1] - sums[0]))), rel=1e-4)
+    model = learn(d)
+    for near in ("zzz", "", "the"):
+        pair = identify(docs(spark, ["chat the", near]).coalesce(1), model).orderBy("doc_id").first()
+        assert pair["score"] == identify(docs(spark, ["chat the"]), model).first()["score"]
+    for t in ["", " ", "a", "12", "abc, d3f!! x", "".join(random.choices("ab 1,é", k=500))]:
+        for stretch in (1, 2, 3, 7, 1000):
+            assert sorted(np.concatenate([np.empty(0, int), *_long_grams(t, BUCKETS, 3, stretch)])) == sorted(np.concatenate([g for g, _ in _grams([t], BUCKETS, 3)[0]]))
+    long = identify(docs(spark, ["chat the " * (STRETCH // 4), "chat the " * 40]), model).orderBy("doc_id").collect()
+    assert long[0]["lang_pred"] == long[1]["lang_pred"]
+
+
 # 8 secrets
 
 
@@ -490,6 +653,49 @@ def test_scores(spark):
     assert [r["score"] for r in small] == pytest.approx([r["score"] for r in whole])
 
 
+def test_scores_equal_brute_force(spark):
+    """The interpolated probabilities under given weights, counts in dictionaries, over several levels of owners."""
+    from granary.llm.lm_scoring import BUCKETS, score_texts
+
+    rng = np.random.default_rng(21)
+    weights = rng.dirichlet(np.ones(3), BUCKETS)
+    random.seed(21)
+    texts = [" ".join(f"v{int(random.paretovariate(0.7))}" for _ in range(random.randint(0, 30))) for _ in range(200)] + ["", None, "Never seen BEFORE", "seen by no one"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "v1 v2 v3"), (3, texts[3]), (3, "v1 v1"), *[(5, "copy of many words")] * 40]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(6)
+    tokens = lambda t: [*WORD.findall((t or "").translate(FOLD)), "\n"]
+    uni, bi, context = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+            w = ["", *tokens(t)]
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+            context.update(w[:-1])
+    n, v = uni.total(), len(uni)
+
+    def score(t):
+        w, total = ["", *tokens(t)], 0.0
+        for a, b in zip(w, w[1:]):
+            c = uni[a] if a else context[""]
+            x = weights[min(math.ceil(math.log2(c + 1)), BUCKETS - 1)]
+            total += math.log10(x[0] * (bi[a, b] / c if c else 0) + x[1] * uni[b] / n + x[2] / (v + 1))
+        return total
+
+    want = sorted(((i is None, i or 0), score(t)) for i, t in rows)
+    for kw in ({}, {"chunk_bytes": 300, "part_keys": 40, "group": 4}, {"chunk_bytes": 300, "part_keys": 1000, "group": 2}):
+        got = score_texts(frame, weights=weights, **kw).collect()
+        have = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["score"]) for r in got)
+        assert [k for k, _ in have] == [k for k, _ in want] and [x for _, x in have] == pytest.approx([x for _, x in want])
+        assert {r["train_tokens"] for r in got} == {n}
+
+
+def test_scores_of_long_texts(spark):
+    from granary.llm.lm_scoring import score_texts
+
+    got = score_texts(docs(spark, [" ".join(f"w{i % 70000}" for i in range(2_000_000)), "w1 w2"])).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [2_000_001, 3] and all(math.isfinite(r["score"]) for r in got)
+
+
 def test_scores_edges(spark):
     from granary.llm.lm_scoring import learn_weights, score_texts
 
@@ -569,6 +775,8 @@ def test_audio_tries_every_offset(spark):
     assert {c: r["shift"] for c, r in got.items()} == {1: 0, 2: 0}
     for c, r in got.items():
         assert r["bit_error"] == pytest.approx(np.mean(np.unpackbits((bodies[c] ^ a).view(np.uint8)))) and r["bit_error"] < 0.12
+    dealt = align(prints, prints.filter("id = 0").select("id"), pairs=1)[1].collect()  # every shared word is dealt
+    assert {(r["class_id"], r["shift"], r["bit_error"]) for r in dealt} == {(c, r["shift"], r["bit_error"]) for c, r in got.items()}
 
 
 # shared
