@@ -3,7 +3,7 @@ Unicode, as ``\\s`` and ``\\b`` must be here."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +13,15 @@ from granary import registry as R
 #: Line ends as text tools see them: CR LF, LF, CR, VT, FF, FS-RS, NEL, line and paragraph separators.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 NEWLINES = r"\r\n|\r|\n|\\n"
+#: White space of any script, as \s with (?U).
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+# Numbers in text, months and years in headers, and what a cell says instead of a number.
 NUMBER = r"\(?[-−]?(?U)\d[\d,]*(?:\.\d+)?\)?"
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 DATE_YEAR = rf"(?iU)(?:(?:\d{{1,2}}\s+)?(?:{_MONTHS})\s+(20\d{{2}})|fy\s*(20\d{{2}})|(20\d{{2}})-\d{{2}}\b)"
 BARE_YEAR = r"(?U)\b(20\d{2})\b"
+NO_NUMBER = ("", "-", "--", "—", "–", "na", "n/a", "nil", "Nil", "NA", "N/A")
 
 
 def sub(c: Column, pattern: str, by: str = "") -> Column:
@@ -24,7 +29,12 @@ def sub(c: Column, pattern: str, by: str = "") -> Column:
 
 
 def trim(c: Column) -> Column:
-    return sub(sub(c, r"(?U)^\s+"), r"(?U)\s+$")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def squeeze(c: Column) -> Column:
@@ -38,10 +48,8 @@ def lines(c: Column) -> Column:
 
 
 def has_any(c: Column, phrases: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | c.contains(p)
-    return out
+    """Whether a text holds one of the phrases, in one pass."""
+    return c.rlike("|".join(f"\\Q{p}\\E" for p in phrases))
 
 
 def ordered(cases: Iterable[tuple[str, Column]], default: str | None = None) -> Column:
@@ -62,16 +70,19 @@ def label_key(label: Column) -> Column:
 
 def match_metric(label: Column, statement: Column | None = None) -> Column:
     """The first registry metric whose aliases the label has and whose excludes it lacks; NULL if none."""
-    key = label_key(label)
-    found = F.lit(None).cast("string")
-    for name, stmt, alias, exclude in reversed(R.METRICS):
-        hit = key.rlike("(?iU)" + "|".join(f"(?:{a})" for a in alias))
-        if exclude:
-            hit = hit & ~key.rlike("(?iU)" + "|".join(f"(?:{e})" for e in exclude))
-        if statement is not None:
-            hit = hit & ((F.coalesce(statement, F.lit("")) == "") | (statement == stmt))
-        found = F.when(hit, name).otherwise(found)
-    return F.when(F.coalesce(label, F.lit("")) != "", found)
+
+    def first(key: Column) -> Column:
+        cases = []
+        for name, stmt, alias, exclude in R.METRICS:
+            hit = key.rlike("(?iU)" + "|".join(f"(?:{a})" for a in alias))
+            if exclude:
+                hit = hit & ~key.rlike("(?iU)" + "|".join(f"(?:{e})" for e in exclude))
+            if statement is not None:
+                hit = (F.coalesce(statement, F.lit("")).isin("", stmt)) & hit
+            cases.append((name, hit))
+        return ordered(cases)
+
+    return F.when(F.coalesce(label, F.lit("")) != "", let(label_key(label), first))
 
 
 def line_label(text: Column) -> Column:
@@ -91,14 +102,14 @@ def grounding_key(s: Column) -> Column:
 def parse_value(raw: Column) -> Column:
     """A printed number as double, NULL for dashes, nil and anything else. Round brackets negate, so "(-5)"
     is 5."""
-    s = trim(raw)
-    none = s.isin("", "-", "--", "—", "–", "na", "n/a", "nil", "Nil", "NA", "N/A")
-    negative = s.startswith("(") & s.endswith(")")
-    t = sub(sub(s, r"^[()]+"), r"[()]+$")
-    t = F.translate(t, "−–", "--")
-    t = trim(F.replace(sub(sub(t, r"[₹$€£]"), r"[Rr][Ss]\.?"), F.lit(","), F.lit("")))
-    v = F.when(t.rlike(r"^-?[0-9]+(?:\.[0-9]+)?\z"), t.try_cast("double"))
-    return F.when(~none, F.when(negative, -v).otherwise(v))
+
+    def value(s: Column) -> Column:
+        t = F.translate(F.btrim(s, F.lit("()")), "−–₹$€£", "--")
+        t = trim(F.translate(sub(t, r"[Rr][Ss]\.?"), ",", ""))
+        v = let(t, lambda x: F.when(x.rlike(r"^-?[0-9]+(?:\.[0-9]+)?\z"), x.try_cast("double")))
+        return F.when(~s.isin(*NO_NUMBER), F.when(s.startswith("(") & s.endswith(")"), -v).otherwise(v))
+
+    return let(trim(raw), value)
 
 
 def numbers(text: Column) -> Column:
@@ -140,10 +151,12 @@ def unit_key(unit: Column) -> Column:
 
 def heading_shaped(line: Column) -> Column:
     """Short, few digits, and a capital first or throughout."""
-    s = trim(line)
-    digits = F.regexp_count(s, F.lit(r"(?U)\d"))
-    upper = s.rlike(r"^[\p{Lu}\p{Lt}]") | ((F.upper(s) == s) & (F.lower(s) != s))
-    return (F.length(s) > 0) & (F.length(s) <= 120) & (F.size(F.split(squeeze(s), " ")) <= 14) & (digits <= F.length(s) * 0.3) & upper
+
+    def shaped(s: Column) -> Column:
+        upper = s.rlike(r"^[\p{Lu}\p{Lt}]") | ((F.upper(s) == s) & (F.lower(s) != s))
+        return (F.length(s) > 0) & (F.length(s) <= 120) & (F.size(F.split(s, r"(?U)\s+")) <= 14) & (F.regexp_count(s, F.lit(r"(?U)\d")) <= F.length(s) * 0.3) & upper
+
+    return let(trim(line), shaped)
 
 
 def section_type(text: Column) -> Column:

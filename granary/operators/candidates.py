@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,29 +16,30 @@ from granary.package import ship
 ANSWER = "metrics array<struct<canonical_name:string,raw_label:string,value:string,unit:string,year:string,confidence:string,section_type:string,evidence:string>>, notes string"
 
 
+def outermost(text: str) -> list[str]:
+    """The stretches of a text from a brace that opens at depth 0 to the one that closes it: depths are the
+    running sum over all braces, so a stretch that never closes holds nothing, nor does what it encloses."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    step = (letters == ord("{")).astype(np.int64) - (letters == ord("}"))
+    at = np.flatnonzero(step)
+    depth = np.cumsum(step[at])
+    opens, closes = at[(step[at] > 0) & (depth == 1)], at[(step[at] < 0) & (depth == 0)]
+    return [text[a : b + 1] for a, b in zip(opens.tolist(), closes.tolist(), strict=False)]
+
+
 def _recovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Answers that don't parse: complete objects at outermost depth that name a metric, as one answer."""
+    """Answers that don't parse: their outermost objects that parse and name a metric, as one answer."""
     import json
 
-    def repair(text: str | None) -> str | None:
-        found, depth, start = [], 0, -1
-        for i, ch in enumerate(text or ""):
-            if ch == "{":
-                start = i if depth == 0 else start
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-                if depth == 0 and start >= 0:
-                    try:
-                        one = json.loads(text[start : i + 1])
-                    except json.JSONDecodeError:
-                        one = {}
-                    found += [one] if "canonical_name" in one else []
-                    start = -1
-        return json.dumps({"metrics": found, "notes": "recovered"}) if found else None
+    def parsed(body: str) -> dict:
+        try:
+            return json.loads(body)
+        except json.JSONDecodeError:
+            return {}
 
     for b in batches:
-        yield b.assign(answer=b["answer"].map(repair))
+        found = [[one for one in map(parsed, outermost(text or "")) if "canonical_name" in one] for text in b["answer"]]
+        yield b.assign(answer=[json.dumps({"metrics": f, "notes": "recovered"}) if f else None for f in found])
 
 
 def strip_fence(answer: Column) -> Column:

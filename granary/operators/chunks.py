@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,13 @@ def offsets(pages: DataFrame) -> DataFrame:
 
 
 def headings(placed: DataFrame) -> DataFrame:
-    """doc_id, pos, heading: heading-like lines and where they start in the document's text."""
-    whole = F.concat("text", F.lit("\n"))
-    ends = F.regexp_extract_all(whole, F.lit(f"(?s).*?(?:{LINE_END}|\\z)"), F.lit(0))
-    p = placed.select("doc_id", "char_start", F.filter(ends, lambda x: x != "").alias("ls"))
-    sums = F.transform("ls", lambda x, i: F.struct(F.aggregate(F.slice("ls", 1, i), F.lit(0), lambda a, y: a + F.length(y)).alias("at"), trim(x).alias("line")))
-    p = p.select("doc_id", "char_start", F.explode(sums).alias("l")).select("doc_id", (F.col("char_start") + F.col("l.at")).alias("pos"), F.col("l.line").alias("heading"))
-    return p.filter(heading_shaped(F.col("heading")))
+    """doc_id, pos, heading: heading-like lines and where they start in the document's text. A line's place is
+    a running sum within its page, on the partitioning that page offsets have already."""
+    ends = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(f"(?s).*?(?:{LINE_END}|\\z)"), F.lit(0))
+    ls = placed.select("doc_id", "page_no", "char_start", F.posexplode(ends).alias("i", "line"))
+    before = Window.partitionBy("doc_id", "page_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    ls = ls.withColumn("at", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)).cast("int"))
+    return ls.filter(heading_shaped(F.col("line"))).select("doc_id", (F.col("char_start") + F.col("at")).alias("pos"), trim(F.col("line")).alias("heading"))
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -53,26 +54,26 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     parts = text.split(sep) if sep else list(text)
     pieces = [p for p in [parts[0], *(sep + p for p in parts[1:])] if p]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    chars = 0  # of the pieces held
 
     def emit() -> None:
         if whole := "".join(held).strip():
             out.append(whole)
 
-    def fill(p: str) -> None:
-        if held and sum(map(len, held)) + len(p) > size:
-            emit()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
-                held.pop(0)
-        held.append(p)
-
     for p in pieces:
-        if len(p) <= size:
-            fill(p)
+        if len(p) > size:
+            emit()
+            held.clear()
+            chars = 0
+            out.extend(split_text(p, size, overlap, finer) if finer else [p])
             continue
-        emit()
-        held.clear()
-        out.extend(split_text(p, size, overlap, finer) if finer else [p])
+        if held and chars + len(p) > size:
+            emit()
+            while held and (chars > overlap or chars + len(p) > size):
+                chars -= len(held.popleft())
+        held.append(p)
+        chars += len(p)
     emit()
     return out
 

@@ -8,20 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import registry as R
-from granary.functions.text import has_any, heading_shaped, lines, ordered, section_type, trim
+from granary.functions.text import has_any, heading_shaped, let, lines, ordered, section_type, trim
 
+# Fixed value: numbers as statements print them.
 FINANCIAL_NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+\.\d{2}(?!\s*%)"
 
 
 def _kind(line: Column) -> Column:
-    low = F.lower(trim(line))
-    return ordered([(t, has_any(low, words)) for t, words in R.TITLES])
+    return let(F.lower(line), lambda low: ordered([(t, has_any(low, words)) for t, words in R.TITLES]))
 
 
 def _cell_like(line: Column) -> Column:
-    s = trim(line)
-    letters = F.regexp_count(s, F.lit(r"\p{L}"))
-    return (F.length(s) > 0) & (F.length(s) <= 20) & (F.length(s) - letters >= F.length(s) * 0.5) & s.rlike(r"(?U)\d")
+    def like(s: Column) -> Column:
+        n = F.length(s)
+        return (n > 0) & (n <= 20) & (n - F.regexp_count(s, F.lit(r"\p{L}")) >= n * 0.5) & s.rlike(r"(?U)\d")
+
+    return let(trim(line), like)
 
 
 def classify(pages: DataFrame) -> DataFrame:
@@ -42,8 +44,8 @@ def classify(pages: DataFrame) -> DataFrame:
     p = p.withColumn("strong", F.when(dense, strong)).withColumn("kind", F.when(dense, F.coalesce("strong", weak)))
 
     def quality(words: list[str]) -> Column:
-        low = lambda x: F.lower(trim(x))
-        each = F.transform("titles", lambda x: F.greatest(*[F.when(low(x).contains(w), F.when(F.length(low(x)) - len(w) <= 10, 2).otherwise(1)).otherwise(0) for w in words]))
+        rate = lambda low: F.greatest(*[F.when(low.contains(w), F.when(F.length(low) - len(w) <= 10, 2).otherwise(1)).otherwise(0) for w in words])
+        each = F.transform("titles", lambda x: let(F.lower(trim(x)), rate))
         return F.coalesce(F.array_max(each), F.lit(0))
 
     heading = reduce(lambda acc, t: F.when(F.col("strong") == t[0], quality(t[1])).otherwise(acc), R.TITLES, F.lit(0))
@@ -87,7 +89,7 @@ def tag_tables(tables: DataFrame, classes: DataFrame) -> DataFrame:
     return out.withColumn("section_hint", section).drop("_section")
 
 
-def content_gate(pages: DataFrame, words: list[str], most_pages: int = R.GATE_PAGES) -> DataFrame:
+def content_gate(pages: DataFrame, words: list[str] = R.FINANCIAL_WORDS, most_pages: int = R.GATE_PAGES) -> DataFrame:
     """doc_id, has_content: whether any of the first pages says any of the words."""
     hit = (F.col("page_no") <= most_pages) & has_any(F.lower(F.coalesce("text", F.lit(""))), words)
     return pages.groupBy("doc_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("has_content"))

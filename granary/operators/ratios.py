@@ -40,7 +40,8 @@ def _ratio(name: str, top: str, bottom: str) -> Column:
     return F.try_divide(_value(top), _value(bottom))
 
 
-def _levels(risk: str, c: Column, threshold: float) -> Column:
+def level(risk: str, c: Column, threshold: float = R.OCF_THRESHOLD) -> Column:
+    """High, Medium or Low by the risk's driver, Unknown without one."""
     _, _, high, medium = next(r for r in R.RISKS if r[0] == risk)
     medium = threshold if risk == "cashflow_risk" else medium
     worse = (lambda x: c > x) if risk == "debt_risk" else (lambda x: c < x)
@@ -74,7 +75,7 @@ def compute(wide_rows: DataFrame, ocf_threshold: float = R.OCF_THRESHOLD) -> Dat
     base = [_value(m).alias(m) for m in R.METRIC_NAMES]
     conflicts = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.lit(n).alias("key"), F.col(f"_c_{n}").alias("value"))) for n, *_ in R.RATIOS])))
     out = out.select("doc_id", "year", *base, _value("total_debt").alias("total_debt"), *[n for n, *_ in R.RATIOS], *growth, conflicts.alias("conflicts"))
-    risks = [_levels(r, F.col(source), ocf_threshold).alias(r) for r, source, *_ in R.RISKS]
+    risks = [level(r, F.col(source), ocf_threshold).alias(r) for r, source, *_ in R.RISKS]
     out = out.select("*", *risks)
     return out.withColumn("overall_risk", worst_risk(*[F.col(r) for r, *_ in R.RISKS]))
 

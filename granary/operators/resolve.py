@@ -90,14 +90,16 @@ def missing_core(pivoted: DataFrame) -> DataFrame:
     return pivoted.select("doc_id", "year", lacks.alias("missing")).filter(F.size("missing") > 0)
 
 
-def quality(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Per document: candidate_rows, resolved_rows, missing (year to core metrics), issues (messages)."""
+def quality(candidates: DataFrame, resolved: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Per document: candidate_rows, resolved_rows, missing (year to core metrics), issues (messages). With
+    ``documents`` (doc_id), those without a candidate have a row as well."""
     wide = pivot(resolved)
     n = candidates.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidate_rows"))
+    n = n if documents is None else documents.select("doc_id").distinct().join(n, "doc_id", "left")
     r = resolved.groupBy("doc_id").agg(F.count(F.lit(1)).alias("resolved_rows"))
     m = missing_core(wide).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "missing")))).alias("missing"))
     i = accounting_checks(wide).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("year", "seq", "message"))).alias("i"))
     out = n.join(r, "doc_id", "left").join(m, "doc_id", "left").join(i, "doc_id", "left")
-    none = F.when(F.col("resolved_rows").isNull(), F.array(F.lit("All candidates had invalid or missing years.")))
+    none = F.when(F.col("candidate_rows").isNull(), F.array(F.lit("No candidate metrics extracted."))).when(F.col("resolved_rows").isNull(), F.array(F.lit("All candidates had invalid or missing years.")))
     issues = F.coalesce(none, F.transform("i", lambda x: x["message"]), F.array().cast("array<string>"))
-    return out.select("doc_id", "candidate_rows", F.coalesce("resolved_rows", F.lit(0)).alias("resolved_rows"), "missing", issues.alias("issues"))
+    return out.select("doc_id", F.coalesce("candidate_rows", F.lit(0)).alias("candidate_rows"), F.coalesce("resolved_rows", F.lit(0)).alias("resolved_rows"), "missing", issues.alias("issues"))

@@ -5,6 +5,8 @@ residual. One aggregation per candidate then ranks what was hit, and one express
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,30 @@ from granary.functions.text import column_years, match_metric, parse_value, trim
 
 TOLERANCE = 0.005
 
+# States and reasons as users and prompts see them.
+REASONS = {
+    "no table": ("NEEDS_REVIEW", "no structural table available for this page -- row/column identity unverifiable from structure alone"),
+    "contradiction": ("REJECTED", "structural contradiction: row {label} (label matches raw_label verbatim), column for {year} contains {true}, not the declared value {value}"),
+    "not found": ("NEEDS_REVIEW", "declared value {value} not found in any structural table cell on this page"),
+    "other year": ("NEEDS_REVIEW", "value found at row {row} but in the {actual} column, not the declared {year} column"),
+    "no single year": ("NEEDS_REVIEW", "value found at row {row} but that column's header maps to {years} year(s), not unambiguously {year}"),
+    "several": ("NEEDS_REVIEW", "declared value+year combination matches {clean} structurally distinct rows on this page -- not uniquely identifiable"),
+    "other row": ("NEEDS_REVIEW", "declared raw_label matches row {label}, but the declared value+year matches a different row ({row}) -- label/value row mismatch"),
+    "subtotal": ("NEEDS_REVIEW", "row {row}'s label matches {metric}, but {n} rows on this page do (rows {rivals}) -- row {row} is not the last (most likely final-total) of them; likely an intermediate subtotal"),
+    "final": ("VERIFIED", "row {row} uniquely identified by value+year; column matches declared year {year}; positionally final among {n} candidate rows for this metric"),
+    "sole": ("VERIFIED", "row {row} uniquely identified by value+year; column matches declared year {year}"),
+}
+
+
+def printed(value: Column) -> Column:
+    """A double in plain digits, the fewest that tell it, with a point."""
+    digits = F.regexp_replace(value.cast("string").try_cast("decimal(38,17)").cast("string"), "0+$", "")
+    return F.coalesce(F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits), value.cast("string"))
+
+
+def listed(numbers: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda x: x.cast("string")), ", "), F.lit("]"))
+
 
 def row_key(label: Column) -> Column:
     return F.regexp_replace(F.lower(trim(F.coalesce(label, F.lit("")))), r"(?U)\s+", " ")
@@ -23,6 +49,17 @@ def with_column_years(tables: DataFrame, header: str = "header") -> DataFrame:
     return tables.withColumn("col_years", F.map_from_entries(F.filter(pairs, lambda p: F.size(p["value"]) > 0)))
 
 
+def from_extracted(tables: DataFrame) -> DataFrame:
+    """Extracted tables (doc_id, page_no, ord, header, rows) as structural ones: empty cells for missing ones,
+    table_id "<page>_t<ord>", row_count, col_count, and years from the header names where there are any (the
+    rows then hold data only), else from the first row. A table with neither rows nor header goes."""
+    t = tables.withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit("")))))
+    named = F.coalesce(F.size("header"), F.lit(0)) > 0
+    t = t.withColumn("header", F.when(named, F.col("header")).otherwise(F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>")))).filter((F.size("rows") > 0) | (F.size("header") > 0))
+    t = t.withColumn("table_id", F.concat(F.col("page_no").cast("string"), F.lit("_t"), F.col("ord").cast("string"))).withColumn("row_count", F.size("rows"))
+    return with_column_years(t.withColumn("col_count", F.coalesce(F.array_max(F.transform("rows", F.size)), F.size("header"))))
+
+
 def table_cells(tables: DataFrame) -> DataFrame:
     """doc_id, call, ord (tables' order within the call), table_id, row_index, col_index, cell_text,
     cell_value, years, row_label, has_number (beyond column 0)."""
@@ -59,7 +96,7 @@ def validate(candidates: DataFrame, tables: DataFrame) -> DataFrame:
     meant = data.select("doc_id", "call", "ord", "row_index", "row_label")
     types = slim.select("doc_id", "call", "statement_type").distinct()
     meant = meant.join(types, ["doc_id", "call"]).withColumn("metric_name", match_metric(F.col("row_label"), F.col("statement_type"))).filter("metric_name is not null")
-    rival = meant.groupBy("doc_id", "call", "ord", "statement_type", "metric_name").agg(F.count(F.lit(1)).alias("rivals"), F.max("row_index").alias("last"))
+    rival = meant.groupBy("doc_id", "call", "ord", "statement_type", "metric_name").agg(F.sort_array(F.collect_set("row_index")).alias("rivals"))
     some = tables.select("doc_id", "call").distinct().withColumn("has_tables", F.lit(True))
 
     d = c.join(hits, key, "left").join(label, key, "left").join(some, ["doc_id", "call"], "left").withColumn("ord", F.col("best.hit.ord"))
@@ -67,24 +104,28 @@ def validate(candidates: DataFrame, tables: DataFrame) -> DataFrame:
     h, row = F.col("best.hit"), F.col("best.hit.row_index")
     column = F.array_min(F.map_keys(F.map_filter("lab.sole", lambda k, y: y == F.col("year"))))
     truth = F.try_element_at("lab.cells", column)
-    text = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
-    s = lambda x: x.cast("string")
-    own = F.coalesce(match_metric(h["row_label"], F.col("statement_type")) == F.col("metric_name"), F.lit(False))
+    own = F.coalesce(match_metric(h["row_label"], F.col("statement_type")) == F.col("metric_name"), F.lit(False)) & (F.size("rivals") > 1)
     none = F.lit(None)
-    verdict = lambda state, reason, table=none, r=none, k=none: F.struct(F.lit(state).alias("state"), reason.alias("reason"), table.cast("string").alias("table"), r.cast("int").alias("row"), k.cast("int").alias("col"))
+    said = {"row": row, "year": F.col("year"), "value": printed(F.col("value")), "true": printed(truth), "label": F.col("lab.row_index"), "clean": F.col("clean"), "metric": F.col("metric_name"),
+            "actual": F.try_element_at(h["years"], F.lit(1)), "years": F.when(F.size(h["years"]) > 0, listed(h["years"])).otherwise("no"), "n": F.size("rivals"), "rivals": listed(F.col("rivals"))}
+
+    def verdict(name: str, table=none, r=none, k=none) -> Column:
+        state, words = REASONS[name]
+        parts = [said[p[1:-1]].cast("string") if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", words) if p]
+        return F.struct(F.lit(state).alias("state"), F.concat(*[F.coalesce(p, F.lit("None")) for p in parts]).alias("reason"), table.cast("string").alias("table"), r.cast("int").alias("row"), k.cast("int").alias("col"))
+
     here = (h["table_id"], row, h["col_index"])
     found = (
-        F.when(F.col("has_tables").isNull(), verdict("NEEDS_REVIEW", F.lit("no structural table available")))
-        .when(F.col("best").isNull() & truth.isNotNull() & (F.abs(truth - F.col("value")) >= TOLERANCE),
-              verdict("REJECTED", text("structural contradiction: row ", s(F.col("lab.row_index")), " has another value for ", s(F.col("year"))), F.col("lab.table_id"), F.col("lab.row_index"), column))
-        .when(F.col("best").isNull(), verdict("NEEDS_REVIEW", F.lit("declared value not found in any structural table cell")))
-        .when(F.col("best.kind") == 1, verdict("NEEDS_REVIEW", text("value found at row ", s(row), " but in the ", s(F.try_element_at(h["years"], F.lit(1))), " column"), *here))
-        .when(F.col("best.kind") == 2, verdict("NEEDS_REVIEW", text("value found at row ", s(row), " but that column has no single year"), *here))
-        .when(F.col("clean") > 1, verdict("NEEDS_REVIEW", text("value and year match ", s(F.col("clean")), " distinct cells")))
-        .when((F.col("lab.ord") == h["ord"]) & (F.col("lab.row_index") != row), verdict("NEEDS_REVIEW", text("raw_label matches row ", s(F.col("lab.row_index")), ", the value row ", s(row)), *here))
-        .when(own & (F.col("rivals") > 1) & (row != F.col("last")), verdict("NEEDS_REVIEW", text("row ", s(row), " is not the last of ", s(F.col("rivals")), " rows for the metric"), *here))
-        .when(own & (F.col("rivals") > 1), verdict("VERIFIED", text("row ", s(row), " by value and year; last of ", s(F.col("rivals")), " rows"), *here))
-        .otherwise(verdict("VERIFIED", text("row ", s(row), " by value and year"), *here))
+        F.when(F.col("has_tables").isNull(), verdict("no table"))
+        .when(F.col("best").isNull() & truth.isNotNull() & (F.abs(truth - F.col("value")) >= TOLERANCE), verdict("contradiction", F.col("lab.table_id"), F.col("lab.row_index"), column))
+        .when(F.col("best").isNull(), verdict("not found"))
+        .when(F.col("best.kind") == 1, verdict("other year", *here))
+        .when(F.col("best.kind") == 2, verdict("no single year", *here))
+        .when(F.col("clean") > 1, verdict("several"))
+        .when((F.col("lab.ord") == h["ord"]) & (F.col("lab.row_index") != row), verdict("other row", *here))
+        .when(own & (row != F.element_at("rivals", -1)), verdict("subtotal", *here))
+        .when(own, verdict("final", *here))
+        .otherwise(verdict("sole", *here))
     )
     d = d.withColumn("_v", found)
     return d.select(*c.columns, F.col("_v.state").alias("verification_state"), F.col("_v.reason").alias("verification_reason"), F.col("_v.table").alias("table_id"), F.col("_v.row").alias("row_index"), F.col("_v.col").alias("col_index"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import registry as R
+from granary.functions.text import ordered
 from granary.operators import ratios
 
 # Phrases of questions and answers, and the ratio or metric each names.
@@ -23,10 +24,37 @@ KEY_METRICS = ["current_ratio", "debt_to_equity", "profit_margin", "free_cash_fl
 VIEW_RATIOS = ["current_ratio", "cash_ratio", "debt_to_equity", "debt_ratio", "interest_coverage", "profit_margin", "operating_margin", "gross_margin", "asset_turnover", "ocf_to_revenue", "free_cash_flow", "yoy_revenue_growth", "yoy_profit_growth", "total_debt"]
 
 
-def document_guard(documents: DataFrame) -> DataFrame:
-    """doc_id, ready, error_code: what reading a document runs into."""
-    code = F.when(F.col("status") == "ready", None).when(F.col("status") == "failed", "EXTRACTION_FAILED").otherwise("NOT_READY")
-    return documents.select("doc_id", (F.col("status") == "ready").alias("ready"), code.alias("error_code"))
+def document_guard(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, ready, error_code for each asked doc_id: what reading the document runs into."""
+    d = asked.select("doc_id").join(documents.select("doc_id", "status", F.lit(True).alias("there")), "doc_id", "left")
+    code = F.when(F.col("there").isNull(), R.NOT_THERE)
+    for status, c in R.GUARD_CODES.items():
+        code = code.when(F.col("status") == status, c)
+    return d.select("doc_id", code.isNull().alias("ready"), code.alias("error_code"))
+
+
+def year_list(text: Column) -> Column:
+    """A stored JSON list of years; none where it is missing or malformed."""
+    return F.coalesce(F.from_json(text, "array<int>"), F.array().cast("array<int>"))
+
+
+def metrics_view(documents: DataFrame, resolved: DataFrame) -> DataFrame:
+    """doc_id, company_name, document_years and the document's resolved metrics of known year, by year; documents
+    without any have an empty list."""
+    columns = [c for c in resolved.columns if c != "doc_id"]
+    own = resolved.filter("year is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("year", *[c for c in columns if c != "year"]))).alias("metrics"))
+    d = documents.select("doc_id", "company_name", year_list(F.col("document_years")).alias("document_years")).join(own, "doc_id", "left")
+    return d.withColumn("metrics", F.coalesce("metrics", F.array().cast(own.schema["metrics"].dataType)))
+
+
+def years_of(resolved: DataFrame) -> DataFrame:
+    """doc_id, years: distinct years of each document, ascending."""
+    return resolved.filter("year is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("year")).alias("years"))
+
+
+def metric_at(resolved: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, metric_name, year, value for the wanted (doc_id, metric_name, year); absent and NULL values have no row."""
+    return wanted.select("doc_id", "metric_name", "year").distinct().join(resolved.select("doc_id", "metric_name", "year", "value").filter("value is not null"), ["doc_id", "metric_name", "year"])
 
 
 def upload_gates(uploads: DataFrame) -> DataFrame:
@@ -47,19 +75,34 @@ def ratio_view(wide_rows: DataFrame) -> DataFrame:
 
 
 def risk_view(wide_rows: DataFrame) -> DataFrame:
-    """Per document, year and risk: level, driver value, trust state."""
+    """Per document, year and risk: level, ratio_used, driver value, threshold in words, trust state; the overall
+    risk has neither driver nor threshold."""
     c = ratios.compute(wide_rows).join(ratios.risk_states(wide_rows), ["doc_id", "year"])
-    one = lambda r, src: F.struct(F.lit(r.removesuffix("_risk")).alias("risk"), F.col(r).alias("level"), (F.col(src) if src else F.lit(None).cast("double")).alias("driver"), F.col(r.removesuffix("_risk")).alias("state"))
+    none = F.lit(None).cast("string")
+
+    def one(risk: str, source: str | None) -> Column:
+        name = risk.removesuffix("_risk")
+        driver = F.col(source) if source else F.lit(None).cast("double")
+        used = F.lit(source) if source in R.RISK_OF_RATIO else none
+        threshold = F.lit(R.THRESHOLDS[risk]) if risk in R.THRESHOLDS else none
+        return F.struct(F.lit(name).alias("risk"), F.col(risk).alias("level"), used.alias("ratio_used"), driver.alias("driver"), threshold.alias("threshold"), F.col(name).alias("state"))
+
     rows = F.array(*[one(r, s) for r, s, *_ in R.RISKS], one("overall_risk", None))
     return c.select("doc_id", "year", F.explode(rows).alias("r")).select("doc_id", "year", "r.*")
 
 
 def explain(wide_rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Each ratio of a document's latest year with the source rows of its two inputs."""
+    """Each ratio of a document's latest year with the source rows of its two inputs and, for the ratios that a
+    risk is read from, risk_type, risk_level and threshold."""
     p = ratios.provenance(wide_rows)
     p = p.withColumn("_last", F.max("year").over(Window.partitionBy("doc_id"))).filter("year = _last").drop("_last")
     side = lambda s: resolved.select("doc_id", "year", F.col("metric_name").alias(s), F.struct("unit", "page_no", "raw_label", "evidence", "verification_state", "table_id", "row_index", "col_index").alias(f"{s}_row"))
-    return p.join(side("numerator"), ["doc_id", "year", "numerator"], "left").join(side("denominator"), ["doc_id", "year", "denominator"], "left")
+    p = p.join(side("numerator"), ["doc_id", "year", "numerator"], "left").join(side("denominator"), ["doc_id", "year", "denominator"], "left")
+    risk = ordered([(r, F.col("ratio_name") == ratio) for ratio, r in R.RISK_OF_RATIO.items()])
+    level = lambda r: ratios.level(r, F.col("result"))
+    each = lambda f: F.coalesce(*[F.when(F.col("risk") == r, f(r)) for r in R.RISK_OF_RATIO.values()])
+    p = p.withColumn("risk", risk)
+    return p.select("*", F.regexp_replace("risk", "_risk$", "").alias("risk_type"), each(level).alias("risk_level"), each(lambda r: F.lit(R.THRESHOLDS[r])).alias("threshold")).drop("risk")
 
 
 def trust_summary(resolved: DataFrame) -> DataFrame:

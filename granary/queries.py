@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from granary import bind
 from granary.functions import text as T
 from granary.operators import candidates as C
 from granary.operators import chunks, evaluate, pages, prompts, ratios, resolve, views
+from granary.package import shared_dir
 from granary.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,12 +162,11 @@ def mentions(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
-    place = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="granary-stream-")
-    at = f"{place.rstrip('/')}/stream-{abs(hash((d, id(object()))))}"
+    at = f"{shared_dir(s)}/granary/stream-{uuid.uuid4().hex}"
     schema = bind.table(s, d, "events").schema
     events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     refresh.drained(refresh.windowed_counts(events), f"{at}/out", f"{at}/state")
-    return s.read.parquet(f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return refresh.latest(s, f"{at}/out", ["start", "event_type"], ["n"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 QUERIES: dict[str, Query] = {

@@ -104,5 +104,19 @@ OCF_THRESHOLD = 100.0
 RISKS = [("liquidity_risk", "current_ratio", 1.0, 1.5), ("debt_risk", "debt_to_equity", 2.0, 1.0), ("profitability_risk", "profit_margin", 0.0, 0.05), ("cashflow_risk", "operating_cash_flow", 0.0, OCF_THRESHOLD)]
 RISK_CODE = {"High": 3, "Medium": 2, "Low": 1, "Unknown": 0}
 
-# Upload gates.
+# Thresholds of risks in words, and the ratio that each is read from (none for cash flow).
+THRESHOLDS = {
+    "liquidity_risk": "< 1.0 = High, 1.0-1.5 = Medium, >= 1.5 = Low",
+    "debt_risk": "< 1.0 = Low, 1.0-2.0 = Medium, > 2.0 = High",
+    "profitability_risk": "< 0 = High, 0-5% = Medium, >= 5% = Low",
+    "cashflow_risk": "< 0 = High, 0-100 Cr = Medium, >= 100 Cr = Low",
+}
+RISK_OF_RATIO = {"current_ratio": "liquidity_risk", "debt_to_equity": "debt_risk", "profit_margin": "profitability_risk"}
+
+# Upload gates, and what a page of a financial document says.
 UPLOAD_MOST_BYTES, GATE_PAGES = 50 * 1024 * 1024, 30
+FINANCIAL_WORDS = ["balance sheet", "profit and loss", "cash flow", "annual report", "10-k", "10-q"]
+
+# What reading a document runs into, by its status; a document that isn't there has none.
+GUARD_CODES = {"processing": "DOC_PROCESSING", "failed": "DOC_FAILED"}
+NOT_THERE = "DOC_NOT_FOUND"

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from granary.operators.resolve import pivot, resolve
+from granary.sources.documents import bucket_of, store
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", window: str = "1 hour") -> DataFrame:
@@ -17,33 +18,37 @@ def windowed_counts(events: DataFrame, late: str = "1 day", window: str = "1 hou
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Runs a stream over what is there, into ``path``: each batch replaces what it finds, so that repeating
-    one changes nothing. For aggregates in complete mode."""
+    """Runs a stream over what is there, into ``path``: each batch adds the rows that it changed under its own
+    number, so repeating one changes nothing, and windows past the watermark leave the state. See ``latest``."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     return q
 
 
-def refresh(spark: SparkSession, incoming: str, schema: StructType, store: str, checkpoint: str) -> StreamingQuery:
-    """Candidate files in, resolved and pivoted metrics out, partitioned by doc_id. A batch touches the
-    documents that it names: their candidates are kept under ``store``/candidates, re-resolved whole and
-    overwritten, so a repeated batch leaves the same rows."""
+def latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
+    """What stands after the last batch: of each key the row of the latest batch that changed it."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*[F.max_by(v, "batch").alias(v) for v in values])
+
+
+def refresh(spark: SparkSession, incoming: str, schema: StructType, folder: str, checkpoint: str) -> StreamingQuery:
+    """Candidate files in, resolved and pivoted metrics out. A batch touches the documents that it names: their
+    candidates are kept under ``folder``/candidates by bucket of documents and batch, re-resolved whole and
+    replaced under resolved and pivot, so a repeated batch leaves the same rows. Only touched buckets are read."""
     names = [f.name for f in schema]
 
     def put(batch: DataFrame, number: int) -> None:
-        own = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("batch").parquet(f"{store}/candidates")
+        keyed = batch.withColumn("bucket", bucket_of(F.col("doc_id"))).withColumn("batch", F.lit(number))
+        keyed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "batch").parquet(f"{folder}/candidates")
         touched = batch.select("doc_id").distinct()
-        whole = spark.read.parquet(f"{store}/candidates").join(touched, "doc_id", "left_semi")
-        rows = resolve(whole.select(*names))
-        rows.write.mode("overwrite").partitionBy("doc_id").parquet(f"{store}/resolved")
-        pivot(rows).write.mode("overwrite").partitionBy("doc_id").parquet(f"{store}/pivot")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", own)
+        buckets = [r[0] for r in touched.select(bucket_of(F.col("doc_id"))).distinct().collect()]  # a bounded number
+        known = spark.read.schema(keyed.schema).parquet(f"{folder}/candidates").filter(F.col("bucket").isin(buckets))
+        rows = resolve(known.join(touched, "doc_id", "left_semi").select(*names))
+        store(rows, f"{folder}/resolved", touched)
+        store(pivot(rows), f"{folder}/pivot", touched)
 
     q = spark.readStream.schema(schema).parquet(incoming).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from granary import registry as R
 from granary.functions import text as T
 from granary.operators import candidates as C
-from granary.operators import chunks, grounding, pages, prompts, ratios, resolve, structure, views
+from granary.operators import chunks, extraction_prompts, grounding, pages, prompts, ratios, resolve, structure, views
 from granary.plans.ingest import ingest
 from granary.sources import documents
 
@@ -311,7 +311,7 @@ def test_views_and_prompts(spark):
     got = one(prompts.prompts(q, prompts.resolved_section(r), prompts.computed_section(w), None))["prompt"]
     assert "  Revenue (2024): 2,000.00 crore (page 1) [standalone] [NEEDS_REVIEW: None]" in got and "  Free Cash Flow (2024): 130.0000 crore" in got and "  Current Ratio (2024): 1.5000\n" in got
     assert "No relevant document sections" in got and got.index("Income Statement:") < got.index("Balance Sheet:") < got.index("Cash Flow:")
-    assert "- revenue: revenue from operations, turnover, sales" in prompts.label_hints("income_statement")
+    assert "- revenue: revenue from operations, turnover, sales" in extraction_prompts.label_hints("income_statement")
     assert views.missing_warning(ratios.compute(w)).count() == 0 and one(views.trust_summary(r))["needs_review"] == 1
 
 
