@@ -141,11 +141,13 @@ def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERR
     asking = written(asking, "asking")
 
     word = F.explode(F.transform("heard", lambda at: F.struct(at.alias("at"), F.get("body", at).alias("word")))).alias("w")
-    placed = classes.select("class_id", F.size("body").alias("frames"), word).select("class_id", "frames", "w.at", "w.word")
-    asked = placed.join(asking, "class_id", "left_semi").select(F.col("class_id").alias("query_class"), F.col("frames").alias("q_frames"), F.col("at").alias("q_at"), "word")
+    asks = asking.select("class_id", F.lit(1).alias("asks"))
+    placed = classes.join(asks, "class_id", "left").select("class_id", F.size("body").alias("frames"), F.coalesce("asks", F.lit(0)).alias("asks"), word).select("class_id", "frames", "asks", "w.at", "w.word")
+    asked = placed.filter("asks = 1").select(F.col("class_id").alias("query_class"), F.col("frames").alias("q_frames"), F.col("at").alias("q_at"), "word")
     # a word that many hold is dealt: its places over lots, its asking places to every lot
-    held = placed.groupBy("word").agg(F.count(F.lit(1)).alias("holders")).join(asked.groupBy("word").agg(F.count(F.lit(1)).alias("askers")), "word")
+    held = placed.groupBy("word").agg(F.count(F.lit(1)).alias("holders"), F.sum("asks").alias("askers")).filter(F.col("askers") > 0)
     hot = held.select("word", F.least("holders", F.ceil(F.col("holders") * F.col("askers") / pairs)).cast("int").alias("lots")).filter("lots > 1")
+    placed = placed.drop("asks")
     dealt = lambda df: df.join(hot, "word", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
     placed = dealt(placed).withColumn("lot", F.pmod(F.xxhash64("class_id", "at"), F.col("lots")).cast("int")).drop("lots")
     asked = dealt(asked).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
@@ -177,7 +179,7 @@ def sonified(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.arange(256) / RATE
-        for b in batches:
+        for b in (batch.slice(start, 256) for batch in batches for start in range(0, batch.num_rows, 256)):
             out = []
             for v in b.column(1).to_pylist():
                 if v is None:

@@ -4,29 +4,14 @@ from __future__ import annotations
 
 import atexit
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.package import ship
+from granary.package import shared_dir, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session whose
-    executors run on this machine (a local master) gets a temporary one; any other is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="granary-")
-    return _LOCAL["dir"]
 
 
 def _forget(spark: SparkSession, path: str) -> None:
