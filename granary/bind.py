@@ -4,7 +4,7 @@ Each function has its twin in SQL in ``granary.oracles``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary import registry as R
@@ -22,7 +22,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement = F.element_at(F.array(*[F.lit(m[1]) for m in R.METRICS]), (F.col("l_partkey") % 17 + 1).cast("int"))
     q = F.col("l_quantity")
     return li.select(
-        (F.col("l_suppkey") % 100).cast("string").alias("doc_id"), metric.alias("metric_name"),
+        F.col("l_suppkey").cast("string").alias("doc_id"), metric.alias("metric_name"),
         F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Total "), words)).otherwise(words).alias("raw_label"),
         F.when(F.col("l_discount") > 0.08, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("value"),
         F.when(F.col("l_linenumber") % 2 == 0, "INR crores").otherwise("INR crore").alias("unit"), (F.year("l_shipdate") + 20).alias("year"), F.col("l_linenumber").cast("int").alias("page_no"),
@@ -78,3 +78,104 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another deterministic choice among the same candidates: per document, core metric and year the largest."""
     c = candidates(spark, sf_dir).filter(F.col("metric_name").isin(*R.CORE) & F.col("year").between(2000, 2100))
     return c.groupBy("doc_id", "metric_name", "year").agg(F.max("value").alias("expected_value")).withColumn("status", F.lit("valid"))
+
+
+#: Statements by page number: type, title, and (metric, label) of their lines.
+STATEMENT_PAGES = [
+    ("balance_sheet", "Balance Sheet", [("total_assets", "Total assets"), ("current_assets", "Total current assets"), ("cash_and_equivalents", "Cash and cash equivalents"), ("total_liabilities", "Total liabilities"),
+                                        ("current_liabilities", "Total current liabilities"), ("long_term_debt", "Non-current borrowings"), ("short_term_debt", "Short term borrowings"), ("total_equity", "Total equity")]),
+    ("income_statement", "Statement of Profit and Loss", [("revenue", "Revenue from operations"), ("gross_profit", "Gross profit"), ("operating_profit", "Operating profit"), ("net_profit", "Profit for the year"), ("interest_expense", "Finance costs")]),
+    ("cash_flow", "Cash Flow Statement", [("operating_cash_flow", "Net cash from operating activities"), ("investing_cash_flow", "Net cash from investing activities"), ("financing_cash_flow", "Net cash from financing activities"), ("capex", "Purchase of property, plant and equipment")]),
+]
+#: Lines of a page that its table and its model answer hold.
+TABLE_ROWS, ANSWER_ROWS = 12, 10
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of printed statements, a document per supplier: doc_id, page_no (1 to 3), pos, statement_type,
+    metric_name, label, v1, v2 (this year's and last year's value), year, line."""
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    of = lambda f: F.element_at(F.array(*[f(p) for p in STATEMENT_PAGES]), F.col("page_no"))
+    pick = F.pmod(F.col("l_partkey"), of(lambda p: F.lit(len(p[2])))).cast("int") + 1
+    named = lambda k: F.element_at(of(lambda p: F.array(*[F.lit(m[k]) for m in p[2]])), F.col("pick"))
+    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    li = li.withColumn("pos", F.row_number().over(order)).withColumn("page_no", F.col("l_linenumber").cast("int")).withColumn("pick", pick)
+    money = lambda c: F.format_number(c, 2)
+    v1, v2 = F.round(F.col("l_extendedprice") + 10000, 2), F.round(F.col("l_quantity") * 100 + 10000 + F.col("l_discount"), 2)
+    return li.select(
+        F.col("l_suppkey").cast("string").alias("doc_id"), "page_no", "pos", of(lambda p: F.lit(p[0])).alias("statement_type"), named(0).alias("metric_name"), named(1).alias("label"),
+        v1.alias("v1"), v2.alias("v2"), (F.pmod(F.col("l_suppkey"), F.lit(12)) + 2010).cast("int").alias("year"), F.concat(named(1), F.lit(" "), money(v1), F.lit(" "), money(v2)).alias("line"),
+    )
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, text: the printed statements, and narrative pages 4 to 7 behind them."""
+    text = lambda c: c.cast("string")
+    lines = statement_lines(spark, sf_dir).groupBy("doc_id", "page_no", "year").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    title = F.element_at(F.array(*[F.lit(p[1]) for p in STATEMENT_PAGES]), F.col("page_no"))
+    name = F.concat(F.lit("Supplier#"), F.lpad("doc_id", 9, "0"), F.lit(" Limited"))
+    head = F.concat(title, F.lit("\nConsolidated as at 31 March "), text(F.col("year")), F.lit(" and 31 March "), text(F.col("year") - 1), F.lit(" (₹ in crore)\n"), name, F.lit("\n"))
+    rest = table(spark, sf_dir, "lineitem").filter("l_linenumber > 3").groupBy(F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_no")).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("page_no") % 2 == 0, "Notes to the accounts").otherwise("Management discussion")
+    return lines.select("doc_id", "page_no", F.concat(head, "body").alias("text")).unionByName(rest.select("doc_id", "page_no", F.concat(kind, F.lit("\nOrders met: "), text(F.col("n"))).alias("text")))
+
+
+def _rows(lines: DataFrame) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array("label", F.format_number("v1", 2), F.format_number("v2", 2)).alias("r")))), lambda x: x["r"])
+
+
+def statement_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, ord, header, rows, caption, section_hint: a table per statement page, of its first lines."""
+    lines = statement_lines(spark, sf_dir).filter(F.col("pos") <= TABLE_ROWS)
+    header = F.array(F.lit("Particulars"), F.concat(F.lit("As at 31 March "), F.col("year").cast("string")), F.concat(F.lit("FY "), (F.col("year") - 1).cast("string")))
+    return lines.groupBy("doc_id", "page_no", "year").agg(_rows(lines).alias("rows")).select("doc_id", "page_no", F.lit(0).alias("ord"), header.alias("header"), "rows", F.lit("(₹ in crore)").alias("caption"), F.lit("unknown").alias("section_hint"))
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, statement_type, page_no, section_type, raw_json: answers as a model gives them, plain, fenced, or
+    cut off within an object, in turn."""
+    li = statement_lines(spark, sf_dir).filter(F.col("pos") <= ANSWER_ROWS)
+    value = F.when(F.col("pos") % 3 == 0, F.concat(F.lit('"'), F.format_number("v1", 2), F.lit('"'))).otherwise(F.regexp_replace(F.format_number("v1", 2), ",", ""))
+    confidence = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "sure"))), F.col("pos") % 4 + 1)
+    name = F.initcap(F.replace("metric_name", F.lit("_"), F.lit(" ")))
+    one = F.concat(F.lit('{"canonical_name":"'), name, F.lit('","raw_label":"'), "label", F.lit('","value":'), value, F.lit(',"unit":"INR crore","year":'), F.col("year").cast("string"), F.lit(',"confidence":"'), confidence, F.lit('","section_type":"standalone","evidence":"'), "line", F.lit('"}'))
+    objects = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("o")))), lambda x: x["o"]), ",")
+    a = li.groupBy("doc_id", "page_no", "statement_type").agg(objects.alias("objects"))
+    whole = F.concat(F.lit('{"metrics":['), "objects", F.lit('],"notes":"n"}'))
+    turn = F.col("doc_id").cast("int") % 3
+    raw = F.when(turn == 0, whole).when(turn == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(F.concat("objects", F.lit(',{"canonical_name":"rev')))
+    return a.select("doc_id", "statement_type", "page_no", F.when(F.col("page_no") == 2, "unknown").otherwise("consolidated").alias("section_type"), raw.alias("raw_json"))
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with evidence on statement pages, in six kinds by position: right, an absent value, an unknown
+    label, absent evidence, the wrong sign, and a value within tolerance."""
+    kind = F.col("pos") % 6
+    value = F.when(kind == 1, F.lit(1e12)).when(kind == 4, -F.col("v1")).when(kind == 5, F.col("v1") * 1.01).otherwise(F.col("v1"))
+    label = F.when(kind == 2, "Unheard caption").otherwise(F.col("label"))
+    evidence = F.when(kind == 3, "Absent words 1,234.50").otherwise(F.col("line"))
+    return statement_lines(spark, sf_dir).select("doc_id", "page_no", "pos", "statement_type", "metric_name", label.alias("raw_label"), evidence.alias("evidence"), value.alias("value"), "year")
+
+
+def cell_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates about table cells, in four kinds by position: right, last year's year, a value that the table
+    lacks, and a label that it lacks."""
+    kind = F.col("pos") % 4
+    li = statement_lines(spark, sf_dir).filter(F.col("pos") <= TABLE_ROWS)
+    return li.select(
+        "doc_id", F.col("statement_type").alias("call"), F.col("pos").alias("seq"), "metric_name", "statement_type", F.when(kind == 3, "No such label").otherwise(F.col("label")).alias("raw_label"),
+        F.when(kind == 2, F.col("v1") + 777777).otherwise(F.col("v1")).alias("value"), F.when(kind == 1, F.col("year") - 1).otherwise(F.col("year")).alias("year"),
+    )
+
+
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, company_name, document_years (JSON, here and there malformed or missing), status: a row per supplier."""
+    k = F.col("s_suppkey")
+    years = F.when(k % 5 == 0, "[2023, ").when(k % 5 != 1, F.concat(F.lit("["), (k % 12 + 2010).cast("string"), F.lit(", "), (k % 12 + 2009).cast("string"), F.lit("]")))
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("doc_id"), F.col("s_name").alias("company_name"), years.alias("document_years"), F.element_at(F.array(*map(F.lit, ("ready", "processing", "failed"))), (k % 3 + 1).cast("int")).alias("status"))
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, page_no, section_title, text: conversation turns as retrieved chunks of their conversation."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), (F.col("turn") % 3 + 1).cast("int").alias("page_no"), F.col("role").alias("section_title"), F.coalesce("text", F.lit("")).alias("text"))

@@ -53,7 +53,10 @@ def parse_answers(answers: DataFrame, recover: bool = True) -> DataFrame:
     ones are repaired in Python, and only they leave the JVM."""
     a = answers.withColumn("text", strip_fence(F.col("raw_json")))
     parsed = F.from_json("text", ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    whole = a.withColumn("answer", parsed).withColumn("ok", F.try_parse_json("text").isNotNull())
+    # one value and nothing behind it: in an array it is followed by what was put there, and by no more
+    framed = F.try_parse_json(F.concat(F.lit("["), "text", F.lit(",0]")))
+    one = (F.try_variant_get(framed, "$[1]", "int") == 0) & F.try_variant_get(framed, "$[2]", "variant").isNull()
+    whole = a.withColumn("answer", parsed).withColumn("ok", F.coalesce(one, F.lit(False)))
     good = whole.filter("ok").drop("ok", "text")
     if not recover:
         return good

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from granary import bind
 from granary.functions import text as T
 from granary.operators import candidates as C
-from granary.operators import chunks, evaluate, pages, prompts, ratios, resolve, views
+from granary.operators import chunks, evaluate, extraction_prompts, grounding, pages, prompts, ratios, resolve, structure, views
 from granary.package import shared_dir
 from granary.streaming import refresh
 
@@ -39,7 +39,7 @@ RISK_COLUMNS = [*[r[0] for r in ratios.R.RISKS], "overall_risk"]
 
 
 def valid_years(s: SparkSession, d: str) -> DataFrame:
-    c = bind.table(s, d, "lineitem").select((F.col("l_suppkey") % 100).cast("string").alias("doc_id"), F.year("l_shipdate").alias("year"))
+    c = bind.table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc_id"), F.year("l_shipdate").alias("year"))
     return resolve.valid_years(c).groupBy("doc_id", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -64,18 +64,20 @@ def missing_core(s: SparkSession, d: str) -> DataFrame:
 
 
 def quality(s: SparkSession, d: str) -> DataFrame:
-    return resolve.quality(bind.candidates(s, d), _resolved(s, d)).select("doc_id", "candidate_rows", "resolved_rows")
+    q = resolve.quality(bind.candidates(s, d), _resolved(s, d), bind.document_rows(s, d))
+    missing = F.array_join(F.transform(F.array_sort(F.map_entries("missing")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return q.select("doc_id", "candidate_rows", "resolved_rows", missing.alias("missing"), F.size("issues").alias("issues"))
 
 
 def explain(s: SparkSession, d: str) -> DataFrame:
     r = _resolved(s, d)
     e = views.explain(ratios.wide(r), r)
     side = lambda x: [F.col(f"{x}_row.raw_label").alias(f"{x}_label"), F.col(f"{x}_row.page_no").alias(f"{x}_page")]
-    return e.select("doc_id", "year", "ratio_name", "result", *side("numerator"), *side("denominator"))
+    return e.select("doc_id", "year", "ratio_name", "result", *side("numerator"), *side("denominator"), "risk_type", "risk_level", "threshold")
 
 
 def gold_scores(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.gold_scores(bind.gold(s, d), _resolved(s, d)).drop("reviewable_coverage", "verified_coverage")
+    return evaluate.gold_scores(bind.gold(s, d), _resolved(s, d))
 
 
 def merge_pages(s: SparkSession, d: str) -> DataFrame:
@@ -87,16 +89,10 @@ def answered_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def top_k(s: SparkSession, d: str) -> DataFrame:
-    v = bind.table(s, d, "embeddings")
-    q = v.filter("vec_id < 20").select("label", F.col("vec_id").alias("query_id"), "embedding")
-    return chunks.top_k(v, q, 4, "label").drop("score")
-
-
-def top_k_search(s: SparkSession, d: str) -> DataFrame:
-    """Every row whose id is divisible by 50 against all rows of its label; ``top_k`` asks what its SQL asks."""
+    """Every row whose id is divisible by 50 against all rows of its label."""
     v = bind.table(s, d, "embeddings")
     q = v.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
-    return chunks.top_k(v, q, 4, "label").drop("score")
+    return chunks.top_k(v, q, 4, "label").withColumn("score", F.round("score", 9))
 
 
 def content_gate(s: SparkSession, d: str) -> DataFrame:
@@ -169,16 +165,115 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     return refresh.latest(s, f"{at}/out", ["start", "event_type"], ["n"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    return pages.classify(bind.statement_pages(s, d))
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return pages.page_blocks(pages.select_pages(_classes(s, d)), bind.statement_pages(s, d))
+
+
+CANDIDATE_COLUMNS = ["doc_id", "page_no", "statement_type", "metric_name", "raw_label", "value", "year", "unit", "section_type", "confidence", "seq"]
+
+
+def narrative_pages(s: SparkSession, d: str) -> DataFrame:
+    return chunks.narrative(bind.statement_pages(s, d), _classes(s, d)).drop("text")
+
+
+def tagged_tables(s: SparkSession, d: str) -> DataFrame:
+    return pages.tag_tables(bind.statement_tables(s, d), _classes(s, d)).select("doc_id", "page_no", "statement_type", "section_hint")
+
+
+def line_candidates(s: SparkSession, d: str) -> DataFrame:
+    p = bind.statement_pages(s, d)
+    return C.from_lines(p, pages.classify(p), pages.document_years(p)).select(CANDIDATE_COLUMNS)
+
+
+def table_candidates(s: SparkSession, d: str) -> DataFrame:
+    t = bind.statement_tables(s, d)
+    t = t.withColumn("rows", F.concat(F.array("header"), "rows")).withColumn("table_id", F.col("ord").cast("string"))
+    return C.from_tables(t, _classes(s, d)).select(CANDIDATE_COLUMNS)
+
+
+def answer_candidates(s: SparkSession, d: str) -> DataFrame:
+    return C.from_answers(C.parse_answers(bind.model_answers(s, d))).select(*CANDIDATE_COLUMNS, "evidence")
+
+
+def grounded(s: SparkSession, d: str) -> DataFrame:
+    v = grounding.validate(bind.claims(s, d), _blocks(s, d))
+    return v.select("doc_id", "page_no", "pos", "l2_passed", "l3_passed", "l4_passed", "l5_passed", "l5_degraded", F.array_join("rejection_reasons", "; ").alias("rejection_reasons"))
+
+
+def _structural_tables(s: SparkSession, d: str) -> DataFrame:
+    t = structure.from_extracted(bind.statement_tables(s, d))
+    return t.withColumn("call", F.element_at(F.array(*[F.lit(p[0]) for p in bind.STATEMENT_PAGES]), F.col("page_no")))
+
+
+def table_cells(s: SparkSession, d: str) -> DataFrame:
+    c = structure.table_cells(_structural_tables(s, d)).filter("col_index > 0")
+    return c.select("doc_id", "call", "row_index", "col_index", "cell_value", F.get("years", F.lit(0)).alias("year"))
+
+
+def structural(s: SparkSession, d: str) -> DataFrame:
+    v = structure.validate(bind.cell_claims(s, d), _structural_tables(s, d))
+    return v.select("doc_id", "call", "seq", "verification_state", "verification_reason", "table_id", "row_index", "col_index")
+
+
+def metrics_view(s: SparkSession, d: str) -> DataFrame:
+    v = views.metrics_view(bind.document_rows(s, d), _resolved(s, d))
+    names = F.array_join(F.array_sort(F.transform("metrics", lambda m: F.concat(m["year"].cast("string"), F.lit(":"), m["metric_name"]))), ",")
+    return v.select("doc_id", "company_name", _listed("document_years"), F.size("metrics").cast("long").alias("n"), names.alias("metrics"))
+
+
+def ratio_view(s: SparkSession, d: str) -> DataFrame:
+    states = F.array_join(F.transform(F.array_sort(F.map_entries("states")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), ",")
+    return views.ratio_view(_wide(s, d)).withColumn("states", states)
+
+
+def metric_at(s: SparkSession, d: str) -> DataFrame:
+    wanted = bind.candidates(s, d).select("doc_id", "metric_name", (F.col("year") + 1).alias("year"))
+    return views.metric_at(_resolved(s, d), wanted)
+
+
+def document_guard(s: SparkSession, d: str) -> DataFrame:
+    asked = bind.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"))
+    return views.document_guard(asked, bind.document_rows(s, d))
+
+
+def sources(s: SparkSession, d: str) -> DataFrame:
+    p = chunks.sources(bind.retrieved(s, d)).select("query_id", F.posexplode("pages").alias("place", "p"))
+    return p.select("query_id", "p.page_no", (F.col("place") + 1).alias("place"), F.array_join("p.sections", ",").alias("sections"), F.size("p.snippets").alias("snippets"))
+
+
+def scope_tags(s: SparkSession, d: str) -> DataFrame:
+    return _resolved(s, d).select("doc_id", "metric_name", "year", prompts.scope_tag(F.col("section_type")).alias("scope"), T.title_case(F.col("metric_name")).alias("title"))
+
+
+def text_forms(s: SparkSession, d: str) -> DataFrame:
+    """Lines of plain-letter documents: how many are headings, and a digest of each kind of key."""
+    t = bind.table(s, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x0A\x20-\x7E]"))
+    line = t.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
+    k = structure.row_key(F.col("line"))
+    f = line.select("doc_id", T.heading_shaped(F.col("line")).alias("h"), k.alias("k"), T.grounding_key(F.col("line")).alias("g"), T.line_label(F.col("line")).alias("l"))
+    told = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("v")))), lambda x: x["v"]), "|").cast("binary"))
+    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("h").alias("headings"), told("k").alias("row_keys"), told("g").alias("grounding_keys"), told("l").alias("labels"))
+
+
 QUERIES: dict[str, Query] = {
     "valid_years": valid_years, "resolve": resolved, "derived_totals": derived_totals, "pivot": lambda s, d: resolve.pivot(_resolved(s, d)),
     "ratios": lambda s, d: _computed(s, d).select("doc_id", "year", *RATIO_COLUMNS), "risks": lambda s, d: _computed(s, d).select("doc_id", "year", *RISK_COLUMNS),
     "provenance": provenance, "ratio_warnings": ratio_warnings, "missing_core": missing_core,
-    "accounting_checks": lambda s, d: resolve.accounting_checks(resolve.pivot(_resolved(s, d))).drop("seq", "message"), "quality": quality,
+    "accounting_checks": lambda s, d: resolve.accounting_checks(resolve.pivot(_resolved(s, d))).drop("message"), "quality": quality,
     "ratio_states": lambda s, d: ratios.ratio_states(ratios.provenance(_wide(s, d))), "risk_view": lambda s, d: views.risk_view(_wide(s, d)), "explain": explain,
     "trust_summary": lambda s, d: views.trust_summary(_resolved(s, d)), "missing_warning": lambda s, d: views.missing_warning(_computed(s, d)),
     "computed_units": lambda s, d: ratios.computed_units(_wide(s, d)), "gold_scores": gold_scores, "coverage": lambda s, d: evaluate.coverage(bind.candidates(s, d)),
-    "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "top_k_search": top_k_search, "content_gate": content_gate,
+    "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "top_k_search": top_k, "content_gate": content_gate,
     "upload_gates": lambda s, d: views.upload_gates(bind.uploads(s, d)), "page_offsets": page_offsets, "parse_values": parse_values,
     "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows,
     "classify_pages": classify_pages, "select_pages": select_pages, "chunk_pages": chunk_pages, "metric_lines": metric_lines, "mentions": mentions, "prompts": prompt_texts,
+    "statement_classes": _classes, "statement_selection": lambda s, d: pages.select_pages(_classes(s, d)), "statement_blocks": _blocks, "extraction_prompts": lambda s, d: extraction_prompts.extraction_prompts(_blocks(s, d)),
+    "header_page_years": lambda s, d: pages.document_years(bind.statement_pages(s, d)).withColumn("years", _listed("years")), "company_names": lambda s, d: pages.company_names(bind.statement_pages(s, d)),
+    "narrative_pages": narrative_pages, "tagged_tables": tagged_tables, "line_candidates": line_candidates, "table_candidates": table_candidates, "answer_candidates": answer_candidates, "grounded": grounded,
+    "table_cells": table_cells, "structural": structural, "metrics_view": metrics_view, "ratio_view": ratio_view, "metric_at": metric_at, "years_of": lambda s, d: views.years_of(_resolved(s, d)).withColumn("years", _listed("years")),
+    "document_guard": document_guard, "sources": sources, "scope_tags": scope_tags, "text_forms": text_forms,
 }
