@@ -30,7 +30,7 @@ from granary.llm.shared import fold, parts_for, ship, written
 
 #: Bytes of text in a chunk, keys in a part, chunks that one owner serves, folds, EM rounds, context buckets,
 #: half-octaves of a probability.
-CHUNK, PART, GROUP, FOLDS, ROUNDS, BUCKETS, LEVELS = 5_000_000, 1_500_000, 1024, 10, 60, 40, 80
+CHUNK, PART, GROUP, FOLDS, ROUNDS, BUCKETS, LEVELS = 3_000_000, 1_000_000, 1024, 10, 60, 40, 80
 
 _U = np.uint64
 _EVEN = ~_U(1)
@@ -42,21 +42,28 @@ ANSWERED = "part long, child long, counts binary, types long"
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane, which compression shrinks."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers byte plane by byte plane, as many as the largest needs (the first byte tells)."""
+    values = values.astype("<u8")
+    n = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([n]) + values.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
 def _unplanes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    planes = np.frombuffer(body, np.uint8, offset=1).reshape(body[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : body[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 def _pressed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return _planes(np.diff(keys, prepend=_U(0)))
+    """Sorted keys, one at least: the first, then differences."""
+    return keys[:1].astype("<u8").tobytes() + _planes(np.diff(keys, prepend=keys[:1]))
 
 
 def _unpressed(body: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(body), dtype=_U)
+    steps = _unplanes(body[8:])
+    steps[0] = np.frombuffer(body, "<u8", 1)[0]
+    return np.cumsum(steps, dtype=_U)
 
 
 def _chunked(chunk_bytes: int):
@@ -128,7 +135,8 @@ def _cut(keys: np.ndarray, own: np.ndarray, parts: int, child: int) -> pa.Record
 def _asked(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, *body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for i in range(batch.num_rows):
+                number, *body = (batch.column(c)[i].as_py() for c in range(5))
                 chunk = _Chunk(*body)
                 yield _cut(chunk.keys, chunk.trained(), parts, number)
 
