@@ -252,6 +252,11 @@ p AS (SELECT DISTINCT query_id, doc_id, m FROM q JOIN (VALUES {", ".join(f"({_q(
 long AS ({" UNION ALL ".join(f"SELECT doc_id, year, {_q(m)} AS m, {m} AS value FROM risked" for m in sorted({m for _, m in views.RATIO_PHRASES}))})
 SELECT query_id, m AS metric, year, value FROM p JOIN long USING (doc_id, m) UNION ALL SELECT query_id, m, year, value FROM pm JOIN resolved r ON r.doc_id = pm.doc_id AND r.metric_name = pm.m""",
     "scope_tags": f"WITH {RESOLVED} SELECT doc_id, metric_name, year, CASE section_type WHEN 'consolidated' THEN '[consolidated]' WHEN 'standalone' THEN '[standalone]' ELSE '[scope not verified]' END AS scope, list_aggregate(list_transform(string_split(metric_name, '_'), lambda w: upper(w[1]) || substr(w, 2)), 'string_agg', ' ') AS title FROM resolved",
+    "chunk_locations": f"""WITH {CLASSES}, np AS (SELECT sp.doc_id, sp.page_no, sp.text, cl.statement_type AS kind, coalesce(sum(length(text) + 1) OVER (PARTITION BY sp.doc_id ORDER BY sp.page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos FROM sp JOIN cl USING (doc_id, page_no) WHERE page_no > 3),
+parts AS (SELECT doc_id, unnest(range(0, n + 1, 25))::INT AS pos FROM (SELECT doc_id, max(pos + length(text)) AS n FROM np GROUP BY doc_id)),
+heads AS (SELECT doc_id, pos, split_part(text, chr(10), 1) AS title FROM np UNION ALL SELECT doc_id, (pos + length(split_part(text, chr(10), 1)) + 1)::INT, split_part(text, chr(10), 2) FROM np)
+SELECT c.doc_id || '_' || p.page_no || '_' || (c.pos // 25) AS chunk_id, c.doc_id, p.page_no, h.title AS section_title, p.kind AS section_type, c.pos AS char_start, c.pos + 25 AS char_end
+FROM parts c ASOF JOIN np p ON p.doc_id = c.doc_id AND p.pos <= c.pos ASOF JOIN heads h ON h.doc_id = c.doc_id AND h.pos <= c.pos""",
     "text_forms": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x0A\x20-\x7E]')), t AS (SELECT doc_id, trim(line) AS s FROM l WHERE length(trim(line)) > 0),
 f AS (SELECT doc_id, s, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS k, length(s) <= 120 AND len(regexp_split_to_array(s, '\s+')) <= 14 AND len(regexp_extract_all(s, '[0-9]')) <= length(s) * 0.3 AND (regexp_matches(s, '^[A-Z]') OR (upper(s) = s AND lower(s) <> s)) AS heading FROM t)
 SELECT doc_id, count(*) AS n, count(*) FILTER (heading) AS headings, md5(string_agg(k, '|' ORDER BY k)) AS row_keys, md5(string_agg(regexp_replace(regexp_replace(k, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '|' ORDER BY k)) AS grounding_keys,

@@ -26,19 +26,41 @@ class Ingested:
     provenance: DataFrame
 
 
-def ingest(pages_df: DataFrame, answers: DataFrame, tables: DataFrame) -> Ingested:
+def retried(raw: DataFrame, selected: DataFrame, page_answers: DataFrame) -> DataFrame:
+    """Answers for single pages (doc_id, page_no, raw_json) that count: those for the pages of cash flow
+    statements that go over several pages and of which the answer for all together gave no candidate."""
+    several = selected.filter("statement_type = 'cash_flow' and ord > 0").select("doc_id").distinct()
+    silent = several.join(raw.filter("statement_type = 'cash_flow'").select("doc_id").distinct(), "doc_id", "left_anti")
+    pages_of = selected.filter("statement_type = 'cash_flow'").select("doc_id", "page_no", "statement_type").join(silent, "doc_id")
+    return page_answers.join(pages_of, ["doc_id", "page_no"])
+
+
+def ingest(pages_df: DataFrame, answers: DataFrame, tables: DataFrame, page_answers: DataFrame | None = None) -> Ingested:
     """``pages_df`` (doc_id, page_no, text); ``answers`` (doc_id, statement_type, raw_json); ``tables`` (doc_id,
-    page_no, table_id, ord, header, rows). Lazy: nothing runs until a result is used."""
+    page_no, table_id, ord, header, rows); ``page_answers`` (doc_id, page_no, raw_json), answers for single pages
+    of cash flow statements, see ``retried``: each page is checked against itself alone, then pages are merged.
+    Lazy: nothing runs until a result is used."""
     classes = pages.classify(pages_df)
-    selected = pages.select_pages(classes)
-    blocks = pages.page_blocks(selected, pages_df)
-    first = selected.filter("ord = 0").join(classes.select("doc_id", "page_no", "section_type"), ["doc_id", "page_no"])
+    existing = pages_df.select("doc_id", "page_no").distinct()
+    selected = pages.select_pages(classes).join(existing, ["doc_id", "page_no"])
+    sections = classes.select("doc_id", "page_no", "section_type")
+    first = selected.filter("ord = 0").join(sections, ["doc_id", "page_no"])
     parsed = C.parse_answers(answers.join(first.select("doc_id", "statement_type", "page_no", "section_type"), ["doc_id", "statement_type"]))
-    checked = grounding.validate(C.from_answers(parsed), blocks)
-    called = structure.with_column_years(tables.join(selected.select("doc_id", "page_no", F.col("statement_type").alias("call"), F.col("ord").alias("_page")), ["doc_id", "page_no"]))
+    raw = C.from_answers(parsed).withColumn("call", F.col("statement_type"))
+    calls = selected.withColumn("call", F.col("statement_type"))
+    if page_answers is not None:
+        alone = F.concat(F.lit("cash_flow/"), F.col("page_no").cast("string"))
+        again = retried(raw, selected, page_answers).join(sections, ["doc_id", "page_no"])
+        raw = raw.unionByName(C.from_answers(C.parse_answers(again)).withColumn("call", alone))
+        calls = calls.unionByName(selected.filter("statement_type = 'cash_flow'").withColumn("call", alone))
+    blocks = pages.page_blocks(calls.select("doc_id", F.col("call").alias("statement_type"), "ord", "page_no"), pages_df).withColumnRenamed("statement_type", "call")
+    checked = grounding.validate(raw, blocks, "call")
+    called = structure.with_column_years(tables.join(calls.select("doc_id", "page_no", "call", F.col("ord").alias("_page")), ["doc_id", "page_no"]))
     called = called.withColumn("ord", F.col("_page") * 1000 + F.col("ord"))
-    verified = structure.validate(grounding.accepted(checked).withColumn("call", F.col("statement_type")), called)
-    kept = structure.kept(verified).drop("call")
+    verified = structure.validate(grounding.accepted(checked), called)
+    kept = structure.kept(verified)
+    single = F.col("call") != F.col("statement_type")
+    kept = kept.filter(~single).unionByName(C.merge_pages(kept.filter(single))).drop("call")
 
     enough = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_CANDIDATES).select("doc_id")
     lines = C.from_lines(pages_df, classes, pages.document_years(pages_df)).join(enough, "doc_id", "left_anti")

@@ -13,6 +13,7 @@ from granary.functions import text as T
 from granary.operators import candidates as C
 from granary.operators import chunks, evaluate, extraction_prompts, grounding, pages, prompts, ratios, resolve, structure, views
 from granary.package import shared_dir
+from granary.plans import ingest
 from granary.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,6 +246,22 @@ def sources(s: SparkSession, d: str) -> DataFrame:
     return p.select("query_id", "p.page_no", (F.col("place") + 1).alias("place"), F.array_join("p.sections", ",").alias("sections"), F.size("p.snippets").alias("snippets"))
 
 
+def chunk_locations(s: SparkSession, d: str) -> DataFrame:
+    """Where chunks of 25 characters stand in the narrative pages."""
+    placed = chunks.offsets(chunks.narrative(bind.statement_pages(s, d).filter("page_no > 3"), _classes(s, d)))
+    n = placed.groupBy("doc_id").agg(F.max("char_end").alias("n"))
+    parts = n.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.col("n"), F.lit(25))).alias("i", "char_start"))
+    parts = parts.select("doc_id", "i", F.lit("x").alias("text"), "char_start", (F.col("char_start") + 25).alias("char_end"))
+    return chunks.locate(parts, placed, chunks.headings(placed)).drop("text")
+
+
+def ingested(s: SparkSession, d: str) -> DataFrame:
+    """Resolved metrics of the printed statements, from pages, model answers and tables."""
+    answers = bind.model_answers(s, d).select("doc_id", "statement_type", "raw_json")
+    tables = structure.from_extracted(bind.statement_tables(s, d))
+    return ingest.ingest(bind.statement_pages(s, d), answers, tables).resolved
+
+
 def scope_tags(s: SparkSession, d: str) -> DataFrame:
     return _resolved(s, d).select("doc_id", "metric_name", "year", prompts.scope_tag(F.col("section_type")).alias("scope"), T.title_case(F.col("metric_name")).alias("title"))
 
@@ -275,5 +292,5 @@ QUERIES: dict[str, Query] = {
     "header_page_years": lambda s, d: pages.document_years(bind.statement_pages(s, d)).withColumn("years", _listed("years")), "company_names": lambda s, d: pages.company_names(bind.statement_pages(s, d)),
     "narrative_pages": narrative_pages, "tagged_tables": tagged_tables, "line_candidates": line_candidates, "table_candidates": table_candidates, "answer_candidates": answer_candidates, "grounded": grounded,
     "table_cells": table_cells, "structural": structural, "metrics_view": metrics_view, "ratio_view": ratio_view, "metric_at": metric_at, "years_of": lambda s, d: views.years_of(_resolved(s, d)).withColumn("years", _listed("years")),
-    "document_guard": document_guard, "sources": sources, "scope_tags": scope_tags, "text_forms": text_forms,
+    "document_guard": document_guard, "sources": sources, "scope_tags": scope_tags, "text_forms": text_forms, "chunk_locations": chunk_locations, "ingest": ingested,
 }
