@@ -86,26 +86,47 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield taken()
 
 
+def _hashes(points: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams given as rows of n characters, as ``character_grams`` has them."""
+    acc = np.zeros(len(points), _U)
+    for k in range(points.shape[1]):
+        acc = acc * _U(0x9E3779B97F4A7C15) + points[:, k]
+    return tv.mix(acc + _U(points.shape[1] * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF if points.shape[1] else 1))
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per n-gram of two characters or more: its context, itself and its context without their first character,
-    whether it is the longest that its last character has, and its counts."""
+    """The n-grams of two characters or more of words set between marks, and their counts."""
     for batch in batches:
         for start in range(0, batch.num_rows, 25_000):
             part = batch.slice(start, 25_000)
-            table, at, place, word = character_grams(part.column(0).to_pylist())
+            words = part.column(0).to_pylist()
+            points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+            table, at, place, word = character_grams(words)
             counts = [part.column(i + 1).to_numpy() for i in range(len(_COUNTS))]
             for n in range(2, len(table)):
                 inside = place + 1 >= n
                 here, own = at[inside], word[inside]
                 unique, first, index = np.unique(table[n, here], return_index=True, return_inverse=True)
-                if not len(unique):
-                    continue
-                longest = np.minimum(len(table) - 1, place[inside][first] + 1) == n
-                hashes = (unique, table[n - 1, here[first] - 1], table[n - 1, here[first]], table[n - 2, here[first] - 1])
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(h.view(np.int64)) for h in hashes), pa.array(longest), *(pa.array(np.bincount(index, c[own]).astype(np.int64)) for c in counts)],
-                    names=["gram", "context", "tail", "tail_context", "longest", *_COUNTS],
-                )
+                if len(unique):
+                    grams = np.ascontiguousarray(points[here[first][:, None] + np.arange(1 - n, 1)]).view(f"<U{n}").ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.tolist(), pa.string()), *(pa.array(np.bincount(index, c[own]).astype(np.int64)) for c in counts)], names=["gram", *_COUNTS])
+
+
+def _placed(buckets: int, sums: int):
+    """Buckets of an n-gram and of its context (all but the last character), beside ``sums`` further columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(0).to_pylist()
+            sizes = np.array([len(g) for g in grams], np.int64)
+            at, context = np.zeros((2, len(grams)), np.int32)
+            for n in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == n)
+                points = np.frombuffer("".join(grams[i] for i in own.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(_U)
+                at[own], context[own] = _hashes(points) & _U(buckets - 1), _hashes(points[:, :-1]) & _U(buckets - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(context), *(batch.column(1 + i) for i in range(sums))], names=["at", "context", *(f"n{i}" for i in range(sums))])
+
+    return run
 
 
 class ToxicModel:
@@ -246,26 +267,28 @@ def _featured(shared):
 
 
 def _counted(grams: DataFrame, buckets: int) -> ToxicModel:
-    """The tables of grams and their counts n0 and n1."""
+    """The tables of grams and their counts n0 and n1. The longest n-gram that a character has is of ORDER
+    characters or begins with the start mark; only these have class counts, all others say how many distinct
+    characters precede their tail."""
     model = ToxicModel(buckets)
-    at = lambda k: F.col(k).bitwiseAND(F.lit(buckets - 1)).alias("at")
 
     def table(df: DataFrame, key: str, **sums) -> pd.DataFrame:
-        return df.groupBy(at(key)).agg(*[F.sum(v).alias(k) for k, v in sums.items()]).toPandas()
+        return df.groupBy(F.col(key).alias("at")).agg(*[F.sum(v).alias(k) for k, v in sums.items()]).toPandas()
 
-    one, longest = F.lit(1), grams.filter("longest")
-    t = table(longest, "gram", n0=F.col("n0"), n1=F.col("n1"))
+    longest = grams.filter((F.length("gram") == ORDER) | F.col("gram").startswith("\x02")).select("gram", "n0", "n1")
+    longest = longest.mapInArrow(_placed(buckets, 2), "at int, context int, n0 long, n1 long")
+    t = table(longest, "at", n0=F.col("n0"), n1=F.col("n1"))
     model.gram[0][t["at"]], model.gram[1][t["at"]] = t["n0"], t["n1"]
     t = table(longest, "context", n0=F.col("n0"), n1=F.col("n1"), t0=(F.col("n0") > 0).cast("int"), t1=(F.col("n1") > 0).cast("int"))
     for c in (0, 1):
         model.context[c][t["at"]], model.types[c][t["at"]] = t[f"n{c}"], t[f"t{c}"]
-    tails = grams.groupBy("tail").agg(F.first("tail_context").alias("tail_context"), F.count(one).alias("n"))
-    t = table(tails, "tail", n=F.col("n"))
+    tails = grams.groupBy(F.substr("gram", F.lit(2)).alias("tail")).agg(F.count(F.lit(1)).alias("n"))
+    placed = tails.mapInArrow(_placed(buckets, 1), "at int, context int, n0 long")
+    t = table(placed, "at", n=F.col("n0"))
     model.tail[t["at"]] = t["n"]
-    t = table(tails, "tail_context", n=F.col("n"), types=one)
+    t = table(placed, "context", n=F.col("n0"), types=F.lit(1))
     model.tail_context[t["at"]], model.tail_types[t["at"]] = t["n"], t["types"]
-    empty = int(character_grams(["x"])[0][0, 0].view(np.int64))
-    model.characters = tails.filter(F.col("tail_context") == empty).count()
+    model.characters = tails.filter(F.length("tail") == 1).count()
     return model
 
 
@@ -285,9 +308,8 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     sums = [F.sum(n).alias(n) for n in _COUNTS]
     longs = ", ".join(f"{n} long" for n in _COUNTS)
     words = marked.mapInArrow(_word_counts, f"word string, {longs}").groupBy("word").agg(*sums)
-    grams = words.mapInArrow(_gram_counts, f"gram long, context long, tail long, tail_context long, longest boolean, {longs}")
-    first = [F.first(k).alias(k) for k in ("context", "tail", "tail_context", "longest")]
-    grams = written(grams.groupBy("gram").agg(*first, *sums), "grams")
+    grams = words.mapInArrow(_gram_counts, f"gram string, {longs}")
+    grams = written(grams.groupBy("gram").agg(*sums), "grams")
 
     model = _counted(grams.filter("n0 + n1 > 0"), buckets)
     shared = _Shared(spark, model)
