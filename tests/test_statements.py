@@ -255,6 +255,25 @@ def test_ingest_end_to_end(spark):
     assert got.rejected.count() == 1 and got.computed.filter("doc_id = 'd'").count() == 1
 
 
+CASH = "Cash Flow Statement\nConsolidated\n31 March 2024 31 March 2023\nNet cash from operating activities 1,234.00 1,100.00\nNet cash from investing activities (2,345.00) (2,000.00)\nPurchase of property, plant and equipment 9,876.00 9,000.00"
+MORE = "(continued)\nNet cash from financing activities 4,567.00 4,000.00\nNet cash from operating activities 1,234.00 1,100.00"
+
+
+def test_cash_flow_pages_are_asked_again(spark):
+    """Only where all pages together gave nothing; each page against itself, then merged."""
+    p = page_frame(spark, [CASH, MORE]).unionByName(page_frame(spark, [CASH, MORE], "e"))
+    one_ = lambda name, label, value, line: metric(canonical_name=name, raw_label=label, value=value, evidence=line)
+    first = json.dumps({"metrics": [one_("operating_cash_flow", "Net cash from operating activities", 1234, "Net cash from operating activities 1,234.00"), one_("financing_cash_flow", "Net cash from financing activities", 4567, "Net cash from financing activities 4,567.00")]})
+    second = json.dumps({"metrics": [one_("financing_cash_flow", "Net cash from financing activities", 4567, "Net cash from financing activities 4,567.00"), one_("operating_cash_flow", "Net cash from operating activities", 1234, "Net cash from operating activities 1,234.00")]})
+    answers = spark.createDataFrame([("d", "cash_flow", '{"metrics": []}'), ("e", "cash_flow", first)], "doc_id string, statement_type string, raw_json string")
+    alone = spark.createDataFrame([(x, n, a) for x in "de" for n, a in ((1, first), (2, second))], "doc_id string, page_no int, raw_json string")
+    tables = spark.createDataFrame([], "doc_id string, page_no int, table_id string, ord int, header array<string>, rows array<array<string>>")
+    got = ingest(p, answers, tables, alone)
+    kept = sorted((r["doc_id"], r["metric_name"], r["page_no"]) for r in got.candidates.filter("source = 'llm_extraction'").collect())
+    assert kept == [("d", "financing_cash_flow", 2), ("d", "operating_cash_flow", 1), ("e", "financing_cash_flow", 1), ("e", "operating_cash_flow", 1)]
+    assert [(r["doc_id"], r["metric_name"]) for r in got.rejected.collect()] == [("d", "financing_cash_flow")]
+
+
 def test_chunks(spark):
     text = "Key Risks\n" + "\n".join(f"Sentence {i} of the story goes on and on. And further." for i in range(60))
     p = page_frame(spark, [text, "Liquidity\nshort page", BALANCE])
@@ -328,6 +347,97 @@ def test_sources_and_store(spark, tmp_path):
     assert documents.load(spark, str(tmp_path / "none")) is None
 
 
+def test_store_forgets_what_is_gone(spark, tmp_path):
+    kind, at = "doc_id string, v int", str(tmp_path / "out")
+    documents.store(spark.createDataFrame([(x, 1) for x in "abcdefgh"], kind), at)
+    named = spark.createDataFrame([("a",), ("b",), ("z",)], "doc_id string")
+    for _ in range(2):
+        documents.store(spark.createDataFrame([("b", 2), ("b", 3)], kind), at, named)
+        got = sorted((r["doc_id"], r["v"]) for r in documents.load(spark, at).collect())
+        assert got == [("b", 2), ("b", 3), *((x, 1) for x in "cdefgh")]
+    documents.store(spark.createDataFrame([], kind), at, documents.load(spark, at).select("doc_id"))
+    assert not list((tmp_path / "out").glob("bucket=*"))
+
+
+def test_chunk_store(spark, tmp_path):
+    rows = spark.createDataFrame([("d_1_0", "d", "text", [1.0, 0.0])], "chunk_id string, doc_id string, text string, embedding array<float>")
+    with pytest.raises(FileNotFoundError):
+        documents.load_chunks(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        documents.store_chunks(rows.drop("embedding"), str(tmp_path / "out"))
+    documents.store_chunks(rows, str(tmp_path / "out"))
+    assert one(documents.load_chunks(spark, str(tmp_path / "out")))["embedding"] == [1.0, 0.0]
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([("d", float("nan"), [1, 2]), ("e", 1.5, None)], "doc_id string, v double, pages array<int>")
+    documents.export(rows, str(tmp_path / "csv"))
+    documents.export(rows, str(tmp_path / "json"), "json")
+    assert sorted((r["doc_id"], r["pages"]) for r in documents.load(spark, str(tmp_path / "csv"), "csv").collect()) == [("d", "1; 2"), ("e", None)]
+    assert sorted((r["doc_id"], r["v"]) for r in documents.load(spark, str(tmp_path / "json"), "json").collect()) == [("d", None), ("e", 1.5)]
+    c = spark.createDataFrame([cand("revenue", 5, year=1900)], CAND)
+    q = resolve.quality(c, resolve.resolve(c), spark.createDataFrame([("d",), ("none",)], "doc_id string"))
+    got = {r["doc_id"]: json.loads(r["report"]) for r in documents.quality_json(q).collect()}
+    assert got == {"d": {"candidate_rows": 1, "resolved_rows": 0, "missing_core_metrics_by_year": {}, "issues": ["All candidates had invalid or missing years."]},
+                   "none": {"candidate_rows": 0, "resolved_rows": 0, "missing_core_metrics_by_year": {}, "issues": ["No candidate metrics extracted."]}}
+
+
+def test_tables_of_pages(spark, tmp_path):
+    """Header names apart from the rows, header in the first row, missing cells, failing parsers."""
+    assert documents.last_pages(200) == (21, 200) and documents.last_pages(5) == (1, 5)
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    (tmp_path / "b.pdf").write_bytes(b"yy")
+
+    def parser(body):
+        if body == b"yy":
+            raise ValueError("unreadable")
+        return [(3, ["Item", "2023-24"], [["Sales", None]]), (3, None, [["Item", "FY 2022"], ["Cost", "5"]]), (4, None, [])]
+
+    t = documents.read_tables(spark, str(tmp_path), parser)
+    got = {(r["page_no"], r["table_id"]): r for r in structure.from_extracted(t).collect()}
+    assert set(got) == {(3, "3_t0"), (3, "3_t1")}
+    a, b = got[3, "3_t0"], got[3, "3_t1"]
+    assert a["rows"] == [["Sales", ""]] and a["col_years"] == {1: [2024]} and (a["row_count"], a["col_count"]) == (1, 2)
+    assert b["rows"][0] == ["Item", "FY 2022"] and b["col_years"] == {1: [2022]}
+    p = {r["ord"]: r for r in documents.promoted(t).collect()}
+    assert p[1]["header"] == ["Item", "FY 2022"] and p[1]["rows"] == [["Cost", "5"]] and p[0]["header"] == ["Item", "2023-24"]
+
+
+def test_guard_and_year_lists(spark):
+    d = spark.createDataFrame([("a", "ready", "[2024, 2023]"), ("b", "processing", "[20"), ("c", "failed", None)], "doc_id string, status string, y string")
+    asked = spark.createDataFrame([(x,) for x in "abcd"], "doc_id string")
+    got = {r["doc_id"]: (r["ready"], r["error_code"]) for r in views.document_guard(asked, d).collect()}
+    assert got == {"a": (True, None), "b": (False, "DOC_PROCESSING"), "c": (False, "DOC_FAILED"), "d": (False, "DOC_NOT_FOUND")}
+    assert {r["doc_id"]: r["y"] for r in d.select("doc_id", views.year_list(F.col("y")).alias("y")).collect()} == {"a": [2024, 2023], "b": [], "c": []}
+
+
+def test_extraction_prompts(spark):
+    b = spark.createDataFrame([("d", "cash_flow", "TEXT"), ("d", "mda", "x")], "doc_id string, statement_type string, block string")
+    got = one(extraction_prompts.extraction_prompts(b))
+    assert got["prompt"].startswith("Statement type: cash_flow\n\nCanonical metric names you may use (use ONLY these):\noperating_cash_flow, investing_cash_flow, financing_cash_flow, capex\n\nCommon label variants")
+    assert "\n--- DOCUMENT TEXT ---\nTEXT\n--- END OF TEXT ---\n\n" in got["prompt"] and "label disambiguation" in got["system"] and '"evidence"' in got["system"]
+    assert "TOTAL rows" in extraction_prompts.system_prompt("balance_sheet") and "11." not in extraction_prompts.system_prompt("income_statement")
+    with pytest.raises(ValueError):
+        extraction_prompts.system_prompt("mda")
+    plain = extraction_prompts.plain_alias
+    assert plain("^long.?term debt$") == "long term debt" and plain(r"^a\(b\)$") == "a(b)" and plain("^a|b$") is None and plain("^a.b$") is None
+    assert "total shareholders equity" in extraction_prompts.label_hints("balance_sheet") and "total_assets" not in extraction_prompts.label_hints("balance_sheet")
+
+
+def test_drained_stream_repeats_safely(spark, tmp_path):
+    from granary.streaming.refresh import drained, latest, windowed_counts
+
+    frame = lambda hours: spark.createDataFrame([(f"2024-01-01 {h:02d}:10:00", "a") for h in hours], "ts string, event_type string").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    got = {}
+    for hours in ([1, 1, 2], [2, 3]):
+        frame(hours).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(frame([1]).schema).parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            drained(windowed_counts(events), str(tmp_path / "out"), str(tmp_path / "state"))
+        got = {r["start"].hour: r["n"] for r in latest(spark, str(tmp_path / "out"), ["start", "event_type"], ["n"]).collect()}
+    assert got == {1: 2, 2: 2, 3: 1}
+
+
 def test_stream_refresh_repeats_safely(spark, tmp_path):
     from granary.streaming.refresh import refresh
 
