@@ -25,7 +25,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Sorting by size over weight turns the resharing into one prefix computation: the sources that end at
     their limit are those whose limit lies below the level that the rest would get. It runs over the table
-    of sources, one row each; sources are ordered by code point, null last."""
+    of sources, one row each, in one task: sources may be millions, not billions. They are ordered by code
+    point, null last."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(int(w)) for w in weights])
     s = sizes.withColumn("weight", F.element_at(cycle, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int") + 1).cast("long"))
