@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from granary import registry as R
 from granary.bind import ANSWER_ROWS, STATEMENT_PAGES, TABLE_ROWS
-from granary.operators import extraction_prompts, views
+from granary.operators import extraction_prompts, prompts, views
 from granary.operators.structure import REASONS
 
 _q = lambda x: "'" + x.replace("'", "''") + "'"
@@ -252,6 +252,15 @@ p AS (SELECT DISTINCT query_id, doc_id, m FROM q JOIN (VALUES {", ".join(f"({_q(
 long AS ({" UNION ALL ".join(f"SELECT doc_id, year, {_q(m)} AS m, {m} AS value FROM risked" for m in sorted({m for _, m in views.RATIO_PHRASES}))})
 SELECT query_id, m AS metric, year, value FROM p JOIN long USING (doc_id, m) UNION ALL SELECT query_id, m, year, value FROM pm JOIN resolved r ON r.doc_id = pm.doc_id AND r.metric_name = pm.m""",
     "scope_tags": f"WITH {RESOLVED} SELECT doc_id, metric_name, year, CASE section_type WHEN 'consolidated' THEN '[consolidated]' WHEN 'standalone' THEN '[standalone]' ELSE '[scope not verified]' END AS scope, list_aggregate(list_transform(string_split(metric_name, '_'), lambda w: upper(w[1]) || substr(w, 2)), 'string_agg', ' ') AS title FROM resolved",
+    "classify_pages": r"""WITH p AS (SELECT coalesce(source, 'none') || '/' || (doc_id // 400) AS doc_id, (doc_id % 400 + 1)::INT AS page_no, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, page_no, CASE """ + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {_q(w)})" for w in words) + f" THEN {_q(k)}" for k, words in R.NARRATIVE) + r""" ELSE 'other' END AS statement_type,
+ CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:3], chr(10)), '(?i)\bconsolidated\b') THEN 'consolidated' WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:3], chr(10)), '(?i)\bstandalone\b') THEN 'standalone' ELSE 'unknown' END AS section_type,
+ 0.0::DOUBLE AS score, len(list_filter(regexp_extract_all(text, '(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{1,2})?|[0-9]+\.[0-9]{2})(?:\s*%)?'), lambda x: contains(x, ',') OR NOT contains(x, '%')))::INT AS numeric_count FROM p""",
+    "metric_lines": f"""WITH {RESOLVED}, k(metric_name, g, i, label) AS (VALUES {", ".join(f"({_q(m)}, {g}, {i}, {_q(label)})" for g, (_, ms) in enumerate(prompts.GROUPS) for i, (m, label) in enumerate(ms))}),
+l AS (SELECT doc_id, g, i, year, '  ' || label || ' (' || year || '): ' || {_money("value")} || CASE WHEN coalesce(unit, '') <> '' THEN ' ' || unit ELSE '' END || CASE WHEN page_no IS NOT NULL THEN ' (page ' || page_no || ')' ELSE '' END || ' ' || CASE section_type WHEN 'consolidated' THEN '[consolidated]' WHEN 'standalone' THEN '[standalone]' ELSE '[scope not verified]' END
+  || CASE WHEN verification_state = 'NEEDS_REVIEW' THEN ' [NEEDS_REVIEW: None]' ELSE '' END AS line FROM resolved JOIN k USING (metric_name) WHERE year IS NOT NULL AND value IS NOT NULL),
+t AS (SELECT doc_id, g, {_list(n for n, _ in prompts.GROUPS)}[g + 1] || ':' || chr(10) || string_agg(line, chr(10) ORDER BY i, year) AS text FROM l GROUP BY doc_id, g)
+SELECT doc_id, string_agg(text, chr(10) ORDER BY g) AS resolved_section FROM t GROUP BY doc_id""",
     "chunk_locations": f"""WITH {CLASSES}, np AS (SELECT sp.doc_id, sp.page_no, sp.text, cl.statement_type AS kind, coalesce(sum(length(text) + 1) OVER (PARTITION BY sp.doc_id ORDER BY sp.page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos FROM sp JOIN cl USING (doc_id, page_no) WHERE page_no > 3),
 parts AS (SELECT doc_id, unnest(range(0, n + 1, 25))::INT AS pos FROM (SELECT doc_id, max(pos + length(text)) AS n FROM np GROUP BY doc_id)),
 heads AS (SELECT doc_id, pos, split_part(text, chr(10), 1) AS title FROM np UNION ALL SELECT doc_id, (pos + length(split_part(text, chr(10), 1)) + 1)::INT, split_part(text, chr(10), 2) FROM np)
@@ -262,3 +271,4 @@ f AS (SELECT doc_id, s, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS k, le
 SELECT doc_id, count(*) AS n, count(*) FILTER (heading) AS headings, md5(string_agg(k, '|' ORDER BY k)) AS row_keys, md5(string_agg(regexp_replace(regexp_replace(k, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '|' ORDER BY k)) AS grounding_keys,
  md5(string_agg(trim(regexp_replace(regexp_replace(regexp_replace(k, '\[[^\]]+\]', '', 'g'), '^[()ivxabc0-9]+[.)\s]\s*', ''), '\s+', ' ', 'g')), '|' ORDER BY k)) AS labels FROM f GROUP BY doc_id""",
 }
+SQL |= {"top_k_search": SQL["top_k"], "select_pages": SQL["statement_selection"]}

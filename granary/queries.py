@@ -131,7 +131,7 @@ def classify_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def select_pages(s: SparkSession, d: str) -> DataFrame:
-    return pages.select_pages(classify_pages(s, d))
+    return pages.select_pages(_classes(s, d))
 
 
 def chunk_pages(s: SparkSession, d: str) -> DataFrame:
@@ -288,7 +288,7 @@ QUERIES: dict[str, Query] = {
     "upload_gates": lambda s, d: views.upload_gates(bind.uploads(s, d)), "page_offsets": page_offsets, "parse_values": parse_values,
     "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows,
     "classify_pages": classify_pages, "select_pages": select_pages, "chunk_pages": chunk_pages, "metric_lines": metric_lines, "mentions": mentions, "prompts": prompt_texts,
-    "statement_classes": _classes, "statement_selection": lambda s, d: pages.select_pages(_classes(s, d)), "statement_blocks": _blocks, "extraction_prompts": lambda s, d: extraction_prompts.extraction_prompts(_blocks(s, d)),
+    "statement_classes": _classes, "statement_selection": select_pages, "statement_blocks": _blocks, "extraction_prompts": lambda s, d: extraction_prompts.extraction_prompts(_blocks(s, d)),
     "header_page_years": lambda s, d: pages.document_years(bind.statement_pages(s, d)).withColumn("years", _listed("years")), "company_names": lambda s, d: pages.company_names(bind.statement_pages(s, d)),
     "narrative_pages": narrative_pages, "tagged_tables": tagged_tables, "line_candidates": line_candidates, "table_candidates": table_candidates, "answer_candidates": answer_candidates, "grounded": grounded,
     "table_cells": table_cells, "structural": structural, "metrics_view": metrics_view, "ratio_view": ratio_view, "metric_at": metric_at, "years_of": lambda s, d: views.years_of(_resolved(s, d)).withColumn("years", _listed("years")),
