@@ -38,16 +38,17 @@ def _of(metric: str, c: Column) -> Column:
     return F.max(F.when(F.col("metric_name") == metric, c))
 
 
-def derived_totals(resolved: DataFrame) -> DataFrame:
-    """Rows for totals that are missing but follow from others of the year: total_liabilities from current
-    liabilities and debts, total_assets from equity and reported liabilities. Both read what was resolved, so
-    a derived total_liabilities feeds nothing. The rest of a row is that of its first summand, its trust state
-    included; confidence ``derived`` marks it."""
-    row = F.struct(*CONTRACT)
-    names = {"cl": "current_liabilities", "ltd": "long_term_debt", "std": "short_term_debt", "tl": "total_liabilities", "ta": "total_assets", "eq": "total_equity"}
-    needed = resolved.filter(F.col("metric_name").isin(*names.values()))
+#: Totals and what they follow from, as they are called below.
+_PARTS = {"cl": "current_liabilities", "ltd": "long_term_debt", "std": "short_term_debt", "tl": "total_liabilities", "ta": "total_assets", "eq": "total_equity"}
+
+
+def _parts() -> list[Column]:
     # One row per metric at most: max picks it.
-    wide = needed.groupBy("doc_id", "year").agg(*[_of(m, row).alias(k) for k, m in names.items()])
+    return [_of(m, F.struct(*CONTRACT)).alias(k) for k, m in _PARTS.items()]
+
+
+def _made() -> Column:
+    """The rows that the parts of a year give, one or both totals or none."""
     v = lambda k: F.col(f"{k}.value")
 
     def made(base: str, metric: str, value: Column, label: str) -> Column:
@@ -56,12 +57,27 @@ def derived_totals(resolved: DataFrame) -> DataFrame:
 
     liabilities = F.when(v("tl").isNull() & v("cl").isNotNull() & v("ltd").isNotNull(), made("cl", "total_liabilities", v("cl") + v("ltd") + F.coalesce(v("std"), F.lit(0.0)), "derived(cl+ltd+std)"))
     assets = F.when(v("ta").isNull() & v("eq").isNotNull() & v("tl").isNotNull(), made("eq", "total_assets", v("eq") + v("tl"), "derived(equity+liab)"))
-    return wide.select(F.explode(F.array_compact(F.array(liabilities, assets))).alias("r")).select("r.*")
+    return F.array_compact(F.array(liabilities, assets))
+
+
+def derived_totals(resolved: DataFrame) -> DataFrame:
+    """Rows for totals that are missing but follow from others of the year: total_liabilities from current
+    liabilities and debts, total_assets from equity and reported liabilities. Both read what was resolved, so
+    a derived total_liabilities feeds nothing. The rest of a row is that of its first summand, its trust state
+    included; confidence ``derived`` marks it."""
+    needed = resolved.filter(F.col("metric_name").isin(*_PARTS.values()))
+    return needed.groupBy("doc_id", "year").agg(*_parts()).select(F.explode(_made()).alias("r")).select("r.*")
 
 
 def resolve(candidates: DataFrame) -> DataFrame:
-    best = best_candidates(candidates)
-    return best.unionByName(derived_totals(best))
+    """The best candidates and the totals derived from them (see ``derived_totals``).
+
+    The rows of a document and year, one per metric at most, meet once; totals are made there, so candidates
+    are read once, and what follows finds rows partitioned by document and year."""
+    rows = F.collect_list(F.struct(*CONTRACT)).alias("rows")
+    g = best_candidates(candidates).groupBy("doc_id", "year").agg(rows, *_parts())
+    out = g.select("doc_id", "year", F.explode(F.concat("rows", _made())).alias("r"))
+    return out.select(*[F.col(c) if c in ("doc_id", "year") else F.col(f"r.{c}").alias(c) for c in CONTRACT])
 
 
 def pivot(resolved: DataFrame) -> DataFrame:
