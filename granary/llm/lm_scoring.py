@@ -68,7 +68,7 @@ def _unpressed(body: bytes) -> np.ndarray:
 
 def _chunked(chunk_bytes: int):
     """A row per chunk: its number (odd if its documents teach the weights), ids, which are held out, tokens of
-    each, training tokens, distinct words and the number of each token's word among them."""
+    each, training tokens, all tokens, distinct words and the number of each token's word among them."""
 
     def row(number: int, part: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
         words, bounds = tv.folded_words(part.column(1))
@@ -77,14 +77,14 @@ def _chunked(chunk_bytes: int):
         held = part.column(2).to_numpy() == 0
         keys, index = np.unique(np.concatenate([tokens, np.array([_START], _U)]), return_inverse=True)
         ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-        values = [[number], ids, [held.tobytes()], [sizes.astype("<u4").tobytes()], [int(sizes[~held].sum())], [_pressed(keys)], [index[:-1].astype("<u4").tobytes()]]
+        values = [[number], ids, [held.tobytes()], [sizes.astype("<u4").tobytes()], [int(sizes[~held].sum())], [len(tokens)], [_pressed(keys)], [index[:-1].astype("<u4").tobytes()]]
         return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 22
         for batch in batches:
-            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.binary()), ("sizes", pa.binary()), ("trained", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary())])
+            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("held", pa.binary()), ("sizes", pa.binary()), ("trained", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("tokens", pa.binary())])
             for part in tv.slices(batch, "text", chunk_bytes):
                 teaches = part.column(2).to_numpy() == 1
                 for odd, which in enumerate((~teaches, teaches)):
@@ -297,9 +297,9 @@ def score_texts(docs: DataFrame, *, weights: np.ndarray | None = None, chunk_byt
     ship(spark)
     doc_type = docs.schema["doc_id"].dataType
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fold(F.col("doc_id"), FOLDS).alias("fold"))
-    chunks = written(d.mapInArrow(_chunked(chunk_bytes), f"chunk long, ids array<{doc_type.simpleString()}>, held binary, sizes binary, trained long, words binary, tokens binary"), "chunks")
-    n_chunks, n_tokens, n_bytes = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
-    parts = parts_for(n_bytes / 4 * min(1, group / max(n_chunks, 1)), part_keys)  # a key a token, about
+    chunks = written(d.mapInArrow(_chunked(chunk_bytes), f"chunk long, ids array<{doc_type.simpleString()}>, held binary, sizes binary, trained long, size long, words binary, tokens binary"), "chunks")
+    n_chunks, n_tokens, size = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = parts_for(size * min(1, group / max(n_chunks, 1)), part_keys)  # a key a token, about
 
     asked = chunks.select("chunk", *BODY).mapInArrow(_asked(parts), ASKED)
     answers = written(totals(asked, n_chunks, parts, group), "answers")
@@ -312,6 +312,6 @@ def score_texts(docs: DataFrame, *, weights: np.ndarray | None = None, chunk_byt
         cells = teach.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), 1 / (n_types + 1))
     shared = spark.sparkContext.broadcast((n_tokens, n_types, weights))
-    return met(chunks.drop("trained"), answers).applyInArrow(
+    return met(chunks.drop("trained", "size"), answers).applyInArrow(
         _scored(shared, to_arrow_type(doc_type)), f"doc_id {doc_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
