@@ -26,8 +26,9 @@ from granary.llm.shared import ship, written
 #: highest pitch heard in Hz; most share of differing bits; least frames of overlap, least shared integers.
 FRAME, STEP, RATE, SPAN, LOW, HIGH, MOST_ERROR, LEAST_OVERLAP, LEAST_VOTES = 512, 128, 4000, 16, 180.0, 1500.0, 0.12, 48, 3
 
-#: Pairs of places that one task pairs up for a word that many recordings share.
-PAIRS = 4_000_000
+#: Pairs of places that one task pairs up for a word that many recordings share, and up to how many such words are
+#: broadcast rather than joined.
+PAIRS, HOT = 4_000_000, 50_000
 
 #: Of each filter: kind, first pitch class, height in pitch classes, width in frames. Kinds compare halves of
 #: the box: 0 none (energy against its surroundings), 1 upper and lower, 2 left and right, 3 the diagonals.
@@ -147,6 +148,8 @@ def align(prints: DataFrame, queries: DataFrame, *, most_error: float = MOST_ERR
     # a word that many hold is dealt: its places over lots, its asking places to every lot
     held = placed.groupBy("word").agg(F.count(F.lit(1)).alias("holders"), F.sum("asks").alias("askers")).filter(F.col("askers") > 0)
     hot = held.select("word", F.least("holders", F.ceil(F.col("holders") * F.col("askers") / pairs)).cast("int").alias("lots")).filter("lots > 1")
+    hot = written(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= HOT else hot
     placed = placed.drop("asks")
     dealt = lambda df: df.join(hot, "word", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
     placed = dealt(placed).withColumn("lot", F.pmod(F.xxhash64("class_id", "at"), F.col("lots")).cast("int")).drop("lots")
