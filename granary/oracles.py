@@ -224,7 +224,9 @@ SELECT doc_id, page_no, statement_type, metric_name, label AS raw_label, x.v AS
 SELECT doc_id, page_no, statement_type, metric_name, label AS raw_label, x.v AS value, x.y::INT AS year, 'crore' AS unit, 'consolidated' AS section_type, 'high' AS confidence, pos::BIGINT * 1000 + x.c AS seq FROM k""",
     "answer_candidates": f"""WITH {LINES} SELECT doc_id, page_no, statement_type, metric_name, label AS raw_label, v1 AS value, 'INR crore' AS unit, year, ['high', 'medium', 'low', 'low'][pos % 4 + 1] AS confidence, CASE WHEN page_no = 2 THEN 'standalone' ELSE 'consolidated' END AS section_type, line AS evidence,
  (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) - 1)::BIGINT AS seq FROM sl WHERE pos <= {ANSWER_ROWS}""",
-    "grounded": f"""WITH {CLASSES}, f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, page_no, label) = pos AS head FROM sl)
+    "grounded": f"""WITH {CLASSES}, w AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, page_no, label) AS lead, lag(v1) OVER p AS p1, lag(v2) OVER p AS p2 FROM sl WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY pos)),
+-- the 40 characters behind a label's first place hold its own line's figures, and those of the next line if they are short
+f AS (SELECT *, coalesce(lead = pos OR (lead = pos - 1 AND 4 + length(printf('%.2f', p1)) + length(printf('%.2f', p2)) + length(label) + length(regexp_replace(printf('%.2f', v1), '\\.?0+$', '')) <= 40), false) AS head FROM w)
 SELECT f.doc_id, f.page_no, f.pos, pos % 6 <> 2 AS l2_passed, pos % 6 <> 2 AS l3_passed, pos % 6 <> 3 AS l4_passed, pos % 6 NOT IN (1, 3, 4) AS l5_passed, pos % 6 = 3 AS l5_degraded,
  CASE pos % 6 WHEN 1 THEN 'value_not_grounded:value_not_grounded' WHEN 2 THEN 'raw_label_mismatch; ' || {_reason("raw_label_not_grounded", "unheard caption")} WHEN 3 THEN {_reason("evidence_not_grounded", "absent words")} WHEN 4 THEN 'value_not_grounded:' || CASE WHEN head THEN 'sign_mismatch' ELSE 'value_not_grounded' END ELSE '' END AS rejection_reasons
 FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.statement_type = f.statement_type""",
