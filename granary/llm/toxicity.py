@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -139,6 +140,15 @@ class ToxicModel:
         self.tail, self.tail_context, self.tail_types, self.characters = z(np.int32), z(np.int32), z(np.int32), 0
         self.mean, self.scale, self.weights = np.zeros(FEATURES), np.ones(FEATURES), None
 
+    def __getstate__(self) -> dict:
+        """Tables are mostly zeros until much text is labelled: they travel compressed."""
+        press = lambda a: (a.dtype.str, zlib.compress(a.tobytes(), 1))
+        return {k: [press(a) for a in v] if isinstance(v, list) else press(v) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        whole = lambda t: np.frombuffer(zlib.decompress(t[1]), t[0])
+        self.__dict__ = {k: [whole(t) for t in v] if isinstance(v, list) else whole(v) if isinstance(v, tuple) else v for k, v in state.items()}
+
     def _at(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes & _U(self.buckets - 1)).astype(np.int64)
 
@@ -318,6 +328,7 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     if near is not None:
         once = apart.filter(F.col("h") <= near).groupBy("text").agg(F.avg("toxic").alias("toxic"))
         f = once.mapInArrow(_featured(shared), "a double, b double, toxic double").toPandas().sort_values(["a", "b", "toxic"])
+        shared.broadcast.destroy()
         model.calibrate(f[["a", "b"]].to_numpy(), f["toxic"].to_numpy())
     whole = _counted(grams.withColumns({"n0": F.col("n0") + F.col("a0"), "n1": F.col("n1") + F.col("a1")}), buckets)
     whole.mean, whole.scale, whole.weights = model.mean, model.scale, model.weights
