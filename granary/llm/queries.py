@@ -1,4 +1,4 @@
-"""The eleven registered queries: thin digests of the operators over whole tables."""
+"""The registered queries: thin digests of the operators over whole tables."""
 
 from __future__ import annotations
 
@@ -90,8 +90,43 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints as hexadecimal digits, two a slot, and the class of near texts."""
+    from granary.llm.editprint import near_texts
+
+    out = near_texts(tables(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def byte_bpe_path() -> str:
+    """Where the public byte-level BPE file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def piece_bpe_path() -> str:
+    """Where the public piece BPE file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.alignment import scored
+
+    return scored(tables(spark, sf_dir, "documents"), byte_bpe_path(), piece_bpe_path())
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.whitening import whiten
+
+    out = whiten(tables(spark, sf_dir, "embeddings"), components=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {"op1_mix": op1_mix, "op2_pack": op2_pack, "op3_nearest": op3_nearest, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_language": op7_language, "op8_secrets": op8_secrets,
-           "op9_lm_score": op9_lm_score, "op10_audio": op10_audio}
+           "op9_lm_score": op9_lm_score, "op10_audio": op10_audio, "op11_edit_prints": op11_edit_prints, "op12_align": op12_align, "op13_whiten": op13_whiten}
 
 ORACLES = {
     "op1_mix": r"""
