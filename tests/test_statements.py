@@ -204,6 +204,59 @@ def test_unfusing(given, want):
     assert grounding.unfuse(given) == want and grounding.unfuse(want) == want
 
 
+def test_unfusing_takes_linear_time():
+    import time
+
+    for text in ("Revenue from operations " + " ".join(["1,23,456"] * 38) + " and Total income", "x" + ",1" * 170, "a " + "1 ," * 115, "1,2 " * 80, "Revenue " + "(1.5), " * 50):
+        began = time.perf_counter()
+        grounding.unfuse(text[:350])
+        assert time.perf_counter() - began < 0.01
+
+
+def plain_check(label, evidence, value, page):
+    """Grounding by a pattern per piece, one candidate at a time."""
+    import re
+
+    def found(pieces):
+        at, start = 0, None
+        for p in pieces:
+            m = re.compile(r"(?<![^\W_])(?<!-)" + re.escape(p) + r"(?![^\W_])(?!-)").search(page, at)
+            if m is None:
+                return p
+            start, at = m.start() if start is None else start, m.end()
+        return None if start is None else (start, at)
+
+    lb, q = found(grounding.anchors(label)), found(grounding.anchors(grounding.unfuse(evidence)))
+    space = page
+    if isinstance(q, tuple):
+        first = page.find(page[q[0] : q[1]])
+        near = any(grounding.same_value(n, value) for n in grounding.values_in(grounding.key(evidence)))
+        space = page[first:] if near else page[first : first + q[1] - q[0] + grounding.REACH]
+    hit = any(grounding.same_value(n, value) for n in grounding.values_in(space))
+    return isinstance(lb, tuple), isinstance(q, tuple), hit and isinstance(q, tuple)
+
+
+def test_grounding_equals_a_pattern_per_piece(spark, monkeypatch):
+    """Random pages and quotations, several lots a block, a block without candidates and candidates without a block."""
+    import random
+
+    monkeypatch.setattr(grounding, "LOT", 40)
+    rng = random.Random(7)
+    words = ["Total assets", "assets-", "assets", " total ", "12,345 ", "(9.5) ", "\n", "x", "-", " ", "Net cash from", " operating activities 7 ", "é", "(a) "]
+    blocks = {(d, c): "".join(rng.choices(words, k=150)) for d in "ab" for c in ("balance_sheet", "income_statement", "cash_flow")}
+    rows = []
+    for i in range(600):
+        d, c = rng.choice([k for k in blocks if k != ("b", "cash_flow")])
+        cut = lambda n: (lambda t, k: t[k : k + rng.randint(2, n)])(blocks[d, c], rng.randrange(len(blocks[d, c])))  # noqa: B023, E731
+        rows.append((d, c, "revenue", cut(30), cut(60) + rng.choice(["", " 12,345", "\nassets"]), rng.choice([12345.0, 7.0, -9.5, 9.5, 3.0]), i))
+    rows += [("none", "cash_flow", "revenue", "assets", "assets", 7.0, 600), ("a", "balance_sheet", "revenue", None, None, 7.0, 601)]
+    frame = spark.createDataFrame(rows, "doc_id string, statement_type string, metric_name string, raw_label string, evidence string, value double, seq int")
+    texts = spark.createDataFrame([(d, c, t) for (d, c), t in blocks.items()], "doc_id string, statement_type string, block string")
+    got = {r["seq"]: (r["l3_passed"], r["l4_passed"], r["l5_passed"]) for r in grounding.validate(frame, texts).collect()}
+    assert got == {r[6]: plain_check(r[3] or "", r[4] or "", r[5], grounding.key(blocks.get(r[:2], ""))) for r in rows}
+    assert len({*got.values()}) > 4
+
+
 def test_validation_reasons(spark):
     rows = [cand("current_assets", 79458, label="Current assets", seq=1)[:11] + ("Current assets\n79,458", None, None, None, None, None, 1), cand("revenue", 1, label="Current assets", seq=2)]
     blocks = spark.createDataFrame([("d", "balance_sheet", "Current assets\n79,458")], "doc_id string, statement_type string, block string")
