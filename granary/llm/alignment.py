@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -28,8 +29,9 @@ from granary.llm import textvec as tv
 from granary.llm.shared import written
 from granary.llm.wordpiece import _byte_letters
 
-#: Bytes of text in a block, words that a worker remembers before it starts afresh, and room for ids of B (a power of two).
-BLOCK, MOST_WORDS, IDS_B = 1 << 21, 400_000, 1 << 17
+#: Bytes of text in a block, words that a worker remembers before it starts afresh, words that are encoded at
+#: once, and room for ids of B (a power of two).
+BLOCK, MOST_WORDS, AT_ONCE, IDS_B = 1 << 19, 200_000, 8192, 1 << 17
 
 _U = np.uint64
 
@@ -71,6 +73,7 @@ class Aligner:
     for. What is known of a word lies in columns, by slot."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -145,7 +148,8 @@ class Aligner:
         new = first[~old]
         if len(new):
             base = len(self.groups)
-            self._learn([body[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            for k in range(0, len(new), AT_ONCE):
+                self._learn([body[i:j] for i, j in zip(starts[new[k : k + AT_ONCE]].tolist(), ends[new[k : k + AT_ONCE]].tolist(), strict=True)])
             self.known, self.slot = np.insert(self.known, at[~old], unique[~old]), np.insert(self.slot, at[~old], base + np.arange(len(new)))
             n = sizes[new]
             last = np.cumsum(n)
