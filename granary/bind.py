@@ -179,3 +179,24 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, page_no, section_title, text: conversation turns as retrieved chunks of their conversation."""
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), (F.col("turn") % 3 + 1).cast("int").alias("page_no"), F.col("role").alias("section_title"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def chat_events(conversations: DataFrame) -> DataFrame:
+    """Conversation turns (also as a stream) as events of chat sessions: system turns reset, user turns ask, and
+    assistant turns answer the question before them. Answers come late in every third session and fail in some,
+    with a retry and its answer behind; some questions are followed by a reset before their answer, and some
+    sessions pause for two hours."""
+    c, t = F.col("conv_id"), F.col("turn")
+    pause = F.when((c % 5 == 0) & (t >= 4), 7200).otherwise(0)
+    at = c % 1440 * 60 + t * 60 + pause
+    ask, fails = F.col("role") == "user", (c % 7 == 3) & (t % 4 == 1)
+    event = lambda when, late, k, kind, request, text: F.when(when, F.struct((at + late).alias("s"), (t * 10 + k).alias("seq"), F.lit(kind).alias("kind"), request.cast("long").alias("request"), text.alias("text")))
+    none, text, reply = F.lit(None).cast("string"), F.col("text"), F.col("role") == "assistant"
+    late = F.when(c % 3 == 1, 130).otherwise(0)
+    events = [
+        event(F.col("role") == "system", F.lit(0), 0, "reset", F.lit(None), none), event(ask, F.lit(0), 1, "ask", t, F.concat(F.lit("  "), text, F.lit("\n"))),
+        event(ask & ((c + t) % 6 == 4), F.lit(5), 2, "reset", F.lit(None), none), event(reply & ~fails, late, 3, "reply", t - 1, text), event(reply & fails, F.lit(0), 4, "fail", t - 1, F.lit("no answer")),
+        event(reply & fails, F.lit(10), 5, "retry", t + 100, none), event(reply & fails, F.lit(20), 6, "reply", t + 100, text),
+    ]
+    start = F.timestamp_seconds(F.lit(1704067200) + F.col("e.s")).alias("at")
+    return conversations.select(c.alias("session"), F.explode(F.array_compact(F.array(*events))).alias("e")).select("session", start, "e.seq", "e.kind", "e.request", "e.text")

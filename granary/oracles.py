@@ -163,6 +163,40 @@ SELECT left(md5(name || size), 12) AS doc_id, CASE WHEN lower(name) NOT LIKE '%.
     "match_labels": "WITH " + CAND + ", k AS (SELECT DISTINCT raw_label, statement_type, lower(raw_label) AS key FROM cand) SELECT raw_label, statement_type, CASE " + " ".join(
         f"WHEN statement_type = '{st}' AND regexp_matches(key, '{'|'.join(f'(?:{a})' for a in al)}')" + (f" AND NOT regexp_matches(key, '{'|'.join(f'(?:{e})' for e in ex)}')" if ex else "") + f" THEN '{n}'" for n, st, al, ex in R.METRICS) + " END AS metric_name FROM k",
     "text_scan": "SELECT doc_id, len(regexp_extract_all(text, '[0-9]')) AS digits, length(text) AS chars, CASE WHEN lower(text) LIKE '%consolidated%' AND lower(text) NOT LIKE '%standalone%' THEN 'consolidated' WHEN lower(text) LIKE '%standalone%' AND lower(text) NOT LIKE '%consolidated%' THEN 'standalone' ELSE 'unknown' END AS hint FROM documents",
+    "conversation_rows": """
+WITH RECURSIVE c AS (SELECT conv_id AS session, turn AS t, role, text, conv_id % 1440 * 60 + turn * 60 + CASE WHEN conv_id % 5 = 0 AND turn >= 4 THEN 7200 ELSE 0 END AS s, conv_id % 7 = 3 AND turn % 4 = 1 AS fails, CASE WHEN conv_id % 3 = 1 THEN 130 ELSE 0 END AS late FROM conversations),
+raw AS (
+  SELECT session, s, t * 10 AS seq, 'reset' AS kind, NULL::BIGINT AS request, '' AS text FROM c WHERE role = 'system'
+  UNION ALL SELECT session, s, t * 10 + 1, 'ask', t, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') FROM c WHERE role = 'user'
+  UNION ALL SELECT session, s + 5, t * 10 + 2, 'reset', NULL, '' FROM c WHERE role = 'user' AND (session + t) % 6 = 4
+  UNION ALL SELECT session, s + late, t * 10 + 3, 'reply', t - 1, text FROM c WHERE role = 'assistant' AND NOT fails
+  UNION ALL SELECT session, s, t * 10 + 4, 'fail', t - 1, 'no answer' FROM c WHERE role = 'assistant' AND fails
+  UNION ALL SELECT session, s + 10, t * 10 + 5, 'retry', t + 100, '' FROM c WHERE role = 'assistant' AND fails
+  UNION ALL SELECT session, s + 20, t * 10 + 6, 'reply', t + 100, text FROM c WHERE role = 'assistant' AND fails),
+ev AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY s, seq) AS i, max(s) OVER () AS newest FROM raw),
+st AS (
+  SELECT DISTINCT session, 0::BIGINT AS i, 0::BIGINT AS generation, NULL::BIGINT AS asked, []::STRUCT(role VARCHAR, text VARCHAR)[] AS log, 0::BIGINT AS s, 0::BIGINT AS seq, '' AS outcome, NULL::STRUCT(role VARCHAR, text VARCHAR)[] AS history,
+         false AS forgot, 0::BIGINT AS old_seq, 0::BIGINT AS old_generation, 0::BIGINT AS old_messages FROM ev
+  UNION ALL
+  SELECT session, i, generation + (kind = 'reset')::INT, CASE outcome WHEN 'reset' THEN NULL WHEN 'answered' THEN NULL WHEN 'failed' THEN NULL WHEN 'asked' THEN request ELSE asked END,
+         CASE outcome WHEN 'reset' THEN [] WHEN 'answered' THEN list_append(log, {'role': 'assistant', 'text': text}) WHEN 'failed' THEN list_append(log, {'role': 'error', 'text': text})
+           WHEN 'asked' THEN list_append(base, {'role': 'user', 'text': CASE kind WHEN 'retry' THEN log[len(log) - 1].text ELSE text END}) ELSE log END,
+         s, seq, outcome, CASE WHEN outcome = 'asked' THEN list_filter(base, lambda m, k: m.role = 'assistant' OR (m.role = 'user' AND coalesce(base[k + 1].role, '') = 'assistant')) END,
+         forgot, old_seq, old_generation, old_messages
+  FROM (
+    SELECT *, CASE kind WHEN 'retry' THEN log[1:greatest(len(log) - 2, 0)] ELSE log END AS base,
+           CASE WHEN kind = 'reset' THEN 'reset' WHEN kind IN ('reply', 'fail') THEN CASE WHEN asked = request THEN CASE kind WHEN 'reply' THEN 'answered' ELSE 'failed' END ELSE 'stale' END
+             WHEN asked IS NOT NULL THEN 'ignored' WHEN kind = 'ask' AND text <> '' THEN 'asked'
+             WHEN kind = 'retry' AND len(log) >= 2 AND log[len(log)].role = 'error' AND log[len(log) - 1].role = 'user' THEN 'asked' ELSE 'ignored' END AS outcome
+    FROM (
+      SELECT ev.session, ev.i, ev.kind, ev.request, ev.text, ev.s, ev.seq, st.i > 0 AND ev.s >= st.s + 1807 AS forgot, st.seq AS old_seq, st.generation AS old_generation, len(st.log) AS old_messages,
+             CASE WHEN st.i > 0 AND ev.s >= st.s + 1807 THEN 0 ELSE st.generation END AS generation, CASE WHEN st.i > 0 AND ev.s >= st.s + 1807 THEN NULL ELSE st.asked END AS asked,
+             CASE WHEN st.i > 0 AND ev.s >= st.s + 1807 THEN [] ELSE st.log END AS log
+      FROM st JOIN ev ON ev.session = st.session AND ev.i = st.i + 1))),
+ended AS (SELECT st.*, newest FROM st JOIN (SELECT session, max(i) AS i, any_value(newest) AS newest FROM ev GROUP BY session) USING (session, i))
+SELECT session, seq, outcome, generation, len(log)::INT AS messages, len(history)::INT AS told, md5(array_to_string(list_transform(history, lambda m: m.role || ':' || m.text), '|')) AS history FROM st WHERE i > 0
+UNION ALL SELECT session, old_seq, 'expired', old_generation, old_messages::INT, NULL, NULL FROM st WHERE forgot
+UNION ALL SELECT session, seq, 'expired', generation, len(log)::INT, NULL, NULL FROM ended WHERE s + 1807 <= newest - 600""",
     "stream_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 

@@ -6,10 +6,11 @@ import importlib.util
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.package import ship
+from granary.sources import versions
 
 #: A parser takes bytes and gives the text of each page; it raises what it can't read.
 Parser = Callable[[bytes], list[str]]
@@ -167,38 +168,15 @@ def promoted(tables: DataFrame) -> DataFrame:
     return t.filter(F.size("rows") > 0).drop("_text")
 
 
-#: Folders of a store; a document's rows lie in one of them.
-BUCKETS = 256
-
-
-def bucket_of(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(BUCKETS)).cast("int")
-
-
 def store(rows: DataFrame, path: str, documents: DataFrame | None = None) -> None:
     """Replaces the rows of ``documents`` (doc_id; those that ``rows`` names unless given) and of no others, also
-    by none; repeating it changes nothing. Documents are dealt over BUCKETS folders, of which only those
-    touched are written anew."""
-    spark = rows.sparkSession
-    named = (rows if documents is None else documents).select("doc_id").distinct()
-    new = rows.withColumn("bucket", bucket_of(F.col("doc_id")))
-    touched = [r[0] for r in named.select(bucket_of(F.col("doc_id"))).distinct().collect()]  # BUCKETS at most
-    if exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
-        new = new.unionByName(old.join(named, "doc_id", "left_anti"))
-    kept = {r[0] for r in new.select("bucket").distinct().collect()}
-    new.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
-    for b in set(touched) - kept:  # nothing is left there, which an overwrite doesn't see
-        _folder(spark, f"{path}/bucket={b}")[0].delete(_folder(spark, f"{path}/bucket={b}")[1], True)
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+    by none; repeating it changes nothing. Readers see the rows before or after, see ``versions``; of the
+    buckets of documents only those touched are written anew."""
+    versions.replace(rows.sparkSession, path, {"rows": rows}, documents)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, at = _folder(spark, path)
+    files, at = versions.folder(spark, path)
     return files.exists(at)
 
 
@@ -218,9 +196,11 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def export(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """CSV with a header (arrays joined by "; ") or JSON lines without NaN, a folder per bucket of documents."""
-    flat = []
+def export(rows: DataFrame, path: str, kind: str = "csv", documents: DataFrame | None = None) -> None:
+    """CSV with a header (arrays joined by "; ") or JSON lines without NaN, for readers outside: a folder
+    ``document=<doc_id>`` with one file for each of ``documents`` (doc_id; those that ``rows`` names unless
+    given). It replaces what they had, or removes it where they have no rows; other documents stay as they are."""
+    spark, flat = rows.sparkSession, []
     for c, t in rows.dtypes:
         if t.startswith("array<") and kind == "csv":
             flat.append(F.array_join(F.col(c).cast("array<string>"), "; ").alias(c))
@@ -228,8 +208,21 @@ def export(rows: DataFrame, path: str, kind: str = "csv") -> None:
             flat.append(F.when(~F.isnan(c), F.col(c)).alias(c))
         else:
             flat.append(F.col(c))
-    w = rows.select(*flat, bucket_of(F.col("doc_id")).alias("bucket")).write.mode("overwrite").partitionBy("bucket")
+    out = rows.select(*flat, F.col("doc_id").cast("string").alias("document")).repartition("document")
+    w = out.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("document")
     w.option("header", True).csv(path) if kind == "csv" else w.option("ignoreNullFields", False).json(path)
+    if documents is not None:
+        gone = documents.select(F.col("doc_id").cast("string").alias("document")).distinct().join(out.select("document").distinct(), "document", "left_anti")
+        for r in gone.toLocalIterator():
+            files, at = versions.folder(spark, f"{path}/document={_escaped(spark, r[0])}")
+            files.delete(at, True)
+
+
+def _escaped(spark: SparkSession, name: str | None) -> str:
+    """A partition's folder name, as Spark writes it."""
+    if name is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
 
 
 def quality_json(quality: DataFrame) -> DataFrame:
@@ -240,5 +233,7 @@ def quality_json(quality: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
-    """A stored table, None where there is none."""
-    return spark.read.option("header", True).format(kind).load(path).drop("bucket") if exists(spark, path) else None
+    """A stored table, or an export of ``kind``; None where there is none."""
+    if kind == "parquet":
+        return versions.read(spark, path)
+    return spark.read.option("header", True).format(kind).load(path).drop("document") if exists(spark, path) else None

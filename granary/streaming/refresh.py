@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from granary.operators.resolve import pivot, resolve
-from granary.sources.documents import bucket_of, store
+from granary.sources import versions
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", window: str = "1 hour") -> DataFrame:
@@ -17,14 +17,14 @@ def windowed_counts(events: DataFrame, late: str = "1 day", window: str = "1 hou
     return e.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Runs a stream over what is there, into ``path``: each batch adds the rows that it changed under its own
     number, so repeating one changes nothing, and windows past the watermark leave the state. See ``latest``."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     return q
 
@@ -35,20 +35,20 @@ def latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -
 
 
 def refresh(spark: SparkSession, incoming: str, schema: StructType, folder: str, checkpoint: str) -> StreamingQuery:
-    """Candidate files in, resolved and pivoted metrics out. A batch touches the documents that it names: their
-    candidates are kept under ``folder``/candidates by bucket of documents and batch, re-resolved whole and
-    replaced under resolved and pivot, so a repeated batch leaves the same rows. Only touched buckets are read."""
+    """Candidate files in, resolved and pivoted metrics out (tables ``candidates``, ``resolved`` and ``pivot`` of the
+    versioned store ``folder``). A file holds all candidates of the documents that it names: of a document that
+    is sent again those of the latest batch stand, and what was there before goes, in all three tables at once.
+    Within a batch its files count together. A repeated batch leaves the same rows, and one that comes after a
+    later one for the same document is told by its number and changes nothing."""
     names = [f.name for f in schema]
 
     def put(batch: DataFrame, number: int) -> None:
-        keyed = batch.withColumn("bucket", bucket_of(F.col("doc_id"))).withColumn("batch", F.lit(number))
-        keyed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "batch").parquet(f"{folder}/candidates")
-        touched = batch.select("doc_id").distinct()
-        buckets = [r[0] for r in touched.select(bucket_of(F.col("doc_id"))).distinct().collect()]  # a bounded number
-        known = spark.read.schema(keyed.schema).parquet(f"{folder}/candidates").filter(F.col("bucket").isin(buckets))
-        rows = resolve(known.join(touched, "doc_id", "left_semi").select(*names))
-        store(rows, f"{folder}/resolved", touched)
-        store(pivot(rows), f"{folder}/pivot", touched)
+        own = batch.withColumn("batch", F.lit(number))
+        known = versions.read(spark, folder, "candidates")
+        if known is not None:
+            newer = known.filter(F.col("batch") > number).select("doc_id").distinct()
+            own = own.join(newer, "doc_id", "left_anti").select(*names, "batch")
+        versions.replace(spark, folder, {"candidates": own, "resolved": lambda made: resolve(made["candidates"].select(*names)), "pivot": lambda made: pivot(made["resolved"])})
 
     q = spark.readStream.schema(schema).parquet(incoming).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()

@@ -11,7 +11,7 @@ from granary.functions import text as T
 from granary.operators import candidates as C
 from granary.operators import chunks, extraction_prompts, grounding, pages, prompts, ratios, resolve, structure, views
 from granary.plans.ingest import ingest
-from granary.sources import documents
+from granary.sources import documents, versions
 
 CAND = "doc_id string, metric_name string, raw_label string, value double, unit string, year int, page_no int, statement_type string, section_type string, confidence string, source string, evidence string, verification_state string, verification_reason string, table_id string, row_index int, col_index int, seq long"
 
@@ -409,7 +409,43 @@ def test_store_forgets_what_is_gone(spark, tmp_path):
         got = sorted((r["doc_id"], r["v"]) for r in documents.load(spark, at).collect())
         assert got == [("b", 2), ("b", 3), *((x, 1) for x in "cdefgh")]
     documents.store(spark.createDataFrame([], kind), at, documents.load(spark, at).select("doc_id"))
-    assert not list((tmp_path / "out").glob("bucket=*"))
+    assert documents.load(spark, at).count() == 0
+
+
+def test_a_version_appears_whole_or_not_at_all(spark, tmp_path):
+    at, kind = str(tmp_path / "s"), "doc_id string, v int"
+    frame = lambda *rows: spark.createDataFrame(list(rows), kind)
+    seen = lambda t="a", v=None: sorted((r["doc_id"], r["v"]) for r in versions.read(spark, at, t, v).collect())
+    assert versions.read(spark, at) is None
+    first = versions.replace(spark, at, {"a": frame(("d", 1), ("e", 1)), "b": lambda made: made["a"].withColumn("v", F.col("v") * 10)})
+
+    def dies():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):  # between the rows and the manifest
+        versions.replace(spark, at, {"a": frame(("d", 2)), "b": frame(("d", 20))}, before_commit=dies)
+    assert seen() == [("d", 1), ("e", 1)] and seen("b") == [("d", 10), ("e", 10)]
+    versions.replace(spark, at, {"a": frame(("d", 2)), "b": frame(("d", 20))})
+    assert seen() == [("d", 2), ("e", 1)] and seen("b") == [("d", 20), ("e", 10)] and seen("a", first) == [("d", 1), ("e", 1)]
+    versions.tidy(spark, at, keep=1)
+    assert seen() == [("d", 2), ("e", 1)] and len(list((tmp_path / "s/versions").glob("0*"))) == 1
+
+
+def test_two_writers_both_get_through(spark, tmp_path, monkeypatch):
+    at, kind = str(tmp_path / "s"), "doc_id string, v int"
+    frame = lambda *rows: spark.createDataFrame(list(rows), kind)
+    monkeypatch.setattr(versions, "BUCKETS", 2)  # so that both touch the same ones
+    names = "abcdefgh"
+    versions.replace(spark, at, {"rows": frame(*((n, 0) for n in names))})
+    others = iter([("a", 1), ("b", 1), ("c", 1)])
+
+    def meanwhile():
+        if (row := next(others, None)) is not None:
+            versions.replace(spark, at, {"rows": frame(row)})
+
+    versions.replace(spark, at, {"rows": frame(("h", 9), ("a", 9))}, before_commit=meanwhile)
+    got = {r["doc_id"]: r["v"] for r in documents.load(spark, at).collect()}
+    assert got == {"a": 9, "b": 1, "c": 1, "h": 9, **{n: 0 for n in "defg"}} and documents.load(spark, at).count() == 8
 
 
 def test_chunk_store(spark, tmp_path):
@@ -424,8 +460,12 @@ def test_chunk_store(spark, tmp_path):
 
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([("d", float("nan"), [1, 2]), ("e", 1.5, None)], "doc_id string, v double, pages array<int>")
-    documents.export(rows, str(tmp_path / "csv"))
+    for d in "de":  # one after the other: both stay
+        documents.export(rows.filter(F.col("doc_id") == d), str(tmp_path / "csv"))
     documents.export(rows, str(tmp_path / "json"), "json")
+    documents.export(rows, str(tmp_path / "gone"))
+    documents.export(rows.filter("doc_id = 'e'").withColumn("v", F.lit(7.5)), str(tmp_path / "gone"), documents=rows.select("doc_id"))
+    assert [(r["doc_id"], r["v"]) for r in documents.load(spark, str(tmp_path / "gone"), "csv").collect()] == [("e", "7.5")]
     assert sorted((r["doc_id"], r["pages"]) for r in documents.load(spark, str(tmp_path / "csv"), "csv").collect()) == [("d", "1; 2"), ("e", None)]
     assert sorted((r["doc_id"], r["v"]) for r in documents.load(spark, str(tmp_path / "json"), "json").collect()) == [("d", None), ("e", 1.5)]
     c = spark.createDataFrame([cand("revenue", 5, year=1900)], CAND)
@@ -499,5 +539,18 @@ def test_stream_refresh_repeats_safely(spark, tmp_path):
     refresh(spark, str(tmp_path / "in"), frame.schema, str(tmp_path / "store"), str(tmp_path / "state"))
     spark.createDataFrame([cand("revenue", 7, section="consolidated", seq=1)], CAND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     refresh(spark, str(tmp_path / "in"), frame.schema, str(tmp_path / "store"), str(tmp_path / "state"))
-    got = sorted((r["doc_id"], r["value"]) for r in spark.read.parquet(str(tmp_path / "store/resolved")).collect())
+    got = sorted((r["doc_id"], r["value"]) for r in versions.read(spark, str(tmp_path / "store"), "resolved").collect())
     assert got == [("d", 7.0), ("e", 1.0)]
+
+
+def test_a_document_sent_again_replaces_itself(spark, tmp_path):
+    """Also where the old candidate would outrank the new one, and where a metric is gone."""
+    from granary.streaming.refresh import refresh
+
+    sent = [[cand("revenue", 10, section="consolidated"), cand("capex", 1), cand("revenue", 4, doc="e")], [cand("revenue", 99)]]
+    for rows in sent:
+        spark.createDataFrame(rows, CAND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        refresh(spark, str(tmp_path / "in"), spark.createDataFrame(rows, CAND).schema, str(tmp_path / "store"), str(tmp_path / "state"))
+    read = lambda t: versions.read(spark, str(tmp_path / "store"), t).collect()
+    assert sorted((r["doc_id"], r["metric_name"], r["value"]) for r in read("resolved")) == [("d", "revenue", 99.0), ("e", "revenue", 4.0)]
+    assert sorted((r["doc_id"], r["revenue"], r["capex"]) for r in read("pivot")) == [("d", 99.0, None), ("e", 4.0, None)]
