@@ -35,6 +35,8 @@ from granary.llm.shared import fold, ship, written
 #: taken from.
 ORDER, DISCOUNT, BUCKETS, SHARE, LEAST, CALIBRATION, APART = 5, 0.75, 1 << 20, 0.02, 0.7, 20_000, 5
 FEATURES = 2
+#: Least spread of the features that the calibration reckons with, as rows of one class hardly differ.
+LEAST_SCALE = np.array([1.0, 0.25])
 #: Words and expressions that a worker remembers; only speed depends on it.
 MOST_WORDS = 300_000
 
@@ -184,21 +186,23 @@ class ToxicModel:
         if self.weights is None:
             return np.zeros(len(features))
         x = np.column_stack([(features - self.mean) / self.scale, np.ones(len(features))])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
-
-    def calibrate(self, features: np.ndarray, toxic: np.ndarray) -> None:
-        """Ridge logistic regression by Newton steps on the toxic share of each text; without rows of both
-        classes there is no score but 0."""
-        if not 0 < toxic.mean() < 1:
-            return
-        self.mean, self.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -700, 40)))
+
+    def calibrate(self, features: np.ndarray, toxic: np.ndarray, odds: float) -> None:
+        """Ridge logistic regression by Newton steps on the toxic share of each text, towards weights of 1 for
+        either feature and the log odds of all labelled rows, so that few rows, rows of one class or none
+        still give scores that rise with the evidence."""
+        if len(features):
+            self.mean, self.scale = features.mean(axis=0), np.maximum(features.std(axis=0), LEAST_SCALE)
         x = np.column_stack([(features - self.mean) / self.scale, np.ones(len(features))])
-        w = np.zeros(FEATURES + 1)
+        towards = np.array([1.0] * FEATURES + [odds])
+        w = towards.copy()
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            slope = x.T @ (toxic - p) - 0.1 * w
+            slope = x.T @ (toxic - p) - 0.1 * (w - towards)
             w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(FEATURES + 1), slope)
-        self.weights = w
+        # where one class stands alone it pulls the weights of the features either way; they never fall below 0
+        self.weights = np.concatenate([np.maximum(w[:FEATURES], 0), w[FEATURES:]])
 
 
 class _Reader:
@@ -324,12 +328,13 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     model = _counted(grams.filter("n0 + n1 > 0"), buckets)
     shared = _Shared(spark, model)
     apart = rows.filter(F.pmod("h", F.lit(APART)) == 0)
-    near = apart.select("h").distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
-    if near is not None:
-        once = apart.filter(F.col("h") <= near).groupBy("text").agg(F.avg("toxic").alias("toxic"))
+    of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(of) == 2:
+        near = apart.select("h").distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
+        once = apart.filter(F.col("h") <= (0 if near is None else near)).groupBy("text").agg(F.avg("toxic").alias("toxic"))
         f = once.mapInArrow(_featured(shared), "a double, b double, toxic double").toPandas().sort_values(["a", "b", "toxic"])
-        shared.broadcast.destroy()
-        model.calibrate(f[["a", "b"]].to_numpy(), f["toxic"].to_numpy())
+        model.calibrate(f[["a", "b"]].to_numpy(dtype=float).reshape(-1, FEATURES), f["toxic"].to_numpy(dtype=float), float(np.log(of[1] / of[0])))
+    shared.broadcast.destroy()
     whole = _counted(grams.withColumns({"n0": F.col("n0") + F.col("a0"), "n1": F.col("n1") + F.col("a1")}), buckets)
     whole.mean, whole.scale, whole.weights = model.mean, model.scale, model.weights
     return whole

@@ -470,6 +470,22 @@ def test_toxicity_edges(spark):
     assert len(got) == 9 and all(r["predicted"] == 0 for r in got if r["doc_id"] in (1, 5, 6))
 
 
+@pytest.mark.parametrize("there", ["clean", "toxic", "none"])
+def test_toxicity_where_the_fifth_lacks_a_class(spark, there):
+    """The rows kept apart for the calibration hold one class or nothing: toxic texts still score higher."""
+    from granary.llm.toxicity import APART, judge, learn
+
+    random.seed(12)
+    bad, plain = ["wretched", "scumbag", "vermin"], [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    texts = [(" ".join(random.choices(plain, k=30) + (random.choices(bad, k=3) if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(900)]
+    frame = spark.createDataFrame(texts, "text string, toxic int").withColumn("fifth", F.pmod(F.xxhash64("text"), F.lit(APART)) == 0)
+    allowed = {"clean": "toxic = 0", "toxic": "toxic = 1", "none": "false"}[there]
+    model = learn(frame.filter(f"not fifth or {allowed}").select("text", "toxic"))
+    asked = spark.createDataFrame([(0, " ".join(bad)), (1, " ".join(plain[:40] + bad)), (2, " ".join(plain[:40])), (3, "")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in judge(asked, model).collect()}
+    assert score[0] >= score[1] > 0.3 > score[2] and score[3] < score[1]
+
+
 def test_toxicity_counts_every_labelled_row(spark):
     from granary.llm.toxicity import expressions, learn, training_rows
 
@@ -627,6 +643,19 @@ def test_secrets(spark):
     assert scan(empty(spark)).count() == 0 and digest(findings(odd(spark), blank)).count() == 9 and digest(findings(odd(spark), scan(odd(spark), blank))).count() == 9
 
 
+def test_unbroken_runs_take_linear_time():
+    import time
+
+    from granary.llm.secrets import RULES, find
+
+    for text in ("eyJ" * 400_000, "eyJ." * 300_000, "eyJa-" * 200_000 + ".eyJ" * 1000):
+        for rule in RULES:
+            began = time.perf_counter()
+            find(rule, text)
+            assert time.perf_counter() - began < 5, rule.kind
+    assert find(RULES[-1], "x eyJab.eyJcd.efghijklmnopq y") == [(2, 29)]
+
+
 # 9 LM scoring
 
 
