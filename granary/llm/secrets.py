@@ -38,7 +38,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, ("akia",)),
     Rule("hex", 1, r"[0-9a-f]+", 0, 32),
     Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, ("private key",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20, ("eyj",)),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20, ("eyj",)),
 )
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:long,end:long>>"
