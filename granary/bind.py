@@ -181,6 +181,18 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), (F.col("turn") % 3 + 1).cast("int").alias("page_no"), F.col("role").alias("section_title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, doc_id, role, question, answer: every conversation turn asks about the supplier that follows its
+    conversation's number, and names each phrase of a metric or ratio in turn."""
+    from granary.operators.views import METRIC_PHRASES, RATIO_PHRASES
+
+    c = table(spark, sf_dir, "conversations")
+    phrases = [p for p, _ in [*RATIO_PHRASES, *METRIC_PHRASES]]
+    phrase = F.element_at(F.array(*map(F.lit, phrases)), ((F.col("conv_id") * 8 + F.col("turn")) % len(phrases) + 1).cast("int"))
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return c.select(key.alias("query_id"), (F.col("conv_id") + 1).cast("string").alias("doc_id"), "role", F.concat(F.lit("What of "), F.initcap(phrase), F.lit("? "), F.coalesce("text", F.lit(""))).alias("question"), F.col("text").alias("answer"))
+
+
 def chat_events(conversations: DataFrame) -> DataFrame:
     """Conversation turns (also as a stream) as events of chat sessions: system turns reset, user turns ask, and
     assistant turns answer the question before them. Answers come late in every third session and fail in some,

@@ -184,3 +184,39 @@ def title_case(name: Column) -> Column:
 def close_relative(a: Column, b: Column, tolerance: float) -> Column:
     """Equal, or within ``tolerance`` of b."""
     return (a == b) | F.coalesce(F.try_divide(F.abs(b - a), F.abs(b)) < tolerance, F.lit(False))
+
+
+def printed(value: Column, places: int, grouped: bool = False) -> Column:
+    """A number with so many decimals, halves to even as they are in binary: 0.125 is 0.12, and 2.675, which is
+    a little less, 2.67. Twice the scaled number is rounded to a whole one; what that is off is known exactly (the
+    product's own error by splitting both factors), so an odd whole number is told from a true half."""
+    factor = 2.0 * 10**places
+    split = lambda x: 134217729.0 * x - (134217729.0 * x - x)
+    high = split(factor)
+
+    def rounded(q: Column) -> Column:
+        def told(p: Column) -> Column:
+            top = split(q)
+            error = ((top * high - p) + top * (factor - high) + (q - top) * high) + (q - top) * (factor - high)
+            off = (p - F.rint(p)) + error
+            n = F.rint(p).cast("decimal(20,0)").cast("long")
+            half = F.floor(n / F.lit(2.0)).cast("long")
+            return F.when(n % 2 == 0, half).otherwise(half + F.when(off > 0, 1).when(off < 0, 0).otherwise(half % 2))
+
+        return let(q * factor, told)
+
+    def text(q: Column) -> Column:
+        whole = F.when(q * factor < 2.0**52, rounded(q).cast("decimal(38,0)")).otherwise(F.bround(q.cast("decimal(38,6)") * 10**places, 0).cast("decimal(38,0)"))
+        unit = 10**places
+
+        def put(n: Column) -> Column:
+            ones = F.floor(n / unit) if places else n
+            ones = ones.cast("decimal(38,0)")
+            front = F.format_number(ones, 0) if grouped else ones.cast("string")
+            return F.concat(front, F.lit("."), F.lpad((n - ones * unit).cast("decimal(38,0)").cast("string"), places, "0")) if places else front
+
+        return let(whole, put)
+
+    sign = F.when((value < 0) | (F.lower(value.cast("string")) == "-0.0"), "-").otherwise("")
+    big = F.when(F.abs(value) < 1e30, F.concat(sign, let(F.abs(value), text)))
+    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.coalesce(big, value.cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import registry as R
+from granary.functions.text import printed
 
 KEYS = ["doc_id", "metric_name", "year"]
 #: Columns of a resolved row, in order.
@@ -93,9 +94,9 @@ def accounting_checks(pivoted: DataFrame) -> DataFrame:
     r, p = F.col("revenue"), F.col("net_profit")
     kinds = F.array(
         F.when(error > 0.03, F.struct(F.lit(1).alias("seq"), F.lit("balance").alias("kind"), a.alias("left"), rhs.alias("right"), error.alias("relative_error"),
-               F.format_string("Year %d: total_assets (%.0f) ≠ total_equity + total_liabilities (%.0f) — relative error %.2f%%", "year", a, rhs, error * 100).alias("message"))),
+               F.format_string("Year %d: total_assets (%s) ≠ total_equity + total_liabilities (%s) — relative error %s%%", "year", printed(a, 0), printed(rhs, 0), printed(error * 100, 2)).alias("message"))),
         F.when((F.abs(r) > 0) & (F.abs(p) > F.abs(r)), F.struct(F.lit(2).alias("seq"), F.lit("profit").alias("kind"), p.alias("left"), r.alias("right"), F.lit(None).cast("double").alias("relative_error"),
-               F.format_string("Year %d: net_profit (%.0f) exceeds revenue (%.0f) — possible extraction error", "year", p, r).alias("message"))),
+               F.format_string("Year %d: net_profit (%s) exceeds revenue (%s) — possible extraction error", "year", printed(p, 0), printed(r, 0)).alias("message"))),
     )
     return pivoted.select("doc_id", "year", F.explode(F.array_compact(kinds)).alias("c")).select("doc_id", "year", "c.*")
 

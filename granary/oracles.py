@@ -11,6 +11,10 @@ _q = lambda x: "'" + x.replace("'", "''") + "'"
 _case = lambda c, of: f"CASE {c} " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in of.items()) + " END"
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
+#: Messages of the accounting checks; printf rounds halves to even in binary.
+_BALANCE = lambda l, r: f"printf('Year %d: total_assets (%.0f) ≠ total_equity + total_liabilities (%.0f) — relative error %.2f%%', year, {l}, {r}, abs({l} - {r}) / greatest(abs({l}), abs({r}), 1.0) * 100)"
+_PROFIT = "printf('Year %d: net_profit (%.0f) exceeds revenue (%.0f) — possible extraction error', year, net_profit, revenue)"
+
 CAND = f"""
 cand AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, {_list(R.METRIC_NAMES)}[(l_partkey % 17 + 1)::INT] AS metric_name,
@@ -124,17 +128,20 @@ SQL: dict[str, str] = {
     "ratio_warnings": f"WITH {PROVEN} SELECT doc_id, year, ratio_name || ' (' || year || '): inputs span different reporting scopes (' || substr(scope_warning, 17) || '); ratio suppressed' AS message FROM proven WHERE scope_warning IS NOT NULL UNION ALL SELECT doc_id, year, 'interest_coverage NaN for ' || year || ': interest_expense missing' FROM wide WHERE interest_expense IS NULL",
     "missing_core": f"WITH {WIDE} SELECT doc_id, year, array_to_string(m, ',') AS missing FROM (SELECT doc_id, year, list_filter([{', '.join(f'CASE WHEN {m} IS NULL THEN {chr(39)}{m}{chr(39)} END' for m in R.CORE)}], lambda x: x IS NOT NULL) AS m FROM wide) WHERE len(m) > 0",
     "accounting_checks": f"""WITH {WIDE}, a AS (SELECT doc_id, year, total_assets AS l, total_equity + total_liabilities AS r, revenue, net_profit FROM wide)
-SELECT doc_id, year, 1 AS seq, 'balance' AS kind, l AS "left", r AS "right", abs(l - r) / greatest(abs(l), abs(r), 1.0) AS relative_error FROM a WHERE abs(l - r) / greatest(abs(l), abs(r), 1.0) > 0.03
-UNION ALL SELECT doc_id, year, 2, 'profit', net_profit, revenue, NULL FROM a WHERE abs(revenue) > 0 AND abs(net_profit) > abs(revenue)""",
+SELECT doc_id, year, 1 AS seq, 'balance' AS kind, l AS "left", r AS "right", abs(l - r) / greatest(abs(l), abs(r), 1.0) AS relative_error, {_BALANCE("l", "r")} AS message FROM a WHERE abs(l - r) / greatest(abs(l), abs(r), 1.0) > 0.03
+UNION ALL SELECT doc_id, year, 2, 'profit', net_profit, revenue, NULL, {_PROFIT} FROM a WHERE abs(revenue) > 0 AND abs(net_profit) > abs(revenue)""",
     "quality": f"""WITH {WIDE}, c AS (SELECT doc_id, count(*) AS candidate_rows FROM cand GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS resolved_rows FROM resolved GROUP BY doc_id),
 m AS (SELECT doc_id, string_agg(year || '=' || array_to_string(l, ','), ';' ORDER BY year) AS missing FROM (SELECT doc_id, year, list_filter([{', '.join(f'CASE WHEN {m} IS NULL THEN {chr(39)}{m}{chr(39)} END' for m in R.CORE)}], lambda x: x IS NOT NULL) AS l FROM wide) WHERE len(l) > 0 GROUP BY doc_id),
-i AS (SELECT doc_id, sum(CASE WHEN abs(total_assets - (total_equity + total_liabilities)) / greatest(abs(total_assets), abs(total_equity + total_liabilities), 1.0) > 0.03 THEN 1 ELSE 0 END + CASE WHEN abs(revenue) > 0 AND abs(net_profit) > abs(revenue) THEN 1 ELSE 0 END) AS n FROM wide GROUP BY doc_id)
-SELECT s_suppkey::VARCHAR AS doc_id, coalesce(candidate_rows, 0) AS candidate_rows, coalesce(resolved_rows, 0) AS resolved_rows, m.missing, CASE WHEN candidate_rows IS NULL OR resolved_rows IS NULL THEN 1 ELSE coalesce(i.n, 0) END::INT AS issues
+i AS (SELECT doc_id, string_agg(message, '|' ORDER BY year, seq) AS issues FROM (SELECT doc_id, year, 1 AS seq, {_BALANCE("total_assets", "(total_equity + total_liabilities)")} AS message FROM wide WHERE abs(total_assets - (total_equity + total_liabilities)) / greatest(abs(total_assets), abs(total_equity + total_liabilities), 1.0) > 0.03
+  UNION ALL SELECT doc_id, year, 2, {_PROFIT} FROM wide WHERE abs(revenue) > 0 AND abs(net_profit) > abs(revenue)) GROUP BY doc_id)
+SELECT s_suppkey::VARCHAR AS doc_id, coalesce(candidate_rows, 0) AS candidate_rows, coalesce(resolved_rows, 0) AS resolved_rows, m.missing, CASE WHEN candidate_rows IS NULL THEN 'No candidate metrics extracted.' WHEN resolved_rows IS NULL THEN 'All candidates had invalid or missing years.' ELSE coalesce(i.issues, '') END AS issues
 FROM supplier LEFT JOIN c ON c.doc_id = s_suppkey::VARCHAR LEFT JOIN r ON r.doc_id = s_suppkey::VARCHAR LEFT JOIN m ON m.doc_id = s_suppkey::VARCHAR LEFT JOIN i ON i.doc_id = s_suppkey::VARCHAR""",
     "ratio_states": f"WITH {PROVEN} SELECT doc_id, year, ratio_name, state FROM proven",
     "risk_view": f"WITH {RISK_STATES} " + " UNION ALL ".join([f"SELECT doc_id, year, '{r.removesuffix('_risk')}' AS risk, {r} AS level, {_q(s) if s in R.RISK_OF_RATIO else 'NULL'} AS ratio_used, {s} AS driver, {_q(R.THRESHOLDS[r])} AS threshold, st_{r} AS state FROM rso" for r, s, *_ in R.RISKS] + ["SELECT doc_id, year, 'overall', overall_risk, NULL, NULL, NULL, st_overall FROM rso"]),
     "explain": f"""WITH {PROVEN}, l AS (SELECT doc_id, max(year) AS year FROM wide GROUP BY doc_id)
-SELECT p.doc_id, p.year, p.ratio_name, p.result, n.raw_label AS numerator_label, n.page_no AS numerator_page, d.raw_label AS denominator_label, d.page_no AS denominator_page,
+SELECT p.doc_id, p.year, p.ratio_name, p.result, formula_str, numerator, denominator, numerator_val, denominator_val, scope_warning, state, source_pages,
+ {", ".join(f"{t}.{c} AS {side}_{c}" for t, side in (("n", "numerator"), ("d", "denominator")) for c in ("unit", "page_no", "raw_label", "evidence", "verification_state"))},
+ {", ".join(f"NULL AS {side}_{c}" for side in ("numerator", "denominator") for c in ("table_id", "row_index", "col_index"))},
  {_case("p.ratio_name", {k: _q(r.removesuffix("_risk")) for k, r in R.RISK_OF_RATIO.items()})} AS risk_type, {_case("p.ratio_name", {k: _level(r, "p.result") for k, r in R.RISK_OF_RATIO.items()})} AS risk_level, {_case("p.ratio_name", {k: _q(R.THRESHOLDS[r]) for k, r in R.RISK_OF_RATIO.items()})} AS threshold
 FROM proven p JOIN l USING (doc_id, year) LEFT JOIN resolved n ON n.doc_id = p.doc_id AND n.year = p.year AND n.metric_name = p.numerator LEFT JOIN resolved d ON d.doc_id = p.doc_id AND d.year = p.year AND d.metric_name = p.denominator""",
     "trust_summary": f"WITH {RESOLVED} SELECT doc_id, count(*) FILTER (verification_state = 'VERIFIED') AS verified, count(*) FILTER (verification_state = 'NEEDS_REVIEW') AS needs_review, count(*) FILTER (verification_state IS NULL) AS unverified FROM resolved GROUP BY doc_id",
@@ -273,7 +280,7 @@ FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.statement_type = f.statement_t
   WHEN 'subtotal' THEN 'row ' || r || chr(39) || 's label matches ' || metric_name || ', but ' || len(rivals) || ' rows on this page do (rows [' || array_to_string(rivals, ', ') || ']) -- row ' || r || ' is not the last (most likely final-total) of them; likely an intermediate subtotal'
   ELSE 'row ' || r || ' uniquely identified by value+year; column matches declared year ' || year || CASE name WHEN 'final' THEN '; positionally final among ' || len(rivals) || ' candidate rows for this metric' ELSE '' END END AS verification_reason,
  CASE name WHEN 'not found' THEN NULL WHEN 'several' THEN NULL ELSE tid END AS table_id, CASE name WHEN 'contradiction' THEN lrow WHEN 'not found' THEN NULL WHEN 'several' THEN NULL ELSE r END AS row_index, CASE name WHEN 'contradiction' THEN tcol WHEN 'not found' THEN NULL WHEN 'several' THEN NULL ELSE k END AS col_index FROM verdicts""",
-    "metrics_view": f"""WITH {RESOLVED}, m AS (SELECT doc_id, count(*) AS n, string_agg(year || ':' || metric_name, ',' ORDER BY year, metric_name) AS metrics FROM resolved GROUP BY doc_id)
+    "metrics_view": f"""WITH {RESOLVED}, m AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS metrics FROM (SELECT doc_id, concat_ws(':', year::VARCHAR, metric_name, printf('%.2f', value), unit, page_no::VARCHAR, raw_label, section_type, confidence, evidence, verification_state) AS x FROM resolved) GROUP BY doc_id)
 SELECT s_suppkey::VARCHAR AS doc_id, s_name AS company_name, CASE WHEN s_suppkey % 5 > 1 THEN (s_suppkey % 12 + 2010) || ',' || (s_suppkey % 12 + 2009) ELSE '' END AS document_years, coalesce(n, 0) AS n, coalesce(metrics, '') AS metrics FROM supplier LEFT JOIN m ON m.doc_id = s_suppkey::VARCHAR""",
     "ratio_view": f"WITH {PROVEN}, st AS (SELECT doc_id, year, string_agg(ratio_name || '=' || coalesce(state, '-'), ',' ORDER BY ratio_name) AS states FROM proven GROUP BY doc_id, year) SELECT r.doc_id, r.year, {', '.join(views.VIEW_RATIOS)}, states FROM risked r JOIN st USING (doc_id, year)",
     "metric_at": f"WITH {RESOLVED} SELECT r.doc_id, metric_name, year, value FROM resolved r JOIN (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS doc_id, {_list(R.METRIC_NAMES)}[(l_partkey % 17 + 1)::INT] AS metric_name, (year(l_shipdate) + 21)::INT AS year FROM lineitem) w USING (doc_id, metric_name, year) WHERE value IS NOT NULL",
@@ -283,7 +290,7 @@ SELECT s_suppkey::VARCHAR AS doc_id, s_name AS company_name, CASE WHEN s_suppkey
 a AS (SELECT conv_id, page_no, min(turn) + 1 AS first FROM r GROUP BY ALL), b AS (SELECT conv_id, page_no, count(*) AS snippets FROM (SELECT DISTINCT conv_id, page_no, snip FROM r) GROUP BY ALL),
 c AS (SELECT conv_id, page_no, string_agg(role, ',' ORDER BY head) AS sections FROM (SELECT conv_id, page_no, role, min(turn) AS head FROM r GROUP BY ALL) GROUP BY ALL)
 SELECT conv_id AS query_id, a.page_no::INT AS page_no, (row_number() OVER (PARTITION BY conv_id ORDER BY a.first))::INT AS place, c.sections, b.snippets::INT AS snippets FROM a JOIN b USING (conv_id, page_no) JOIN c USING (conv_id, page_no)""",
-    "mentions": f"""WITH {COMPUTED}, q AS (SELECT conv_id || '/' || turn AS query_id, CAST(conv_id % 100 AS VARCHAR) AS doc_id, lower(coalesce(text, '') || ' ' || ['What is the current ratio?', 'How did revenue and net profit grow?', 'Is its leverage high?'][(turn % 3 + 1)::INT]) AS said FROM conversations),
+    "mentions": f"""WITH {COMPUTED}, q AS (SELECT conv_id || '/' || turn AS query_id, CAST(conv_id + 1 AS VARCHAR) AS doc_id, lower(coalesce(text, '') || ' What of ' || {_list(p for p, _ in [*views.RATIO_PHRASES, *views.METRIC_PHRASES])}[((conv_id * 8 + turn) % {len([*views.RATIO_PHRASES, *views.METRIC_PHRASES])} + 1)::INT] || '? ' || coalesce(text, '')) AS said FROM conversations),
 p AS (SELECT DISTINCT query_id, doc_id, m FROM q JOIN (VALUES {", ".join(f"({_q(a)}, {_q(b)})" for a, b in views.RATIO_PHRASES)}) t(phrase, m) ON contains(said, phrase)), pm AS (SELECT DISTINCT query_id, doc_id, m FROM q JOIN (VALUES {", ".join(f"({_q(a)}, {_q(b)})" for a, b in views.METRIC_PHRASES)}) t(phrase, m) ON contains(said, phrase)),
 long AS ({" UNION ALL ".join(f"SELECT doc_id, year, {_q(m)} AS m, {m} AS value FROM risked" for m in sorted({m for _, m in views.RATIO_PHRASES}))})
 SELECT query_id, m AS metric, year, value FROM p JOIN long USING (doc_id, m) UNION ALL SELECT query_id, m, year, value FROM pm JOIN resolved r ON r.doc_id = pm.doc_id AND r.metric_name = pm.m""",
@@ -302,8 +309,8 @@ parts AS (SELECT doc_id, unnest(range(0, n + 1, 25))::INT AS pos FROM (SELECT do
 heads AS (SELECT doc_id, pos, split_part(text, chr(10), 1) AS title FROM np UNION ALL SELECT doc_id, (pos + length(split_part(text, chr(10), 1)) + 1)::INT, split_part(text, chr(10), 2) FROM np)
 SELECT c.doc_id || '_' || p.page_no || '_' || (c.pos // 25) AS chunk_id, c.doc_id, p.page_no, h.title AS section_title, p.kind AS section_type, c.pos AS char_start, c.pos + 25 AS char_end
 FROM parts c ASOF JOIN np p ON p.doc_id = c.doc_id AND p.pos <= c.pos ASOF JOIN heads h ON h.doc_id = c.doc_id AND h.pos <= c.pos""",
-    "text_forms": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x0A\x20-\x7E]')), t AS (SELECT doc_id, trim(line) AS s FROM l WHERE length(trim(line)) > 0),
-f AS (SELECT doc_id, s, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS k, length(s) <= 120 AND len(regexp_split_to_array(s, '\s+')) <= 14 AND len(regexp_extract_all(s, '[0-9]')) <= length(s) * 0.3 AND (regexp_matches(s, '^[A-Z]') OR (upper(s) = s AND lower(s) <> s)) AS heading FROM t)
+    "text_forms": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), t AS (SELECT doc_id, trim(line) AS s FROM l WHERE length(trim(line)) > 0),
+f AS (SELECT doc_id, s, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS k, length(s) <= 120 AND len(regexp_split_to_array(s, '\s+')) <= 14 AND len(regexp_extract_all(s, '[0-9]')) <= length(s) * 0.3 AND (regexp_matches(s, '^\p{Lu}') OR (upper(s) = s AND lower(s) <> s)) AS heading FROM t)
 SELECT doc_id, count(*) AS n, count(*) FILTER (heading) AS headings, md5(string_agg(k, '|' ORDER BY k)) AS row_keys, md5(string_agg(regexp_replace(regexp_replace(k, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '|' ORDER BY k)) AS grounding_keys,
  md5(string_agg(trim(regexp_replace(regexp_replace(regexp_replace(k, '\[[^\]]+\]', '', 'g'), '^[()ivxabc0-9]+[.)\s]\s*', ''), '\s+', ' ', 'g')), '|' ORDER BY k)) AS labels FROM f GROUP BY doc_id""",
 }

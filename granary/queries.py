@@ -67,14 +67,15 @@ def missing_core(s: SparkSession, d: str) -> DataFrame:
 def quality(s: SparkSession, d: str) -> DataFrame:
     q = resolve.quality(bind.candidates(s, d), _resolved(s, d), bind.document_rows(s, d))
     missing = F.array_join(F.transform(F.array_sort(F.map_entries("missing")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
-    return q.select("doc_id", "candidate_rows", "resolved_rows", missing.alias("missing"), F.size("issues").alias("issues"))
+    return q.select("doc_id", "candidate_rows", "resolved_rows", missing.alias("missing"), F.array_join("issues", "|").alias("issues"))
 
 
 def explain(s: SparkSession, d: str) -> DataFrame:
     r = _resolved(s, d)
     e = views.explain(ratios.wide(r), r)
-    side = lambda x: [F.col(f"{x}_row.raw_label").alias(f"{x}_label"), F.col(f"{x}_row.page_no").alias(f"{x}_page")]
-    return e.select("doc_id", "year", "ratio_name", "result", *side("numerator"), *side("denominator"), "risk_type", "risk_level", "threshold")
+    side = lambda x: [F.col(f"{x}_row.{c}").alias(f"{x}_{c}") for c in ("unit", "page_no", "raw_label", "evidence", "verification_state", "table_id", "row_index", "col_index")]
+    named = ["formula_str", "numerator", "denominator", "numerator_val", "denominator_val", "scope_warning", "state", _listed("source_pages"), "risk_type", "risk_level", "threshold"]
+    return e.select("doc_id", "year", "ratio_name", "result", *named, *side("numerator"), *side("denominator"))
 
 
 def gold_scores(s: SparkSession, d: str) -> DataFrame:
@@ -146,15 +147,14 @@ def metric_lines(s: SparkSession, d: str) -> DataFrame:
 def prompt_texts(s: SparkSession, d: str) -> DataFrame:
     r = _resolved(s, d)
     w = ratios.wide(r)
-    q = bind.table(s, d, "conversations").filter("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), (F.col("conv_id") % 100).cast("string").alias("doc_id"), F.col("text").alias("question"))
-    return prompts.prompts(q, prompts.resolved_section(r), prompts.computed_section(w), None)
+    q = bind.questions(s, d).filter("role = 'user'").select("query_id", "doc_id", "question")
+    found = bind.retrieved(s, d).withColumn("query_id", F.concat_ws("/", F.col("query_id").cast("string"), F.lit("0")))
+    return prompts.prompts(q, prompts.resolved_section(r), prompts.computed_section(w), prompts.documents_section(found))
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
     r = _resolved(s, d)
-    c = bind.table(s, d, "conversations")
-    words = F.element_at(F.array(F.lit("What is the current ratio?"), F.lit("How did revenue and net profit grow?"), F.lit("Is its leverage high?")), (F.col("turn") % 3 + 1).cast("int"))
-    q = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), (F.col("conv_id") % 100).cast("string").alias("doc_id"), words.alias("question"), F.col("text").alias("answer"))
+    q = bind.questions(s, d).select("query_id", "doc_id", "question", "answer")
     return views.mentions(q, ratios.compute(ratios.wide(r)), r)
 
 
@@ -232,8 +232,8 @@ def structural(s: SparkSession, d: str) -> DataFrame:
 
 def metrics_view(s: SparkSession, d: str) -> DataFrame:
     v = views.metrics_view(bind.document_rows(s, d), _resolved(s, d))
-    names = F.array_join(F.array_sort(F.transform("metrics", lambda m: F.concat(m["year"].cast("string"), F.lit(":"), m["metric_name"]))), ",")
-    return v.select("doc_id", "company_name", _listed("document_years"), F.size("metrics").cast("long").alias("n"), names.alias("metrics"))
+    named = F.transform("metrics", lambda m: F.concat_ws(":", m["year"].cast("string"), m["metric_name"], T.printed(m["value"], 2), m["unit"], m["page_no"].cast("string"), m["raw_label"], m["section_type"], m["confidence"], m["evidence"], m["verification_state"]))
+    return v.select("doc_id", "company_name", _listed("document_years"), F.size("metrics").cast("long").alias("n"), F.array_join(F.array_sort(named), ",").alias("metrics"))
 
 
 def ratio_view(s: SparkSession, d: str) -> DataFrame:
@@ -277,8 +277,8 @@ def scope_tags(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_forms(s: SparkSession, d: str) -> DataFrame:
-    """Lines of plain-letter documents: how many are headings, and a digest of each kind of key."""
-    t = bind.table(s, d, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x0A\x20-\x7E]"))
+    """Lines of all documents: how many are headings, and a digest of each kind of key."""
+    t = bind.table(s, d, "documents")
     line = t.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
     k = structure.row_key(F.col("line"))
     f = line.select("doc_id", T.heading_shaped(F.col("line")).alias("h"), k.alias("k"), T.grounding_key(F.col("line")).alias("g"), T.line_label(F.col("line")).alias("l"))
@@ -290,7 +290,7 @@ QUERIES: dict[str, Query] = {
     "valid_years": valid_years, "resolve": resolved, "derived_totals": derived_totals, "pivot": lambda s, d: resolve.pivot(_resolved(s, d)),
     "ratios": lambda s, d: _computed(s, d).select("doc_id", "year", *RATIO_COLUMNS), "risks": lambda s, d: _computed(s, d).select("doc_id", "year", *RISK_COLUMNS),
     "provenance": provenance, "ratio_warnings": ratio_warnings, "missing_core": missing_core,
-    "accounting_checks": lambda s, d: resolve.accounting_checks(resolve.pivot(_resolved(s, d))).drop("message"), "quality": quality,
+    "accounting_checks": lambda s, d: resolve.accounting_checks(resolve.pivot(_resolved(s, d))), "quality": quality,
     "ratio_states": lambda s, d: ratios.ratio_states(ratios.provenance(_wide(s, d))), "risk_view": lambda s, d: views.risk_view(_wide(s, d)), "explain": explain,
     "trust_summary": lambda s, d: views.trust_summary(_resolved(s, d)), "missing_warning": lambda s, d: views.missing_warning(_computed(s, d)),
     "computed_units": lambda s, d: ratios.computed_units(_wide(s, d)), "gold_scores": gold_scores, "coverage": lambda s, d: evaluate.coverage(bind.candidates(s, d)),
