@@ -240,9 +240,29 @@ def _list(values: np.ndarray | list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _pressed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, one behind the other, compressed; each number in as many bytes as the largest needs."""
+    out = []
+    for a in arrays:
+        kind = np.min_scalar_type(int(a.max(initial=0)))
+        out.append(np.array([len(a), kind.itemsize], "<i8").tobytes() + a.astype(f"<u{kind.itemsize}").tobytes())
+    body = b"".join(out)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _opened(body: bytes) -> list[np.ndarray]:
+    whole, at, out = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True), 0, []
+    while at < len(whole):
+        n, width = np.frombuffer(whole, "<i8", 2, at)
+        out.append(np.frombuffer(whole, f"<u{width}", n, at + 16).astype(np.int64))
+        at += 16 + int(n * width)
+    return out
+
+
 def _block(own: Aligner, part: pa.RecordBatch) -> pa.RecordBatch:
     """A row: the digests of the documents; per document the words that it holds, as numbers, and how often; per
-    word its links, as places among the block's distinct pairs; and those pairs with the number of their documents."""
+    word its links, as places among the block's distinct pairs (these compressed); and those pairs with the number
+    of their documents."""
     slots, bounds = own.slots(part.column(1))
     n = part.num_rows
     doc = np.repeat(np.arange(n), np.diff(bounds))
@@ -265,8 +285,8 @@ def _block(own: Aligner, part: pa.RecordBatch) -> pa.RecordBatch:
     digests = pa.StructArray.from_arrays([*(pa.array(c) for c in sums.T), pa.array(hashes, pa.string())], names=["n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
     row = {
         "doc_ids": pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(0)), "digests": pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), digests),
-        "held": _list(np.bincount(doc, minlength=n), pa.int32()), "bag": _list(bag, pa.int32()), "times": _list(times, pa.int32()),
-        "links": _list(sizes, pa.int32()), "places": _list(place, pa.int32()), "pairs": _list(pairs, pa.int64()), "in_docs": _list(in_docs, pa.int32()),
+        "body": pa.array([_pressed(np.bincount(doc, minlength=n), np.diff(held, prepend=0), times, sizes, place)], pa.binary()),
+        "pairs": _list(pairs, pa.int64()), "in_docs": _list(in_docs, pa.int32()),
     }
     return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
@@ -282,7 +302,7 @@ def _blocks(a_path: str, b_path: str):
 
 
 def _blocks_ddl(doc_id: str) -> str:
-    return f"doc_ids array<{doc_id}>, digests array<struct<{_DOC.replace(' long', ':long').replace(' string', ':string')}>>, held array<int>, bag array<int>, times array<int>, links array<int>, places array<int>, pairs array<long>, in_docs array<int>"
+    return f"doc_ids array<{doc_id}>, digests array<struct<{_DOC.replace(' long', ':long').replace(' string', ':string')}>>, body binary, pairs array<long>, in_docs array<int>"
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -295,12 +315,13 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 def _summed(key: tuple, block: pa.Table, counts: pa.Table) -> pa.Table:
     """Each document's sums over its links: a word's sums are made once."""
-    row = {c: block.column(c)[0].values for c in block.column_names if c != "block"}
-    count, best = (np.zeros(len(row["pairs"]), np.int64) for _ in range(2))
+    ids, digests, body = (block.column(c)[0] for c in ("doc_ids", "digests", "body"))
+    held, steps, times, sizes, places = _opened(body.as_py())
+    number = np.cumsum(steps)
+    bag = number % max(len(sizes), 1)
+    count, best = (np.zeros(int(places.max(initial=-1)) + 1, np.int64) for _ in range(2))
     at = counts.column("place").to_numpy()
     count[at], best[at] = counts.column("count").to_numpy(), counts.column("best").to_numpy(zero_copy_only=False)
-    places, sizes = row["places"].to_numpy(), row["links"].to_numpy()
-    bag, times, held = (row[c].to_numpy() for c in ("bag", "times", "held"))
     word = np.repeat(np.arange(len(sizes)), sizes)
     doc = np.repeat(np.arange(len(held)), held)
     out = []
@@ -310,7 +331,7 @@ def _summed(key: tuple, block: pa.Table, counts: pa.Table) -> pa.Table:
         per_doc = np.zeros(len(held), np.int64)
         np.add.at(per_doc, doc, per_word[bag] * times)
         out.append(pa.array(per_doc))
-    return pa.table([row["doc_ids"], *row["digests"].flatten(), *out], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"])
+    return pa.table([ids.values, *digests.values.flatten(), *out], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"])
 
 
 def scored(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -326,7 +347,7 @@ def scored(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     blocks = written(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
     counts = pair_counts(blocks)
     asks = blocks.select("block", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair").select(F.col("block").alias("of"), F.col("at").alias("place"), "count", "best")
-    return blocks.drop("in_docs").groupBy("block").cogroup(asks.groupBy("of")).applyInArrow(_summed, f"doc_id {kind}, {_DOC}, n_best long, count_sum long")
+    return blocks.drop("pairs", "in_docs").groupBy("block").cogroup(asks.groupBy("of")).applyInArrow(_summed, f"doc_id {kind}, {_DOC}, n_best long, count_sum long")
 
 
 __all__ = ["Aligner", "aligner", "alignments", "groups", "groups_of", "pair_counts", "scored"]
