@@ -212,3 +212,16 @@ def chat_events(conversations: DataFrame) -> DataFrame:
     ]
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("e.s")).alias("at")
     return conversations.select(c.alias("session"), F.explode(F.array_compact(F.array(*events))).alias("e")).select("session", start, "e.seq", "e.kind", "e.request", "e.text")
+
+
+def asked_calls(orders: DataFrame) -> DataFrame:
+    """Orders (also as a stream) as calls of statements: doc_id, statement_type, asked_at."""
+    kind = F.element_at(F.array(*[F.lit(p[0]) for p in STATEMENT_PAGES]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return orders.select(F.col("o_orderkey").cast("string").alias("doc_id"), kind.alias("statement_type"), F.col("o_orderdate").cast("timestamp").alias("asked_at"))
+
+
+def given_answers(lineitem: DataFrame) -> DataFrame:
+    """First lines of orders (also as a stream) as answers of their calls, as late as they were shipped."""
+    kind = F.element_at(F.array(*[F.lit(p[0]) for p in STATEMENT_PAGES]), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    raw = F.concat(F.lit('{"metrics": [], "value": '), F.col("l_extendedprice").cast("string"), F.lit("}"))
+    return lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("doc_id"), kind.alias("statement_type"), raw.alias("raw_json"), F.col("l_shipdate").cast("timestamp").alias("answered_at"))

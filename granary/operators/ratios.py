@@ -12,11 +12,17 @@ from granary import registry as R
 from granary.functions.text import trim, unit_key
 
 
+#: What a wide row holds of a metric.
+_FIELDS = ("value", "scope", "page_no", "state", "unit")
+
+
 def wide(resolved: DataFrame) -> DataFrame:
-    """doc_id, year; per metric a struct value, scope (NULL if unknown), page_no, state, unit."""
+    """doc_id, year; per metric a struct value, scope (NULL if unknown), page_no, state, unit. There is one row of a
+    metric and year, so each field is an aggregate of its own, and those that nobody reads are left out."""
     scope = F.when(~F.col("section_type").isin("", "unknown"), F.col("section_type"))
-    cell = F.struct("value", scope.alias("scope"), "page_no", F.col("verification_state").alias("state"), "unit")
-    return resolved.groupBy("doc_id", "year").agg(*[F.max(F.when(F.col("metric_name") == m, cell)).alias(m) for m in R.METRIC_NAMES])
+    rows = resolved.select("doc_id", "year", "metric_name", "value", scope.alias("scope"), "page_no", F.col("verification_state").alias("state"), "unit")
+    flat = rows.groupBy("doc_id", "year").agg(*[F.max(F.when(F.col("metric_name") == m, F.col(f))).alias(f"{m}__{f}") for m in R.METRIC_NAMES for f in _FIELDS])
+    return flat.select("doc_id", "year", *[F.struct(*[F.col(f"{m}__{f}").alias(f) for f in _FIELDS]).alias(m) for m in R.METRIC_NAMES])
 
 
 def _value(metric: str) -> Column:

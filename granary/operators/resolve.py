@@ -35,30 +35,25 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return valid_years(candidates).withColumn("_rank", rank).filter("_rank = 1").select(*CONTRACT)
 
 
-def _of(metric: str, c: Column) -> Column:
-    return F.max(F.when(F.col("metric_name") == metric, c))
-
-
 #: Totals and what they follow from, as they are called below.
 _PARTS = {"cl": "current_liabilities", "ltd": "long_term_debt", "std": "short_term_debt", "tl": "total_liabilities", "ta": "total_assets", "eq": "total_equity"}
+#: Columns in which a derived row differs from its first summand.
+_NEW = ["metric_name", "value", "raw_label", "statement_type", "confidence", "source"]
 
 
-def _parts() -> list[Column]:
-    # One row per metric at most: max picks it.
-    return [_of(m, F.struct(*CONTRACT)).alias(k) for k, m in _PARTS.items()]
-
-
-def _made() -> Column:
-    """The rows that the parts of a year give, one or both totals or none."""
-    v = lambda k: F.col(f"{k}.value")
-
-    def made(base: str, metric: str, value: Column, label: str) -> Column:
-        new = {"metric_name": F.lit(metric), "value": value, "raw_label": F.lit(label), "statement_type": F.lit("balance_sheet"), "confidence": F.lit("derived"), "source": F.lit(R.LINE_SOURCE)}
-        return F.struct(*[new.get(c, F.col(f"{base}.{c}")).alias(c) for c in CONTRACT])
-
-    liabilities = F.when(v("tl").isNull() & v("cl").isNotNull() & v("ltd").isNotNull(), made("cl", "total_liabilities", v("cl") + v("ltd") + F.coalesce(v("std"), F.lit(0.0)), "derived(cl+ltd+std)"))
-    assets = F.when(v("ta").isNull() & v("eq").isNotNull() & v("tl").isNotNull(), made("eq", "total_assets", v("eq") + v("tl"), "derived(equity+liab)"))
-    return F.array_compact(F.array(liabilities, assets))
+def _with_totals(best: DataFrame, only: bool) -> DataFrame:
+    """Resolved rows and the totals derived from them, or these alone. A row of the first summand makes the
+    total, as its other columns are the total's; the values beside it come from a window over the year."""
+    year = Window.partitionBy("doc_id", "year")
+    d = best.select("*", *[F.max(F.when(F.col("metric_name") == m, F.col("value"))).over(year).alias(f"_{k}") for k, m in _PARTS.items()])
+    made = lambda metric, value, label: F.struct(F.lit(metric), value, F.lit(label), F.lit("balance_sheet"), F.lit("derived"), F.lit(R.LINE_SOURCE))
+    total = F.when((F.col("metric_name") == _PARTS["cl"]) & F.col("_tl").isNull() & F.col("_cl").isNotNull() & F.col("_ltd").isNotNull(),
+                   made("total_liabilities", F.col("_cl") + F.col("_ltd") + F.coalesce("_std", F.lit(0.0)), "derived(cl+ltd+std)"))
+    total = total.when((F.col("metric_name") == _PARTS["eq"]) & F.col("_ta").isNull() & F.col("_eq").isNotNull() & F.col("_tl").isNotNull(), made("total_assets", F.col("_eq") + F.col("_tl"), "derived(equity+liab)"))
+    own = F.when(F.lit(not only), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(_NEW)]))
+    kind = "array<struct<" + ",".join(f"{c}:{best.schema[c].dataType.simpleString()}" for c in _NEW) + ">>"
+    d = d.withColumn("_r", F.explode(F.array_compact(F.array(own.cast(kind[6:-1]), total.cast(kind[6:-1])))))
+    return d.select(*[F.col(f"_r.{c}").alias(c) if c in _NEW else F.col(c) for c in CONTRACT])
 
 
 def derived_totals(resolved: DataFrame) -> DataFrame:
@@ -66,24 +61,20 @@ def derived_totals(resolved: DataFrame) -> DataFrame:
     liabilities and debts, total_assets from equity and reported liabilities. Both read what was resolved, so
     a derived total_liabilities feeds nothing. The rest of a row is that of its first summand, its trust state
     included; confidence ``derived`` marks it."""
-    needed = resolved.filter(F.col("metric_name").isin(*_PARTS.values()))
-    return needed.groupBy("doc_id", "year").agg(*_parts()).select(F.explode(_made()).alias("r")).select("r.*")
+    return _with_totals(resolved.filter(F.col("metric_name").isin(*_PARTS.values())), True)
 
 
 def resolve(candidates: DataFrame) -> DataFrame:
     """The best candidates and the totals derived from them (see ``derived_totals``).
 
-    The rows of a document and year, one per metric at most, meet once; totals are made there, so candidates
-    are read once, and what follows finds rows partitioned by document and year."""
-    rows = F.collect_list(F.struct(*CONTRACT)).alias("rows")
-    g = best_candidates(candidates).groupBy("doc_id", "year").agg(rows, *_parts())
-    out = g.select("doc_id", "year", F.explode(F.concat("rows", _made())).alias("r"))
-    return out.select(*[F.col(c) if c in ("doc_id", "year") else F.col(f"r.{c}").alias(c) for c in CONTRACT])
+    Candidates are read once; what follows finds rows partitioned by document and year, and columns that
+    nobody asks for are read and shuffled nowhere."""
+    return _with_totals(best_candidates(candidates), False)
 
 
 def pivot(resolved: DataFrame) -> DataFrame:
     """One row per document and year with all metrics, absent ones NULL; one aggregation, no value scan."""
-    return resolved.groupBy("doc_id", "year").agg(*[_of(m, F.col("value")).alias(m) for m in R.METRIC_NAMES])
+    return resolved.groupBy("doc_id", "year").agg(*[F.max(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in R.METRIC_NAMES])
 
 
 def accounting_checks(pivoted: DataFrame) -> DataFrame:

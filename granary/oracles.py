@@ -170,6 +170,12 @@ SELECT left(md5(name || size), 12) AS doc_id, CASE WHEN lower(name) NOT LIKE '%.
     "match_labels": "WITH " + CAND + ", k AS (SELECT DISTINCT raw_label, statement_type, lower(raw_label) AS key FROM cand) SELECT raw_label, statement_type, CASE " + " ".join(
         f"WHEN statement_type = '{st}' AND regexp_matches(key, '{'|'.join(f'(?:{a})' for a in al)}')" + (f" AND NOT regexp_matches(key, '{'|'.join(f'(?:{e})' for e in ex)}')" if ex else "") + f" THEN '{n}'" for n, st, al, ex in R.METRICS) + " END AS metric_name FROM k",
     "text_scan": "SELECT doc_id, len(regexp_extract_all(text, '[0-9]')) AS digits, length(text) AS chars, CASE WHEN lower(text) LIKE '%consolidated%' AND lower(text) NOT LIKE '%standalone%' THEN 'consolidated' WHEN lower(text) LIKE '%standalone%' AND lower(text) NOT LIKE '%consolidated%' THEN 'standalone' ELSE 'unknown' END AS hint FROM documents",
+    "answered_calls": """
+WITH c AS (SELECT o_orderkey::VARCHAR AS doc_id, ['balance_sheet', 'income_statement', 'cash_flow'][(o_orderkey % 3 + 1)::INT] AS statement_type, o_orderdate::TIMESTAMP AS asked_at FROM orders),
+a AS (SELECT l_orderkey::VARCHAR AS doc_id, '{"metrics": [], "value": ' || l_extendedprice || '}' AS raw_json, l_shipdate::TIMESTAMP AS answered_at FROM lineitem WHERE l_linenumber = 1),
+w AS (SELECT least((SELECT max(asked_at) FROM c), (SELECT max(answered_at) FROM a)) - INTERVAL 30 DAY AS mark)
+SELECT c.*, a.raw_json, a.answered_at FROM c JOIN a ON a.doc_id = c.doc_id AND answered_at BETWEEN asked_at AND asked_at + INTERVAL 1452 HOUR
+UNION ALL SELECT c.*, NULL, NULL FROM c, w WHERE asked_at + INTERVAL 1452 HOUR < mark AND NOT EXISTS (FROM a WHERE a.doc_id = c.doc_id AND answered_at BETWEEN asked_at AND asked_at + INTERVAL 1452 HOUR)""",
     "conversation_rows": """
 WITH RECURSIVE c AS (SELECT conv_id AS session, turn AS t, role, text, conv_id % 1440 * 60 + turn * 60 + CASE WHEN conv_id % 5 = 0 AND turn >= 4 THEN 7200 ELSE 0 END AS s, conv_id % 7 = 3 AND turn % 4 = 1 AS fails, CASE WHEN conv_id % 3 = 1 THEN 130 ELSE 0 END AS late FROM conversations),
 raw AS (

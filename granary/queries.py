@@ -14,7 +14,7 @@ from granary.operators import candidates as C
 from granary.operators import chunks, evaluate, extraction_prompts, grounding, pages, prompts, ratios, resolve, structure, views
 from granary.package import shared_dir
 from granary.plans import ingest
-from granary.streaming import conversations, refresh
+from granary.streaming import arrivals, conversations, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -166,6 +166,17 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     return refresh.latest(s, f"{at}/out", ["start", "event_type"], ["n"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def answered_calls(s: SparkSession, d: str) -> DataFrame:
+    """Calls and answers as two streams, joined as they arrive; calls without an answer in time leave alone."""
+    at = f"{shared_dir(s)}/granary/calls-{uuid.uuid4().hex}"
+    stream = lambda t: s.readStream.schema(bind.table(s, d, t).schema).option("pathGlobFilter", f"{t}.parquet").parquet(d)
+    calls = bind.asked_calls(stream("orders")).withWatermark("asked_at", "30 days")
+    answers = bind.given_answers(stream("lineitem")).withWatermark("answered_at", "30 days")
+    joined = arrivals.answered(calls, answers, "1452 hours").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("asked_at", "answered_at")})
+    refresh.drained(joined, f"{at}/out", f"{at}/state", "append")
+    return s.read.schema(joined.schema).parquet(f"{at}/out").drop("batch")
+
+
 def conversation_rows(s: SparkSession, d: str) -> DataFrame:
     """Chat sessions made from conversations, run as a stream with keyed state."""
     at = f"{shared_dir(s)}/granary/chat-{uuid.uuid4().hex}"
@@ -296,7 +307,7 @@ QUERIES: dict[str, Query] = {
     "computed_units": lambda s, d: ratios.computed_units(_wide(s, d)), "gold_scores": gold_scores, "coverage": lambda s, d: evaluate.coverage(bind.candidates(s, d)),
     "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "top_k_search": top_k, "content_gate": content_gate,
     "upload_gates": lambda s, d: views.upload_gates(bind.uploads(s, d)), "page_offsets": page_offsets, "parse_values": parse_values,
-    "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows, "conversation_rows": conversation_rows,
+    "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows, "conversation_rows": conversation_rows, "answered_calls": answered_calls,
     "classify_pages": classify_pages, "select_pages": select_pages, "chunk_pages": chunk_pages, "metric_lines": metric_lines, "mentions": mentions, "prompts": prompt_texts,
     "statement_classes": _classes, "statement_selection": select_pages, "statement_blocks": _blocks, "extraction_prompts": lambda s, d: extraction_prompts.extraction_prompts(_blocks(s, d)),
     "header_page_years": lambda s, d: pages.document_years(bind.statement_pages(s, d)).withColumn("years", _listed("years")), "company_names": lambda s, d: pages.company_names(bind.statement_pages(s, d)),
