@@ -32,15 +32,15 @@ def classify(pages: DataFrame) -> DataFrame:
     A statement needs five financial numbers. Its type is that of the first title-like line with a title
     phrase; a line after a bare note number (1 to 60) is no title. Failing that, of the first line with a
     phrase. Other pages are notes, mda or other by their body. NULL text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    p = pages.select("doc_id", "page_no", text.alias("text"), F.filter(lines(text), lambda x: F.length(trim(x)) > 0).alias("lines"))
+    p = pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))
     p = p.withColumn("numeric_count", F.regexp_count("text", F.lit(FINANCIAL_NUMBER)))
+    dense = F.col("numeric_count") >= R.LEAST_NUMBERS  # only such a page's lines are looked at
+    p = p.withColumn("lines", F.when(dense, F.filter(lines(F.col("text")), lambda x: F.length(trim(x)) > 0)))
     bare = lambda i: F.regexp_replace(trim(F.get("lines", i - 1)), r"\.+$", "")
     note = lambda i: (i > 0) & F.coalesce(bare(i).rlike(r"^0*([1-9]|[1-5][0-9]|60)\z"), F.lit(False))
-    p = p.withColumn("titles", F.filter("lines", lambda x, i: heading_shaped(x) & ~note(i)))
+    p = p.withColumn("titles", F.when(dense, F.filter("lines", lambda x, i: heading_shaped(x) & ~note(i))))
     strong = F.get(F.filter(F.transform("titles", _kind), lambda k: k.isNotNull()), F.lit(0))
     weak = F.get(F.filter(F.transform("lines", _kind), lambda k: k.isNotNull()), F.lit(0))
-    dense = F.col("numeric_count") >= R.LEAST_NUMBERS
     p = p.withColumn("strong", F.when(dense, strong)).withColumn("kind", F.when(dense, F.coalesce("strong", weak)))
 
     def quality(words: list[str]) -> Column:
