@@ -20,6 +20,8 @@ from granary.package import ship
 SIZE, OVERLAP, SEPARATORS = 800, 150, ("\n\n", "\n", ". ", " ")
 #: Retrieval: about so many vectors and queries of one key meet in a task, queries by so many at a time.
 VECTORS, QUERIES, TILE = 65_536, 8_192, 64
+#: Page numbers, and characters of a document's text, that one task goes through in order.
+PAGES, CHARACTERS = 512, 1 << 20
 
 
 def narrative(pages: DataFrame, classes: DataFrame) -> DataFrame:
@@ -29,11 +31,20 @@ def narrative(pages: DataFrame, classes: DataFrame) -> DataFrame:
     return p.filter(~F.col("statement_type").isin(*R.STATEMENTS) & (F.length(trim(F.coalesce("text", F.lit("")))) > 0)).select("doc_id", "page_no", "text", "statement_type")
 
 
-def offsets(pages: DataFrame) -> DataFrame:
-    """Adds char_start, char_end of each page in its document's text, pages one line feed apart."""
-    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    p = pages.withColumn("char_start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
-    return p.withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
+def offsets(pages: DataFrame, block: int = PAGES) -> DataFrame:
+    """Adds char_start, char_end of each page in its document's text, pages one line feed apart.
+
+    A prefix sum in two levels: blocks of ``block`` page numbers are added up, the sums of a document's blocks run
+    over a row per block, and each block goes on from there, so one long document is many tasks."""
+    p = pages.withColumn("_block", F.floor(F.col("page_no") / block))
+    sums = p.groupBy("doc_id", "_block").agg(F.sum(F.length("text") + 1).alias("_n"))
+    along = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("doc_id", "_block", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    met = (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("_block").eqNullSafe(F.col("_of")))
+    p = p.join(sums.withColumnsRenamed({"doc_id": "_doc", "_block": "_of"}), met)
+    within = Window.partitionBy("doc_id", "_block").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("char_start", (F.col("_before") + F.coalesce(F.sum(F.length("text") + 1).over(within), F.lit(0))).cast("int"))
+    return p.drop("_block", "_before", "_doc", "_of").withColumn("char_end", (F.col("char_start") + F.length("text")).cast("int"))
 
 
 def headings(placed: DataFrame) -> DataFrame:
@@ -109,15 +120,27 @@ def chunk(pages: DataFrame, classes: DataFrame, size: int = SIZE, overlap: int =
     return locate(parts, placed, headings(placed))
 
 
-def locate(parts: DataFrame, placed: DataFrame, titles: DataFrame) -> DataFrame:
-    """Page and title of every chunk by one backward as-of pass: pages, headings and chunks of a document in
-    order of position, each chunk taking the last page and heading at or before it."""
+def locate(parts: DataFrame, placed: DataFrame, titles: DataFrame, block: int = CHARACTERS) -> DataFrame:
+    """Page and title of every chunk by a backward as-of pass in two levels: pages, headings and chunks of a
+    document in order of position, each chunk taking the last page and heading at or before it. Within blocks
+    of ``block`` characters every event sees what came before it there; the last page and heading of a block run on
+    over a row per block, for those at the start of later ones."""
     none = F.lit(None)
     events = titles.select("doc_id", "pos", F.lit(0).alias("rank"), none.cast("int").alias("page"), none.cast("string").alias("kind"), F.col("heading"), none.cast("struct<i:int,text:string,char_start:int,char_end:int>").alias("chunk"))
     events = events.unionByName(placed.select("doc_id", F.col("char_start").alias("pos"), F.lit(0).alias("rank"), F.col("page_no").cast("int").alias("page"), F.col("statement_type").alias("kind"), none.cast("string").alias("heading"), none.cast("struct<i:int,text:string,char_start:int,char_end:int>").alias("chunk")))
     events = events.unionByName(parts.select("doc_id", F.col("char_start").alias("pos"), F.lit(1).alias("rank"), none.cast("int").alias("page"), none.cast("string").alias("kind"), none.cast("string").alias("heading"), F.struct("i", "text", "char_start", "char_end").alias("chunk")))
-    past = Window.partitionBy("doc_id").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = events.withColumn("page", F.last("page", ignorenulls=True).over(past)).withColumn("kind", F.last("kind", ignorenulls=True).over(past)).withColumn("heading", F.last("heading", ignorenulls=True).over(past)).filter("chunk is not null")
+    carried, order = ["page", "kind", "heading"], F.struct("pos", "rank")
+    events = events.withColumn("_block", F.floor(F.col("pos") / block))
+    ends = events.filter("chunk is null").groupBy("doc_id", "_block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in carried])
+    earlier = Window.partitionBy("doc_id").orderBy("_block")
+    # what stands before a block is told to every block that holds chunks, by one more pass over a row per block
+    ends = ends.unionByName(events.filter("chunk is not null").select("doc_id", "_block").distinct(), allowMissingColumns=True).groupBy("doc_id", "_block").agg(*[F.max(f"_{c}").alias(f"_{c}") for c in carried])
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("doc_id").alias("_doc"), F.col("_block").alias("_of"), *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}") for c in carried])
+    past = Window.partitionBy("doc_id", "_block").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = events.select("doc_id", "_block", "pos", "rank", "chunk", *[F.last(c, ignorenulls=True).over(past).alias(c) for c in carried]).filter("chunk is not null")
+    e = e.join(ends, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_block") == F.col("_of")), "left")
+    e = e.select("doc_id", "chunk", *[F.coalesce(c, f"_{c}").alias(c) for c in carried])
     title = F.coalesce("heading", F.lit(""))
     section = section_of_heading(F.when(title != "", title).otherwise(F.substring("chunk.text", 1, 200)))
     section = F.when((section == "other") & F.col("kind").isin("mda", "notes", "risk_factors", "liquidity"), F.col("kind")).otherwise(section)

@@ -41,7 +41,7 @@ def answered(calls: DataFrame, answers: DataFrame, wait: str = WAIT) -> DataFram
 
 def ingest_arrivals(spark: SparkSession, incoming: str, folder: str, checkpoint: str, wait: str = WAIT, late: str = LATE) -> None:
     """Takes what has arrived under ``incoming``/pages, /answers and /tables (Parquet) since the last call into the
-    versioned store ``folder``: tables pages, answers, resolved, rejected. Pages are kept first; of a document
+    versioned store ``folder``: tables pages, answers, resolved. Pages are kept first; of a document
     that is sent again within a call all pages count together, later ones replace it. Repeating a batch
     changes nothing: answers are keyed by batch."""
 
@@ -49,18 +49,25 @@ def ingest_arrivals(spark: SparkSession, incoming: str, folder: str, checkpoint:
         versions.replace(spark, folder, {"pages": batch.select("doc_id", "page_no", "text").filter("doc_id is not null")})
 
     def take(batch: DataFrame, number: int) -> None:
-        new = batch.select("doc_id", "statement_type", "raw_json", F.lit(number).alias("batch"))
+        new = batch.select("doc_id", "statement_type", "raw_json", F.lit(number).alias("batch")).persist()
+        try:
+            if not new.isEmpty():
+                replace(new, number)
+        finally:
+            new.unpersist()
+
+    def replace(new: DataFrame, number: int) -> None:
         named = new.select("doc_id").distinct()
         before = versions.read(spark, folder, "answers")
-        if before is not None:
-            new = new.unionByName(before.filter(F.col("batch") != number).join(named, "doc_id", "left_semi"))
+        known = new if before is None else new.unionByName(before.filter(F.col("batch") != number).join(named, "doc_id", "left_semi"))
         tables = spark.read.schema(TABLES).parquet(f"{incoming}/tables").join(named, "doc_id", "left_semi")
 
-        def made(written: dict[str, DataFrame]):
-            mine = versions.read(spark, folder, "pages").join(written["answers"].select("doc_id").distinct(), "doc_id", "left_semi")
-            return ingest(mine, written["answers"].filter("raw_json is not null").select("doc_id", "statement_type", "raw_json"), tables)
+        def resolved(written: dict[str, DataFrame]) -> DataFrame:
+            answers = written["answers"]
+            mine = versions.read(spark, folder, "pages").join(answers.select("doc_id").distinct(), "doc_id", "left_semi")
+            return ingest(mine, answers.filter("raw_json is not null").select("doc_id", "statement_type", "raw_json"), tables).resolved
 
-        versions.replace(spark, folder, {"answers": new, "resolved": lambda w: made(w).resolved, "rejected": lambda w: made(w).rejected}, named)
+        versions.replace(spark, folder, {"answers": known, "resolved": resolved}, named)
 
     def run(stream: DataFrame, step, name: str) -> None:
         stream.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()

@@ -339,6 +339,23 @@ def test_chunks(spark):
     assert all(b[0] <= a[1] + 2 for a, b in zip(covered, covered[1:]))
 
 
+def test_one_long_document_is_cut_into_blocks(spark):
+    """Offsets, pages and headings are those of one block, whatever the blocks, also over blocks without events."""
+    import random
+
+    rng = random.Random(4)
+    text = lambda: "\n".join(rng.choice(["Key Risks", "Liquidity Position", "plain words that run on and on, without an end.", "x" * 300]) for _ in range(rng.randint(1, 6)))
+    p = page_frame(spark, [text() for _ in range(90)]).unionByName(page_frame(spark, [text() for _ in range(3)], "short")).withColumn("statement_type", F.lit("other"))
+    rows = lambda frame: sorted(map(repr, (tuple(r) for r in frame.collect())))
+    whole = chunks.offsets(p)
+    assert rows(chunks.offsets(p, block=7)) == rows(whole)
+    n = whole.groupBy("doc_id").agg(F.max("char_end").alias("n"))
+    parts = n.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.col("n"), F.lit(37))).alias("i", "char_start")).select("doc_id", "i", F.lit("t").alias("text"), "char_start", (F.col("char_start") + 37).alias("char_end"))
+    titles = chunks.headings(whole)
+    want = rows(chunks.locate(parts, whole, titles))
+    assert len(want) > 500 and rows(chunks.locate(parts, whole, titles, block=50)) == want and rows(chunks.locate(parts, whole, titles, block=1000)) == want
+
+
 def test_top_k_ties(spark):
     v = spark.createDataFrame([("d", i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(10)], "doc_id string, vec_id int, embedding array<float>")
     q = spark.createDataFrame([("d", 1, [1.0, 0.0])], "doc_id string, query_id int, embedding array<float>")
