@@ -20,6 +20,8 @@ from granary.package import ship
 SIZE, OVERLAP, SEPARATORS = 800, 150, ("\n\n", "\n", ". ", " ")
 #: Retrieval: about so many vectors and queries of one key meet in a task, queries by so many at a time.
 VECTORS, QUERIES, TILE = 65_536, 8_192, 64
+#: Buckets of a stored index.
+BUCKETS = 64
 #: Page numbers, and characters of a document's text, that one task goes through in order.
 PAGES, CHARACTERS = 512, 1 << 20
 
@@ -221,6 +223,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "doc_id
     return s.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vid").alias(vector_id), "score")
 
 
+def store_index(vectors: DataFrame, table: str, key: str = "doc_id", vector_id: str = "vec_id", rows: int = VECTORS, buckets: int = BUCKETS) -> None:
+    """Keeps vectors as a table that ``search_index`` reads in place: dealt over parts of about ``rows`` within their
+    key, bucketed and sorted by key and part, one file a bucket. Replaces a table of that name."""
+    v = vectors.select(F.col(key).alias("_key"), F.col(vector_id).alias("vid"), F.col("embedding").alias("v")).filter("_key is not null")
+    parts = v.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    v = v.join(parts, "_key").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).select("_key", "part", "vid", "v")
+    v.repartition(buckets, "_key", "part").write.mode("overwrite").bucketBy(buckets, "_key", "part").sortBy("_key", "part").format("parquet").saveAsTable(table)
+
+
+def search_index(queries: DataFrame, table: str, k: int = 4, key: str = "doc_id", vector_id: str = "vec_id", asked: int = QUERIES) -> DataFrame:
+    """``top_k`` over a stored index. Vectors stay where they are: only queries are shuffled, to the buckets of their
+    key, in as many rounds of ``asked`` a key as it takes."""
+    spark = queries.sparkSession
+    ship(spark)
+    v = spark.table(table)
+    q = queries.select(F.col(key).alias("of"), "query_id", F.col("embedding").alias("q")).filter("of is not null")
+    parts = v.select(F.col("_key").alias("of"), F.col("part").alias("at")).distinct()
+    most = q.groupBy("of").count().agg(F.max("count")).first()[0] or 0
+    rounds = max(1, -(-most // asked))
+    q = q.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
+    found = None
+    for i in range(rounds):
+        own = q.filter(F.col("round") == i).drop("round").join(parts, "of")
+        s = v.groupBy("_key", "part").cogroup(own.groupBy("of", "at")).applyInArrow(_best(k), f"query_id {dict(q.dtypes)['query_id']}, vid {dict(v.dtypes)['vid']}, score double")
+        found = s if found is None else found.unionByName(s)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vid"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vid").alias(vector_id), "score")
+
+
 def sources(retrieved: DataFrame) -> DataFrame:
     """doc_id, pages: retrieved chunks by page in order of first appearance, with distinct sections and
     snippets of 200 characters."""

@@ -97,6 +97,15 @@ def top_k(s: SparkSession, d: str) -> DataFrame:
     return chunks.top_k(v, q, 4, "label").withColumn("score", F.round("score", 9))
 
 
+def top_k_search(s: SparkSession, d: str) -> DataFrame:
+    """As top_k, over an index that is stored first."""
+    v = bind.table(s, d, "embeddings")
+    name = f"granary_index_{uuid.uuid4().hex}"
+    chunks.store_index(v, name, "label", buckets=16)
+    q = v.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
+    return chunks.search_index(q, name, 4, "label").withColumn("score", F.round("score", 9))
+
+
 def content_gate(s: SparkSession, d: str) -> DataFrame:
     return pages.content_gate(bind.web_pages(s, d), ["table", "footer"])
 
@@ -305,7 +314,7 @@ QUERIES: dict[str, Query] = {
     "ratio_states": lambda s, d: ratios.ratio_states(ratios.provenance(_wide(s, d))), "risk_view": lambda s, d: views.risk_view(_wide(s, d)), "explain": explain,
     "trust_summary": lambda s, d: views.trust_summary(_resolved(s, d)), "missing_warning": lambda s, d: views.missing_warning(_computed(s, d)),
     "computed_units": lambda s, d: ratios.computed_units(_wide(s, d)), "gold_scores": gold_scores, "coverage": lambda s, d: evaluate.coverage(bind.candidates(s, d)),
-    "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "top_k_search": top_k, "content_gate": content_gate,
+    "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "top_k_search": top_k_search, "content_gate": content_gate,
     "upload_gates": lambda s, d: views.upload_gates(bind.uploads(s, d)), "page_offsets": page_offsets, "parse_values": parse_values,
     "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows, "conversation_rows": conversation_rows, "answered_calls": answered_calls,
     "classify_pages": classify_pages, "select_pages": select_pages, "chunk_pages": chunk_pages, "metric_lines": metric_lines, "mentions": mentions, "prompts": prompt_texts,

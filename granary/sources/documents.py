@@ -6,7 +6,7 @@ import importlib.util
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.package import ship
@@ -225,6 +225,13 @@ def _escaped(spark: SparkSession, name: str | None) -> str:
     return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
 
 
+def write_ordered(rows: DataFrame, path: str, *order: str | Column, partitions: int | None = None) -> None:
+    """Parquet files in a global order: read one after the other by name, they give the rows as sorted by
+    ``order``. Ranges of the order go to tasks, each of which sorts its own, so no task sees all rows."""
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def quality_json(quality: DataFrame) -> DataFrame:
     """doc_id, report: the quality report of each document as JSON, without missing metrics an empty object."""
     missing = F.coalesce(F.to_json("missing"), F.lit("{}"))

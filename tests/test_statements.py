@@ -381,6 +381,32 @@ def test_top_k_equals_brute_force(spark):
         assert {(r["query_id"], r["rank"], r["vec_id"]) for r in chunks.top_k(v, q, 4, **sizes).collect()} == want
 
 
+def test_stored_index_is_searched_in_place(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 6)).astype("f4")
+    rows = [("hot" if i % 10 else "cold", i, v.tolist()) for i, v in enumerate(x)] + [("hot", 900, None), (None, 904, x[0].tolist())]
+    v = spark.createDataFrame(rows, "doc_id string, vec_id int, embedding array<float>").repartition(5)
+    q = v.filter("vec_id % 7 = 0 or vec_id >= 900").withColumnRenamed("vec_id", "query_id")
+    chunks.store_index(v, "stored_vectors", rows=64, buckets=8)
+    got = chunks.search_index(q, "stored_vectors", asked=20)
+    rows_of = lambda frame: sorted(map(repr, (tuple(r) for r in frame.select("query_id", "rank", "vec_id", "score").collect())))
+    assert rows_of(got) == rows_of(chunks.top_k(v, q, 4))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    vectors = [line for line in plan.splitlines() if "Exchange hashpartitioning(_key" in line]
+    assert "Bucketed: true" in plan and not vectors
+    spark.sql("DROP TABLE stored_vectors")
+
+
+def test_ordered_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    frame = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), (F.col("id") % 3).alias("k")).repartition(6)
+    documents.write_ordered(frame, str(tmp_path / "out"), "k", F.col("v").desc(), partitions=5)
+    files = sorted((tmp_path / "out").glob("part-*.parquet"))
+    got = [(r["k"], -r["v"]) for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) == 5 and got == sorted(got) and len(got) == 5000
+
+
 def test_top_k_search_asks_every_fiftieth_row(spark, tmp_path):
     from granary.queries import QUERIES
 
