@@ -1,6 +1,7 @@
-"""Line dedup over overlapping windows of three lines, in DataFrame operations only.
+"""Line dedup over overlapping windows of three lines, and of one or two that hold a passage, in DataFrame
+operations only.
 
-Each window of three consecutive lines is hashed (two independent 64-bit hashes); windows that occur again
+Each window of consecutive lines is hashed (two independent 64-bit hashes); windows that occur again
 anywhere are found by one aggregation, whose map side shrinks hot windows to a row per task; every later
 occurrence covers its lines, covered positions of a document are merged, and the document is rebuilt
 without them. Only window hashes and positions are shuffled for the search; texts move once, to meet their
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.shared import written
 
-#: Lines in a window, and from how many words on a single line is a window by itself.
+#: Lines in a window, and from how many words on a single line, or two lines of fewer words each, are a window.
 WINDOW, LONG_LINE = 3, 50
 
 
@@ -27,22 +28,30 @@ def windows(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -
     Windows are built inside the document's array of lines and leave it by one explode that carries the
     document's key alone, so a document costs in proportion to its lines."""
     line_h = F.transform("lines", lambda x: F.struct(
-        F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.length(F.trim(x)) > 0).alias("ink"),
-        (F.when(F.length(x) >= 2 * long_line - 1, F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(F.lit(0)) >= long_line).alias("long"),
+        F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (F.length(F.trim(x)) > 0).alias("ink"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
     ))
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _lines(F.col("text")).alias("lines"))
     d = d.select("doc_id", "text_hash", line_h.alias("l"))
 
+    def hashed(i: Column, group: list[Column]) -> Column:
+        return F.struct(i.alias("pos"), F.lit(len(group)).alias("span"), F.xxhash64(*[g["a"] for g in group]).alias("h1"), F.xxhash64(F.lit(11), *[g["b"] for g in group]).alias("h2"))
+
     def three(i: Column) -> Column:
         group = [F.get("l", i + k) for k in range(window)]
         ink = group[0]["ink"]
         for g in group[1:]:
             ink = ink | g["ink"]
-        hashed = F.struct(i.alias("pos"), F.lit(window).alias("span"), F.xxhash64(*[g["a"] for g in group]).alias("h1"), F.xxhash64(F.lit(11), *[g["b"] for g in group]).alias("h2"))
-        return F.when(ink, hashed)
+        return F.when(ink, hashed(i, group))
+
+    def alone(x: Column, i: Column) -> Column:
+        """The line itself if it is long, or it and the next one if both together are."""
+        following = F.get("l", i + 1)
+        two = (following["words"] < long_line) & (x["words"] + following["words"] >= long_line)
+        one = F.struct(i.alias("pos"), F.lit(1).alias("span"), x["a"].alias("h1"), x["b"].alias("h2"))
+        return F.when(x["words"] >= long_line, one).when(two, hashed(i, [x, following]))
 
     starts = F.when(F.size("l") >= window, F.sequence(F.lit(0), F.size("l") - window)).otherwise(F.array().cast("array<int>"))
-    single = F.transform("l", lambda x, i: F.when(x["long"], F.struct(i.alias("pos"), F.lit(1).alias("span"), x["a"].alias("h1"), x["b"].alias("h2"))))
+    single = F.transform("l", alone)
     # exploded as an expression: behind a named column a filter would compute the windows a second time
     return d.select("doc_id", "text_hash", F.explode(F.array_compact(F.concat(F.transform(starts, three), single))).alias("w")).select("doc_id", "text_hash", "w.pos", "w.span", "w.h1", "w.h2")
 
@@ -63,8 +72,8 @@ def covered(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LINE) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, with n_lines, removed (lines) and clean (the new text).
 
-    A window is three consecutive lines (cut at line feeds), not all blank, or a single line of ``long_line``
-    words or more. Its first occurrence, by doc_id (null first), text hash and position, stays; an
+    A window is three consecutive lines (cut at line feeds), not all blank, a single line of ``long_line``
+    words or more, or two consecutive lines of fewer that have as many together. Its first occurrence, by doc_id (null first), text hash and position, stays; an
     occurrence that overlaps its own first one is no repetition. Lines are compared exactly. Null text gives
     one empty line and stays null; texts of fewer than three lines have no window of three. Repeated rows of
     one doc_id and text count as one document and are treated alike; an empty table gives no rows."""

@@ -159,7 +159,10 @@ w AS (
   SELECT doc_id, pos, 3 AS span, l[pos+1] || chr(10) || l[pos+2] || chr(10) || l[pos+3] AS body FROM x
   WHERE pos + 3 <= len(l) AND (trim(l[pos+1]) <> '' OR trim(l[pos+2]) <> '' OR trim(l[pos+3]) <> '')
   UNION ALL
-  SELECT doc_id, pos, 1, l[pos+1] FROM x WHERE len(regexp_extract_all(l[pos+1], '[^\x20\x09-\x0D]+')) >= 50),
+  SELECT doc_id, pos, 1, l[pos+1] FROM x WHERE len(regexp_extract_all(l[pos+1], '[^\x20\x09-\x0D]+')) >= 50
+  UNION ALL
+  SELECT doc_id, pos, 2, l[pos+1] || chr(10) || l[pos+2] FROM x WHERE pos + 2 <= len(l) AND len(regexp_extract_all(l[pos+1], '[^\x20\x09-\x0D]+')) < 50
+    AND len(regexp_extract_all(l[pos+2], '[^\x20\x09-\x0D]+')) < 50 AND len(regexp_extract_all(l[pos+1] || ' ' || l[pos+2], '[^\x20\x09-\x0D]+')) >= 50),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY span, body) AS fd FROM w),
 g AS (SELECT *, min(CASE WHEN doc_id = fd THEN pos END) OVER (PARTITION BY span, body) AS fp FROM f),
 c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + span)) AS gone FROM g WHERE doc_id <> fd OR pos >= fp + span),

@@ -381,8 +381,11 @@ def brute_lines(texts, window=3, long=50):
         for i in range(len(ls)):
             if i + window <= len(ls) and any(x.strip(" ") for x in ls[i : i + window]):
                 yield i, window, tuple(ls[i : i + window])
-            if len(WORD.findall(ls[i])) >= long:
+            n = [len(WORD.findall(x)) for x in ls[i : i + 2]]
+            if n[0] >= long:
                 yield i, 1, (ls[i],)
+            elif len(n) == 2 and n[1] < long and sum(n) >= long:
+                yield i, 2, tuple(ls[i : i + 2])
 
     for d, t in enumerate(texts):
         for i, n, w in spans(t or ""):
@@ -406,6 +409,8 @@ def test_lines_equal_brute_force(spark):
             t[1:1] = ["Terms apply.", "", "All rights reserved."]
         if i % 9 == 0:
             t.append(passage)
+        if i % 7 == 0:  # on two lines, between lines of its own
+            t[len(t) // 2 : len(t) // 2] = [f"before {i}", " ".join(f"q{k}" for k in range(28)), " ".join(f"r{k}" for k in range(24)), f"after {i}"]
         texts.append("\n".join(t))
     texts += ["a\n" * 9, "a\na\na\na\na", "\n\n\n\n\n", "", None, "a b\nc", passage + " "]
     got = dedup_lines(docs(spark, texts)).select("row.doc_id", "clean", "removed", "n_lines").orderBy("doc_id").collect()
