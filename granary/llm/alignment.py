@@ -31,7 +31,7 @@ from granary.llm.wordpiece import _byte_letters
 
 #: Bytes of text in a block, words that a worker remembers before it starts afresh, words that are encoded at
 #: once, and room for ids of B (a power of two).
-BLOCK, MOST_WORDS, AT_ONCE, IDS_B = 1 << 19, 200_000, 8192, 1 << 17
+BLOCK, MOST_WORDS, AT_ONCE, IDS_B = 1 << 19, 300_000, 8192, 1 << 17
 
 _U = np.uint64
 
@@ -107,9 +107,11 @@ class Aligner:
         a = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
         b = self.b.encode([w[1:] if w[0] == " " else "\n" + w for w in words], num_threads=1)
         b = [(i or [self.mark]) if w[0] == " " else i[2:] for w, i in zip(words, b, strict=True)]
-        fits = [b"".join([self.a_bytes[k] for k in x]) == p == b"".join([self.b_bytes[k] for k in y]) for p, x, y in zip(pieces, a, b, strict=True)]
-        a, b = ([x if f else [] for x, f in zip(t, fits, strict=True)] for t in (a, b))
         (ids_a, ends_a), (ids_b, ends_b) = _joined(a), _joined(b)
+        fits = [True] * len(pieces)
+        if not self._all_fit(pieces, ids_a, ends_a, ids_b, ends_b):
+            fits = [b"".join([self.a_bytes[k] for k in x]) == p == b"".join([self.b_bytes[k] for k in y]) for p, x, y in zip(pieces, a, b, strict=True)]
+            (ids_a, ends_a), (ids_b, ends_b) = (_joined([x if f else [] for x, f in zip(t, fits, strict=True)]) for t in (a, b))
         left, right, of_a, of_b = groups_of(self.a_size[ids_a], ends_a, self.b_size[ids_b], ends_b)
         n = int(of_a[-1]) + 1 if len(of_a) else 0
         first_a, first_b = np.searchsorted(of_a, np.arange(n + 1)).tolist(), np.searchsorted(of_b, np.arange(n + 1)).tolist()
@@ -122,6 +124,15 @@ class Aligner:
         self.pairs = np.concatenate([self.pairs, ids_a[left] * IDS_B + ids_b[right]])
         self.start = np.concatenate([self.start, self.start[-1] + np.searchsorted(left, ends_a[1:])])
 
+    def _all_fit(self, pieces: list[bytes], ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> bool:
+        """Whether the tokens of every piece spell it: all of them together, and each one's as long as it."""
+        whole, sizes = b"".join(pieces), np.array([len(p) for p in pieces])
+        for ids, ends, of, size in ((ids_a, ends_a, self.a_bytes, self.a_size), (ids_b, ends_b, self.b_bytes, self.b_size)):
+            at = np.concatenate([[0], np.cumsum(size[ids])])[ends]
+            if (np.diff(at) != sizes).any() or b"".join([of[k] for k in ids.tolist()]) != whole:
+                return False
+        return True
+
     def slots(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each word of all texts (of a space and the text) and the n+1 offsets of each text's words.
         Null and empty texts have no words. Slots hold until the next call."""
