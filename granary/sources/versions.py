@@ -93,7 +93,8 @@ def read(spark: SparkSession, path: str, table: str = "rows", version: Version |
         return None
     schema = StructType.fromJson(version.tables[table]["schema"])
     folders = [f"{path}/{f}" for f in version.folders(table, buckets)]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    # the folders' names would come as a column
+    return spark.read.schema(schema).parquet(*folders).select(*schema.fieldNames()) if folders else spark.createDataFrame([], schema)
 
 
 def _buckets_in(spark: SparkSession, path: str) -> dict[str, str]:

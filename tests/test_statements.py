@@ -460,6 +460,8 @@ def test_a_version_appears_whole_or_not_at_all(spark, tmp_path):
     frame = lambda *rows: spark.createDataFrame(list(rows), kind)
     seen = lambda t="a", v=None: sorted((r["doc_id"], r["v"]) for r in versions.read(spark, at, t, v).collect())
     assert versions.read(spark, at) is None
+    many = versions.replace(spark, f"{at}/wide", {"rows": frame(*((str(i), i) for i in range(40)))})
+    assert len(many.folders("rows")) > 20 and versions.read(spark, f"{at}/wide").columns == ["doc_id", "v"] and versions.read(spark, f"{at}/wide").count() == 40
     first = versions.replace(spark, at, {"a": frame(("d", 1), ("e", 1)), "b": lambda made: made["a"].withColumn("v", F.col("v") * 10)})
 
     def dies():
