@@ -116,7 +116,7 @@ def replace(spark: SparkSession, path: str, rows: dict[str, Rows], documents: Da
     for t, given in rows.items():
         frame = given(new) if callable(given) else given
         frame.withColumn("bucket", bucket_of(F.col("doc_id"))).write.partitionBy("bucket").parquet(f"{path}/{mark}/{t}")
-        new[t] = spark.read.schema(frame.schema).parquet(f"{path}/{mark}/{t}")
+        new[t] = spark.read.schema(frame.schema).parquet(f"{path}/{mark}/{t}").select(*frame.columns)
     if documents is None:
         documents = functools.reduce(DataFrame.union, [f.select("doc_id") for f in new.values()])
     documents.select("doc_id").distinct().withColumn("bucket", bucket_of(F.col("doc_id"))).write.parquet(f"{path}/{mark}/_documents")
