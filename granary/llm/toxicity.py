@@ -190,7 +190,7 @@ class ToxicModel:
 
     def calibrate(self, features: np.ndarray, toxic: np.ndarray, odds: float) -> None:
         """Ridge logistic regression by Newton steps on the toxic share of each text, towards weights of 1 for
-        either feature and the log odds of all labelled rows, so that few rows, rows of one class or none
+        either feature and the log odds of all labelled texts, so that few rows, rows of one class or none
         still give scores that rise with the evidence."""
         if len(features):
             self.mean, self.scale = features.mean(axis=0), np.maximum(features.std(axis=0), LEAST_SCALE)
@@ -201,8 +201,9 @@ class ToxicModel:
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
             slope = x.T @ (toxic - p) - 0.1 * (w - towards)
             w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(FEATURES + 1), slope)
-        # where one class stands alone it pulls the weights of the features either way; they never fall below 0
-        self.weights = np.concatenate([np.maximum(w[:FEATURES], 0), w[FEATURES:]])
+        if not 0 < toxic.sum() < len(toxic):  # one class alone says nothing of the features' signs
+            w[:FEATURES] = np.maximum(w[:FEATURES], 0)
+        self.weights = w
 
 
 class _Reader:
@@ -328,7 +329,7 @@ def learn(labelled: DataFrame, *, buckets: int = BUCKETS, calibration: int = CAL
     model = _counted(grams.filter("n0 + n1 > 0"), buckets)
     shared = _Shared(spark, model)
     apart = rows.filter(F.pmod("h", F.lit(APART)) == 0)
-    of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = {r["toxic"]: r["n"] for r in rows.select("h", "toxic").distinct().groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(of) == 2:
         near = apart.select("h").distinct().orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
         once = apart.filter(F.col("h") <= (0 if near is None else near)).groupBy("text").agg(F.avg("toxic").alias("toxic"))
