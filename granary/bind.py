@@ -181,6 +181,12 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("rank"), (F.col("turn") % 3 + 1).cast("int").alias("page_no"), F.col("role").alias("section_title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, latency_s: a call for every third line of a supplier, some suppliers without any."""
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber % 3 = 0 and l_suppkey % 7 <> 0")
+    return li.select(F.col("l_suppkey").cast("string").alias("doc_id"), (F.col("l_quantity") / 8).alias("latency_s"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, doc_id, role, question, answer: every conversation turn asks about the supplier that follows its
     conversation's number, and names each phrase of a metric or ratio in turn."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary import registry as R
-from granary.functions.text import close_relative
+from granary.functions.text import close_relative, printed
 
 
 def gold_scores(gold: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -23,10 +23,19 @@ def gold_scores(gold: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.withColumn("reviewable_coverage", F.try_divide(F.col("verified_correct") + F.col("review_correct"), F.col("gold_valid"))).withColumn("verified_coverage", F.try_divide(F.col("verified_correct"), F.col("gold_valid")))
 
 
-def coverage(candidates: DataFrame) -> DataFrame:
-    """Per document: metrics found of 17, percent to one decimal, missing metrics, candidates by confidence."""
+def coverage(candidates: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Per document: metrics found of 17, percent to one decimal, missing metrics, candidates by confidence; with
+    ``calls`` (doc_id, latency_s) also the seconds of all calls and of one on average, to two decimals, 0 without
+    calls."""
     by = candidates.groupBy("doc_id").agg(
         F.countDistinct("metric_name").alias("found"), F.array_sort(F.collect_set("metric_name")).alias("has"), *[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "medium", "low")]
     )
     missing = F.array_except(F.array(*[F.lit(m) for m in R.METRIC_NAMES]), "has")
-    return by.select("doc_id", "found", F.round(F.col("found") * 100.0 / len(R.METRIC_NAMES), 1).alias("pct"), F.array_join(missing, ",").alias("missing"), "high", "medium", "low")
+    out = by.select("doc_id", "found", F.round(F.col("found") * 100.0 / len(R.METRIC_NAMES), 1).alias("pct"), F.array_join(missing, ",").alias("missing"), "high", "medium", "low")
+    if calls is None:
+        return out
+    total = F.coalesce("_s", F.lit(0.0))
+    seconds = calls.groupBy("doc_id").agg(F.sum("latency_s").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    two = lambda c: printed(c, 2).cast("double")
+    out = out.join(seconds, "doc_id", "left")
+    return out.withColumn("total_latency_s", two(total)).withColumn("avg_latency_per_call_s", two(total / F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)))).drop("_s", "_n")

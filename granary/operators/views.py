@@ -105,6 +105,15 @@ def explain(wide_rows: DataFrame, resolved: DataFrame) -> DataFrame:
     return p.select("*", F.regexp_replace("risk", "_risk$", "").alias("risk_type"), each(level).alias("risk_level"), each(lambda r: F.lit(R.THRESHOLDS[r])).alias("threshold")).drop("risk")
 
 
+def provenance_maps(entries: DataFrame, order: str = "seq") -> DataFrame:
+    """doc_id, ratios: a saved provenance list read back as ratio to year (text) to entry; of several entries of a
+    ratio and year the last by ``order`` stands. Entries have doc_id, ratio_name, year and further columns."""
+    columns = [c for c in entries.columns if c not in ("doc_id", "ratio_name", "year")]
+    last = entries.groupBy("doc_id", "ratio_name", "year").agg(F.max_by(F.struct(*columns), order).alias("entry"))
+    years = last.groupBy("doc_id", "ratio_name").agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string"), F.col("entry")))).alias("years"))
+    return years.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ratio_name", "years"))).alias("ratios"))
+
+
 def trust_summary(resolved: DataFrame) -> DataFrame:
     s = F.col("verification_state")
     return resolved.groupBy("doc_id").agg(F.count_if(s == "VERIFIED").alias("verified"), F.count_if(s == "NEEDS_REVIEW").alias("needs_review"), F.count_if(s.isNull()).alias("unverified"))

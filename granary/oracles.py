@@ -154,7 +154,7 @@ j AS (SELECT r.value, r.verification_state AS s, coalesce(r.value = e OR abs(e -
 SELECT count(*) AS gold_valid, count(*) FILTER (value IS NOT NULL AND ok AND s = 'VERIFIED') AS verified_correct, count(*) FILTER (value IS NOT NULL AND ok AND coalesce(s, '') <> 'VERIFIED') AS review_correct,
  count(*) FILTER (value IS NOT NULL AND NOT ok AND coalesce(s, '') <> 'VERIFIED') AS review_incorrect, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (value IS NOT NULL AND NOT ok AND s = 'VERIFIED') AS false_acceptances,
  count(*) FILTER (value IS NOT NULL AND ok) / count(*) AS reviewable_coverage, count(*) FILTER (value IS NOT NULL AND ok AND s = 'VERIFIED') / count(*) AS verified_coverage FROM j""",
-    "coverage": f"WITH {CAND}, g AS (SELECT doc_id, count(DISTINCT metric_name) AS found, list_distinct(list(metric_name)) AS has, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM cand GROUP BY doc_id) SELECT doc_id, found, round(found * 100.0 / 17, 1)::DOUBLE AS pct, array_to_string(list_filter({_list(R.METRIC_NAMES)}, lambda x: NOT list_contains(has, x)), ',') AS missing, high, medium, low FROM g",
+    "coverage": f"WITH {CAND}, g AS (SELECT doc_id, count(DISTINCT metric_name) AS found, list_distinct(list(metric_name)) AS has, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM cand GROUP BY doc_id), t AS (SELECT l_suppkey::VARCHAR AS doc_id, sum(l_quantity / 8) AS s, count(*) AS n FROM lineitem WHERE l_linenumber % 3 = 0 AND l_suppkey % 7 <> 0 GROUP BY 1) SELECT doc_id, found, round(found * 100.0 / 17, 1)::DOUBLE AS pct, array_to_string(list_filter({_list(R.METRIC_NAMES)}, lambda x: NOT list_contains(has, x)), ',') AS missing, high, medium, low, printf('%.2f', coalesce(s, 0)::DOUBLE)::DOUBLE AS total_latency_s, printf('%.2f', (coalesce(s, 0) / greatest(coalesce(n, 0), 1))::DOUBLE)::DOUBLE AS avg_latency_per_call_s FROM g LEFT JOIN t USING (doc_id)",
     "merge_pages": f"""WITH {CAND}, f AS (SELECT *, first_value(value) OVER w AS fv, first_value(verification_state) OVER w AS fs, row_number() OVER w AS n FROM cand WINDOW w AS (PARTITION BY doc_id, metric_name, year ORDER BY page_no, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, metric_name, year ORDER BY CASE WHEN n > 1 AND (value = fv OR abs(fv - value) / nullif(abs(value), 0) < 0.01) AND verification_state = 'VERIFIED' AND coalesce(fs, '') <> 'VERIFIED' THEN 0 ELSE 1 END, n) AS k FROM f)
 SELECT doc_id, metric_name, year, value, verification_state FROM p WHERE k = 1""",

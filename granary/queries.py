@@ -313,7 +313,7 @@ QUERIES: dict[str, Query] = {
     "accounting_checks": lambda s, d: resolve.accounting_checks(resolve.pivot(_resolved(s, d))), "quality": quality,
     "ratio_states": lambda s, d: ratios.ratio_states(ratios.provenance(_wide(s, d))), "risk_view": lambda s, d: views.risk_view(_wide(s, d)), "explain": explain,
     "trust_summary": lambda s, d: views.trust_summary(_resolved(s, d)), "missing_warning": lambda s, d: views.missing_warning(_computed(s, d)),
-    "computed_units": lambda s, d: ratios.computed_units(_wide(s, d)), "gold_scores": gold_scores, "coverage": lambda s, d: evaluate.coverage(bind.candidates(s, d)),
+    "computed_units": lambda s, d: ratios.computed_units(_wide(s, d)), "gold_scores": gold_scores, "coverage": lambda s, d: evaluate.coverage(bind.candidates(s, d), bind.call_stats(s, d)),
     "merge_pages": merge_pages, "answered_pairs": answered_pairs, "top_k": top_k, "top_k_search": top_k_search, "content_gate": content_gate,
     "upload_gates": lambda s, d: views.upload_gates(bind.uploads(s, d)), "page_offsets": page_offsets, "parse_values": parse_values,
     "header_years": header_years, "column_years": column_years, "match_labels": match_labels, "text_scan": text_scan, "stream_windows": stream_windows, "conversation_rows": conversation_rows, "answered_calls": answered_calls,

@@ -430,6 +430,12 @@ def test_views_and_prompts(spark):
     assert views.missing_warning(ratios.compute(w)).count() == 0 and one(views.trust_summary(r))["needs_review"] == 1
 
 
+def test_provenance_is_read_back_last_entry_first(spark):
+    rows = [("d", "current_ratio", 2024, 1, 1.0), ("d", "current_ratio", 2024, 3, 3.0), ("d", "current_ratio", 2024, 2, 2.0), ("d", "current_ratio", 2023, 1, 9.0), ("e", "debt_ratio", 2024, 1, 5.0)]
+    got = {r["doc_id"]: r["ratios"] for r in views.provenance_maps(spark.createDataFrame(rows, "doc_id string, ratio_name string, year int, seq int, result double")).collect()}
+    assert {k: v["result"] for k, v in got["d"]["current_ratio"].items()} == {"2024": 3.0, "2023": 9.0} and set(got["e"]) == {"debt_ratio"}
+
+
 def test_sources_and_store(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_bytes("one\ftwo".encode())
