@@ -30,3 +30,11 @@ def test_one_aggregation_feeds_ratios_and_risks(spark):
     plan = QUERIES["risks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "ReadSchema" in plan and "l_comment" not in plan
+
+
+@pytest.mark.parametrize("name", ["answered_calls", "conversation_rows", "stream_windows"])
+def test_streams_read_folders_of_files(spark, tmp_path, name):
+    for t in ("conversations", "events", "lineitem", "orders"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert agree(found, SF, SQL[name])

@@ -61,3 +61,23 @@ def test_arrivals_end_as_the_batch(spark, tmp_path, monkeypatch):
     want = Made(pages["timely"].unionByName(pages["late"]).unionByName(pages["silent"]), answers("timely"), tables).resolved
     rows = lambda frame: sorted(map(repr, (tuple(r) for r in frame.select(sorted(want.columns)).collect())))
     assert rows(got) == rows(want) and len(rows(got)) == 6
+
+
+def test_conversations_need_no_package_beside_the_worker(tmp_path):
+    """A session started elsewhere: neither the working folder nor PYTHONPATH names the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from granary.queries import QUERIES
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+print("rows", QUERIES["conversation_rows"](s, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.stdout.startswith("rows ") and int(run.stdout.split()[1]) > 0, run.stderr[-2000:]
