@@ -605,3 +605,20 @@ def test_a_document_sent_again_replaces_itself(spark, tmp_path):
     read = lambda t: versions.read(spark, str(tmp_path / "store"), t).collect()
     assert sorted((r["doc_id"], r["metric_name"], r["value"]) for r in read("resolved")) == [("d", "revenue", 99.0), ("e", "revenue", 4.0)]
     assert sorted((r["doc_id"], r["revenue"], r["capex"]) for r in read("pivot")) == [("d", 99.0, None), ("e", 4.0, None)]
+
+
+def test_long_pages_take_linear_time(spark):
+    """Work per line must not grow with the page: lines were split anew for each line, page units found for each."""
+    import time
+
+    from granary.operators import candidates, pages
+
+    body = "\n".join(f"Revenue from operations {i},123.50 {i},456.25" for i in range(100, 4100))
+    p = spark.createDataFrame([("d", 1, "Statement of Profit and Loss\nas at 31 March 2024 and 31 March 2023 (in crore)\n" + body)], "doc_id string, page_no int, text string")
+    began = time.perf_counter()
+    assert [tuple(r) for r in pages.select_pages(pages.classify(p)).collect()] == [("d", "income_statement", 0, 1)]
+    assert time.perf_counter() - began < 20
+    began = time.perf_counter()
+    found = candidates.from_lines(p, pages.classify(p), pages.document_years(p))
+    assert found.groupBy("metric_name", "unit", "year").count().orderBy("year").collect() == [("revenue", "crore", 2023, 4000), ("revenue", "crore", 2024, 4000)]
+    assert time.perf_counter() - began < 20
