@@ -25,14 +25,20 @@ def valid_years(candidates: DataFrame) -> DataFrame:
     return candidates.filter(F.col("year").between(2000, 2100)).withColumn("year", F.col("year").cast("int"))
 
 
+def _order() -> Column:
+    """How well a candidate ranks, the higher the better: section, confidence, source, a label of a total."""
+    source = F.coalesce((F.col("source") == R.TABLE_SOURCE).cast("int") + 1, F.lit(0))
+    total = F.coalesce(F.lower("raw_label").startswith("total "), F.lit(False)).cast("int")
+    return ((_rank("section_type", R.SECTION_RANK, 1) * 100 + _rank("confidence", R.CONFIDENCE_RANK, 0)) * 3 + source) * 2 + total
+
+
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """The best candidate per document, metric and year. ``seq`` orders what ranks equal; the rank filter
-    runs before the shuffle too, so a hot key sends one row a task."""
-    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(
-        _rank("section_type", R.SECTION_RANK, 1).desc(), _rank("confidence", R.CONFIDENCE_RANK, 0).desc(), (F.col("source") == R.TABLE_SOURCE).desc_nulls_last(),
-        F.coalesce(F.lower("raw_label").startswith("total "), F.lit(False)).desc(), "seq",
-    ))
-    return valid_years(candidates).withColumn("_rank", rank).filter("_rank = 1").select(*CONTRACT)
+    runs before the shuffle too, so a hot key sends one row a task. Rank is one number, made before the sort, so
+    that the columns behind it are sorted and spilled only where they are asked for."""
+    ranked = valid_years(candidates).withColumn("_order", _order())
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("_order"), "seq"))
+    return ranked.withColumn("_rank", rank).filter("_rank = 1").select(*CONTRACT)
 
 
 #: Totals and what they follow from, as they are called below.

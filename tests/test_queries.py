@@ -38,3 +38,12 @@ def test_streams_read_folders_of_files(spark, tmp_path, name):
         spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
     found = QUERIES[name](spark, str(tmp_path))
     assert agree(found, SF, SQL[name])
+
+
+def test_ranks_are_one_number_in_the_sort(spark):
+    """What is sorted where candidates are read spills: no column of its own for each part of the rank."""
+    from granary import bind
+    from granary.operators import resolve
+
+    plan = resolve.best_candidates(bind.candidates(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "_order" in plan and "_w0" not in plan and "_w1" not in plan
