@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.package import shared_dir, ship
+from granary.package import shared_dir, ship, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read back. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/granary/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_quietly_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _quietly_forget(spark: SparkSession, path: str) -> None:
-    try:
-        _forget(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended first; the folder is the cluster's to clean
-        return
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

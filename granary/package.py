@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: dict[str, str] = {}
 _LOCAL: dict[str, str] = {}
+#: Open ``scratch`` blocks, each with the paths written in it.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +32,47 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None or spark.sparkContext._jsc is None:
+        return
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _quietly_forget(spark: SparkSession, path: str) -> None:
+    try:
+        _forget(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended first; the folder is the cluster's to clean
+        return
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read back. Removed at the end of the ``scratch``
+    block it was written in, else when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/granary/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    else:
+        atexit.register(_quietly_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is ``written`` within goes at the end, for what runs again and again under one driver."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            _quietly_forget(spark, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, unless PYTHONPATH already names its folder."""
     home = Path(__file__).resolve().parents[1]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import candidates as C
 from granary.operators import grounding, pages, ratios, resolve, structure
+from granary.package import written
 
 #: Fewer grounded candidates than this send a document to its lines.
 LEAST_CANDIDATES = 3
@@ -39,10 +40,11 @@ def ingest(pages_df: DataFrame, answers: DataFrame, tables: DataFrame, page_answ
     """``pages_df`` (doc_id, page_no, text); ``answers`` (doc_id, statement_type, raw_json); ``tables`` (doc_id,
     page_no, table_id, ord, header, rows); ``page_answers`` (doc_id, page_no, raw_json), answers for single pages
     of cash flow statements, see ``retried``: each page is checked against itself alone, then pages are merged.
-    Lazy: nothing runs until a result is used."""
-    classes = pages.classify(pages_df)
+    Steps that several others read (classes, selected pages, tables of calls, checked and verified candidates) run here, once
+    each, and are kept as tables; what follows them is lazy."""
+    classes = written(pages.classify(pages_df), "ingest-classes")
     existing = pages_df.select("doc_id", "page_no").distinct()
-    selected = pages.select_pages(classes).join(existing, ["doc_id", "page_no"])
+    selected = written(pages.select_pages(classes).join(existing, ["doc_id", "page_no"]), "ingest-selected")
     sections = classes.select("doc_id", "page_no", "section_type")
     first = selected.filter("ord = 0").join(sections, ["doc_id", "page_no"])
     parsed = C.parse_answers(answers.join(first.select("doc_id", "statement_type", "page_no", "section_type"), ["doc_id", "statement_type"]))
@@ -54,16 +56,18 @@ def ingest(pages_df: DataFrame, answers: DataFrame, tables: DataFrame, page_answ
         raw = raw.unionByName(C.from_answers(C.parse_answers(again)).withColumn("call", alone))
         calls = calls.unionByName(selected.filter("statement_type = 'cash_flow'").withColumn("call", alone))
     blocks = pages.page_blocks(calls.select("doc_id", F.col("call").alias("statement_type"), "ord", "page_no"), pages_df).withColumnRenamed("statement_type", "call")
-    checked = grounding.validate(raw, blocks, "call")
+    checked = written(grounding.validate(raw, blocks, "call"), "ingest-checked")
     called = structure.with_column_years(tables.join(calls.select("doc_id", "page_no", "call", F.col("ord").alias("_page")), ["doc_id", "page_no"]))
-    called = called.withColumn("ord", F.col("_page") * 1000 + F.col("ord"))
-    verified = structure.validate(grounding.accepted(checked), called)
+    called = written(called.withColumn("ord", F.col("_page") * 1000 + F.col("ord")), "ingest-tables")
+    verified = written(structure.validate(grounding.accepted(checked), called), "ingest-verified")
     kept = structure.kept(verified)
     single = F.col("call") != F.col("statement_type")
     kept = kept.filter(~single).unionByName(C.merge_pages(kept.filter(single))).drop("call")
 
     enough = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_CANDIDATES).select("doc_id")
-    lines = C.from_lines(pages_df, classes, pages.document_years(pages_df)).join(enough, "doc_id", "left_anti")
+    # Only the pages of these documents are read line by line.
+    rest = pages_df.join(enough, "doc_id", "left_anti")
+    lines = C.from_lines(rest, classes, pages.document_years(rest))
     for name, kind in (("verification_state", "string"), ("verification_reason", "string"), ("table_id", "string"), ("row_index", "int"), ("col_index", "int")):
         lines = lines.withColumn(name, F.lit(None).cast(kind))
     # Grounded candidates come first, as they are found first.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary import registry as R
+from granary.package import scratch
 from granary.plans.ingest import ingest
 from granary.sources import versions
 
@@ -67,7 +68,8 @@ def ingest_arrivals(spark: SparkSession, incoming: str, folder: str, checkpoint:
             mine = versions.read(spark, folder, "pages").join(answers.select("doc_id").distinct(), "doc_id", "left_semi")
             return ingest(mine, answers.filter("raw_json is not null").select("doc_id", "statement_type", "raw_json"), tables).resolved
 
-        versions.replace(spark, folder, {"answers": known, "resolved": resolved}, named)
+        with scratch(spark):
+            versions.replace(spark, folder, {"answers": known, "resolved": resolved}, named)
 
     def run(stream: DataFrame, step, name: str) -> None:
         stream.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()

@@ -47,3 +47,21 @@ def test_ranks_are_one_number_in_the_sort(spark):
 
     plan = resolve.best_candidates(bind.candidates(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "_order" in plan and "_w0" not in plan and "_w1" not in plan
+
+
+def test_ingest_makes_each_step_once(spark):
+    """Steps that several others read are tables: the rest of the plan has few leaves, and none is the printing of pages."""
+    plan = QUERIES["ingest"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= 16 and "l_orderkey" not in plan.toString()
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    from pathlib import Path
+
+    from granary.package import scratch, shared_dir, written
+
+    with scratch(spark):
+        made = written(spark.range(5), "trial")
+        at = Path(made.inputFiles()[0].removeprefix("file://")).parent
+        assert made.count() == 5 and at.exists() and shared_dir(spark).removeprefix("file://") in str(at)
+    assert not at.exists()
