@@ -65,3 +65,9 @@ def test_scratch_tables_go_at_the_end(spark):
         at = Path(made.inputFiles()[0].removeprefix("file://")).parent
         assert made.count() == 5 and at.exists() and shared_dir(spark).removeprefix("file://") in str(at)
     assert not at.exists()
+
+
+@pytest.mark.parametrize("name", ["explain", "mentions", "prompts"])
+def test_resolved_rows_are_made_once(spark, name):
+    """Queries that read resolved rows several times read them from a table: candidates are read and sorted once."""
+    assert "l_orderkey" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
