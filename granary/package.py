@@ -9,14 +9,15 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: dict[str, str] = {}
 _LOCAL: dict[str, str] = {}
-#: Open ``scratch`` blocks, each with the paths written in it.
-_OPEN: list[list[str]] = []
+#: Paths written in this thread's ``scratch`` block, if it is in one.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("granary_scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,8 +54,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    paths = _SCRATCH.get()
+    if paths is not None:
+        paths.append(path)
     else:
         atexit.register(_quietly_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,11 +66,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is ``written`` within goes at the end, for what runs again and again under one driver."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    block = _SCRATCH.set(paths)
     try:
         yield
     finally:
-        _OPEN.remove(paths)
+        _SCRATCH.reset(block)
         for path in paths:
             _quietly_forget(spark, path)
 
