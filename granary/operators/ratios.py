@@ -17,24 +17,24 @@ _FIELDS = ("value", "scope", "page_no", "state", "unit")
 
 
 def wide(resolved: DataFrame) -> DataFrame:
-    """doc_id, year; per metric a struct value, scope (NULL if unknown), page_no, state, unit. There is one row of a
-    metric and year, so each field is an aggregate of its own, and those that nobody reads are left out."""
+    """doc_id, year; per metric and field a column ``metric__field``: value, scope (NULL if unknown), page_no, state, unit.
+    There is one row of a metric and year, so each field is an aggregate of its own, and those that nobody reads are left
+    out (fields of a struct would not be)."""
     scope = F.when(~F.col("section_type").isin("", "unknown"), F.col("section_type"))
     rows = resolved.select("doc_id", "year", "metric_name", "value", scope.alias("scope"), "page_no", F.col("verification_state").alias("state"), "unit")
-    flat = rows.groupBy("doc_id", "year").agg(*[F.max(F.when(F.col("metric_name") == m, F.col(f))).alias(f"{m}__{f}") for m in R.METRIC_NAMES for f in _FIELDS])
-    return flat.select("doc_id", "year", *[F.struct(*[F.col(f"{m}__{f}").alias(f) for f in _FIELDS]).alias(m) for m in R.METRIC_NAMES])
+    return rows.groupBy("doc_id", "year").agg(*[F.max(F.when(F.col("metric_name") == m, F.col(f))).alias(f"{m}__{f}") for m in R.METRIC_NAMES for f in _FIELDS])
 
 
 def _value(metric: str) -> Column:
     if metric != "total_debt":
-        return F.col(f"{metric}.value")
-    ltd, std = F.col("long_term_debt.value"), F.col("short_term_debt.value")
+        return F.col(f"{metric}__value")
+    ltd, std = F.col("long_term_debt__value"), F.col("short_term_debt__value")
     return F.when(ltd.isNotNull() | std.isNotNull(), F.coalesce(ltd, F.lit(0.0)) + F.coalesce(std, F.lit(0.0)))
 
 
 def _conflict(inputs: list[str]) -> Column:
     """"m=scope, ..." by metric if the inputs that have a value span more than one known scope, else NULL."""
-    parts = [F.when(F.col(f"{m}.value").isNotNull() & F.col(f"{m}.scope").isNotNull(), F.struct(F.lit(m).alias("m"), F.col(f"{m}.scope").alias("s"))) for m in sorted(inputs)]
+    parts = [F.when(F.col(f"{m}__value").isNotNull() & F.col(f"{m}__scope").isNotNull(), F.struct(F.lit(m).alias("m"), F.col(f"{m}__scope").alias("s"))) for m in sorted(inputs)]
     known = F.array_compact(F.array(*parts))
     text = F.array_join(F.transform(known, lambda x: F.concat(x["m"], F.lit("="), x["s"])), ", ")
     return F.when(F.size(F.array_distinct(F.transform(known, lambda x: x["s"]))) > 1, text)
@@ -94,8 +94,8 @@ def provenance(wide_rows: DataFrame) -> DataFrame:
         conflict = _conflict(inputs)
         formula = f"{top} - abs({bottom})" if name == "free_cash_flow" else f"{top} / {bottom}"
         result = F.when(conflict.isNull(), _ratio(name, top, bottom))
-        states = [F.col(f"{m}.state") for m in (top, bottom) if m != "total_debt"]
-        pages = F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.col(f"{m}.page_no") for m in inputs]))))
+        states = [F.col(f"{m}__state") for m in (top, bottom) if m != "total_debt"]
+        pages = F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.col(f"{m}__page_no") for m in inputs]))))
         entries.append(F.struct(
             F.lit(i).alias("seq"), F.lit(name).alias("ratio_name"), F.lit(formula).alias("formula_str"), F.lit(top).alias("numerator"), F.lit(bottom).alias("denominator"),
             _value(top).alias("numerator_val"), _value(bottom).alias("denominator_val"), result.alias("result"), pages.alias("source_pages"),
@@ -128,8 +128,8 @@ def risk_states(wide_rows: DataFrame) -> DataFrame:
     state = {}
     for name, top, bottom, inputs in R.RATIOS:
         ok = _conflict(inputs).isNull() & _ratio(name, top, bottom).isNotNull()
-        state[name] = F.when(ok, worst_state(*[F.col(f"{m}.state") for m in (top, bottom) if m != "total_debt"]))
-    own = [(r.removesuffix("_risk"), state.get(source, F.col("operating_cash_flow.state"))) for r, source, *_ in R.RISKS]
+        state[name] = F.when(ok, worst_state(*[F.col(f"{m}__state") for m in (top, bottom) if m != "total_debt"]))
+    own = [(r.removesuffix("_risk"), state.get(source, F.col("operating_cash_flow__state"))) for r, source, *_ in R.RISKS]
     out = wide_rows.select("doc_id", "year", *[c.alias(n) for n, c in own])
     return out.withColumn("overall", worst_state(*[F.col(n) for n, _ in own]))
 
@@ -139,7 +139,7 @@ def computed_units(wide_rows: DataFrame) -> DataFrame:
     case and a plural s; the first is given as it is written."""
 
     def agreed(*metrics: str) -> Column:
-        units = F.array_compact(F.array(*[F.when(F.col(f"{m}.value").isNotNull(), trim(F.coalesce(F.col(f"{m}.unit"), F.lit("")))) for m in metrics]))
+        units = F.array_compact(F.array(*[F.when(F.col(f"{m}__value").isNotNull(), trim(F.coalesce(F.col(f"{m}__unit"), F.lit("")))) for m in metrics]))
         kinds = F.array_distinct(F.transform(units, unit_key))
         return F.when((F.size(kinds) == 1) & ~F.array_contains(units, ""), F.try_element_at(units, F.lit(1)))
 

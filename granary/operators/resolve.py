@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ CONTRACT = ["doc_id", "metric_name", "value", "unit", "year", "page_no", "raw_la
             "verification_state", "verification_reason", "table_id", "row_index", "col_index"]
 
 
-def _rank(c: str, table: dict[str, int], other: int) -> Column:
+def _rank(c: Column, table: dict[str, int], other: int) -> Column:
     out = F.lit(other)
     for k, v in table.items():
-        out = F.when(F.col(c) == k, v).otherwise(out)
+        out = F.when(c == k, v).otherwise(out)
     return out
 
 
@@ -25,41 +27,53 @@ def valid_years(candidates: DataFrame) -> DataFrame:
     return candidates.filter(F.col("year").between(2000, 2100)).withColumn("year", F.col("year").cast("int"))
 
 
-def _order() -> Column:
+@dataclass(frozen=True)
+class View:
+    """How candidates are read from rows that are narrower than they are: ``columns`` of the contract as expressions
+    over a row; names of the row's columns that are equal exactly where document and metric are (``keys``), and of
+    those that order what ranks equal (``order``). Rows have a ``year`` as candidates do."""
+
+    columns: dict[str, Column]
+    keys: list[str]
+    order: list[str]
+
+
+def _order(of: dict[str, Column]) -> Column:
     """How well a candidate ranks, the higher the better: section, confidence, source, a label of a total."""
-    source = F.coalesce((F.col("source") == R.TABLE_SOURCE).cast("int") + 1, F.lit(0))
-    total = F.coalesce(F.lower("raw_label").startswith("total "), F.lit(False)).cast("int")
-    return ((_rank("section_type", R.SECTION_RANK, 1) * 100 + _rank("confidence", R.CONFIDENCE_RANK, 0)) * 3 + source) * 2 + total
+    source = F.coalesce((of["source"] == R.TABLE_SOURCE).cast("int") + 1, F.lit(0))
+    total = F.coalesce(F.lower(of["raw_label"]).startswith("total "), F.lit(False)).cast("int")
+    return ((_rank(of["section_type"], R.SECTION_RANK, 1) * 100 + _rank(of["confidence"], R.CONFIDENCE_RANK, 0)) * 3 + source) * 2 + total
 
 
-def best_candidates(candidates: DataFrame) -> DataFrame:
+def best_candidates(candidates: DataFrame, view: View | None = None) -> DataFrame:
     """The best candidate per document, metric and year. ``seq`` orders what ranks equal; the rank filter
     runs before the shuffle too, so a hot key sends one row a task. Rank is one number, made before the sort, so
-    that the columns behind it are sorted and spilled only where they are asked for."""
-    ranked = valid_years(candidates).withColumn("_order", _order())
-    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("_order"), "seq"))
-    return ranked.withColumn("_rank", rank).filter("_rank = 1").select(*CONTRACT)
+    that the columns behind it are sorted and spilled only where they are asked for. With a ``view`` the rows
+    themselves are sorted, and only those that stay become candidates."""
+    view = view or View({c: F.col(c) for c in CONTRACT}, KEYS[:2], ["seq"])
+    ranked = valid_years(candidates).withColumn("_order", _order(view.columns))
+    rank = F.row_number().over(Window.partitionBy(*view.keys, "year").orderBy(F.desc("_order"), *view.order))
+    return ranked.withColumn("_rank", rank).filter("_rank = 1").select(*[view.columns[c].alias(c) for c in CONTRACT])
 
 
 #: Totals and what they follow from, as they are called below.
 _PARTS = {"cl": "current_liabilities", "ltd": "long_term_debt", "std": "short_term_debt", "tl": "total_liabilities", "ta": "total_assets", "eq": "total_equity"}
-#: Columns in which a derived row differs from its first summand.
-_NEW = ["metric_name", "value", "raw_label", "statement_type", "confidence", "source"]
 
 
 def _with_totals(best: DataFrame, only: bool) -> DataFrame:
     """Resolved rows and the totals derived from them, or these alone. A row of the first summand makes the
-    total, as its other columns are the total's; the values beside it come from a window over the year."""
+    total, as its other columns are the total's; the values beside it come from a window over the year. A row is
+    doubled by the name of its total alone, so columns that nobody asks for are not carried here."""
     year = Window.partitionBy("doc_id", "year")
     d = best.select("*", *[F.max(F.when(F.col("metric_name") == m, F.col("value"))).over(year).alias(f"_{k}") for k, m in _PARTS.items()])
-    made = lambda metric, value, label: F.struct(F.lit(metric), value, F.lit(label), F.lit("balance_sheet"), F.lit("derived"), F.lit(R.LINE_SOURCE))
-    total = F.when((F.col("metric_name") == _PARTS["cl"]) & F.col("_tl").isNull() & F.col("_cl").isNotNull() & F.col("_ltd").isNotNull(),
-                   made("total_liabilities", F.col("_cl") + F.col("_ltd") + F.coalesce("_std", F.lit(0.0)), "derived(cl+ltd+std)"))
-    total = total.when((F.col("metric_name") == _PARTS["eq"]) & F.col("_ta").isNull() & F.col("_eq").isNotNull() & F.col("_tl").isNotNull(), made("total_assets", F.col("_eq") + F.col("_tl"), "derived(equity+liab)"))
-    own = F.when(F.lit(not only), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(_NEW)]))
-    kind = "array<struct<" + ",".join(f"{c}:{best.schema[c].dataType.simpleString()}" for c in _NEW) + ">>"
-    d = d.withColumn("_r", F.explode(F.array_compact(F.array(own.cast(kind[6:-1]), total.cast(kind[6:-1])))))
-    return d.select(*[F.col(f"_r.{c}").alias(c) if c in _NEW else F.col(c) for c in CONTRACT])
+    total = F.when((F.col("metric_name") == _PARTS["cl"]) & F.col("_tl").isNull() & F.col("_cl").isNotNull() & F.col("_ltd").isNotNull(), "total_liabilities")
+    total = total.when((F.col("metric_name") == _PARTS["eq"]) & F.col("_ta").isNull() & F.col("_eq").isNotNull() & F.col("_tl").isNotNull(), "total_assets")
+    d = d.withColumn("_made", F.explode(F.array_compact(F.array(total) if only else F.array(F.lit(""), total))))
+    made = F.col("_made")
+    values = F.when(made == "total_liabilities", F.col("_cl") + F.col("_ltd") + F.coalesce("_std", F.lit(0.0))).when(made == "total_assets", F.col("_eq") + F.col("_tl"))
+    label = F.when(made == "total_liabilities", "derived(cl+ltd+std)").when(made == "total_assets", "derived(equity+liab)")
+    new = {"metric_name": made, "value": values.cast(best.schema["value"].dataType), "raw_label": label, "statement_type": F.lit("balance_sheet"), "confidence": F.lit("derived"), "source": F.lit(R.LINE_SOURCE)}
+    return d.select(*[F.when(made == "", F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in CONTRACT])
 
 
 def derived_totals(resolved: DataFrame) -> DataFrame:
@@ -70,12 +84,12 @@ def derived_totals(resolved: DataFrame) -> DataFrame:
     return _with_totals(resolved.filter(F.col("metric_name").isin(*_PARTS.values())), True)
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
-    """The best candidates and the totals derived from them (see ``derived_totals``).
+def resolve(candidates: DataFrame, view: View | None = None) -> DataFrame:
+    """The best candidates and the totals derived from them (see ``derived_totals``); ``view`` as in ``best_candidates``.
 
     Candidates are read once; what follows finds rows partitioned by document and year, and columns that
     nobody asks for are read and shuffled nowhere."""
-    return _with_totals(best_candidates(candidates), False)
+    return _with_totals(best_candidates(candidates, view), False)
 
 
 def pivot(resolved: DataFrame) -> DataFrame:

@@ -71,3 +71,37 @@ def test_scratch_tables_go_at_the_end(spark):
 def test_resolved_rows_are_made_once(spark, name):
     """Queries that read resolved rows several times read them from a table: candidates are read and sorted once."""
     assert "l_orderkey" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["risks", "ratio_states", "computed_units", "missing_warning"])
+def test_unread_columns_are_not_carried(spark, name):
+    """What a query doesn't read of resolved rows is neither read from lineitem nor aggregated."""
+    lines = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    plan = "\n".join(line for line in lines if "Relation" not in line)
+    assert ("l_quantity" in plan) == (name == "ratio_states") and "order " not in plan and "derived(" not in plan
+    assert ("INR" in plan) == (name == "computed_units")
+
+
+@pytest.mark.parametrize("name", ["metrics_view", "metric_lines", "risk_view", "risks", "provenance", "ratio_warnings"])
+def test_ranked_rows_are_those_of_lineitem(spark, name):
+    """The sort in front of the first shuffle holds lineitem's own columns; text is made for the rows that stay."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    ranked = [line for line in plan.splitlines() if "WindowGroupLimit" in line and "Partial" in line]
+    assert ranked and all("[l_suppkey" in line and "doc_id" not in line and "metric_name" not in line for line in ranked)
+
+
+def test_view_gives_the_same_candidates(spark, tmp_path):
+    """Rows ranked first and read as candidates then are those that rank as candidates, with ties, nulls and lone totals."""
+    from pyspark.sql import functions as F
+
+    from granary import bind
+    from granary.operators import resolve
+
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    nulls = lambda k, *cs: {c: F.when(F.col("l_orderkey") % k != 0, F.col(c)) for c in cs}
+    odd = li.withColumns(nulls(3, "l_returnflag", "l_suppkey") | nulls(4, "l_linestatus", "l_tax", "l_discount") | nulls(5, "l_extendedprice", "l_quantity") | nulls(7, "l_partkey") | nulls(11, "l_shipdate"))
+    same = li.withColumns({"l_orderkey": F.lit(1).cast("long"), "l_linenumber": F.lit(3), "l_extendedprice": F.col("l_extendedprice") % 3})
+    li.unionByName(odd).unionByName(same).write.parquet(f"{tmp_path}/lineitem.parquet")
+    told = lambda frame: sorted(map(repr, frame.select(resolve.CONTRACT).collect()))
+    want = told(resolve.resolve(bind.candidates(spark, str(tmp_path))))
+    assert len(want) > 1000 and told(resolve.resolve(*bind.candidate_rows(spark, str(tmp_path)))) == want
