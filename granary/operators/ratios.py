@@ -5,6 +5,8 @@ a projection, but growth, which needs the row before and a sort within the docum
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,9 +68,10 @@ def worst_state(*states: Column) -> Column:
     return F.when(code == 2, "NEEDS_REVIEW").when(code == 1, "VERIFIED")
 
 
-def compute(wide_rows: DataFrame, ocf_threshold: float = R.OCF_THRESHOLD) -> DataFrame:
-    """doc_id, year, 17 base metrics, total_debt, 11 ratios, 3 growths, 5 risks, and conflicts (ratio to the
-    scopes that suppressed it). Growth compares with the previous year that the document has, gap or not."""
+def compute(wide_rows: DataFrame, ocf_threshold: float = R.OCF_THRESHOLD, also: Sequence[Column] = ()) -> DataFrame:
+    """doc_id, year, 17 base metrics, total_debt, 11 ratios, 3 growths, conflicts (ratio to the scopes that
+    suppressed it), what is asked of a wide row ``also``, and 5 risks. Growth compares with the previous year that the
+    document has, gap or not."""
     out = wide_rows
     for name, top, bottom, inputs in R.RATIOS:
         out = out.withColumn(f"_c_{name}", _conflict(inputs))
@@ -80,7 +83,7 @@ def compute(wide_rows: DataFrame, ocf_threshold: float = R.OCF_THRESHOLD) -> Dat
         growth.append(F.try_divide(_value(metric) - before, F.abs(before)).alias(name))
     base = [_value(m).alias(m) for m in R.METRIC_NAMES]
     conflicts = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"_c_{n}").isNotNull(), F.struct(F.lit(n).alias("key"), F.col(f"_c_{n}").alias("value"))) for n, *_ in R.RATIOS])))
-    out = out.select("doc_id", "year", *base, _value("total_debt").alias("total_debt"), *[n for n, *_ in R.RATIOS], *growth, conflicts.alias("conflicts"))
+    out = out.select("doc_id", "year", *base, _value("total_debt").alias("total_debt"), *[n for n, *_ in R.RATIOS], *growth, conflicts.alias("conflicts"), *also)
     risks = [level(r, F.col(source), ocf_threshold).alias(r) for r, source, *_ in R.RISKS]
     out = out.select("*", *risks)
     return out.withColumn("overall_risk", worst_risk(*[F.col(r) for r, *_ in R.RISKS]))
@@ -123,15 +126,31 @@ def ratio_states(proven: DataFrame) -> DataFrame:
     return proven.select("doc_id", "year", "ratio_name", "state")
 
 
+def _state(name: str, top: str, bottom: str, inputs: list[str]) -> Column:
+    """Trust state of a ratio that has a result, else NULL."""
+    ok = _conflict(inputs).isNull() & _ratio(name, top, bottom).isNotNull()
+    return F.when(ok, worst_state(*[F.col(f"{m}__state") for m in (top, bottom) if m != "total_debt"]))
+
+
+def state_map() -> Column:
+    """Trust states of a wide row's ratios, by name."""
+    return F.map_from_entries(F.sort_array(F.array(*[F.struct(F.lit(r[0]).alias("ratio_name"), _state(*r).alias("state")) for r in R.RATIOS])))
+
+
+def risk_state_columns() -> list[Column]:
+    """The trust state of each risk, of a wide row."""
+    state = {r[0]: _state(*r) for r in R.RATIOS}
+    return [state.get(source, F.col("operating_cash_flow__state")).alias(r.removesuffix("_risk")) for r, source, *_ in R.RISKS]
+
+
+def overall_state() -> Column:
+    """The worst of the states of the four risks."""
+    return worst_state(*[F.col(r.removesuffix("_risk")) for r, *_ in R.RISKS]).alias("overall")
+
+
 def risk_states(wide_rows: DataFrame) -> DataFrame:
     """doc_id, year and the trust state of each risk, the worst of the four for the overall one."""
-    state = {}
-    for name, top, bottom, inputs in R.RATIOS:
-        ok = _conflict(inputs).isNull() & _ratio(name, top, bottom).isNotNull()
-        state[name] = F.when(ok, worst_state(*[F.col(f"{m}__state") for m in (top, bottom) if m != "total_debt"]))
-    own = [(r.removesuffix("_risk"), state.get(source, F.col("operating_cash_flow__state"))) for r, source, *_ in R.RISKS]
-    out = wide_rows.select("doc_id", "year", *[c.alias(n) for n, c in own])
-    return out.withColumn("overall", worst_state(*[F.col(n) for n, _ in own]))
+    return wide_rows.select("doc_id", "year", *risk_state_columns()).select("*", overall_state())
 
 
 def computed_units(wide_rows: DataFrame) -> DataFrame:

@@ -69,15 +69,16 @@ def doc_key(name: Column, size: Column) -> Column:
 
 
 def ratio_view(wide_rows: DataFrame) -> DataFrame:
-    """Ratios of a year with a map of their trust states."""
-    states = ratios.provenance(wide_rows).groupBy("doc_id", "year").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ratio_name", "state")))).alias("states"))
-    return ratios.compute(wide_rows).select("doc_id", "year", *VIEW_RATIOS).join(states, ["doc_id", "year"])
+    """Ratios of a year with a map of their trust states, from one reading of the wide rows; rows without a document
+    have none."""
+    known = wide_rows.filter(F.col("doc_id").isNotNull() & F.col("year").isNotNull())
+    return ratios.compute(known, also=[ratios.state_map().alias("states")]).select("doc_id", "year", *VIEW_RATIOS, "states")
 
 
 def risk_view(wide_rows: DataFrame) -> DataFrame:
     """Per document, year and risk: level, ratio_used, driver value, threshold in words, trust state; the overall
-    risk has neither driver nor threshold."""
-    c = ratios.compute(wide_rows).join(ratios.risk_states(wide_rows), ["doc_id", "year"])
+    risk has neither driver nor threshold. Wide rows are read once."""
+    c = ratios.compute(wide_rows, also=ratios.risk_state_columns()).select("*", ratios.overall_state())
     none = F.lit(None).cast("string")
 
     def one(risk: str, source: str | None) -> Column:

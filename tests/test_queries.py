@@ -105,3 +105,23 @@ def test_view_gives_the_same_candidates(spark, tmp_path):
     told = lambda frame: sorted(map(repr, frame.select(resolve.CONTRACT).collect()))
     want = told(resolve.resolve(bind.candidates(spark, str(tmp_path))))
     assert len(want) > 1000 and told(resolve.resolve(*bind.candidate_rows(spark, str(tmp_path)))) == want
+
+
+@pytest.mark.parametrize("name", ["risk_view", "ratio_view"])
+def test_states_come_with_the_ratios(spark, name):
+    """Ratios and their trust states are read from the same wide rows: lineitem is read once, and no join follows."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1 and "Join" not in plan.toString()
+
+
+@pytest.mark.parametrize("name", ["risk_view", "ratio_view"])
+def test_rows_without_a_document_are_as_in_sql(spark, tmp_path, name):
+    from pathlib import Path
+
+    import duckdb
+
+    for f in Path(SF).iterdir():
+        if f.name != "lineitem.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey END AS l_suppkey) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    assert agree(QUERIES[name](spark, str(tmp_path)), str(tmp_path), SQL[name])
