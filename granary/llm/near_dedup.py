@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from granary.llm import textvec as tv
 from granary.llm.components import components
-from granary.llm.shared import written
+from granary.llm.shared import small_batches, written
 
 #: Words in a shingle, least similarity in percent, bands and rows of a band. A pair at 80 % is missed by
 #: all of 24 bands of 4 rows with probability (1 - 0.8**4)**24 < 4e-6.
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 4
 #: Shingles of a block in the comparison of what hubs left over.
 BLOCK = 500_000
+#: Elements whose permutations are held at once.
+LOT = 1 << 18
 
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
@@ -39,21 +41,36 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int) -> np
 
     Every element draws a random permutation of the slots step by step (Fisher-Yates) and offers slot
     number j of it the value j + uniform. An owner leaves the loop as soon as all its slots are below
-    the current level: no later step can lower any of them."""
+    the current level: no later step can lower any of them. Elements go in lots, which bounds the working
+    space; the least value of a slot doesn't depend on their order."""
     slots = np.full(n * m, np.iinfo(_U).max, _U)
-    if not len(elements):
-        return slots.reshape(n, m)
-    drawn = tv.mix(elements ^ _U(0x5851F42D4C957F2D))
-    first = ((drawn & _LOW) * _U(m) >> _U(32)).astype(np.int64)
-    np.minimum.at(slots, owner * m + first, drawn >> _U(32))
     table = slots.reshape(n, m)
-    open_ = table.max(axis=1) >= _U(1 << 32)
-    own = np.flatnonzero(open_[owner])
-    e, d = elements[own], owner[own]
+    lots = [slice(a, a + LOT) for a in range(0, len(elements), LOT)]
+    for lot in lots:
+        first, value = _first(elements[lot], m)
+        np.minimum.at(slots, owner[lot] * m + first, value)
+    for lot in lots:
+        open_ = table.max(axis=1) >= _U(1 << 32)
+        own = open_[owner[lot]]
+        _lower(table, elements[lot][own], owner[lot][own])
+    return table
+
+
+def _first(e: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot that each element draws first, and its value there."""
+    drawn = tv.mix(e ^ _U(0x5851F42D4C957F2D))
+    return ((drawn & _LOW) * _U(m) >> _U(32)).astype(np.int64), drawn >> _U(32)
+
+
+def _lower(table: np.ndarray, e: np.ndarray, d: np.ndarray) -> None:
+    """Lowers the slots of owners ``d`` by what their elements ``e`` draw after the first step."""
+    m = table.shape[1]
+    slots = table.reshape(-1)
+    first, _ = _first(e, m)
     place = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(e), m)).copy()
     row = np.arange(len(e))
-    place[row, first[own]] = 0
-    place[row, 0] = first[own]
+    place[row, first] = 0
+    place[row, 0] = first
     for j in range(1, m):
         if not len(e):
             break
@@ -66,21 +83,21 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int) -> np
         if not still[d].all():
             go = still[d]
             e, d, row = e[go], d[go], row[go]
-    return table
 
 
 def _distinct(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text and their offsets."""
-    words, bounds = tv.folded_words(column)
-    grams, ends = tv.shingles(words, bounds, k)
+    grams, ends = tv.shingles(*tv.folded_words(column), k)
     sets = [np.unique(grams[ends[i] : ends[i + 1]]) for i in range(len(ends) - 1)]
-    return (np.concatenate(sets) if sets else np.empty(0, _U)), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+    del grams
+    values = sets[0] if len(sets) == 1 else np.concatenate([np.empty(0, _U), *sets])
+    return values, np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
 def _digests(values: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
     import hashlib
 
-    return [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [hashlib.blake2b(values[a:b], digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -176,7 +193,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -
     """doc_id, text_hash, n_shingles, node, root (of the node's group, null with it), first (smallest doc_id of the group)."""
     docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, node binary, bands array<long>"
-    signed = written(docs.mapInArrow(_signed(words, bands, rows), schema), "signed")
+    with small_batches(docs.sparkSession):
+        signed = written(docs.mapInArrow(_signed(words, bands, rows), schema), "signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("bands").alias("bands"))
     member = nodes.select("node", "n", F.explode("bands").alias("key"))
     full = member.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1")
@@ -185,7 +203,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -
     source = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).join(member.select("node").distinct(), "node", "left_semi")
     source = source.select(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash")).distinct()
     texts = docs.join(source, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").select("doc_id", "text")
-    sets = written(texts.mapInArrow(_sets(words), "node binary, grams array<long>").filter("node is not null"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(texts.mapInArrow(_sets(words), "node binary, grams array<long>").filter("node is not null"), "sets")
     if not docs.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
 

@@ -15,6 +15,11 @@ import pyarrow.compute as pc
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 
+#: Bytes of text whose words are found at once; a text of any length needs working space for about two of these.
+STRETCH = 1 << 21
+#: Words whose shingles are made at once.
+LOT = 1 << 20
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -118,12 +123,33 @@ def equal_blocks(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.
     return same
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``STRETCH`` bytes that together are all of ``data`` and cut no word."""
+    start, n = 0, len(data)
+    while n - start > 2 * STRETCH:
+        end = at = start + STRETCH
+        bound = int(offsets[np.searchsorted(offsets, at)])
+        while end < bound:
+            gaps = np.flatnonzero(SPACE[data[end : min(end + 4096, bound)]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + 4096, bound)
+        yield start, end
+        start = end
+    yield start, n
+
+
 def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words with A-Z lower-cased, and the n+1 offsets of each document's words."""
     data, offsets = raw(column)
-    data = LOWER[data]
-    starts, ends, bounds = word_bounds(data, offsets)
-    return span_hashes(data, starts, ends), bounds
+    found, bounds = [], np.zeros(len(offsets), np.int64)
+    for a, b in _stretches(data, offsets):
+        piece = LOWER[data[a:b]]
+        starts, ends, inner = word_bounds(piece, np.clip(offsets, a, b) - a)
+        found.append(span_hashes(piece, starts, ends))
+        bounds += inner
+    return found[0] if len(found) == 1 else np.concatenate(found), bounds
 
 
 def chained(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -144,16 +170,22 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     long = np.flatnonzero(counts >= k)
     out = np.empty(out_bounds[-1], U)
     if len(long) and span > 0:
-        acc = words[:span]
-        for i in range(1, k):
-            acc = chained(acc, words[i : i + span])
-        inside = np.zeros(len(words) + 1, np.int64)
+        inside = np.zeros(len(words) + 1, np.int8)
         np.add.at(inside, bounds[:-1][long], 1)
         np.add.at(inside, bounds[1:][long] - k + 1, -1)
-        mark = np.zeros(out_bounds[-1] + 1, np.int64)
+        np.cumsum(inside, out=inside)
+        mark = np.zeros(out_bounds[-1] + 1, np.int8)
         np.add.at(mark, out_bounds[:-1][long], 1)
         np.add.at(mark, out_bounds[1:][long], -1)
-        out[np.cumsum(mark)[:-1] > 0] = acc[np.cumsum(inside)[:span] > 0]
+        to, done = np.flatnonzero(np.cumsum(mark, out=mark)[:-1] > 0), 0
+        for a in range(0, span, LOT):
+            b = min(a + LOT, span)
+            acc = words[a:b]
+            for i in range(1, k):
+                acc = chained(acc, words[a + i : b + i])
+            acc = acc[inside[a:b] > 0]
+            out[to[done : done + len(acc)]] = acc
+            done += len(acc)
     for d in np.flatnonzero((counts > 0) & (counts < k)).tolist():
         acc = words[bounds[d] : bounds[d] + 1]
         for i in range(1, int(counts[d])):

@@ -328,6 +328,104 @@ def test_super_minhash_estimates_similarity():
     assert max(map(abs, errors)) < 0.2
 
 
+def plain_super_minhash(elements, m: int) -> list[int]:
+    """The signature of one set, element by element."""
+    mask, slots = (1 << 64) - 1, [(1 << 64) - 1] * m
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    for e in map(int, elements):
+        place = list(range(m))
+        for j in range(m):
+            drawn = mix((e + j * 0x9E3779B97F4A7C15) & mask) if j else mix(e ^ 0x5851F42D4C957F2D)
+            k = j + ((drawn & 0xFFFFFFFF) * (m - j) >> 32)
+            place[j], place[k] = place[k], place[j]
+            slots[place[j]] = min(slots[place[j]], j << 32 | drawn >> 32)
+    return slots
+
+
+def test_super_minhash_in_lots(monkeypatch):
+    from granary.llm import near_dedup
+
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(1, 2**63, n, np.uint64) for n in (1, 0, 7, 130, 600)]
+    owner = np.repeat(np.arange(5), [len(s) for s in sets])
+    for lot in (1 << 18, 50):
+        monkeypatch.setattr(near_dedup, "LOT", lot)
+        got = near_dedup.super_minhash(np.concatenate(sets), owner, 5, 96)
+        assert [list(map(int, g)) for g in got] == [plain_super_minhash(s, 96) for s in sets]
+
+
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    from granary.llm import textvec as tv
+
+    texts = ["", "ONE two  three" * 3, None, "x" * 9000, "a b\tc " * 2000, "one", " " * 500, "é ü " * 700, "last word here and the end"]
+    whole = tv.shingles(*tv.folded_words(pa.array(texts)), 4)
+    alone = [tv.shingles(*tv.folded_words(pa.array([t], pa.string())), 4)[0] for t in texts]
+    monkeypatch.setattr(tv, "STRETCH", 64)
+    monkeypatch.setattr(tv, "LOT", 50)
+    cut = tv.shingles(*tv.folded_words(pa.array(texts)), 4)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert (np.concatenate(alone) == cut[0]).all()
+
+
+def test_near_groups_working_space_of_one_long_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from granary.llm import near_dedup
+
+    words = np.array([f"{x:x}" for x in np.random.default_rng(9).integers(1 << 20, 1 << 24, 5000)])
+    text = " ".join(words[np.random.default_rng(10).integers(0, 5000, 2_000_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([0])], names=["doc_id", "text", "text_hash"])
+    for run in (near_dedup._signed(4, 24, 4), near_dedup._sets(4)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run(iter([batch]))) == 1
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 9 * len(text), most / len(text)
+
+
+def test_near_groups_takes_small_batches(spark, tmp_path, monkeypatch):
+    from granary.llm import near_dedup
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def seen(step):
+        def made(*args):
+            def run(batches):
+                def noted():
+                    for b in batches:
+                        (tmp_path / f"{b.num_rows}-{b.nbytes}-{id(b)}").touch()
+                        yield b
+
+                yield from step(*args)(noted())
+
+            return run
+
+        return made
+
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(20_000))) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for name in ("_signed", "_sets"):
+        monkeypatch.setattr(near_dedup, name, seen(getattr(near_dedup, name)))
+    assert near_dedup.near_groups(table, words=4).filter("kept").count() == 120
+    assert max(int(p.name.split("-")[1]) for p in tmp_path.iterdir()) < 6 << 20
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1000000")
+    try:
+        assert near_dedup.near_groups(table.limit(3), words=4).count() == 3
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_near_groups_edges(spark):
     from granary.llm.near_dedup import near_groups, one_of_each
 
